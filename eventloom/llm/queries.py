@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, jaccard_join, license_scan
+from eventloom.llm import bpe_codec, exact_dedup, jaccard_join, license_scan, packing
+
+
+#: Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +21,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.per_document(jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents")))
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.per_document(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.per_document(table(spark, sf_dir, "documents"))
 
@@ -25,6 +39,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_bpe_codec": op2_bpe_codec,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
