@@ -184,3 +184,39 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
         if not moved:
             return label
+
+
+# --------------------------------------------------------------------------- sums and forests
+
+
+def tree_sum(blobs: DataFrame, most: int = 16) -> np.ndarray:
+    """The sum of equally long float64 vectors in the binary column `value`; partitions add
+    their own, at most `most` tasks add those, and only their sums come to the driver."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                own = np.frombuffer(v, dtype=np.float64)
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["value"])
+
+    once = blobs.select("value").mapInArrow(add, "value binary")
+    rows = once.repartition(most).mapInArrow(add, "value binary").collect()
+    return np.sum([np.frombuffer(r["value"], dtype=np.float64) for r in rows], axis=0) if rows else np.zeros(0)
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, smallest node of its component) that connect what the edges do."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    node = np.flatnonzero(label != np.arange(n))
+    return node, label[node]

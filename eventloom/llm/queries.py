@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, exact_dedup, jaccard_join, license_scan, packing, substring_dedup
+from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, license_scan, packing, substring_dedup
 
 
 #: Folder of the public tokenizer files.
@@ -33,6 +33,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.per_document(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.per_vector(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.per_document(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
