@@ -11,9 +11,11 @@ with probability J each, independently for practical purposes. A linked pair (J
 shares fewer than 3 of the 32 smallest with probability below 1e-15, which is under the
 chance of a collision of 64-bit hashes, so no size, frequency or partner limit is needed.
 
-Work on large groups of near copies is kept linear by components: first every set is
-verified against one partner, the smallest set of the run that it shares most with; then
-only pairs of sets still in different components meet in the R-trees.
+Work on large groups of near copies is kept near linear by components: in ROUNDS rounds every
+set is verified against up to SIDES pivots of its runs, chosen anew each round; then only
+sets of runs that still hold different components meet in the R-trees, and pairs within one
+component are skipped there. A pair is proposed by one run only, that of its first common
+hash, and only if it shares SHARED hashes.
 
 Defined results: null or blank texts give an empty set, which links with nothing; a null id
 takes part with a null component; repeated rows and equal sets share a component; an id may
@@ -26,22 +28,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Words, components, having, mix, shingle_sets, slices, written
 
-GROUPS = 64
+GROUPS = 128
 SKETCH = 32
 SHARED = 3
+ROUNDS = 2
+SIDES = 4
 LEAF = 16
 FAN = 8
 #: Runs up to this many sets are compared pair by pair; longer ones by trees.
 SMALL_RUN = 24
 #: A run longer than this is dealt to several tasks as pairs of blocks.
 BLOCK = 4096
-#: Counts in a point are exact up to here; larger pairs skip the bound.
-MOST = 65535
+#: Counts in a point are exact below this; pairs of points that both reach it skip the bound.
+MOST = 255
+#: Fills sketches of small sets; no hash of a set is it but by chance of one in 2**64.
+NONE = -(1 << 63)
 
 
 @dataclass
@@ -58,7 +65,7 @@ def _measure(id_col: str, text_col: str, words: int):
         for batch in batches:
             for part in slices(batch, text_col):
                 sets = shingle_sets(Words(part.column(part.schema.get_field_index(text_col))), words)
-                points = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype("<u2").tobytes() for s in sets]
+                points = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype(np.uint8).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array(points, pa.binary()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     schema=schema,
@@ -97,7 +104,9 @@ def may_link(top_a, low_a, high_a, top_b, low_b, high_b, pct: int) -> np.ndarray
     """Whether boxes (or points) a and b can hold a pair of similarity pct / 100."""
     fit = (100 * high_a >= pct * low_b) & (100 * high_b >= pct * low_a)
     bound = np.minimum(top_a, top_b).sum(axis=1, dtype=np.int64)
-    return fit & (((100 + pct) * bound >= pct * (low_a + low_b)) | (np.minimum(high_a, high_b) > MOST))
+    if max(top_a.max(initial=0), top_b.max(initial=0)) < MOST:
+        return fit & ((100 + pct) * bound >= pct * (low_a + low_b))
+    return fit & (((100 + pct) * bound >= pct * (low_a + low_b)) | ((top_a.max(axis=1) >= MOST) & (top_b.max(axis=1) >= MOST)))
 
 
 def tree_join(a: CountTree, b: CountTree, comp_a: np.ndarray, comp_b: np.ndarray, pct: int, own: bool):
@@ -146,53 +155,70 @@ def tree_join(a: CountTree, b: CountTree, comp_a: np.ndarray, comp_b: np.ndarray
         pending.append((level - 1, ka[inside], kb[inside]))
 
 
-def run_pairs(sid: np.ndarray, comp: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, pct: int):
-    """Pairs of one long run. side: 0 and 1 for two different blocks, 2 for one block with itself."""
+def proposed(key: np.ndarray, a: np.ndarray, b: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Whether pairs (a, b) of rows share SHARED sketch hashes, the first of them being key."""
+    keep = np.zeros(len(a), dtype=bool)
+    for k in range(0, len(a), 4096):
+        x, y = sketch[a[k : k + 4096]], sketch[b[k : k + 4096]]
+        shared = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != NONE)
+        first = x[np.arange(len(x)), shared.argmax(axis=1)]
+        keep[k : k + 4096] = (shared.sum(axis=1) >= SHARED) & (first == key[a[k : k + 4096]])
+    return keep
+
+
+def run_pairs(rows: slice, comp, sizes, points, side, pct: int):
+    """Row pairs of one long run. side: 0 and 1 for two different blocks, 2 for one block with itself."""
+    base, side = rows.start, side[rows]
     if side[0] == 2:
-        tree = CountTree(points, sizes)
-        yield from ((sid[i], sid[j]) for i, j in tree_join(tree, tree, comp, comp, pct, True))
+        tree = CountTree(points[rows], sizes[rows])
+        yield from ((base + i, base + j) for i, j in tree_join(tree, tree, comp[rows], comp[rows], pct, True))
     else:
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        p, q = base + np.flatnonzero(side == 0), base + np.flatnonzero(side == 1)
         if len(p) and len(q):
-            yield from ((sid[p[i]], sid[q[j]]) for i, j in tree_join(CountTree(points[p], sizes[p]), CountTree(points[q], sizes[q]), comp[p], comp[q], pct, False))
+            yield from ((p[i], q[j]) for i, j in tree_join(CountTree(points[p], sizes[p]), CountTree(points[q], sizes[q]), comp[p], comp[q], pct, False))
 
 
-def short_pairs(run: np.ndarray, sid, comp, sizes, points, pct: int):
-    """Pairs within many short runs at once; run: sorted run numbers."""
+def short_pairs(rows: np.ndarray, run: np.ndarray, comp, sizes, points, pct: int):
+    """Row pairs within many short runs at once; run: their sorted run numbers."""
     first = np.searchsorted(run, run, "left")
     nth = np.arange(len(run)) - first
     j = np.repeat(np.arange(len(run)), nth)
     i = np.arange(len(j)) - np.repeat(np.cumsum(nth) - nth, nth) + first[j]
     for k in range(0, len(i), 50_000):
-        a, b = i[k : k + 50_000], j[k : k + 50_000]
+        a, b = rows[i[k : k + 50_000]], rows[j[k : k + 50_000]]
         keep = comp[a] != comp[b]
         a, b = a[keep], b[keep]
         keep = may_link(points[a], sizes[a], sizes[a], points[b], sizes[b], sizes[b], pct)
-        yield sid[a[keep]], sid[b[keep]]
+        yield a[keep], b[keep]
 
 
 def _join_runs(pct: int):
     """Over rows sorted by (key, block): candidate pairs (a, b), a < b."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def emit(pairs):
-        for a, b in pairs:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
     def handle(t: pa.Table):
-        cols = {c: t.column(c).to_numpy() for c in ("key", "block", "side", "sid", "comp", "n")}
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS)
-        new = np.flatnonzero((np.diff(cols["key"], prepend=cols["key"][0] - 1) != 0) | (np.diff(cols["block"], prepend=-1) != 0))
+        key, block, side, sid, comp, n = (t.column(c).to_numpy() for c in ("key", "block", "side", "sid", "comp", "n"))
+        points = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
+        listed = t.column("sketch").combine_chunks()
+        length = pc.list_value_length(listed).to_numpy()
+        sketch = np.full((len(t), SKETCH), NONE, dtype=np.int64)
+        sketch[np.arange(SKETCH) < length[:, None]] = listed.flatten().to_numpy()
+        new = np.flatnonzero((np.diff(key, prepend=key[0] - 1) != 0) | (np.diff(block, prepend=-1) != 0))
         length = np.diff(np.append(new, len(t)))
         run = np.repeat(np.arange(len(new)), length)
-        short = length[run] <= SMALL_RUN
-        short &= cols["side"] == 2
-        s = np.flatnonzero(short)
-        yield from emit(short_pairs(run[s], cols["sid"][s], cols["comp"][s], cols["n"][s], points[s], pct))
-        for r in np.unique(run[~short]):
-            x = slice(new[r], new[r] + length[r])
-            yield from emit(run_pairs(cols["sid"][x], cols["comp"][x], cols["n"][x], points[x], cols["side"][x], pct))
+        short = (length[run] <= SMALL_RUN) & (side == 2)
+        rows = np.flatnonzero(short)
+
+        def found():
+            yield from short_pairs(rows, run[rows], comp, n, points, pct)
+            for r in np.unique(run[~short]):
+                yield from run_pairs(slice(new[r], new[r] + length[r]), comp, n, points, side, pct)
+
+        for a, b in found():
+            keep = proposed(key, a, b, sketch)
+            a, b = sid[a[keep]], sid[b[keep]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def go(batches):
         held = None
@@ -246,41 +272,55 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFram
 # --------------------------------------------------------------------------- operator
 
 
+def pivots(place: DataFrame, turn: int) -> DataFrame:
+    """Pairs (pivot, set) of different components to verify first: in each run the pivot is
+    the least by a hash that changes with the round and the run's side, so sets of one family
+    agree on few pivots and meet up to SIDES of them."""
+    side = F.pmod("key", F.lit(SIDES))
+    least = F.min(F.struct(F.xxhash64("sid", side, F.lit(turn)), F.col("sid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("least")
+    chosen = place.groupBy("key").agg(least).select("key", "least.pivot", "least.pivot_comp")
+    met = place.join(chosen, "key").where("comp <> pivot_comp").select("pivot", "sid", side.alias("side"))
+    strong = met.groupBy("sid", "side", "pivot").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
+    best = strong.groupBy("sid", "side").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
+    return best.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 75) -> JaccardJoin:
     """All links between texts whose shingle sets have 100 * intersection >= pct * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(docs.mapInArrow(_measure("id", "text", words), "id long, n long, sid long, point binary, sketch array<long>"), "sets")
     classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch")), "classes")
     keys = classes.select("sid", F.explode("sketch").alias("key"))
-    runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("sid").alias("pivot")).where("length > 1")
-    met = written(keys.join(runs, "key"), "met")
+    runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    met = keys.join(runs, "key")
+    enough = met.groupBy("sid").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SHARED).select("sid")
+    met = written(met.join(enough, "sid", "left_semi"), "met")
 
     wanted = met.select("sid").distinct()
     holders = classes.join(wanted, "sid", "left_semi").select(F.col("least").alias("id")).where("id is not null").distinct()
     texts = having(docs, holders, "id").mapInArrow(_name(words), "sid long, text string")
     texts = written(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
 
-    star = met.where("sid <> pivot").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    star = star.groupBy("sid").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    first = written(verify(star, texts, words, pct), "links")
-    early = components(first)
+    links, place = None, met.select("key", "sid", "length", F.col("sid").alias("comp"))
+    for turn in range(ROUNDS):
+        found = written(verify(pivots(place, turn), texts, words, pct), "links")
+        links = found if links is None else links.union(found)
+        label = components(links)
+        place = met.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", "length", F.coalesce("component", "sid").alias("comp"))
+        mixed = place.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        place = written(place.join(mixed, "key", "left_semi"), "placed")
 
-    placed = met.join(early.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", "length", F.coalesce("component", "sid").alias("comp"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     parts = F.ceil(F.col("length") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid"), parts).cast("int")
     dealt = (
-        placed.join(mixed, "key", "left_semi")
-        .withColumn("parts", parts).withColumn("mine", mine)
+        place.withColumn("parts", parts).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "sid", "comp", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("block"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(classes.select("sid", "n", "point"), "sid")
+        .join(classes.select("sid", "n", "point", "sketch"), "sid")
         .repartition("key", "block").sortWithinPartitions("key", "block")
     )
-    met_pairs = dealt.mapInArrow(_join_runs(pct), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
-    rest = written(verify(met_pairs, texts, words, pct), "links")
-    links = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").union(rest)
+    pairs = dealt.mapInArrow(_join_runs(pct), "a long, b long").distinct()
+    links = links.union(written(verify(pairs, texts, words, pct), "links"))
 
     label = components(links.select("a", "b"))
     named = classes.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("label"))
