@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SAME, SLICE_BYTES, Words, mix, slices, written
+from eventloom.llm.common import SAME, Words, mix, slices, written
 
 ANCHOR = 8
 PATH_BITS = 40
 #: Bytes of suffix records that a group of subtrees should have.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 12 << 20
 RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
 
 
@@ -97,7 +97,7 @@ def _send(window: int, groups: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_BYTES):
+            for part in slices(batch):
                 ids = part.column(0).to_numpy()
                 words = Words(part.column(1), SAME)
                 found = suffixes(words, window)
