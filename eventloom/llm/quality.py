@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import SAME, Words, slices, tree_sum, written
 
-FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 1000, 11
+FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 6.0, 1e-4, 1000, 11
 THRESHOLD = 0.7
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -95,7 +95,7 @@ class Model:
     high: float
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        z = np.clip((stats - self.mean) / self.scale, -8, 8)
+        z = np.clip((stats - self.mean) / self.scale, -4, 4)
         return np.hstack([np.sqrt(2 / len(self.phase)) * np.cos(z @ self.wave + self.phase), np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def fit(rows: DataFrame) -> Model:
         return np.concatenate([(f.T @ f).ravel(), f.T @ y])
 
     sums, d = _sum(rows, normal), FEATURES + 1
-    gram = sums[: d * d].reshape(d, d) + RIDGE * n * np.diag([*np.ones(FEATURES) * 1e-2, 0.0])
+    gram = sums[: d * d].reshape(d, d) + RIDGE * n * np.diag([*np.ones(FEATURES), 0.0])
     model.weights = np.linalg.lstsq(gram, sums[d * d :], rcond=None)[0]
     model.low, model.high = -0.5, 1.5
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, license_scan, packing, quality, substring_dedup
+from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, substring_dedup
 
 
 #: Folder of the public tokenizer files.
@@ -37,6 +37,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.per_vector(table(spark, sf_dir, "embeddings"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.per_document(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_language_model": op6_language_model,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
