@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BROADCAST_IDS, written
+from eventloom.llm.common import BROADCAST_IDS, having, written
 
 PREFIX = 64
 WHITE_CHARS = " \t\n\x0b\x0c\r"
@@ -56,6 +56,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return full.select("id", F.when(one, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (one | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay. Dropped ids are few beside texts:
+    they are taken out where texts are read when their counted number allows, else by a join.
+    Rows that repeat an id and text leave one."""
+    out = exact_dedup(docs, id_col, text_col)
+    gone = written(out.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("keep_id")), "gone")
+    twins = gone.where("gone_id <=> keep_id").select("gone_id").distinct()
+    lost = gone.where("not gone_id <=> keep_id and gone_id is not null").select(F.col("gone_id").alias(id_col)).distinct()
+    left = having(docs, lost, id_col, anti=True)
+    if not twins.limit(1).count():
+        return left
+    same = F.col(id_col).eqNullSafe(F.col("gone_id"))
+    apart = left.join(twins, same, "left_anti")
+    return apart.unionByName(left.join(twins, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def per_document(docs: DataFrame) -> DataFrame:
     out = exact_dedup(docs, digest_all=True)
     return out.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))

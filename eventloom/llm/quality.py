@@ -191,12 +191,33 @@ def score_with(model: Model, rows: DataFrame) -> DataFrame:
     return rows.select("id", "stats").mapInArrow(run, "id long, score double")
 
 
+def training(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stats, label) of labelled rows that aren't held out; an id with both labels has none."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("label")).where("label in (0, 1)")
+    marked = marked.groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").select("id", "label")
+    return written(rows.join(marked, "id").where(~held_out(F.col("id"))).select("stats", F.col("label").cast("double").alias("label")), "training")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score THRESHOLD or more. They are scored
+    where they are read; no text is shuffled."""
+    model = fit(training(measured(docs, id_col, text_col), labels))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                if len(part):
+                    good = shared.value.score(statistics(part.column(part.schema.get_field_index(text_col)))) >= THRESHOLD
+                    yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score of every row; labels: doc_id, quality."""
     rows = written(measured(docs, id_col, text_col), "stats")
-    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("label")).where("label in (0, 1)")
-    marked = marked.groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").select("id", "label")
-    train = written(rows.join(marked, "id").where(~held_out(F.col("id"))).select("stats", F.col("label").cast("double").alias("label")), "training")
+    train = training(rows, labels)
     return score_with(fit(train), rows).select("id", held_out(F.col("id")).alias("held_out"), "score")
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, substring_dedup
+from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup
 
 
 #: Folder of the public tokenizer files.
@@ -41,6 +41,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.per_document(table(spark, sf_dir, "documents"))
 
 
+def op7_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_model": op6_language_model,
+    "op7_quotation_chat": op7_quotation_chat,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,

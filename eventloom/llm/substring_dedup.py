@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,6 +224,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.mapInArrow(_remove(digests), "id long, n_words long, n_removed long, kept string")
 
 
+def cleaned_rows(docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) without repeated passages. A text that loses
+    words becomes its kept words joined by spaces and n_chars their number of characters; one
+    that loses nothing stays untouched, one that loses all goes."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key")
+    spans = written(covered(docs.select(key, "text"), window, text_size(docs, "text")), "spans")
+    schema = docs.select("doc_id", "text", "lang", "source", "n_chars").schema
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column(1), SAME, hashed=False)
+                raw, new, lost = words.raw.tobytes(), [], []
+                for text, cover, first, last in zip(part.column(1).to_pylist(), part.column("spans").to_pylist(), words.rows[:-1].tolist(), words.rows[1:].tolist()):
+                    keep = np.ones(last - first, dtype=bool)
+                    for s in cover or ():
+                        keep[s["start"] : s["stop"]] = False
+                    begin, end = words.start[first:last], words.stop[first:last]
+                    new.append(b" ".join([raw[begin[k] : end[k]] for k in np.flatnonzero(keep).tolist()]).decode() if cover else text)
+                    lost.append(bool(cover))
+                text, lost = pa.array(new, pa.string()), pa.array(lost)
+                chars = pc.if_else(lost, pc.utf8_length(text).cast(part.column("n_chars").type), part.column("n_chars"))
+                out = [part.column(0), text, *(part.column(c) for c in names[2:4]), chars]
+                gone = pc.and_(lost, pc.equal(pc.fill_null(pc.binary_length(text), 0), 0))
+                yield pa.RecordBatch.from_arrays(out, names=names).filter(pc.invert(gone))
+
+    rows = docs.select(*names, key)
+    return rows.join(spans, rows.key == spans.doc, "left").select(*names, "spans").mapInArrow(run, schema)
+
+
 def per_document(docs: DataFrame, window: int = 35) -> DataFrame:
     out = substring_dedup(docs, window=window, digests=True)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
