@@ -25,7 +25,8 @@ def binned(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float)
     """run_id, unit, bin, time, n: counts of every unit in every bin, zeros included."""
     e0, bins = grid(t0, t1, dt)
     at = F.floor((F.col("t") - e0) / dt)
-    kept = spikes.where((F.col("t") >= t0) & (F.col("t") < t1)).withColumn("bin", at).where(F.col("bin").between(0, bins - 1))
+    at = F.when(F.col("t") == e0 + bins * dt, bins - 1).otherwise(at)  # the last bin is closed
+    kept = spikes.where((F.col("t") >= t0) & (F.col("t") < t1)).withColumn("bin", at.cast("long")).where(F.col("bin").between(0, bins - 1))
     counts = kept.groupBy("run_id", "unit", "bin").agg(F.count(F.lit(1)).alias("n"))
     full = spine(units.select("run_id", "unit"), bins).join(counts, ["run_id", "unit", "bin"], "left")
     return full.select("run_id", "unit", "bin", (F.lit(e0) + F.col("bin") * dt).alias("time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
