@@ -48,6 +48,7 @@ class WordBpe:
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = {c[0] for c in self.special}
         self.pieces = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.white = regex.compile(r"\s+")
 
@@ -91,6 +92,7 @@ class WordBpe:
         self.right, self.left = {}, {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
+        self.known_pieces: dict[str, list[int]] = {}
 
     def _symbols(self, token: str, last: bool = False) -> str:
         """A token as one character a symbol; a symbol with the end mark is one of its own."""
@@ -124,25 +126,29 @@ class WordBpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        shown = self.shown
-        s = "".join([shown[c] for c in piece.encode().decode("latin-1")])
+        s = piece
+        if not (piece.isascii() and piece.isprintable()):
+            shown = self.shown
+            s = "".join([shown[c] for c in piece.encode().decode("latin-1")])
         s = s[:-1] + chr(0x1000 + ord(s[-1]))
         whole = self.id_of.get(s)
         if whole is not None:
             return [whole]
         longest = [-1] * (len(s) + 1)
-        for end, (n, i) in self.automaton.iter(s):
-            start = end - n + 1
-            if longest[start] < 0 or self.length[longest[start]] < n:
-                longest[start] = i
+        for end, (n, i) in self.automaton.iter(s):  # ends rise, so the longest comes last
+            longest[end - n + 1] = i
         out: list[int] = []
         dead = bytearray(len(s) + 1)
-        at, token, length, shorter = 0, longest[0], self.length, self.shorter
-        while at < len(s):
+        at, token, length, shorter, fits, size = 0, longest[0], self.length, self.shorter, self.fits, len(s)
+        while at < size:
             while token is not None:
                 end = at + length[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
+                if not dead[end]:
+                    if not out:
+                        break
+                    good = fits.get((out[-1], token))
+                    if self.compatible(out[-1], token) if good is None else good:
+                        break
                 token = shorter.get(token)
             if token is None:
                 dead[at] = 1
@@ -158,14 +164,26 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         """Ids of a text: specials, then NFC, white space, lower case, pre-tokens."""
         out: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self.cut.split(text) if any(c in text for c in self.marks) else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = self.white.sub(" ", unicodedata.normalize("NFC", part))
-            part = part.replace("Σ", "σ").lower()  # the library lowers each character by itself
-            for piece in self.pieces.findall(part):
-                out += self.encode_piece(piece)
+            if not part.isascii():
+                part = self.white.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ")  # the library lowers each character by itself
+            part = part.lower()
+            if part.isalpha():
+                pieces = [part]
+            elif part[:-1].isalpha() and part[-1] in ",.":
+                pieces = [part[:-1], part[-1]]
+            else:
+                pieces = self.pieces.findall(part)
+            for piece in pieces:
+                found = self.known_pieces.get(piece)
+                if found is None:
+                    found = self.encode_piece(piece)
+                    if len(self.known_pieces) < CACHED and len(piece) <= LONGEST:
+                        self.known_pieces[piece] = found
+                out += found
         return out
 
     def decode(self, ids: list[int]) -> str:
