@@ -36,8 +36,10 @@ CACHED, LONGEST = 400_000, 64
 
 class ByteTokens:
     """Token ids (as bytes) of whole texts by the tokenizers library. A worker remembers the
-    ids of frequent words: a text is cut before each space that stands between two other
-    characters, where no pre-token of byte-level BPE goes on."""
+    ids of frequent words and pre-tokens: a text is cut before each space that stands between
+    two other characters, and before a comma or full stop behind letters, where no pre-token
+    of byte-level BPE goes on. New pre-tokens of a text are encoded in one call, whose ids are
+    told apart by the bytes that tokens stand for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,28 +48,55 @@ class ByteTokens:
         self.of.no_truncation()
         self.of.no_padding()
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
         self.risky = re.compile(r"\s | \s| \Z")
-
-    def fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
+        size = self.of.get_vocab_size()
+        special = self.of.get_added_tokens_decoder()
+        self.width = np.array([len(special[i].content.encode()) if i in special else len(self.of.id_to_token(i) or "") for i in range(size)])
+        self.mark = {c: self.fresh(c).tobytes() for c in ",."}
+
+    def fresh(self, text: str) -> np.ndarray:
+        return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each with a space before it."""
+        ids = self.fresh(" " + " ".join(pieces))
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        reach = np.cumsum(self.width[ids])
+        cut = np.searchsorted(reach, ends)
+        if len(ids) and (reach[np.minimum(cut, len(ids) - 1)] != ends).any():
+            return {p: self.fresh(" " + p).tobytes() for p in pieces}
+        data, at = ids.tobytes(), (4 * (cut + 1)).tolist()
+        return {p: data[a:b] for p, a, b in zip(pieces, [0, *at[:-1]], at)}
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if self.risky.search(text):
-            return self.fresh([text])[0]
+            return self.fresh(text).tobytes()
         words = text.split(" ")
-        words = [words[0], *[" " + w for w in words[1:]]] if text[0] != " " else [" " + w for w in words[1:]]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            missing = list(dict.fromkeys(w for w in words if w not in known))
-            new = dict(zip(missing, self.fresh(missing)))
-            room = CACHED - len(known)
-            if room > 0:
-                known.update([(w, b) for w, b in new.items() if len(w) <= LONGEST][:room])
-            return b"".join([new[w] if w in new else known[w] for w in words])
+        first = words.pop(0)
+        out = list(map(self.known.get, words))
+        if None in out:
+            self.fill(words, out)
+        return (self.fresh(first).tobytes() if first else b"") + b"".join(out)
+
+    def fill(self, words: list[str], out: list) -> None:
+        """Put the ids of words (each behind a space) where out has none."""
+        gaps = [k for k, b in enumerate(out) if b is None]
+        stem = {w: w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in {words[k] for k in gaps}}
+        have = {p: b for p in stem.values() if (b := self.known_pieces.get(p)) is not None}
+        new = list({p for p in stem.values() if p not in have})
+        if new:
+            learnt = self.learn(new)
+            have |= learnt
+            if len(self.known_pieces) < CACHED:
+                self.known_pieces.update([(p, b) for p, b in learnt.items() if len(p) <= LONGEST])
+        own = {w: have[p] if w is p else have[p] + self.mark[w[-1]] for w, p in stem.items()}
+        if len(self.known) < CACHED:
+            self.known.update([(w, b) for w, b in own.items() if len(w) <= LONGEST])
+        for k in gaps:
+            out[k] = own[words[k]]
 
 
 _MADE: dict[str, ByteTokens] = {}
