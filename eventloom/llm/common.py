@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Broadcasts stay below this many rows of one 64-bit id (about 100 MB as a hash relation).
 BROADCAST_IDS = 2_000_000
 #: Text bytes that a kernel handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
