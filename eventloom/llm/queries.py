@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup
+from eventloom.llm.oracles import ORACLES
 
 
 #: Folder of the public tokenizer files.
@@ -69,3 +70,5 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
+
+__all__ = ["ORACLES", "QUERIES", "TOKENIZERS", "table"]
