@@ -30,12 +30,17 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), WHITE_CHARS, "")
 
 
+def row_key(id_col: str, text_col: str):
+    """A hash that names a row by its id and whole text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """id, keep_id, group_size, kept, digest for every row. digest is null on rows that a
-    cheaper key told apart, unless digest_all."""
+    """id, keep_id, group_size, kept, digest and row_key() for every row. digest is null on rows
+    that a cheaper key told apart, unless digest_all."""
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), normalised(text).alias("norm"))
-    base = base.select("id", "chars", "norm", F.length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), normalised(text).alias("norm"))
+    base = base.select("id", "key", "chars", "norm", F.length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"))
 
     by_prefix = written(base.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("rows")), "prefixes")
     by_size = by_prefix.groupBy("size").agg(F.sum("rows").alias("of_size")).where("of_size > 1").select("size")
@@ -43,9 +48,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     digest = F.sha2("norm", 256)
     if digest_all or alive.count() > BROADCAST_IDS:
-        rows = base.select("id", "chars", "size", "prefix", digest.alias("digest")).join(alive, ["size", "prefix"], "left")
+        rows = base.select("id", "key", "chars", "size", "prefix", digest.alias("digest")).join(alive, ["size", "prefix"], "left")
     else:
-        rows = base.join(F.broadcast(alive), ["size", "prefix"], "left").select("id", "chars", "size", "prefix", F.when(F.col("alive"), digest).alias("digest"), "alive")
+        rows = base.join(F.broadcast(alive), ["size", "prefix"], "left").select("id", "key", "chars", "size", "prefix", F.when(F.col("alive"), digest).alias("digest"), "alive")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
     best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("best")
@@ -53,23 +58,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.select("size", "digest", F.col("best.keep_id").alias("keep_id"), F.col("best.keep_row").alias("keep_row"), "group_size")
     full = rows.join(groups, ["size", "digest"], "left")
     one = F.col("group_size").isNull()
-    return full.select("id", F.when(one, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (one | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
+    return full.select("id", F.when(one, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (one | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "key")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay. Dropped ids are few beside texts:
-    they are taken out where texts are read when their counted number allows, else by a join.
-    Rows that repeat an id and text leave one."""
+    """The rows of docs, with all their columns, that stay. Rows are known by id and text.
+    Those that go are taken out where texts are read when their counted number allows, else by
+    a join; rows that repeat id and text leave one."""
     out = exact_dedup(docs, id_col, text_col)
-    gone = written(out.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("keep_id")), "gone")
-    twins = gone.where("gone_id <=> keep_id").select("gone_id").distinct()
-    lost = gone.where("not gone_id <=> keep_id and gone_id is not null").select(F.col("gone_id").alias(id_col)).distinct()
-    left = having(docs, lost, id_col, anti=True)
+    keys = out.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    keys = written(keys.select(F.col("key").alias("_key"), "kept"), "gone")
+    left = having(docs.withColumn("_key", row_key(id_col, text_col)), keys.where("not kept").select("_key"), "_key", anti=True)
+    twins = keys.where("kept").select("_key")
     if not twins.limit(1).count():
-        return left
-    same = F.col(id_col).eqNullSafe(F.col("gone_id"))
-    apart = left.join(twins, same, "left_anti")
-    return apart.unionByName(left.join(twins, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return left.select(*docs.columns)
+    one = having(left, twins, "_key").dropDuplicates(["_key"])
+    return having(left, twins, "_key", anti=True).unionByName(one).select(*docs.columns)
 
 
 def per_document(docs: DataFrame) -> DataFrame:
