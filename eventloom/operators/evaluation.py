@@ -46,9 +46,10 @@ def boundaries(labels: DataFrame, value: str = "label") -> DataFrame:
     return labels.withColumn("before", F.lag(value).over(w)).where(F.col("before").isNotNull() & (F.col("before") != F.col(value))).select("run_id", "bin")
 
 
-def boundary_scores(true: DataFrame, pred: DataFrame, tolerance: int) -> DataFrame:
+def boundary_scores(true: DataFrame, pred: DataFrame, tolerance: int, runs: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 of boundaries within tolerance; buckets of its width make the
-    range join an equality join. Both sides empty score 1, one side empty 0."""
+    range join an equality join. Both sides empty score 1 (for runs that `runs` names), one
+    side empty 0."""
     width = max(1, tolerance)
     bucket = F.floor(F.col("bin") / width)
 
@@ -57,7 +58,8 @@ def boundary_scores(true: DataFrame, pred: DataFrame, tolerance: int) -> DataFra
         found = x.withColumn("k", bucket).join(near, ["run_id", "k"]).where(F.abs(F.col("bin") - F.col("other")) <= tolerance)
         return found.select("run_id", "bin").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("h"))
 
-    runs = true.select("run_id").union(pred.select("run_id")).distinct()
+    named = true.select("run_id").union(pred.select("run_id"))
+    runs = (named if runs is None else named.union(runs.select("run_id"))).distinct()
     count = lambda x, c: x.groupBy("run_id").agg(F.count(F.lit(1)).alias(c))
     out = runs.join(count(true, "nt"), "run_id", "left").join(count(pred, "np"), "run_id", "left")
     out = out.join(hits(pred, true).withColumnRenamed("h", "hp"), "run_id", "left").join(hits(true, pred).withColumnRenamed("h", "ht"), "run_id", "left").fillna(0)

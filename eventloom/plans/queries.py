@@ -603,15 +603,15 @@ def method_comparison(spark, d):
     return rounded(evaluation.compare_methods(a.unionByName(b)))
 
 
-BOUND = PATTERN + ", th2 AS (SELECT bin, (avg(x)>=850)::INT AS label FROM sig GROUP BY bin), bt AS (SELECT bin FROM (SELECT bin, label, lag(label) OVER (ORDER BY bin) AS p FROM th2) WHERE p IS NOT NULL AND p<>label), bp AS (SELECT bin FROM (SELECT bin, label, lag(label) OVER (ORDER BY bin) AS p FROM (SELECT bin, (avg(n)>=17)::INT AS label FROM sig GROUP BY bin)) WHERE p IS NOT NULL AND p<>label), sc AS (SELECT (SELECT count(*) FROM bp WHERE EXISTS (SELECT 1 FROM bt WHERE abs(bt.bin-bp.bin)<=2))/(SELECT count(*) FROM bp) AS p, (SELECT count(*) FROM bt WHERE EXISTS (SELECT 1 FROM bp WHERE abs(bt.bin-bp.bin)<=2))/(SELECT count(*) FROM bt) AS r)"
+BOUND = PATTERN + ", th2 AS (SELECT bin, (avg(x)>=850)::INT AS label FROM sig GROUP BY bin), bt AS (SELECT bin FROM (SELECT bin, label, lag(label) OVER (ORDER BY bin) AS p FROM th2) WHERE p IS NOT NULL AND p<>label), bp AS (SELECT bin FROM (SELECT bin, label, lag(label) OVER (ORDER BY bin) AS p FROM (SELECT bin, (avg(n)>=17)::INT AS label FROM sig GROUP BY bin)) WHERE p IS NOT NULL AND p<>label), hh AS (SELECT (SELECT count(*) FROM bp WHERE EXISTS (SELECT 1 FROM bt WHERE abs(bt.bin-bp.bin)<=2)) AS hp, (SELECT count(*) FROM bp) AS np, (SELECT count(*) FROM bt WHERE EXISTS (SELECT 1 FROM bp WHERE abs(bt.bin-bp.bin)<=2)) AS ht, (SELECT count(*) FROM bt) AS nt), sc AS (SELECT CASE WHEN np=0 AND nt=0 THEN 1 ELSE coalesce(hp/nullif(np,0),0) END::DOUBLE AS p, CASE WHEN np=0 AND nt=0 THEN 1 ELSE coalesce(ht/nullif(nt,0),0) END::DOUBLE AS r FROM hh)"
 
 
-@query("boundary_scores", f"WITH {BOUND} SELECT 'events' AS run_id, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r),6) AS f1 FROM sc")
+@query("boundary_scores", f"WITH {BOUND} SELECT 'events' AS run_id, round(p,6) AS precision, round(r,6) AS recall, round(coalesce(2*p*r/nullif(p+r,0),0),6) AS f1 FROM sc")
 def boundary_scores(spark, d):
     s = signal(spark, d)
     a = s.groupBy("run_id", "bin").agg((F.avg("x") >= 850).cast("int").alias("label"))
     b = s.groupBy("run_id", "bin").agg((F.avg("n") >= 17).cast("int").alias("label"))
-    return rounded(evaluation.boundary_scores(evaluation.boundaries(a), evaluation.boundaries(b), 2))
+    return rounded(evaluation.boundary_scores(evaluation.boundaries(a), evaluation.boundaries(b), 2, a))
 
 
 @query("ks_distance", "WITH x AS (SELECT p_size AS v, (p_partkey%2)::INT AS g FROM part), a AS (SELECT v, count(*) FILTER (g=0) AS a, count(*) FILTER (g=1) AS b FROM x GROUP BY v), f AS (SELECT abs(sum(a) OVER w/(SELECT sum(a) FROM a)-sum(b) OVER w/(SELECT sum(b) FROM a)) AS d FROM a WINDOW w AS (ORDER BY v)) SELECT 'part' AS run_id, round(max(d),6) AS ks FROM f")

@@ -7,8 +7,9 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans import queries
+from eventloom.plans import more_queries, queries
 
+assert more_queries
 DATA = "/root/testdata/sf0.001"
 
 
