@@ -3,6 +3,8 @@ broadcasts, and byte-level text kernels that work on a whole Arrow batch."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -60,6 +62,21 @@ def splits(spark: SparkSession, per_gb: int = 0) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released(run):
+    """A function over batches whose worker gives memory back when its task ends: workers
+    are used again by later stages, which need theirs."""
+
+    def go(batches):
+        yield from run(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return go
+
+
 # --------------------------------------------------------------------------- text kernels
 
 
@@ -190,8 +207,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tree_sum(blobs: DataFrame, most: int = 16) -> np.ndarray:
-    """The sum of equally long float64 vectors in the binary column `value`; partitions add
-    their own, at most `most` tasks add those, and only their sums come to the driver."""
+    """The sum of equally long float64 vectors in the binary column `value`, one per task that
+    made them (see added()); at most `most` tasks add those, and only their sums come to the
+    driver."""
 
     def add(batches):
         total = None
@@ -202,11 +220,25 @@ def tree_sum(blobs: DataFrame, most: int = 16) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["value"])
 
-    once = blobs.select("value").mapInArrow(add, "value binary")
-    rows = once.repartition(most).mapInArrow(add, "value binary").collect()
+    rows = blobs.select("value").repartition(most).mapInArrow(add, "value binary").collect()
     return np.sum([np.frombuffer(r["value"], dtype=np.float64) for r in rows], axis=0) if rows else np.zeros(0)
 
 
+def added(value):
+    """A function over batches that yields the sum of value(batch) over a task's batches."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                own = np.asarray(value(batch), dtype=np.float64)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["value"])
+
+    return released(run)
+
+
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, smallest node of its component) that connect what the edges do."""
     label = np.arange(n)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, forest, tree_sum, written
+from eventloom.llm.common import added, components, forest, tree_sum, written
 
 LEADING = 8
 BLOCK = 1024
@@ -62,14 +62,12 @@ def _unit(column: pa.Array) -> np.ndarray:
 def axes(own: DataFrame, leading: int) -> np.ndarray:
     """Principal directions of all class vectors, the widest first."""
 
-    def sums(batches):
-        for batch in batches:
-            if len(batch):
-                x = _unit(batch.column(0))
-                x = np.hstack([x, np.ones((len(x), 1))])
-                yield pa.RecordBatch.from_arrays([pa.array([(x.T @ x).tobytes()], pa.binary())], names=["value"])
+    def sums(batch):
+        x = _unit(batch.column(0))
+        x = np.hstack([x, np.ones((len(x), 1))])
+        return (x.T @ x).ravel()
 
-    total = tree_sum(own.select("v").mapInArrow(sums, "value binary"))
+    total = tree_sum(own.select("v").mapInArrow(added(sums), "value binary"))
     d = math.isqrt(len(total)) if len(total) else 1
     total = total.reshape(d, d) if len(total) else np.zeros((1, 1))
     mean = total[-1, :-1] / max(total[-1, -1], 1)

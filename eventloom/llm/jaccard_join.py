@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Words, components, having, mix, shingle_sets, slices, written
+from eventloom.llm.common import Words, components, having, mix, released, shingle_sets, slices, written
 
 GROUPS = 128
 SKETCH = 32
@@ -266,7 +266,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFram
     """The pairs (a, b) that link, with their overlap. texts: sid, text."""
     left = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_check(words, pct), "a long, b long, overlap long")
+    return full.mapInArrow(released(_check(words, pct)), "a long, b long, overlap long")
 
 
 # --------------------------------------------------------------------------- operator
@@ -288,7 +288,7 @@ def pivots(place: DataFrame, turn: int) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 75) -> JaccardJoin:
     """All links between texts whose shingle sets have 100 * intersection >= pct * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(docs.mapInArrow(_measure("id", "text", words), "id long, n long, sid long, point binary, sketch array<long>"), "sets")
+    sets = written(docs.mapInArrow(released(_measure("id", "text", words)), "id long, n long, sid long, point binary, sketch array<long>"), "sets")
     classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch")), "classes")
     keys = classes.select("sid", F.explode("sketch").alias("key"))
     runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
@@ -298,7 +298,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = met.select("sid").distinct()
     holders = classes.join(wanted, "sid", "left_semi").select(F.col("least").alias("id")).where("id is not null").distinct()
-    texts = having(docs, holders, "id").mapInArrow(_name(words), "sid long, text string")
+    texts = having(docs, holders, "id").mapInArrow(released(_name(words)), "sid long, text string")
     texts = written(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
 
     links, place = None, met.select("key", "sid", "length", F.col("sid").alias("comp"))
@@ -319,7 +319,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .join(classes.select("sid", "n", "point", "sketch"), "sid")
         .repartition("key", "block").sortWithinPartitions("key", "block")
     )
-    pairs = dealt.mapInArrow(_join_runs(pct), "a long, b long").distinct()
+    pairs = dealt.mapInArrow(released(_join_runs(pct)), "a long, b long").distinct()
     links = links.union(written(verify(pairs, texts, words, pct), "links"))
 
     label = components(links.select("a", "b"))

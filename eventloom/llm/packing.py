@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import slices, written
+from eventloom.llm.common import released, slices, written
 
 CAPACITY = 1024
 CACHED, LONGEST = 400_000, 64
@@ -99,13 +99,9 @@ class ByteTokens:
             out[k] = own[words[k]]
 
 
-_MADE: dict[str, ByteTokens] = {}
-
-
 def tokens(path: str) -> ByteTokens:
-    if path not in _MADE:
-        _MADE[path] = ByteTokens(path)
-    return _MADE[path]
+    """A task's tokens; they go with it, so that later stages have the memory."""
+    return ByteTokens(path)
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> DataFrame:
@@ -130,7 +126,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 # --------------------------------------------------------------------------- the plan

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SAME, Words, slices, tree_sum, written
+from eventloom.llm.common import SAME, Words, added, released, slices, tree_sum, written
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 6.0, 1e-4, 1000, 11
 THRESHOLD = 0.7
@@ -124,13 +124,11 @@ def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
 def _sum(rows: DataFrame, value) -> np.ndarray:
     """tree_sum of value(stats, label) over batches of (stats, label) rows."""
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                stats = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, N_STATS)
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(value(stats, batch.column(1).to_numpy().astype(float)), float).tobytes()], pa.binary())], names=["value"])
+    def own(batch):
+        stats = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, N_STATS)
+        return value(stats, batch.column(1).to_numpy().astype(float))
 
-    return tree_sum(rows.select("stats", "label").mapInArrow(run, "value binary"))
+    return tree_sum(rows.select("stats", "label").mapInArrow(added(own), "value binary"))
 
 
 def held_out(id_col: Column) -> Column:
@@ -145,7 +143,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in statistics(part.column(1))], pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, stats binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, stats binary")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -211,7 +209,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     good = shared.value.score(statistics(part.column(part.schema.get_field_index(text_col)))) >= THRESHOLD
                     yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SAME, Words, mix, slices, written
+from eventloom.llm.common import SAME, Words, mix, released, slices, written
 
 ANCHOR = 8
 PATH_BITS = 40
@@ -179,10 +179,10 @@ def covered(docs: DataFrame, window: int, size: int) -> DataFrame:
     """(doc, spans) of words covered by repeated windows. docs: key, text; size: bytes of
     text, which only decides the number of groups."""
     groups = max(8, int(size * 1.4 / GROUP_BYTES))
-    sent = docs.mapInArrow(_send(window, groups), "group int, records binary, paths binary")
+    sent = docs.mapInArrow(released(_send(window, groups)), "group int, records binary, paths binary")
     spread = F.when(F.col("group") == -1, F.pmod(F.xxhash64("records"), F.lit(groups)).cast("int")).otherwise(F.col("group"))
     dealt = sent.repartition(groups, spread).sortWithinPartitions("group")
-    found = dealt.mapInArrow(_subtrees(window), "doc long, start long, stop long")
+    found = dealt.mapInArrow(released(_subtrees(window)), "doc long, start long, stop long")
     return found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -221,7 +221,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = written(covered(docs.select(key, F.col(text_col).alias("text")), window, text_size(docs, text_col)), "spans")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key)
     full = rows.join(spans, rows.key == spans.doc, "left").select("id", "text", "spans")
-    return full.mapInArrow(_remove(digests), "id long, n_words long, n_removed long, kept string")
+    return full.mapInArrow(released(_remove(digests)), "id long, n_words long, n_removed long, kept string")
 
 
 def cleaned_rows(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -252,7 +252,7 @@ def cleaned_rows(docs: DataFrame, window: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names=names).filter(pc.invert(gone))
 
     rows = docs.select(*names, key)
-    return rows.join(spans, rows.key == spans.doc, "left").select(*names, "spans").mapInArrow(run, schema)
+    return rows.join(spans, rows.key == spans.doc, "left").select(*names, "spans").mapInArrow(released(run), schema)
 
 
 def per_document(docs: DataFrame, window: int = 35) -> DataFrame:
