@@ -17,18 +17,19 @@ def pair_correlations(x: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, ["run_id", "t", "b"]).groupBy("run_id", "scope", "a", "b").agg(corr_pop("va", "vb").alias("r"), F.covar_pop("va", "vb").alias("cov"))
 
 
-def sampled_pairs(units: DataFrame, most: int) -> DataFrame:
+def sampled_pairs(units: DataFrame, most: int, buckets: int = 64, reach: int = 16) -> DataFrame:
     """Pairs a < b within and across groups(unit, group_id), at most `most` of each scope, in
-    the order of a hash. Pairs are formed among hash neighbours, so no all-pairs product is made."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("unit"), "unit")
-    ranked = units.select("unit", "group_id", F.row_number().over(order).alias("i"))
-    reach = F.explode(F.sequence(F.lit(1), F.lit(16))).alias("d")
-    left = ranked.select(F.col("unit").alias("u"), F.col("group_id").alias("gu"), "i", reach).withColumn("j", F.col("i") + F.col("d"))
-    right = ranked.select(F.col("unit").alias("v"), F.col("group_id").alias("gv"), F.col("i").alias("j"))
+    the order of a hash. Units are dealt to buckets and paired with their next `reach` in hash
+    order there, so neither a product nor one sort of all units is made."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("unit"), "unit")
+    ranked = units.select("unit", "group_id", F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(buckets)).alias("bucket")).withColumn("i", F.row_number().over(order))
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("d")
+    left = ranked.select("bucket", F.col("unit").alias("u"), F.col("group_id").alias("gu"), "i", ahead).withColumn("j", F.col("i") + F.col("d"))
+    right = ranked.select("bucket", F.col("unit").alias("v"), F.col("group_id").alias("gv"), F.col("i").alias("j"))
     scope = F.when(F.col("gu") == F.col("gv"), "within").otherwise("across")
-    out = left.join(right, "j").select(scope.alias("scope"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    k = F.row_number().over(Window.partitionBy("scope").orderBy(F.xxhash64("a", "b"), "a", "b"))
-    return out.withColumn("k", k).where(F.col("k") <= most).drop("k")
+    out = left.join(right, ["bucket", "j"]).select(scope.alias("scope"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    first = lambda s: out.where(F.col("scope") == s).orderBy(F.xxhash64("a", "b"), "a", "b").limit(most)
+    return first("within").unionByName(first("across"))
 
 
 def cluster_pair_stats(r: DataFrame, groups: DataFrame) -> DataFrame:
