@@ -8,9 +8,9 @@ its share of the unigram mass of such words, so the model is a distribution over
 The network is a GRU with a class-factored softmax: chance of the class, times chance of the
 word in it. Splits train copies of it side by side by backpropagation truncated to WINDOW
 tokens, with the state carried from window to window, and the weighted mean of the copies
-starts the next of ROUNDS. A split takes LANES stretches spread evenly over each batch of
-its training texts, LANE_TOKENS tokens each (a documented bound on a batch's share, so what
-trains grows with the corpus). In scoring, texts of a batch run side by side, longest first;
+starts the next of ROUNDS. A split cuts each batch of its training texts into LANES stretches
+that cover it. Slices of text take turns among the rounds, so over all rounds the network
+learns from each token once. In scoring, texts of a batch run side by side, longest first;
 states are carried over all windows of the whole text.
 
 Words among the at most FREQUENT commonest (and the end) are looked up in a broadcast table;
@@ -34,7 +34,7 @@ from eventloom.llm.common import Words, mix, released, slices, splits, tree_sum,
 
 VOCABULARY, CLASSES = 1024, 32
 EMBED = HIDDEN = 24
-WINDOW, LANES, LANE_TOKENS, ROUNDS, RATE, SEED = 16, 64, 768, 2, 0.08, 3
+WINDOW, LANES, ROUNDS, RATE, SEED = 16, 64, 2, 0.08, 3
 FREQUENT = 1 << 20
 END_HASH = np.uint64(0x9D3C5A1E77B2460F)
 #: Symbols 0 and 1; words follow by frequency.
@@ -180,7 +180,7 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def step(table: np.ndarray, wh: np.ndarray, token: np.ndarray, h: np.ndarray):
@@ -200,6 +200,14 @@ def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, n
     return logits[np.arange(len(logits)), target] - np.log(s[:, 0]), e / s
 
 
+def _chances(logits: np.ndarray) -> np.ndarray:
+    """Softmax in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
 def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log chance of each target symbol after the state in its row."""
     cls, slot = target // PER_CLASS, target % PER_CLASS
@@ -217,48 +225,64 @@ def train_window(p, g2, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
     the last state. A lane's state is cleared before an end token's input, which starts a text."""
     steps, lanes = inputs.shape
     table = p["emb"] @ p["wx"] + p["b"]
-    states, parts, begins = [], [], []
+    begins = (inputs != END).astype(np.float32)[:, :, None]
+    states = np.empty((steps, lanes, HIDDEN), np.float32)
+    z, r, n, un = np.empty((4, steps, lanes, HIDDEN), np.float32)
     for t in range(steps):
-        begin = (inputs[t] != END).astype(np.float32)[:, None]
-        h = h * begin
-        begins.append(begin)
-        states.append(h)
-        h, part = step(table, p["wh"], inputs[t], h)
-        parts.append(part)
-    out = np.concatenate([n + z * (before - n) for before, (z, _, n, _) in zip(states, parts)])
+        h = states[t] = h * begins[t]
+        h, (z[t], r[t], n[t], un[t]) = step(table, p["wh"], inputs[t], h)
+    out = (n + z * (states - n)).reshape(-1, HIDDEN)
     target = targets.ravel()
     cls, slot = target // PER_CLASS, target % PER_CLASS
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    _, chance = _softmax_loss(out @ p["wc"] + p["bc"], cls)
+    grad = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+    chance = _chances(out @ p["wc"] + p["bc"])
     chance[np.arange(len(cls)), cls] -= 1
     chance /= lanes
     grad["wc"], grad["bc"] = out.T @ chance, chance.sum(0)
     dout = chance @ p["wc"].T
-    for c in np.unique(cls):
-        at = np.flatnonzero(cls == c)
-        _, q = _softmax_loss(out[at] @ p["ww"][c] + p["bw"][c], slot[at])
-        q[np.arange(len(at)), slot[at]] -= 1
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    by_class, slot, dclass, row = out[order], slot[order], np.empty_like(out), np.arange(len(cls))
+    for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if a == b:
+            continue
+        q = _chances(by_class[a:b] @ p["ww"][c] + p["bw"][c])
+        q[row[: b - a], slot[a:b]] -= 1
         q /= lanes
-        grad["ww"][c], grad["bw"][c] = out[at].T @ q, q.sum(0)
-        dout[at] += q @ p["ww"][c].T
-    dtable = np.zeros_like(table)
+        np.matmul(by_class[a:b].T, q, out=grad["ww"][c])
+        q.sum(0, out=grad["bw"][c])
+        np.matmul(q, p["ww"][c].T, out=dclass[a:b])
+    dout[order] += dclass
+    # what a step's error becomes at its gates: z, r, n
+    dn = (1 - z) * (1 - n * n)
+    gates = np.stack([(states - n) * z * (1 - z), dn * un * r * (1 - r), dn], axis=2)
+    hidden = gates.copy()
+    hidden[:, :, 2] *= r
+    errors, wht = dout.reshape(steps, lanes, HIDDEN), p["wh"].T
     dh = np.zeros_like(h)
     for t in range(steps - 1, -1, -1):
-        z, r, n, un = parts[t]
-        d = dh + dout[t * lanes : (t + 1) * lanes]
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (states[t] - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(dtable, inputs[t], np.concatenate([dz, dr, dn], axis=1))
-        grad["wh"] += states[t].T @ du
-        dh = (d * z + du @ p["wh"].T) * begins[t]
+        d = errors[t]
+        d += dh
+        hidden[t] *= d[:, None, :]
+        dh = (d * z[t] + hidden[t].reshape(lanes, -1) @ wht) * begins[t]
+    gates *= errors[:, :, None, :]
+    dgates, dhidden = gates.reshape(steps * lanes, -1), hidden.reshape(steps * lanes, -1)
+    grad["wh"] = states.reshape(-1, HIDDEN).T @ dhidden
+    token = inputs.ravel()
+    order = np.argsort(token.astype(np.int16), kind="stable")
+    first = np.flatnonzero(np.diff(token[order], prepend=-1))
+    dtable = np.zeros_like(table)
+    dtable[token[order[first]]] = np.add.reduceat(dgates[order], first, axis=0)
     grad["emb"], grad["wx"], grad["b"] = dtable @ p["wx"].T, p["emb"].T @ dtable, dtable.sum(0)
-    norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-    for k in p:
-        g = grad[k] * min(1.0, 5.0 / (norm + 1e-9))
+    norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+    for k, g in grad.items():
+        g *= min(1.0, 5.0 / (norm + 1e-9))
         g2[k] += g * g
-        p[k] -= RATE * g / (np.sqrt(g2[k]) + 1e-4)
+        root = np.sqrt(g2[k])
+        root += 1e-4
+        g *= RATE
+        g /= root
+        p[k] -= g
     return h
 
 
@@ -270,26 +294,38 @@ def symbols(lex: Lexicon, column: pa.Array):
     return words, kinds, which, at, there
 
 
-def _train(lex, weights):
+def _train(lex, weights, nth: int):
+    """Round `nth`: every ROUNDS-th slice of the texts; each slice has its turn in one round."""
+
     def run(batches):
+        from pyspark import TaskContext
+
         p = unflat(weights.value)
         g2 = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-        trained = 0
+        trained, turn = 0, TaskContext.get().partitionId() if TaskContext.get() else 0
         for batch in together(batches):
             streams = []
             for part in slices(batch):
+                turn += 1
+                if turn % ROUNDS != nth:
+                    continue
                 words, _, which, at, there = symbols(lex.value, part.column(part.schema.get_field_index("text")))
                 sym = np.where(there, lex.value.symbol[at] if len(lex.value.hashes) else 0, RARE)[which] if len(words.hash) else np.zeros(0, np.int64)
                 streams.append(np.insert(sym, words.rows[1:], END))
+            if not streams:
+                continue
             stream = np.concatenate([np.array([END]), *streams]).astype(np.int64)
             lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
-            begin = np.arange(lanes) * (len(stream) // lanes)
-            length = min(LANE_TOKENS, len(stream) // lanes - 1)
+            length, longer = divmod(len(stream) - 1, lanes)  # the first stretches have one token more
+            begin = np.arange(lanes) * length + np.minimum(np.arange(lanes), longer)
             h = np.zeros((lanes, HIDDEN), np.float32)
-            for t in range(0, length - WINDOW + 1, WINDOW):
-                at = begin[None, :] + t + np.arange(WINDOW + 1)[:, None]
+            for t in range(0, length, WINDOW):
+                at = begin[None, :] + t + np.arange(min(WINDOW, length - t) + 1)[:, None]
                 h = train_window(p, g2, stream[at[:-1]], stream[at[1:]], h)
-                trained += WINDOW * lanes
+            if longer:
+                at = begin[None, :longer] + length
+                train_window(p, g2, stream[at], stream[at + 1], h[:longer])
+            trained += len(stream) - 1
         if trained:
             yield pa.RecordBatch.from_arrays([pa.array([np.append(flat(p) * trained, trained).tobytes()], pa.binary())], names=["value"])
 
@@ -300,8 +336,8 @@ def fit(train: DataFrame, lex: Lexicon) -> np.ndarray:
     """Weights after ROUNDS of training in splits and averaging."""
     sc = train.sparkSession.sparkContext
     shared, weights = sc.broadcast(lex), flat(initial(lex.start))
-    for _ in range(ROUNDS):
-        total = tree_sum(train.select("text").mapInArrow(released(_train(shared, sc.broadcast(weights))), "value binary"))
+    for nth in range(ROUNDS):
+        total = tree_sum(train.select("text").mapInArrow(released(_train(shared, sc.broadcast(weights), nth)), "value binary"))
         if len(total):
             weights = total[:-1] / total[-1]
     return weights

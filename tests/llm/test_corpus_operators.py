@@ -346,6 +346,33 @@ def test_training_lowers_the_loss():
     assert after > 0.3 * before and rng is not None
 
 
+def test_training_covers_each_token_once(monkeypatch):
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    names = [f"w{k}" for k in range(900)]
+    hashes = np.sort(common.Words(pa.array([" ".join(names)])).hash)
+    start = np.log(np.full(language_model.VOCABULARY, 1 / language_model.VOCABULARY))
+    lex = language_model.Lexicon(hashes, np.zeros(900), np.arange(2, 902).astype(np.int16), 900, 900, 0.0, 0.0, start, True)
+    rng, seen = random.Random(3), Counter()
+    texts = [" ".join(rng.choice(names) for _ in range(n)) for n in (70_000, 0, 5, 61_003, 400_000, 400_001)]
+    own = dict(zip(hashes.tolist(), range(2, 902)))
+    want = Counter(own[x] for x in common.Words(pa.array(texts)).hash.tolist()) + Counter({language_model.END: len(texts)})
+
+    def note(p, g2, inputs, targets, h):
+        assert inputs.shape == targets.shape and inputs.shape[1] == len(h)
+        seen.update(targets.ravel().tolist())
+        return h
+
+    monkeypatch.setattr(language_model, "train_window", note)
+    weights, trained = Held(language_model.flat(language_model.initial(start))), 0
+    for nth in range(language_model.ROUNDS):
+        for out in language_model._train(Held(lex), weights, nth)([pa.RecordBatch.from_pydict({"text": texts})]):
+            trained += np.frombuffer(out.column(0)[0].as_py())[-1]
+    assert seen == want and trained == sum(want.values())
+
+
 # ------------------------------------------------------------------- 7
 
 
