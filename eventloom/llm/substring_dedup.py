@@ -5,14 +5,15 @@ up to the end of the smallest-hashed ANCHOR-gram that starts in the suffix's fir
 window - ANCHOR + 1 words. Equal suffix heads have equal prefixes, so a group is one subtree
 of the corpus's suffix tree, cut off at the depth of the window, and neighbouring suffixes
 mostly share their anchor: about one record per 15 words is sent, which carries the anchor's
-hash once and a 40-bit path hash for each of its suffixes. Groups are dealt to memory-sized
-partitions by that hash. In a subtree, sorting the path hashes brings the leaves below each
+hash once and a 64-bit path hash for each of its suffixes. Groups are dealt to memory-sized
+partitions by that hash; they are weighed first, and those that a frequent anchor makes too
+heavy are split by the path hash too. In a subtree, sorting the path hashes brings the leaves below each
 node of window depth together; a node with two leaves or more is deep and internal, so its
 window occurs again. Adjoining windows merge into maximal repeats.
 
 Before anything is shuffled, a task builds the trees of its own slice of texts: windows that
 repeat inside it are marked there and sent once for all, so a passage that a third of all
-rows hold costs one record per slice. Equality rests on 64 + 40 bits of hash.
+rows hold costs one record per slice. Equality rests on the 64 bits of the path hash.
 
 Only words of maximal repeats travel back, as ranges per document; texts are then read again
 and joined to them.
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import SAME, Words, mix, released, slices, written
 
 ANCHOR = 8
-PATH_BITS = 40
 #: Bytes of suffix records that a group of subtrees should have.
 GROUP_BYTES = 12 << 20
 RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
@@ -92,8 +92,39 @@ def ranges(doc: np.ndarray, start: np.ndarray, window: int):
     return doc[first], start[first], start[last] + window
 
 
-def _send(window: int, groups: int):
-    """Texts to (group, records, paths); group -1 holds ranges that are sure already."""
+def _group(anchor: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(anchor) >> np.uint64(33)).astype(np.int64) % groups
+
+
+def _weigh(window: int, groups: int):
+    """Texts to (group, n): the suffixes that each group would be sent."""
+
+    def run(batches):
+        total = np.zeros(groups, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                found = suffixes(Words(part.column(1), SAME), window)
+                if found is not None and len(found[0]):
+                    _, first = marked(found[1], found[3])
+                    total += np.bincount(_group(found[3][first], groups), minlength=groups)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["group", "n"])
+
+    return run
+
+
+def pieces(docs: DataFrame, window: int, groups: int) -> np.ndarray:
+    """Into how many pieces each group is split; a suffix of a split group is its own record."""
+    n = np.zeros(groups, np.int64)
+    weighed = docs.mapInArrow(released(_weigh(window, groups)), "group int, n long")
+    for r in weighed.groupBy("group").agg(F.sum("n").alias("n")).collect():
+        n[r["group"]] = r["n"]
+    return np.where(n * 8 > 4 * GROUP_BYTES, -(-n * (8 + RECORD.itemsize) // GROUP_BYTES), 1)
+
+
+def _send(window: int, groups: int, split: np.ndarray | None = None):
+    """Texts to (group, records, paths); group -1 holds ranges that are sure already. split:
+    the pieces of each group, which are groups of their own."""
     schema = pa.schema([("group", pa.int32()), ("records", pa.binary()), ("paths", pa.binary())])
 
     def run(batches):
@@ -113,23 +144,26 @@ def _send(window: int, groups: int):
                 sure["anchor"], sure["doc"], sure["start"], sure["count"] = 0, ids[d], s, e - s
                 out = [(-1, sure.tobytes(), b"")]
                 at, path, place, anchor, row, start, again = (x[first] for x in (at, path, place, anchor, row, start, again))
+                group = _group(anchor, groups)
+                if split is not None:
+                    piece = (mix(path) >> np.uint64(33)).astype(np.int64) % split[group]
+                    group = (np.cumsum(split) - split)[group] + piece
                 new = np.ones(len(at), bool)
-                new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1])
+                new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (group[1:] != group[:-1])
                 head = np.flatnonzero(new)
                 count = np.diff(np.append(head, len(at)))
                 rec = np.empty(len(head), RECORD)
                 rec["anchor"], rec["doc"], rec["start"] = anchor[head], ids[row[head]], start[head]
                 rec["count"] = np.where(again[head], -count, count)  # negative: marked here already
-                group = (mix(rec["anchor"]) >> np.uint64(33)).astype(np.int64) % groups
+                group = group[head]
                 order = np.argsort(group, kind="stable")
-                short = np.ascontiguousarray(path.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : PATH_BITS // 8]
                 source = np.repeat(head[order] - np.append(0, np.cumsum(count[order])[:-1]), count[order]) + np.arange(len(at))
-                short, rec, group, length = short[source], rec[order], group[order], count[order]
+                path, rec, group, length = path[source].astype("<u8"), rec[order], group[order], count[order]
                 cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 ends = np.cumsum(length)
                 for a, b in zip(cut, np.append(cut[1:], len(group))):
                     lo = ends[a - 1] if a else 0
-                    out.append((int(group[a]), rec[a:b].tobytes(), short[lo : ends[b - 1]].tobytes()))
+                    out.append((int(group[a]), rec[a:b].tobytes(), path[lo : ends[b - 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
@@ -145,12 +179,10 @@ def _subtrees(window: int):
 
     def build(records: list[bytes], paths: list[bytes]):
         rec = np.frombuffer(b"".join(records), RECORD)
-        raw = np.frombuffer(b"".join(paths), np.uint8).reshape(-1, PATH_BITS // 8)
-        path = np.zeros((len(raw), 8), np.uint8)
-        path[:, : PATH_BITS // 8] = raw
+        path = np.frombuffer(b"".join(paths), "<u8")
         count = np.abs(rec["count"]).astype(np.int64)
         anchor = np.repeat(rec["anchor"], count)
-        again, _ = marked(path.view("<u8").ravel(), anchor)
+        again, _ = marked(path, anchor)
         again &= ~np.repeat(rec["count"] < 0, count)
         start = np.repeat(rec["start"] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(len(anchor))
         yield from emit(*ranges(np.repeat(rec["doc"], count)[again], start[again], window))
@@ -178,8 +210,10 @@ def _subtrees(window: int):
 def covered(docs: DataFrame, window: int, size: int) -> DataFrame:
     """(doc, spans) of words covered by repeated windows. docs: key, text; size: bytes of
     text, which only decides the number of groups."""
-    groups = max(8, int(size * 1.4 / GROUP_BYTES))
-    sent = docs.mapInArrow(released(_send(window, groups)), "group int, records binary, paths binary")
+    groups = max(8, int(size * 2 / GROUP_BYTES))
+    split = pieces(docs, window, groups)
+    sent = docs.mapInArrow(released(_send(window, groups, split if split.max() > 1 else None)), "group int, records binary, paths binary")
+    groups = int(split.sum())
     spread = F.when(F.col("group") == -1, F.pmod(F.xxhash64("records"), F.lit(groups)).cast("int")).otherwise(F.col("group"))
     dealt = sent.repartition(groups, spread).sortWithinPartitions("group")
     found = dealt.mapInArrow(released(_subtrees(window)), "doc long, start long, stop long")

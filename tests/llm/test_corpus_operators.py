@@ -451,6 +451,28 @@ def test_repeats_at_every_offset(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring_dedup.per_document(df))) == removed_brute(pairs)
 
 
+def test_windows_that_share_forty_bits_are_apart(monkeypatch):
+    def one(words, window):
+        return np.array([0]), np.array([len(words.hash) << 50 | 5], np.uint64), np.array([0]), np.array([7], np.uint64)
+
+    monkeypatch.setattr(substring_dedup, "suffixes", one)
+    told = []
+    for texts in (("a b", "a b c"), ("a b", "a b")):
+        batches = [pa.RecordBatch.from_pydict({"key": [k], "text": [t]}) for k, t in enumerate(texts)]
+        out = substring_dedup._subtrees(2)(substring_dedup._send(2, 1)(batches))
+        told.append(sorted(r["doc"] for b in out for r in b.to_pylist()))
+    assert told == [[], [0, 1]]
+
+
+def test_heavy_groups_are_split(docs, monkeypatch):
+    want = sorted(map(str, rows(substring_dedup.per_document(docs))))
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 200)
+    split = substring_dedup.pieces(docs.select("id", "text"), 35, 8)
+    assert split.max() > 1
+    monkeypatch.setattr(substring_dedup, "pieces", lambda d, w, groups: np.full(groups, 3))
+    assert sorted(map(str, rows(substring_dedup.per_document(docs)))) == want
+
+
 # ------------------------------------------------------------------- 10
 
 
