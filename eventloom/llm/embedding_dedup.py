@@ -10,13 +10,14 @@ Candidates are found through the cells of the first dimension. A block pair is o
 product in double precision; it returns sums of links per vector and a spanning forest of
 them, never the links themselves.
 
+Vectors of each length have axes, blocks and a join of their own; their links are united.
 Equal vectors are one class with a number before the join, so a vector that a third of all
 rows hold costs one row.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links
-with nothing, nor does one whose length isn't the commonest (the smaller of two that tie);
-a null id takes part in no component and gets a null one; repeated rows link with each other;
-an empty table gives no rows; other columns are ignored.
+with nothing, and vectors of different lengths don't link with each other; a null id takes
+part in no component and gets a null one; repeated rows link with each other; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,9 +45,6 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, D
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = written(rows.select("id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v")), "vectors")
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    dims = sizes[0]["n"] if sizes else 0
-    rows = rows.select("id", F.when(F.size("v") == dims, F.col("v")).alias("v"))
     own = rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("members"))
     return rows, written(own, "classes")
 
@@ -159,14 +157,12 @@ def _join(cosine: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id, n_links, component, kept of every row."""
+def met(own: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(cid, links, to) of n classes whose vectors have one length: sums of links per class
+    and pair of blocks, and forest edges to another class."""
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
-    rows, own = classes(vectors, id_col, vec_col)
     direction = axes(own, LEADING)
-    if not direction.size:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.col("id").isNotNull().alias("kept"))
-    parts = max(1, min(4096, own.count() // (BLOCK * INTERVAL) + 1))
+    parts = max(1, min(4096, n // (BLOCK * INTERVAL) + 1))
     cut = blocks(own, direction, eps, parts)
     edge = lambda f, c, k: F.array(*(f(F.col(c)[d]) for d in range(k)))
     k = direction.shape[1]
@@ -179,11 +175,22 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
     pairs = written(inner.where((apart <= eps * eps) & ((F.col("i_a") < F.col("i_b")) | (F.col("a") <= F.col("b")))).select("a", "b"), "pairs")
     part = lambda s: cut.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "members", "v")))
-    met = pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(_join(cosine), "cid long, links long, to long")
-    met = written(met, "met")
-    links = met.groupBy("cid").agg(F.sum("links").alias("links"))
-    label = components(met.where("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
-    told = own.join(links, "cid", "left").join(label.withColumnRenamed("node", "cid"), "cid", "left")
+    return pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(_join(cosine), "cid long, links long, to long")
+
+
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """id, n_links, component, kept of every row."""
+    rows, own = classes(vectors, id_col, vec_col)
+    counts = own.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
+    if not counts:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.col("id").isNotNull().alias("kept"))
+    found = own.sparkSession.createDataFrame([], "cid long, links long, to long, length int")
+    for length, n in counts:
+        if n > 1:
+            found = found.union(written(met(own.where(F.size("v") == length), n, cosine), "met").withColumn("length", F.lit(length)))
+    links = found.groupBy("cid", "length").agg(F.sum("links").alias("links"))
+    label = components(found.where("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
+    told = own.withColumn("length", F.size("v")).join(links, ["cid", "length"], "left").join(label.withColumnRenamed("node", "cid"), "cid", "left")
     told = told.select(F.col("v").alias("u"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     full = rows.join(told, rows.v == told.u, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -288,6 +288,17 @@ def test_embeddings(spark, monkeypatch):
     assert rows(embedding_dedup.per_vector(df.limit(0))) == []
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(9)
+    base = {n: rng.standard_normal(n) for n in (2, 5, 8)}
+    vectors = [(k, (base[8] + 0.01 * rng.standard_normal(8)).tolist()) for k in range(4)]
+    vectors += [(10 + k, (base[5] + 0.01 * rng.standard_normal(5)).tolist()) for k in range(3)] + [(13, (-base[5]).tolist())]
+    vectors += [(20, base[2].tolist()), (21, base[2].tolist()), (30, [1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(embedding_dedup.per_vector(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")))}
+    want = {k: (3, 0, k == 0) for k in range(4)} | {10 + k: (2, 10, k == 0) for k in range(3)}
+    assert got == want | {13: (0, 13, True), 20: (1, 20, True), 21: (1, 20, False), 30: (0, 30, True)}
+
+
 # ------------------------------------------------------------------- 6
 
 
