@@ -17,19 +17,60 @@ def pair_correlations(x: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, ["run_id", "t", "b"]).groupBy("run_id", "scope", "a", "b").agg(corr_pop("va", "vb").alias("r"), F.covar_pop("va", "vb").alias("cov"))
 
 
-def sampled_pairs(units: DataFrame, most: int, buckets: int = 64, reach: int = 16) -> DataFrame:
-    """Pairs a < b within and across groups(unit, group_id), at most `most` of each scope, in
-    the order of a hash. Units are dealt to buckets and paired with their next `reach` in hash
-    order there, so neither a product nor one sort of all units is made."""
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("unit"), "unit")
-    ranked = units.select("unit", "group_id", F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(buckets)).alias("bucket")).withColumn("i", F.row_number().over(order))
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("d")
-    left = ranked.select("bucket", F.col("unit").alias("u"), F.col("group_id").alias("gu"), "i", ahead).withColumn("j", F.col("i") + F.col("d"))
-    right = ranked.select("bucket", F.col("unit").alias("v"), F.col("group_id").alias("gv"), F.col("i").alias("j"))
-    scope = F.when(F.col("gu") == F.col("gv"), "within").otherwise("across")
-    out = left.join(right, ["bucket", "j"]).select(scope.alias("scope"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    first = lambda s: out.where(F.col("scope") == s).orderBy(F.xxhash64("a", "b"), "a", "b").limit(most)
-    return first("within").unionByName(first("across"))
+def sampled_pairs(units: DataFrame, most: int, chunks: int = 64) -> DataFrame:
+    """Pairs a < b within and across groups(unit, group_id): all of a scope, or `most` of them
+    where it has more. Units get places, group after group; a scope's pairs are numbered by
+    arithmetic on group sizes, and one number is drawn by hash from each of `most` equal
+    stretches of numbers, so no pairs but those drawn are made. Groups are dealt to chunks and
+    large groups to salts, so nothing is sorted as a whole. A null group has one unit."""
+    key = F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("u"), F.col("unit").cast("string")))
+    own = units.select("unit", key.alias("key"), F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(chunks)).alias("salt"))
+    before = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, by, order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    cells = own.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"))
+    groups = cells.groupBy("key").agg(F.sum("n").alias("s")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
+
+    def numbered(groups: DataFrame, count: str, name: str):
+        """groups with the running sum of `count` as `name`; its total, and where chunks begin."""
+        at, starts = 0, []
+        for chunk, n in groups.groupBy("chunk").agg(F.sum(count)).orderBy("chunk").collect():
+            if n:
+                starts.append((chunk, at))
+                at += n
+        base = F.lit(0).cast("long")
+        for chunk, start in starts:
+            base = F.when(F.col("chunk") == chunk, F.lit(start).cast("long")).otherwise(base)
+        return groups.withColumn(name, base + running(count, "chunk", "key")), at, starts
+
+    groups, total, _ = numbered(groups, "s", "o")
+    later = F.lit(total) - F.col("o") - F.col("s")
+    groups = groups.withColumn("within", F.expr("s * (s - 1) div 2")).withColumn("across", F.col("s") * later)
+    place = F.col("o") + F.col("first") + F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.xxhash64("unit"), "unit")) - 1
+    cells = cells.select("key", "salt", running("n", "key", "salt").alias("first"))
+    placed = own.join(cells, ["key", "salt"]).join(groups.select("key", "o"), "key").select("unit", place.alias("place"))
+
+    def drawn(scope: str) -> DataFrame:
+        own, pairs, starts = numbered(groups, scope, "start")
+        k, n = F.col("id"), min(most, pairs)
+        if not n:
+            return units.sparkSession.createDataFrame([], "scope string, i long, j long")
+        low = lambda k: k * (pairs // n) + F.least(k, F.lit(pairs % n))
+        number = low(k) + F.pmod(F.xxhash64(k), low(k + 1) - low(k))
+        nth = F.size(F.filter(F.array(*(F.lit(x).cast("long") for _, x in starts)), lambda x: x <= F.col("start")))
+        picks = units.sparkSession.range(n).select(number.alias("start")).withColumn("chunk", F.element_at(F.array(*(F.lit(c).cast("long") for c, _ in starts)), nth))
+        held = own.where(F.col(scope) > 0).select("start", "chunk", F.struct("s", "o", "start").alias("g"), F.lit(0).alias("pick"))
+        both = held.unionByName(picks.withColumn("pick", F.lit(1)), allowMissingColumns=True)
+        found = both.withColumn("g", F.last("g", True).over(Window.partitionBy("chunk").orderBy("start", "pick"))).where("pick = 1")
+        found = found.select("g.s", "g.o", (F.col("start") - F.col("g.start")).alias("q"))
+        if scope == "within":  # the unit d places further in the ring of its group
+            i, j = F.expr("o + q % s"), F.expr("o + (q % s + q div s + 1) % s")
+        else:
+            i, j = F.expr(f"o + q div ({total} - o - s)"), F.expr(f"o + s + q % ({total} - o - s)")
+        return found.select(F.lit(scope).alias("scope"), i.alias("i"), j.alias("j"))
+
+    side = lambda c: placed.select(F.col("place").alias(c), F.col("unit").alias(f"u{c}"))
+    out = drawn("within").unionByName(drawn("across")).join(side("i"), "i").join(side("j"), "j")
+    return out.select("scope", F.least("ui", "uj").alias("a"), F.greatest("ui", "uj").alias("b"))
 
 
 def cluster_pair_stats(r: DataFrame, groups: DataFrame) -> DataFrame:

@@ -256,3 +256,21 @@ def test_streaming_counts(spark, tmp_path):
         q.awaitTermination(120)
         assert spark.table(name).count() > 0
     assert spark.table("tumble").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_sampled_pairs_are_all_pairs_or_most(spark):
+    sizes = {0: 1, 1: 2, 2: 7, 3: 40, 4: 1}
+    group = [g for g, n in sizes.items() for _ in range(n)] + [None, None]
+    units = spark.createDataFrame(list(enumerate(group)), "unit long, group_id int")
+    want = {"within": set(), "across": set()}
+    for a in range(len(group)):
+        for b in range(a + 1, len(group)):
+            want["within" if group[a] is not None and group[a] == group[b] else "across"].add((a, b))
+    for most in (5, 100, 10_000):
+        got = [(r["scope"], r["a"], r["b"]) for r in statistics.sampled_pairs(units, most).collect()]
+        assert len(got) == len(set(got))
+        for scope, all_pairs in want.items():
+            own = {(a, b) for s, a, b in got if s == scope}
+            assert own <= all_pairs and len(own) == min(most, len(all_pairs))
+    pairs = spark.range(2000).select(F.col("id").alias("unit"), F.expr("id div 2").alias("group_id"))
+    assert statistics.sampled_pairs(pairs, 300).where("scope = 'within' and b = a + 1").count() == 300
