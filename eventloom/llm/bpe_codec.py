@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 
 import ahocorasick
 import numpy as np
@@ -31,8 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from eventloom.llm.common import slices
+from eventloom.llm.common import shown_bytes, slices
 
 #: Words that a worker remembers, and the longest of them.
 CACHED, LONGEST = 400_000, 64
@@ -50,7 +50,8 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = {c[0] for c in self.special}
         self.pieces = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.white = regex.compile(r"\s+")
+        library = Tokenizer.from_file(path)
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
 
         strings = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for s, i in [*vocab.items(), *self.special.items()]:
@@ -59,13 +60,7 @@ class WordBpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).tolist()
         self.table = b"".join(blobs)
 
-        #: Bytes as the printable characters that stand for them in the file.
-        keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        shown = {b: chr(b) for b in keep}
-        for b in range(256):
-            shown.setdefault(b, chr(256 + len(shown) - len(keep)))
-        self.shown = {chr(b): c for b, c in shown.items()}
-
+        self.shown = {chr(b): c for b, c in shown_bytes().items()}
         ids = {self._symbols(s): i for s, i in vocab.items()}
         self.id_of = ids
         self.length = [0] * len(strings)
@@ -125,11 +120,8 @@ class WordBpe:
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token, whose bytes are shown as characters."""
         s = piece
-        if not (piece.isascii() and piece.isprintable()):
-            shown = self.shown
-            s = "".join([shown[c] for c in piece.encode().decode("latin-1")])
         s = s[:-1] + chr(0x1000 + ord(s[-1]))
         whole = self.id_of.get(s)
         if whole is not None:
@@ -161,23 +153,28 @@ class WordBpe:
                 token = longest[at]
         return out
 
+    def split(self, part: str) -> list[str]:
+        """Pre-tokens of a run without special strings. What counts as white space, letter or
+        number and what is its lower case differs between Unicode tables, so the library's own
+        normaliser and splitter tell for text beyond ASCII."""
+        if not part.isascii():
+            return [p for p, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(part))]
+        part = part.lower()
+        if part.isalpha():
+            return [part]
+        if part[:-1].isalpha() and part[-1] in ",.":
+            return [part[:-1], part[-1]]
+        pieces = self.pieces.findall(part)
+        return pieces if part.isprintable() else ["".join([self.shown[c] for c in p]) for p in pieces]
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text: specials, then NFC, white space, lower case, pre-tokens."""
+        """Ids of a text: specials, then normalised pre-tokens."""
         out: list[int] = []
         for part in self.cut.split(text) if any(c in text for c in self.marks) else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = self.white.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ")  # the library lowers each character by itself
-            part = part.lower()
-            if part.isalpha():
-                pieces = [part]
-            elif part[:-1].isalpha() and part[-1] in ",.":
-                pieces = [part[:-1], part[-1]]
-            else:
-                pieces = self.pieces.findall(part)
-            for piece in pieces:
+            for piece in self.split(part) if part else ():
                 found = self.known_pieces.get(piece)
                 if found is None:
                     found = self.encode_piece(piece)
@@ -195,6 +192,8 @@ class WordBpe:
         found = self.known.get(word)
         if found is None:
             ids = self.encode(word)
+            if -1 in ids:
+                raise ValueError(f"a symbol of {word[:80]!r} is not in the vocabulary")
             found = " ".join(map(str, ids)), self.decode(ids)
             if len(self.known) < CACHED and len(word) <= LONGEST:
                 self.known[word] = found

@@ -35,9 +35,13 @@ SAME = np.arange(256, dtype=np.uint8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a session without one (as in tests) gets its own."""
+    """The folder that every executor sees. A session of one machine without the setting gets a
+    folder of its own; on a cluster the setting has to be there."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file:///tmp/eventloom-{spark.sparkContext.applicationId}"
     return at.rstrip("/")
 
@@ -75,11 +79,14 @@ def splits(spark: SparkSession, per_gb: int = 0) -> int:
 
 
 def released(run):
-    """A function over batches whose worker gives memory back when its task ends: workers
-    are used again by later stages, which need theirs."""
+    """A function over batches whose worker gives memory back when its task ends: idle workers
+    stay beside those of later stages. Arrow allocates from the C library there, whose free
+    pages go back to the system; its own pool would keep them."""
 
     def go(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
+        _POWERS.clear()
         gc.collect()
         try:
             ctypes.CDLL(None).malloc_trim(0)
@@ -147,6 +154,15 @@ def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return mix((sums[stop] - sums[start]) * powers(STEP_INV, len(values) + 1)[start])
 
 
+def shown_bytes() -> dict[int, str]:
+    """The printable characters that stand for bytes in vocabulary files."""
+    keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    shown = {b: chr(b) for b in keep}
+    for b in range(256):
+        shown.setdefault(b, chr(256 + len(shown) - len(keep)))
+    return shown
+
+
 class Words:
     """Words of each row: byte bounds, 64-bit hashes, and the rows' bounds in them."""
 

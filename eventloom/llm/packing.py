@@ -15,7 +15,7 @@ rows; repeated rows are packed each; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 
 import numpy as np
@@ -25,83 +25,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import released, slices, written
+from eventloom.llm.common import released, shown_bytes, slices, written
 
 CAPACITY = 1024
-CACHED, LONGEST = 400_000, 64
 
 
 # --------------------------------------------------------------------------- tokens
 
 
 class ByteTokens:
-    """Token ids (as bytes) of whole texts by the tokenizers library. A worker remembers the
-    ids of frequent words and pre-tokens: a text is cut before each space that stands between
-    two other characters, and before a comma or full stop behind letters, where no pre-token
-    of byte-level BPE goes on. New pre-tokens of a text are encoded in one call, whose ids are
-    told apart by the bytes that tokens stand for."""
+    """Token ids (little-endian, 32 bits each) of whole texts for a byte-level BPE file of the
+    tokenizers library. The file's own vocabulary is given as ranks to tiktoken's encoder, which
+    splits by the same pattern and merges by the same order in a fifth of the time; special
+    strings become their ids as in the library. A text whose white space is too long a run for
+    that encoder's pattern goes to the library."""
+
+    #: Fixed value: the pattern of byte-level pre-tokens.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.of = Tokenizer.from_file(path)
-        self.of.no_truncation()
-        self.of.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
-        self.risky = re.compile(r"\s | \s| \Z")
-        size = self.of.get_vocab_size()
-        special = self.of.get_added_tokens_decoder()
-        self.width = np.array([len(special[i].content.encode()) if i in special else len(self.of.id_to_token(i) or "") for i in range(size)])
-        self.mark = {c: self.fresh(c).tobytes() for c in ",."}
-
-    def fresh(self, text: str) -> np.ndarray:
-        return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with a space before it."""
-        ids = self.fresh(" " + " ".join(pieces))
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        reach = np.cumsum(self.width[ids])
-        cut = np.searchsorted(reach, ends)
-        if len(ids) and (reach[np.minimum(cut, len(ids) - 1)] != ends).any():
-            return {p: self.fresh(" " + p).tobytes() for p in pieces}
-        data, at = ids.tobytes(), (4 * (cut + 1)).tolist()
-        return {p: data[a:b] for p, a, b in zip(pieces, [0, *at[:-1]], at)}
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path, self.library = path, None
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        code = {c: b for b, c in shown_bytes().items()}
+        vocab = {t: i for t, i in file["model"]["vocab"].items() if t not in self.special}
+        ranks = {bytes([code[c] for c in t]): i for t, i in vocab.items()}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"the ids of {path} don't rise with its merges")
+        self.names = set(self.special)
+        self.encode = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)._core_bpe.encode_to_tiktoken_buffer
+
+    def by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.risky.search(text):
-            return self.fresh(text).tobytes()
-        words = text.split(" ")
-        first = words.pop(0)
-        out = list(map(self.known.get, words))
-        if None in out:
-            self.fill(words, out)
-        return (self.fresh(first).tobytes() if first else b"") + b"".join(out)
-
-    def fill(self, words: list[str], out: list) -> None:
-        """Put the ids of words (each behind a space) where out has none."""
-        gaps = [k for k, b in enumerate(out) if b is None]
-        stem = {w: w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in {words[k] for k in gaps}}
-        have = {p: b for p in stem.values() if (b := self.known_pieces.get(p)) is not None}
-        new = list({p for p in stem.values() if p not in have})
-        if new:
-            learnt = self.learn(new)
-            have |= learnt
-            if len(self.known_pieces) < CACHED:
-                self.known_pieces.update([(p, b) for p, b in learnt.items() if len(p) <= LONGEST])
-        own = {w: have[p] if w is p else have[p] + self.mark[w[-1]] for w, p in stem.items()}
-        if len(self.known) < CACHED:
-            self.known.update([(w, b) for w, b in own.items() if len(w) <= LONGEST])
-        for k in gaps:
-            out[k] = own[words[k]]
+        try:
+            return bytes(self.encode(text, self.names)) if text else b""
+        except ValueError:
+            return self.by_library(text)
+
+
+_MADE: dict[str, ByteTokens] = {}
 
 
 def tokens(path: str) -> ByteTokens:
-    """A task's tokens; they go with it, so that later stages have the memory."""
-    return ByteTokens(path)
+    """The worker's encoder of that file; its size doesn't grow with the texts."""
+    if path not in _MADE:
+        _MADE[path] = ByteTokens(path)
+    return _MADE[path]
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> DataFrame:
