@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import Words, mix, released, slices, splits, tree_sum, written
 
-VOCABULARY, CLASSES = 1024, 32
+VOCABULARY, CLASSES = 2048, 64
 EMBED = HIDDEN = 24
-WINDOW, LANES, ROUNDS, RATE, SEED = 16, 64, 2, 0.08, 3
+WINDOW, LANES, ROUNDS, RATE, SEED = 16, 256, 2, 0.08, 3
 FREQUENT = 1 << 20
 END_HASH = np.uint64(0x9D3C5A1E77B2460F)
 #: Symbols 0 and 1; words follow by frequency.
@@ -315,7 +315,7 @@ def _train(lex, weights, nth: int):
             if not streams:
                 continue
             stream = np.concatenate([np.array([END]), *streams]).astype(np.int64)
-            lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
+            lanes = max(1, min(LANES, len(stream) // (32 * WINDOW)))  # a short batch still makes some updates
             length, longer = divmod(len(stream) - 1, lanes)  # the first stretches have one token more
             begin = np.arange(lanes) * length + np.minimum(np.arange(lanes), longer)
             h = np.zeros((lanes, HIDDEN), np.float32)
