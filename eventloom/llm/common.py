@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Broadcasts stay below this many rows of one 64-bit id (about 100 MB as a hash relation).
-BROADCAST_IDS = 2_000_000
+#: Broadcasts stay below this many rows of one or two 64-bit ids (about 100 MB as a hash relation).
+BROADCAST_KEYS = 1_000_000
 #: Text bytes that a kernel handles at once.
 SLICE_BYTES = 2 << 20
 
@@ -67,14 +67,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def having(df: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
-    """Rows of df whose key is (or isn't) in the single-column frame ids. The ids are
-    broadcast when their counted number is under BROADCAST_IDS, else both sides shuffle."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_anti" if anti else "left_semi")
+def having(df: DataFrame, ids: DataFrame, keys: str | list[str], anti: bool = False) -> DataFrame:
+    """Rows of df whose keys are (or aren't) in the frame ids of those columns. The ids are
+    broadcast when their counted number is under BROADCAST_KEYS, else both sides shuffle."""
+    small = ids.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(ids) if small else ids, keys, "left_anti" if anti else "left_semi")
 
 
-def splits(spark: SparkSession, per_gb: int = 0) -> int:
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted column names, with marks before them until none is taken."""
+    mark = "_"
+    while any(f"{mark}{w}" in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows left-joined to table, whose keys are unique and whose `weight` is the number of
+    rows that each key has. Keys with a thousandth of the rows, at most 1,000, are broadcast, so
+    no hot key is dealt to one task; the rest shuffle. Rows with null keys match nothing."""
+    table = written(table, "table")
+    heavy = max(1000, -(-(table.agg(F.sum(weight)).first()[0] or 0) // 1000))
+    hot, cold = table.where(F.col(weight) >= heavy), table.where(F.col(weight) < heavy)
+    given = F.lit(True)
+    for k in keys:
+        given = given & F.col(k).isNotNull()
+    whole = rows.where(given)
+    near = whole.join(F.broadcast(hot), keys)
+    far = whole.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return near.unionByName(far).unionByName(rows.where(~given), allowMissingColumns=True)
+
+
+def splits(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
