@@ -199,6 +199,24 @@ def test_byte_tokens_equal_the_library(libraries):
         assert enc.ids(t) == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_every_code_point_is_encoded_as_by_the_library(libraries):
+    """A sweep over Unicode: all code points to U+20000, every 37th beyond."""
+    points = [c for c in [*range(0x20000), *range(0x20000, 0x110000, 37)] if not 0xD800 <= c < 0xE000]
+    words_, bytes_ = bpe_codec.WordBpe(f"{TOKENIZERS}/word_bpe_49k.json"), packing.tokens(f"{TOKENIZERS}/byte_bpe_50k.json")
+    for k in range(0, len(points), 20_000):
+        own = [f"x{chr(c)}y {chr(c)}Z{chr(c)}. \n{chr(c)}1" for c in points[k : k + 20_000]]
+        for t, e in zip(own, libraries[0].encode_batch_fast(own, add_special_tokens=False)):
+            assert bpe_codec.code_text(words_, t)[0] == " ".join(map(str, e.ids)), hex(ord(t[1]))
+        for t, e in zip(own, libraries[1].encode_batch_fast(own, add_special_tokens=False)):
+            assert bytes_.ids(t) == np.array(e.ids, "<u4").tobytes(), hex(ord(t[1]))
+
+
+def test_long_pre_tokens_are_encoded_as_by_the_library(libraries):
+    enc = packing.tokens(f"{TOKENIZERS}/byte_bpe_50k.json")
+    for t in (" " * 300_000, "x" + "\n " * 100_000 + "y", "ab" * 100_000, "." * 50_000, "a <|endoftext|> b  <|endoftext|>\n <|endoftext"):
+        assert enc.ids(t) == np.array(libraries[1].encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing(docs, empty, libraries):
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     got = rows(packing.pack_documents(docs, path))
@@ -267,8 +285,9 @@ def test_licences(docs, empty):
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
-    monkeypatch.setattr(embedding_dedup, "INTERVAL", 2)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 4)
+    monkeypatch.setattr(embedding_dedup, "FAN", 2)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(90, 8))
     x[30:60] = x[:30] + rng.normal(size=(30, 8)) * 0.25
@@ -299,6 +318,21 @@ def test_vectors_of_every_length_link(spark):
     assert got == want | {13: (0, 13, True), 20: (1, 20, True), 21: (1, 20, False), 30: (0, 30, True)}
 
 
+def test_a_vector_without_an_id_links_others(spark):
+    turn = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg)), -0.0]
+    data = [(1, turn(0)), (None, turn(15)), (9, turn(30)), (4, turn(90)), (5, [*turn(90)[:2], 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(embedding_dedup.per_vector(spark.createDataFrame(data, "vec_id long, embedding array<double>")))}
+    assert got == {1: (1, 1, True), 9: (1, 1, False), None: (2, None, False), 4: (1, 4, True), 5: (1, 4, False)}
+
+
+def test_hot_keys_are_broadcast(spark):
+    rows_ = spark.range(6000).selectExpr("id", "CASE WHEN id < 3000 THEN 0L WHEN id < 5000 THEN id WHEN id < 5500 THEN -1L END AS k", "1L AS j")
+    table = rows_.where("k >= 0").groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"))
+    got = common.looked_up(rows_, table, ["k", "j"], "n")
+    assert sorted(got.columns) == ["id", "j", "k", "n"]
+    assert Counter(r["n"] for r in got.collect()) == {3000: 3000, 1: 2000, None: 1000}
+
+
 # ------------------------------------------------------------------- 6
 
 
