@@ -6,6 +6,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Paths of the tables that this driver has written.
-WRITTEN: list[str] = []
+#: The tables that the innermost own_tables() block of this context has written.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def own_tables():
+    """A list that gets the paths of the tables written in the block, by this context only."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+        outer = _MADE.get()
+        if outer is not None:
+            outer += made
 
 
 def dropped(spark: SparkSession, paths: list[str]) -> None:
@@ -59,12 +75,15 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there and
-    a lost executor costs no recomputation."""
+    a lost executor costs no recomputation. The result's `path` names the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out
 
 
 def having(df: DataFrame, ids: DataFrame, keys: str | list[str], anti: bool = False) -> DataFrame:
@@ -242,6 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
     component named by its smallest node. Each round takes the smallest label next door and
     then follows labels to their own labels, so chains shrink by halves; a hub's rows are
     combined before they are shuffled."""
+    spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
@@ -250,8 +270,11 @@ def components(edges: DataFrame) -> DataFrame:
         target = label.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         new = written(step.join(target, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
         moved = new.where("component <> old").limit(1).count()
+        dropped(spark, [label.path])
         label = new.select("node", "component")
+        label.path = new.path
         if not moved:
+            dropped(spark, [both.path])
             return label
 
 

@@ -17,9 +17,14 @@ sets of runs that still hold different components meet in the R-trees, and pairs
 component are skipped there. A pair is proposed by one run only, that of its first common
 hash, and only if it shares SHARED hashes.
 
-Defined results: null or blank texts give an empty set, which links with nothing; a null id
-takes part with a null component; repeated rows and equal sets share a component; an id may
-repeat with different texts; an empty table gives no rows; extra columns are ignored.
+Equal sets are one class, named by two 64-bit hashes of its elements; texts are fetched by a
+class's row, which is named by two hashes of id and text. Rows get their class's component by
+its hashes, large classes by a broadcast.
+
+Defined results: null or blank texts give an empty set, which links with nothing; a row with a
+null id links others and has a null component; repeated rows and equal sets share a component;
+an id may repeat with different texts; a component without any id has a null one; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Words, components, having, mix, released, shingle_sets, slices, written
+from eventloom.llm.common import BROADCAST_KEYS, Words, components, dropped, free_names, having, looked_up, mix, own_tables, released, shingle_sets, slices, written
+from eventloom.llm.exact_dedup import row_key
 
 GROUPS = 128
 SKETCH = 32
@@ -53,30 +59,38 @@ NONE = -(1 << 63)
 
 @dataclass
 class JaccardJoin:
-    sets: DataFrame  # id, n_shingles, set_id
-    links: DataFrame  # a, b (set ids), overlap
-    members: DataFrame  # set_id, component (smallest id)
+    sets: DataFrame  # id, key, key2 (of the row), n, h1, h2 (of its set; null if empty)
+    links: DataFrame  # a, b (set numbers), overlap: enough verified links to connect components
+    members: DataFrame  # h1, h2, copies, component (smallest id), key, key2 (the row that stands for it)
 
 
-def _measure(id_col: str, text_col: str, words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("point", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+def _measure(words: int):
+    """(id, key, key2, text) to each row's set: size, name, point and sketch."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
-                sets = shingle_sets(Words(part.column(part.schema.get_field_index(text_col))), words)
+            for part in slices(batch):
+                sets = shingle_sets(Words(part.column("text")), words)
                 points = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype(np.uint8).tobytes() for s in sets]
+                h1, h2 = set_names(sets)
+                some = np.array([len(s) == 0 for s in sets], dtype=bool)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array(points, pa.binary()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    [*(part.column(c) for c in ("id", "key", "key2")), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, mask=some), pa.array(h2, mask=some), pa.array(points, pa.binary()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
     return run
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set, which depends on its elements only; 0 for the empty set."""
-    return np.array([int(mix(np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0]) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which depend on its elements only."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    for k, s in enumerate(sets):
+        one = mix(s)
+        out[0, k] = one.sum(dtype=np.uint64) ^ np.uint64(len(s))
+        out[1, k] = mix(one ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
+    return mix(out[0]).view(np.int64), mix(out[1]).view(np.int64)
 
 
 # --------------------------------------------------------------------------- R-tree
@@ -285,30 +299,46 @@ def pivots(place: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key, key2, text: rows named by 128 bits of id and text."""
+    first, second = row_key(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), first.alias("key"), second.alias("key2"), F.col(text_col).alias("text"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 75) -> JaccardJoin:
-    """All links between texts whose shingle sets have 100 * intersection >= pct * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(docs.mapInArrow(released(_measure("id", "text", words)), "id long, n long, sid long, point binary, sketch array<long>"), "sets")
-    classes = written(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch")), "classes")
+    """The components of all links between texts whose shingle sets have
+    100 * intersection >= pct * union."""
+    with own_tables() as made:
+        found = _joined(keyed(docs, id_col, text_col), words, pct)
+        dropped(docs.sparkSession, [p for p in made if p not in (found.sets.path, found.links.path, found.members.path)])
+    return found
+
+
+def _joined(docs: DataFrame, words: int, pct: int) -> JaccardJoin:
+    sets = written(docs.mapInArrow(released(_measure(words)), "id long, key long, key2 long, n long, h1 long, h2 long, point binary, sketch array<long>"), "sets")
+    own = sets.where("n > 0").groupBy("h1", "h2").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "key2")).alias("least"), F.count(F.lit(1)).alias("copies"),
+        F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch"),
+    )
+    classes = written(own.select(F.monotonically_increasing_id().alias("sid"), "*"), "classes")
     keys = classes.select("sid", F.explode("sketch").alias("key"))
     runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     met = keys.join(runs, "key")
     enough = met.groupBy("sid").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SHARED).select("sid")
     met = written(met.join(enough, "sid", "left_semi"), "met")
 
-    wanted = met.select("sid").distinct()
-    holders = classes.join(wanted, "sid", "left_semi").select(F.col("least").alias("id")).where("id is not null").distinct()
-    texts = having(docs, holders, "id").mapInArrow(released(_name(words)), "sid long, text string")
-    texts = written(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    holders = written(classes.join(met.select("sid").distinct(), "sid", "left_semi").select("sid", "least.key", "least.key2"), "holders")
+    texts = docs.join(F.broadcast(holders) if holders.count() <= BROADCAST_KEYS else holders, ["key", "key2"])
+    texts = written(texts.select("sid", "text").dropDuplicates(["sid"]), "texts")
 
     links, place = None, met.select("key", "sid", "length", F.col("sid").alias("comp"))
     for turn in range(ROUNDS):
         found = written(verify(pivots(place, turn), texts, words, pct), "links")
         links = found if links is None else links.union(found)
         label = components(links)
-        place = met.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", "length", F.coalesce("component", "sid").alias("comp"))
-        mixed = place.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        place = written(place.join(mixed, "key", "left_semi"), "placed")
+        place = met.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"))
+        mixed = place.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).where("low < high").select("key", "length")
+        place = written(place.join(mixed, "key"), "placed")
 
     parts = F.ceil(F.col("length") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid"), parts).cast("int")
@@ -320,30 +350,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .repartition("key", "block").sortWithinPartitions("key", "block")
     )
     pairs = dealt.mapInArrow(released(_join_runs(pct)), "a long, b long").distinct()
-    links = links.union(written(verify(pairs, texts, words, pct), "links"))
-
-    label = components(links.select("a", "b"))
-    named = classes.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-    members = named.join(smallest, "label").select(F.col("sid").alias("set_id"), "component")
-    return JaccardJoin(sets.select("id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id")), links, members)
-
-
-def _name(words: int):
-    schema = pa.schema([("sid", pa.int64()), ("text", pa.string())])
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                text = part.column(part.schema.get_field_index("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(shingle_sets(Words(text), words)), pa.int64()), text.cast(pa.string())], schema=schema)
-
-    return run
+    links = written(links.union(verify(pairs, texts, words, pct)), "links")
+
+    label = components(links)
+    named = classes.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("h1", "h2", "copies", "least", F.coalesce("component", "sid").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("least").alias("first"))
+    members = named.join(smallest, "label").select("h1", "h2", "copies", F.col("first.id").alias("component"), F.col("first.key").alias("key"), F.col("first.key2").alias("key2"))
+    sets = sets.select("id", "key", "key2", "n", "h1", "h2")
+    return JaccardJoin(written(sets, "sets"), links, written(members, "members"))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those that belong to a component that
+    another row stands for: the one with the smallest id (a null id last). Rows are judged by
+    themselves, also where an id repeats or is null; empty texts stay."""
+    with own_tables() as made:
+        found = ngram_jaccard_join(docs, id_col, text_col)
+        told = looked_up(found.sets.select("h1", "h2", F.col("key").alias("own"), F.col("key2").alias("own2")), found.members, ["h1", "h2"], "copies")
+        names = free_names(docs.columns, ["key", "key2"])
+        gone = told.where("key <> own or key2 <> own2").select(F.col("own").alias(names[0]), F.col("own2").alias(names[1])).distinct()
+        gone = written(gone, "gone")
+        dropped(docs.sparkSession, [p for p in made if p != gone.path])
+    return having(docs.withColumns(dict(zip(names, row_key(id_col, text_col)))), gone, names, anti=True).select(*docs.columns)
 
 
 def per_document(found: JaccardJoin) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return (
-        found.sets.join(found.members, "set_id", "left")
-        .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    )
+    full = looked_up(found.sets.select("id", "n", "h1", "h2"), found.members.select("h1", "h2", "copies", "component"), ["h1", "h2"], "copies")
+    return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -141,6 +141,20 @@ def test_jaccard_join_of_a_loose_family(spark, monkeypatch):
     assert jaccard_rows(df) == jaccard_brute(pairs)
 
 
+def test_a_text_without_an_id_links_others(spark):
+    words_ = [f"w{k}" for k in range(60)]
+    first, middle = words_[:], words_[3:]
+    texts_ = [" ".join(first), " ".join(middle), " ".join(words_[9:] + ["x1"])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts_]
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    df = spark.createDataFrame([(1, texts_[0]), (None, texts_[1]), (9, texts_[2]), (4, "far away from all of these words"), (None, "a b c d e f g")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in rows(jaccard_join.per_document(jaccard_join.ngram_jaccard_join(df))))
+    assert got == Counter([(1, 1), (None, None), (9, 1), (4, 4), (None, None)])
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in rows(jaccard_join.kept_rows(df.withColumn("_key", F.lit(3)))))
+    assert kept == [(0, "a b c d e f g"), (1, texts_[0]), (4, "far away from all of these words")]
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(4)
     sizes = rng.integers(20, 60, 300)
