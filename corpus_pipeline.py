@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import exact_dedup, jaccard_join, packing, quality, substring_dedup
-from eventloom.llm.common import WRITTEN, dropped, written
+from eventloom.llm.common import written
 from eventloom.llm.queries import TOKENIZERS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,13 +27,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of near duplicates; rows without an id stay."""
-    before = len(WRITTEN)
-    found = jaccard_join.per_document(jaccard_join.ngram_jaccard_join(docs))
-    made = WRITTEN[before:]
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    dropped(spark, made)  # gone is written, so they have served
-    return jaccard_join.having(docs, gone, "doc_id", anti=True).select(*COLUMNS)
+    """One document of each component of near duplicates, that of the smallest id."""
+    return jaccard_join.kept_rows(docs).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
