@@ -1,11 +1,14 @@
 """Quality classifier: random Fourier features, ridge regression, isotonic calibration.
 
 Each text becomes a row of document statistics worked out on its bytes. The statistics are
-standardised by the sums of the labelled rows; cosines of FEATURES random projections
-approximate a Gaussian kernel over them. Partitions add up their normal equations, whose sum
-is solved for ridge scores, and pooled adjacent violators over BINS equal steps of the score
-turn scores into chances. Every sum covers all labelled training rows; nothing of a label,
-language, source or id is an input.
+standardised by the sums of the labelled training rows; cosines of FEATURES random projections
+approximate a Gaussian kernel over them. Partitions add up normal equations by fold (a hash of
+the statistics, so copies share one) for each of WIDTHS; from these sums alone each of WIDTHS
+and RIDGES is solved without each fold and judged by its squared error there, and the best is
+solved on all folds. Pooled adjacent violators over BINS equal steps of the score turn scores
+into chances; they are fitted on scores of each fold by the model without it. Every sum covers
+all labelled training rows; nothing of a label, language, source or id is an input, and
+held-out rows choose nothing.
 
 Defined results: null and blank texts get the score of all-zero statistics; with no usable
 labels every score is 0.5; a null or other label than 0 and 1 is no label; rows that repeat
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import SAME, Words, added, released, slices, tree_sum, written
 
-FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 6.0, 1e-4, 1000, 11
+FEATURES, BINS, SEED = 256, 1000, 11
+#: What the folds choose from: kernel widths and ridge weights a row.
+WIDTHS, RIDGES, FOLDS = (3.0, 6.0, 12.0), (1e-5, 1e-4, 1e-3, 1e-2), 4
 THRESHOLD = 0.7
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -122,13 +127,13 @@ def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _sum(rows: DataFrame, value) -> np.ndarray:
-    """tree_sum of value(stats, label) over batches of (stats, label) rows."""
+    """tree_sum of value(stats, label, fold) over batches of such rows."""
 
     def own(batch):
         stats = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, N_STATS)
-        return value(stats, batch.column(1).to_numpy().astype(float))
+        return value(stats, batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy())
 
-    return tree_sum(rows.select("stats", "label").mapInArrow(added(own), "value binary"))
+    return tree_sum(rows.select("stats", "label", "fold").mapInArrow(added(own), "value binary"), 4)
 
 
 def held_out(id_col: Column) -> Column:
@@ -146,32 +151,60 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, stats binary")
 
 
+def solved(gram: np.ndarray, right: np.ndarray, n: float, ridge: float) -> np.ndarray:
+    """Ridge weights; the last feature is the constant, which isn't drawn to zero."""
+    return np.linalg.lstsq(gram + ridge * n * np.diag([*np.ones(FEATURES), 0.0]), right, rcond=None)[0]
+
+
 def fit(rows: DataFrame) -> Model:
-    """The model of (stats, label) rows."""
-    first = _sum(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    """The model of (stats, label, fold) rows."""
+    first = _sum(rows, lambda x, y, k: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     rng = np.random.default_rng(SEED)
-    wave = rng.standard_normal((N_STATS, FEATURES)) / (WIDTH * np.sqrt(N_STATS / 8))
+    wave = rng.standard_normal((N_STATS, FEATURES)) / np.sqrt(N_STATS / 8)
     phase = rng.uniform(0, 2 * np.pi, FEATURES)
     if not len(first) or not first[0]:
         return Model(np.zeros(N_STATS), np.ones(N_STATS), wave, phase, None, np.full(BINS, 0.5), 0.0, 1.0)
-    n, s, q = first[0], first[1 : 1 + N_STATS], first[1 + N_STATS :]
-    mean = s / n
-    model = Model(mean, np.maximum(np.sqrt(np.maximum(q / n - mean**2, 0)), 1e-3), wave, phase, None, np.full(BINS, 0.5), 0.0, 1.0)
-
-    def normal(x, y):
-        f = model.features(x)
-        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
-
-    sums, d = _sum(rows, normal), FEATURES + 1
-    gram = sums[: d * d].reshape(d, d) + RIDGE * n * np.diag([*np.ones(FEATURES), 0.0])
-    model.weights = np.linalg.lstsq(gram, sums[d * d :], rcond=None)[0]
-    model.low, model.high = -0.5, 1.5
-
-    def steps(x, y):
-        at = np.clip((model.raw(x) - model.low) / (model.high - model.low) * BINS, 0, BINS - 1).astype(int)
+    s, q = first[1 : 1 + N_STATS] / first[0], first[1 + N_STATS :] / first[0]
+    scale = np.maximum(np.sqrt(np.maximum(q - s**2, 0)), 1e-3)
+    models = [Model(s, scale, wave / w, phase, None, np.full(BINS, 0.5), -0.5, 1.5) for w in WIDTHS]
+    d = FEATURES + 1
+
+    def normal(x, y, fold):
+        """Per width and fold: Gram matrix, right side, squares of labels, rows."""
+        out = np.zeros((len(WIDTHS), FOLDS, d * d + d + 2))
+        for m, model in enumerate(models):
+            f = model.features(x)
+            for k in range(FOLDS):
+                own = fold == k
+                g, t = f[own], y[own]
+                out[m, k] = np.concatenate([(g.T @ g).ravel(), g.T @ t, [t @ t, len(t)]])
+        return out.ravel()
+
+    sums = _sum(rows, normal).reshape(len(WIDTHS), FOLDS, -1)
+    parts = lambda v: (v[: d * d].reshape(d, d), v[d * d : -2], v[-2], v[-1])
+    best = None
+    for m, of_width in enumerate(sums):
+        whole = of_width.sum(axis=0)
+        for ridge in RIDGES:
+            error, without = 0.0, []
+            for own in of_width:
+                gram, right, squares, _ = parts(own)
+                rest = parts(whole - own)
+                w = solved(rest[0], rest[1], rest[3], ridge)
+                without.append(w)
+                error += squares - 2 * w @ right + w @ gram @ w
+            if best is None or error < best[0]:
+                best = error, m, ridge, np.array(without)
+    _, m, ridge, without = best
+    model, (gram, right, _, n) = models[m], parts(sums[m].sum(axis=0))
+
+    def steps(x, y, fold):
+        raw = (model.features(x) * without[fold]).sum(axis=1)
+        at = np.clip((raw - model.low) / (model.high - model.low) * BINS, 0, BINS - 1).astype(int)
         return np.concatenate([np.bincount(at, weights=y, minlength=BINS), np.bincount(at, minlength=BINS)])
 
     counts = _sum(rows, steps)
+    model.weights = solved(gram, right, n, ridge)
     model.steps = isotonic(counts[:BINS], counts[BINS:])
     return model
 
@@ -190,10 +223,10 @@ def score_with(model: Model, rows: DataFrame) -> DataFrame:
 
 
 def training(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stats, label) of labelled rows that aren't held out; an id with both labels has none."""
+    """(stats, label, fold) of labelled rows that aren't held out; an id with both labels has none."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("label")).where("label in (0, 1)")
     marked = marked.groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").select("id", "label")
-    return written(rows.join(marked, "id").where(~held_out(F.col("id"))).select("stats", F.col("label").cast("double").alias("label")), "training")
+    return written(rows.join(marked, "id").where(~held_out(F.col("id"))).select("stats", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).alias("fold")), "training")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
