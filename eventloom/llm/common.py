@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Broadcasts stay below this many rows of one or two 64-bit ids (about 100 MB as a hash relation).
 BROADCAST_KEYS = 1_000_000
@@ -117,6 +118,20 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -
     return near.unionByName(far).unionByName(rows.where(~given), allowMissingColumns=True)
 
 
+def earlier_max(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with the maximum of value over rows of the same `by` whose (integer) order is smaller.
+    Rows are ranged by (by, order), equal ones together; each range works on its own rows, and
+    what earlier ranges end with is carried over, so no group is one task's work."""
+    ranged = written(df.repartitionByRange(splits(df.sparkSession), *by, order).withColumn("_range", F.spark_partition_id()), "ranged")
+    own = Window.partitionBy("_range", *by).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_inside", F.max(value).over(own))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("_range", *by).agg(F.max(value).alias("_end"))  # a row per group and range that holds it
+    carried = ends.withColumn("_carried", F.max("_end").over(before)).where("_carried is not null").drop("_end")
+    full = inside.join(carried, ["_range", *by], "left")
+    return full.withColumn(name, F.greatest("_inside", "_carried")).drop("_range", "_inside", "_carried")
+
+
 def splits(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,25 +9,25 @@ messages share never multiplies rows. Of several matches the lowest level counts
 longest passage. Without a match, the parent is the message before.
 
 A conversation in reply order is sorted by parent, then turn: parents come before their
-replies and replies to one message stand together. Places are ranks made from sorted
-partitions and their counts, so no conversation is collected in one task.
+replies and replies to one message stand together. Running values and places are worked out
+in sorted ranges of rows with a carry from range to range, so no conversation, and no line of
+one, is one task's work; conversations() writes them out in chunks of a bounded number of messages.
 
 Defined results: null text is empty, null roles are 'unknown'; rows with a null conversation
-or turn are formatted but have no parent and the place 0; repeated rows each keep a place; an
-empty table gives no rows; other columns are ignored.
+or turn are formatted but have no parent and the place 0, and move no other row's place;
+repeated rows each keep a place; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import splits, written
+from eventloom.llm.common import earlier_max, splits, written
 
 LEVEL = re.compile(r"^\s*((?:>\s?)+)")
 WHITE = re.compile(r"\s+")
@@ -84,11 +84,10 @@ def link(messages: DataFrame) -> DataFrame:
     has = placed.select("conv_id", "turn", F.explode("has").alias("u")).select("conv_id", "turn", F.sha2("u", 256).alias("hash")).join(hashes, ["conv_id", "hash"], "left_semi")
     none = F.lit(None)
     both = quotes.withColumn("said", none.cast("long")).unionByName(has.distinct().select("conv_id", "turn", "hash", F.col("turn").alias("said")), allowMissingColumns=True)
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("source", F.max("said").over(earlier)).where("row is not null and source is not null")
+    found = earlier_max(both, ["conv_id", "hash"], "turn", "said", "source").where("row is not null and source is not null")
     best = found.groupBy("row").agg(F.min_by("source", F.struct("level", -F.col("size"), -F.col("source"))).alias("source"))
-    turns = placed.select("conv_id", "turn").distinct()
-    before = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    turns = placed.select("conv_id", "turn").distinct().withColumn("own", F.col("turn"))
+    before = earlier_max(turns, ["conv_id"], "turn", "own", "before").select("conv_id", "turn", "before")
     full = parsed.join(best, "row", "left").join(before, ["conv_id", "turn"], "left")
     return full.select("row", "conv_id", "turn", "role", "own", F.coalesce("source", "before").alias("parent_turn"), F.col("source").isNotNull().alias("quoted"))
 
@@ -96,32 +95,23 @@ def link(messages: DataFrame) -> DataFrame:
 def reply_order(linked: DataFrame) -> DataFrame:
     """linked with `place`: rank in the conversation by parent, then turn, then row."""
     keys = ["conv_id", "parent_turn", "turn", "row"]
-    parts = splits(linked.sparkSession)
-    ranged = linked.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        part, last, n = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            conv = np.array([-1 if c is None else c for c in batch.column("conv_id").to_pylist()], dtype=np.int64)
-            first = np.append(True, conv[1:] != conv[:-1])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(conv)), 0))
-            nth = np.arange(len(conv)) - start
-            nth[conv == conv[0]] += n if last == conv[0] else 0
-            last, n = int(conv[-1]), int(nth[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(conv), part), pa.int32()), pa.array(nth)], names=[*batch.schema.names, "part", "nth"])
-
-    kinds = ", ".join(f"{n} {t}" for n, t in linked.dtypes)
-    numbered = written(ranged.mapInArrow(number, f"{kinds}, part int, nth long"), "numbered")
-    counts = numbered.groupBy("conv_id", "part").agg((F.max("nth") + 1).alias("n"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = base.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "base")
-    full = numbered.join(base, (numbered.conv_id == base.c) & (numbered.part == base.p), "left")
+    linked = written(linked, "linked")
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    return full.withColumn("place", F.when(placed, F.coalesce("base", F.lit(0)) + F.col("nth")).otherwise(0))
+    ranged = written(linked.where(placed).repartitionByRange(splits(linked.sparkSession), *keys).withColumn("_range", F.spark_partition_id()), "ranged")
+    inside = F.row_number().over(Window.partitionBy("_range", "conv_id").orderBy(*keys[1:]))
+    counts = ranged.groupBy("_range", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_range", "conv_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = ranged.withColumn("nth", inside).join(base, ["_range", "conv_id"]).withColumn("place", F.col("base") + F.col("nth") - 1)
+    return ranked.select(*linked.columns, "place").unionByName(linked.where(~placed).withColumn("place", F.lit(0).cast("long")))
+
+
+def conversations(ordered: DataFrame, most: int = 256) -> DataFrame:
+    """(conv_id, chunk, messages, chat): the conversations of format_chat() in reply order, in
+    chunks of at most `most` messages, so a conversation of any length is written out."""
+    rows = ordered.where("conv_id is not null and turn is not null").withColumn("chunk", F.floor(F.col("place") / most))
+    parts = F.sort_array(F.collect_list(F.struct("place", "chat")))
+    return rows.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("messages"), F.array_join(F.transform(parts, lambda p: p["chat"]), "").alias("chat"))
 
 
 def format_chat(messages: DataFrame) -> DataFrame:

@@ -295,6 +295,30 @@ def test_licences(docs, empty):
     assert rows(license_scan.per_document(empty)) == []
 
 
+def test_licence_places_equal_plain_search(spark):
+    """Random texts of template words: every place, label and share, by plain loops."""
+    rng, ts = random.Random(8), license_scan.TEMPLATES
+    vocab = sorted({w for t in ts for w in t.phrase})
+    data = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 12)):
+            t = rng.choice(ts)
+            a, b = sorted((rng.randint(0, t.key), rng.randint(t.key, len(t.words))))
+            parts += [*t.words[a:b], *rng.choices(vocab, k=rng.randint(0, 3))] if rng.random() < 0.5 else list(t.phrase)
+        data.append((k, " ".join(parts).upper()))
+    data.append((99, "the cc0 " * 20_000))
+    got = {r["id"]: r for r in rows(license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string")))}
+    for k, text in data:
+        w, want = text.lower().split(), []
+        for t in ts:
+            for s in range(len(w)):
+                if w[s : s + t.length] == list(t.phrase):
+                    hits = sum(0 <= s - t.key + j < len(w) and w[s - t.key + j] == word for j, word in enumerate(t.words))
+                    want.append((s, t.label, t.base, round(hits / len(t.words), 9)))
+        assert got[k]["n_words"] == len(w) and [(f["start"], f["label"], f["base"], round(f["share"], 9)) for f in got[k]["found"]] == sorted(want)
+
+
 # ------------------------------------------------------------------- 5
 
 
@@ -445,6 +469,59 @@ def test_quotes_become_replies(spark):
     assert rows(quotation.format_chat(df.limit(0))) == []
 
 
+def chat_brute(data):
+    """(conv, turn, parent, quoted, place, chat) of every message by plain loops."""
+    said = {}
+    for conv, turn, _, text in data:
+        if conv is not None and turn is not None:
+            for u in quotation.units(quotation.parse(text)[0]):
+                said.setdefault((conv, u), set()).add(turn)
+    out = []
+    for row, (conv, turn, role, text) in enumerate(data):
+        own, passages = quotation.parse(text)
+        parent = quoted = None
+        if conv is not None and turn is not None:
+            found = []
+            for level, passage in passages:
+                for u in quotation.units(passage):
+                    found += [(level, -len(u), -t) for t in said.get((conv, u), ()) if t < turn]
+            earlier = [t for c, t, _, _ in data if c == conv and t is not None and t < turn]
+            quoted = bool(found)
+            # of one passage's matches the latest, then the order of passages
+            parent = -min((lv, n, t) for lv, n, t in found)[2] if found else max(earlier, default=None)
+        out.append([conv, turn, parent, bool(quoted), 0, f"<|{role or 'unknown'}|>\n{own}\n", row])
+    for conv in {r[0] for r in out if r[0] is not None}:
+        own = sorted((r for r in out if r[0] == conv and r[1] is not None), key=lambda r: (r[2] is not None, r[2] or 0, r[1], r[6]))
+        for place, r in enumerate(own):
+            r[4] = place
+    return out
+
+
+def test_quoted_conversations_equal_plain_loops(spark):
+    rng, data = random.Random(4), []
+    lines = [f"line {k} {'abc' * (k % 3)}" for k in range(12)]
+    for conv in (1, 2, -1, None):
+        for turn in range(60 if conv == 1 else 12):
+            body = []
+            for _ in range(rng.randint(0, 3)):
+                mark = rng.choice(["", "> ", ">> ", ">"])
+                body.append(mark + rng.choice(lines).upper())
+            data.append((conv, turn if rng.random() < 0.9 else None, rng.choice(["user", None]), "\n".join(body)))
+    data += [(1, 5, "user", "line 1"), (2, 3, "user", "> line 2\n" + "x" * 200_000), (-1, None, "user", "> line 3"), (2, 4, "user", None)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(4)
+    chat = quotation.format_chat(df)
+    got = Counter((r["conv_id"], r["turn"], r["parent_turn"], r["quoted"], r["chat"]) for r in rows(chat))
+    want = chat_brute(data)
+    assert got == Counter((c, t, p, q, text) for c, t, p, q, _, text, _ in want)
+    places = Counter((r["conv_id"], r["turn"], r["parent_turn"], r["place"]) for r in rows(chat))
+    assert places == Counter((c, t, p, at) for c, t, p, _, at, _, _ in want)
+    whole = Counter()
+    for r in rows(quotation.conversations(chat, 7)):
+        assert r["messages"] <= 7
+        whole[r["conv_id"]] += r["messages"]
+    assert whole == Counter(c for c, t, *_ in data if c is not None and t is not None)
+
+
 def test_unquoted_conversations_stay_in_turn_order(spark):
     c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     for r in rows(quotation.format_chat(c)):
@@ -464,6 +541,56 @@ def test_quality_on_held_out_rows(spark):
     assert sum(p == q for p, q in judged) / len(judged) > 0.95
 
 
+def test_quality_equals_plain_ridge_and_isotonic(spark):
+    """Refits from explicit features, fold by fold, and the min-max form of isotonic regression."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    measured = quality.measured(d)
+    data = [(np.frombuffer(r["stats"]), r["label"], r["fold"]) for r in quality.training(measured, labels).collect()]
+    x, y, fold = np.array([a for a, _, _ in data]), np.array([b for _, b, _ in data]), np.array([c for _, _, c in data])
+    rng = np.random.default_rng(quality.SEED)
+    wave, phase = rng.standard_normal((x.shape[1], quality.FEATURES)) / np.sqrt(x.shape[1] / 8), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+
+    def features(v, width):
+        z = np.clip((v - mean) / scale, -4, 4) @ (wave / width) + phase
+        return np.column_stack([np.sqrt(2 / quality.FEATURES) * np.cos(z), np.ones(len(v))])
+
+    def ridge(f, t, weight):
+        extra = np.sqrt(weight * len(f)) * np.eye(quality.FEATURES, quality.FEATURES + 1)
+        return np.linalg.lstsq(np.vstack([f, extra]), np.append(t, np.zeros(len(extra))), rcond=None)[0]
+
+    best = None
+    for width in quality.WIDTHS:
+        f = features(x, width)
+        for weight in quality.RIDGES:
+            out = np.zeros(len(y))
+            for k in range(quality.FOLDS):
+                out[fold == k] = f[fold == k] @ ridge(f[fold != k], y[fold != k], weight)
+            error = ((out - y) ** 2).sum()
+            if best is None or error < best[0]:
+                best = error, width, ridge(f, y, weight), out
+    _, width, w, out = best
+    at = np.clip((out + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    positive, total = np.bincount(at, weights=y, minlength=quality.BINS), np.bincount(at, minlength=quality.BINS)
+    used = np.flatnonzero(total)
+    p, n = positive[used], total[used]
+    rate = lambda a, b: p[a : b + 1].sum() / n[a : b + 1].sum()
+    plain = [max(min(rate(a, b) for b in range(k, len(used))) for a in range(k + 1)) for k in range(len(used))]
+    model = quality.fit(quality.training(measured, labels))
+    assert np.allclose(model.weights, w, atol=1e-4)
+    pools = np.flatnonzero(np.append(True, np.diff(plain) > 1e-12))
+    smooth = np.concatenate([np.full(b - a, (p[a:b].sum() + 0.5) / (n[a:b].sum() + 1)) for a, b in zip(pools, [*pools[1:], len(used)])])
+    steps = np.interp(np.arange(quality.BINS), used, np.maximum.accumulate(smooth))
+    assert np.allclose(model.steps, steps, atol=1e-9)
+    rows_ = rows(d.select("doc_id", "text"))
+    stats = np.array([quality.statistics(pa.array([r["text"]], pa.string()))[0] for r in rows_])
+    raw = features(stats, width) @ w
+    score = np.clip(np.interp((raw + 0.5) / 2 * quality.BINS - 0.5, np.arange(quality.BINS), steps), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in rows(quality.per_document(d, labels))}
+    assert max(abs(got[r["doc_id"]] - v) for r, v in zip(rows_, score)) < 1e-3
+
+
 def test_quality_of_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     assert len(rows(quality.per_document(docs, labels))) == len(texts())
