@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import Words, mix, released, slices, splits, tree_sum, written
 
-VOCABULARY, CLASSES = 2048, 64
+VOCABULARY, CLASSES = 2048, 32
 EMBED = HIDDEN = 24
 WINDOW, LANES, ROUNDS, RATE, SEED = 16, 256, 2, 0.08, 3
+LIMIT = 60.0
 FREQUENT = 1 << 20
 END_HASH = np.uint64(0x9D3C5A1E77B2460F)
 #: Symbols 0 and 1; words follow by frequency.
 RARE, END = 0, 1
 PER_CLASS = VOCABULARY // CLASSES
 #: Bytes of text that are counted, trained on or scored side by side.
-TOGETHER = 12 << 20
+TOGETHER = 24 << 20
 COUNT = np.dtype([("hash", "<u8"), ("n", "<u4")])
 
 
@@ -192,31 +193,35 @@ def step(table: np.ndarray, wh: np.ndarray, token: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, u[:, 2 * HIDDEN :])
 
 
-def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log chance of the targets, and all chances."""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    s = e.sum(axis=1, keepdims=True)
-    return logits[np.arange(len(logits)), target] - np.log(s[:, 0]), e / s
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, in place, and its sums by row. Logits are held within LIMIT, which is
+    part of the model and saves looking for the largest of each row."""
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def _log_chance(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    own = np.clip(logits[np.arange(len(logits)), target], -LIMIT, LIMIT)
+    return own - np.log(_exp(logits)[1])
 
 
 def _chances(logits: np.ndarray) -> np.ndarray:
     """Softmax in place."""
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    e, total = _exp(logits)
+    e /= total[:, None]
+    return e
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log chance of each target symbol after the state in its row."""
     cls, slot = target // PER_CLASS, target % PER_CLASS
-    logp = _softmax_loss(h @ p["wc"] + p["bc"], cls)[0]
+    logp = _log_chance(h @ p["wc"] + p["bc"], cls)
     order = np.argsort(cls.astype(np.int16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(bounds)):
         at = order[bounds[c] : bounds[c + 1]]
-        logp[at] += _softmax_loss(h[at] @ p["ww"][c] + p["bw"][c], slot[at])[0]
+        logp[at] += _log_chance(h[at] @ p["ww"][c] + p["bw"][c], slot[at])
     return logp
 
 
