@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.operators import sequence
+
 
 def grid(t0: float, t1: float, dt: float) -> tuple[float, int]:
     """First edge and number of bins: edges t0, t0 + dt, ... up to t1; fine grids (dt <= 1)
@@ -66,7 +68,7 @@ def rates(counts: DataFrame, dt: float, sizes: DataFrame | None = None) -> DataF
     """Counts per unit of time, and per member where sizes (cluster, size) are given."""
     if sizes is None:
         return counts.withColumn("rate", F.col("n") / F.lit(float(dt)))
-    joined = counts.join(F.broadcast(sizes), "cluster", "left")
+    joined = counts.join(sizes, "cluster", "left")
     return joined.withColumn("rate", F.col("n") / F.lit(float(dt)) / F.greatest(F.coalesce("size", F.lit(1)), F.lit(1))).drop("size")
 
 
@@ -82,20 +84,20 @@ def transformed(x: Column, how: str, unit: Column | None = None) -> Column:
 def asinh_activity(signal: DataFrame, value: str = "x") -> DataFrame:
     """asinh(x / r0) with r0 the run's median of positive values (1 without any)."""
     r0 = signal.groupBy("run_id").agg(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)), F.lit(1.0)).alias("r0"))
-    return signal.join(F.broadcast(r0), "run_id").withColumn("y", F.asinh(F.col(value) / F.col("r0")))
+    return signal.join(r0, "run_id").withColumn("y", F.asinh(F.col(value) / F.col("r0")))
 
 
 def zscored(signal: DataFrame, value: str = "x") -> DataFrame:
     """Per cluster; a constant cluster is only centred."""
     s = signal.groupBy("run_id", "cluster").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    return signal.join(F.broadcast(s), ["run_id", "cluster"]).withColumn("z", (F.col(value) - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).drop("m", "s")
+    return signal.join(s, ["run_id", "cluster"]).withColumn("z", (F.col(value) - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).drop("m", "s")
 
 
 def run_scaled(signal: DataFrame, value: str = "x", eps: float = 1e-9) -> DataFrame:
     """(x - median) / (q95 - q05) over all clusters of a run; a flat run is only centred."""
     q = signal.groupBy("run_id").agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
     width = F.col("q")[2] - F.col("q")[0]
-    return signal.join(F.broadcast(q), "run_id").withColumn("y", (F.col(value) - F.col("q")[1]) / F.when(width < eps, 1.0).otherwise(width)).drop("q")
+    return signal.join(q, "run_id").withColumn("y", (F.col(value) - F.col("q")[1]) / F.when(width < eps, 1.0).otherwise(width)).drop("q")
 
 
 def thresholds(signal: DataFrame, mode: str, value: str = "x", level: float = 0.5, factor: float = 1.0) -> DataFrame:
@@ -107,7 +109,7 @@ def thresholds(signal: DataFrame, mode: str, value: str = "x", level: float = 0.
 def binarized(signal: DataFrame, mode: str = "percentile", value: str = "x", level: float = 0.5, factor: float = 1.0) -> DataFrame:
     """signal with active = value at or above the cluster's threshold."""
     limit = thresholds(signal, mode, value, level, factor)
-    return signal.join(F.broadcast(limit), ["run_id", "cluster"]).withColumn("active", (F.col(value) >= F.col("threshold")).cast("int"))
+    return signal.join(limit, ["run_id", "cluster"]).withColumn("active", (F.col(value) >= F.col("threshold")).cast("int"))
 
 
 def hysteresis(signal: DataFrame, low: float, high: float, value: str = "x") -> DataFrame:
@@ -131,8 +133,7 @@ def raster(spikes: DataFrame, t0: float, t1: float, stride: int = 1, reference:
 
 def thinned(spikes: DataFrame, most: int) -> DataFrame:
     """At most `most` events per run, evenly spaced in (t, unit) order."""
-    order = Window.partitionBy("run_id").orderBy("t", "unit")
-    ranked = spikes.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
+    ranked = sequence.numbered(spikes, ["t", "unit"])
     slot = F.floor(F.col("i") * (most - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
     before = F.floor((F.col("i") - 1) * (most - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
     return ranked.where((F.col("n") <= most) | (F.col("i") == 0) | (slot > before)).drop("i", "n")
@@ -163,5 +164,5 @@ def population_ranges(populations: DataFrame) -> DataFrame:
 
 def infer_dt(times: DataFrame) -> DataFrame:
     """Median positive step of the distinct times of each run, 1 without one."""
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("run_id").orderBy("t"))
-    return times.select("run_id", "t").distinct().withColumn("step", step).groupBy("run_id").agg(F.coalesce(F.percentile(F.when(F.col("step") > 0, F.col("step")), F.lit(0.5)), F.lit(1.0)).alias("dt"))
+    steps = sequence.lagged(times.select("run_id", "t").distinct(), "t", "before").withColumn("step", F.col("t") - F.col("before"))
+    return steps.groupBy("run_id").agg(F.coalesce(F.percentile(F.when(F.col("step") > 0, F.col("step")), F.lit(0.5)), F.lit(1.0)).alias("dt"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import choose2, div
+from eventloom.operators import sequence
 
 
 def contingency(rows: DataFrame, true: str, pred: str, by: list[str] = ["run_id"]) -> DataFrame:
@@ -72,9 +73,9 @@ def boundary_scores(true: DataFrame, pred: DataFrame, tolerance: int, runs: Data
 def ks_distance(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Greatest distance of the two groups' (0 and 1) distribution functions."""
     per = rows.groupBy("run_id", F.col(value).alias("v")).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w, all_ = Window.partitionBy("run_id").orderBy("v"), Window.partitionBy("run_id")
-    f = lambda c: div(F.sum(c).over(w), F.sum(c).over(all_))
-    return per.withColumn("d", F.abs(f("a") - f("b"))).groupBy("run_id").agg(F.max("d").alias("ks"))
+    whole = per.groupBy("run_id").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    x = sequence.running_sum(sequence.running_sum(per, "v", "a", "sa"), "v", "b", "sb").join(whole, "run_id")
+    return x.withColumn("d", F.abs(div(F.col("sa"), F.col("na")) - div(F.col("sb"), F.col("nb")))).groupBy("run_id").agg(F.max("d").alias("ks"))
 
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:

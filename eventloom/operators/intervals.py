@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import div
+from eventloom.operators import sequence
 from eventloom.operators.binning import binned
 
 UNIT = ["run_id", "unit"]
@@ -129,21 +130,19 @@ def variability_pooled(pairs: DataFrame, by: list[str], min_pairs: int) -> DataF
 
 def as_of_map(events: DataFrame, knots: DataFrame, by: list[str] = ["run_id"]) -> DataFrame:
     """events(t) with y interpolated between knots(x, y); NULL outside. Events and knots are
-    merged in one sort; the knots around an event are running values."""
-    both = events.select("*", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("event")).unionByName(
-        knots.select(*by, F.col("x").alias("t"), F.col("x"), F.col("y").alias("v"), F.lit(0).alias("event")), allowMissingColumns=True)
-    ahead = Window.partitionBy(*by).orderBy("t", "event")
-    back = Window.partitionBy(*by).orderBy(F.desc("t"), F.asc("event"))
-    knot = F.when(F.col("event") == 0, F.struct("x", "v"))
-    seen = both.withColumn("p", F.last(knot, ignorenulls=True).over(ahead)).withColumn("q", F.last(knot, ignorenulls=True).over(back)).where("event = 1")
+    merged in one order; the knots around an event are running values over pieces of the run."""
+    none = F.lit(None).cast("struct<x:double,v:double>")
+    own = knots.select(*by, F.col("x").alias("t"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("v")).alias("knot"))
+    both = events.withColumn("knot", none).withColumn("_event", F.lit(True)).unionByName(own, allowMissingColumns=True)
+    seen = sequence.around(both, "t", "knot", by).where("_event")
     at = F.when(F.col("p.x") == F.col("q.x"), F.col("p.v")).otherwise(F.col("p.v") + (F.col("t") - F.col("p.x")) * div(F.col("q.v") - F.col("p.v"), F.col("q.x") - F.col("p.x")))
-    return seen.withColumn("y", F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), at)).drop("x", "v", "event", "p", "q")
+    return seen.withColumn("y", F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), at)).drop("knot", "_event", "p", "q")
 
 
 def time_stretch(spikes: DataFrame, markers: DataFrame) -> DataFrame:
     """Map each unit's [start, stop] of markers(run_id, unit, start, stop) to the run's mean stop."""
     end = markers.groupBy("run_id").agg(F.avg("stop").alias("end"))
-    m = F.broadcast(markers.join(end, "run_id"))
+    m = markers.join(end, "run_id")
     return spikes.join(m, UNIT).withColumn("t", F.col("start") + (F.col("t") - F.col("start")) * div(F.col("end") - F.col("start"), F.col("stop") - F.col("start"))).drop("start", "stop", "end")
 
 

@@ -36,10 +36,10 @@ def convolved(series: DataFrame, value: str, kernel: list[float], by: list[str],
     if edge == "zero":
         spread = series.select(*by, "bin", value, F.explode(taps).alias("tap")).withColumn("to", F.col("bin") + F.col("tap.off"))
         limits = series.groupBy(*by).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-        spread = spread.join(F.broadcast(limits), by).where("to between low and high")
+        spread = spread.join(limits, by).where("to between low and high")
         return spread.groupBy(*by, F.col("to").alias("bin")).agg(F.sum(F.col(value) * F.col("tap.w")).alias("smooth"))
     limits = series.groupBy(*by).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-    want = series.select(*by, F.col("bin").alias("to"), F.explode(taps).alias("tap")).join(F.broadcast(limits), by)
+    want = series.select(*by, F.col("bin").alias("to"), F.explode(taps).alias("tap")).join(limits, by)
     want = want.withColumn("bin", F.greatest("low", F.least("high", F.col("to") - F.col("tap.off"))))
     return want.join(series.select(*by, "bin", value), [*by, "bin"]).groupBy(*by, F.col("to").alias("bin")).agg(F.sum(F.col(value) * F.col("tap.w")).alias("smooth"))
 
@@ -81,7 +81,7 @@ def reliability(signal: DataFrame, value: str = "x", eps: float = 1e-9) -> DataF
     step = F.col(value) - F.lag(value).over(Window.partitionBy("run_id", "cluster").orderBy("bin"))
     d = signal.withColumn("d", step)
     mid = d.groupBy("run_id", "cluster").agg((F.percentile(value, F.lit(0.95)) - F.percentile(value, F.lit(0.05))).alias("range"), median("d").alias("mid"))
-    mad = d.join(F.broadcast(mid), ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("range").alias("range"), median(F.abs(F.col("d") - F.col("mid"))).alias("mad"))
+    mad = d.join(mid, ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("range").alias("range"), median(F.abs(F.col("d") - F.col("mid"))).alias("mad"))
     noise = 1.4826 * F.coalesce("mad", F.lit(0.0)) / math.sqrt(2)
     s = F.greatest(F.col("range") - 2 * noise, F.lit(0.0))
     return mad.select("run_id", "cluster", "range", noise.alias("noise"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * s / (s * s + noise * noise + eps))).alias("weight"))

@@ -15,7 +15,7 @@ def dwell_histogram(segs: DataFrame) -> DataFrame:
     s = segs.where("duration_time > 0").groupBy("run_id", "state").agg(F.min("duration_time").alias("low"), F.max("duration_time").alias("high"), F.count(F.lit(1)).alias("n"), F.avg("duration_time").alias("mean"))
     s = s.withColumn("bins", F.least(F.lit(50), F.greatest(F.lit(5), F.floor(F.sqrt("n")))))
     at = F.least(F.col("bins") - 1, F.floor(F.coalesce(div((F.col("duration_time") - F.col("low")) * F.col("bins"), F.col("high") - F.col("low")), F.lit(0.0))))
-    return segs.where("duration_time > 0").join(F.broadcast(s), ["run_id", "state"]).groupBy("run_id", "state", at.alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.first("mean").alias("mean"))
+    return segs.where("duration_time > 0").join(s, ["run_id", "state"]).groupBy("run_id", "state", at.alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.first("mean").alias("mean"))
 
 
 def every(rows: DataFrame, by: list[str], order: str, stride: int, keep_last: bool = False) -> DataFrame:
@@ -31,7 +31,7 @@ def tolerant_lookup(rows: DataFrame, value: str, wanted: DataFrame, tolerance: f
     values without one go. Both sides meet in buckets as wide as the tolerance."""
     bucket = lambda c: F.floor(c / tolerance)
     near = wanted.select("position", "target", F.explode(F.array(*(bucket(F.col("target")) + k for k in (-1, 0, 1)))).alias("_k"))
-    met = rows.withColumn("_k", bucket(F.col(value))).join(F.broadcast(near), "_k").where(F.abs(F.col(value) - F.col("target")) <= tolerance)
+    met = rows.withColumn("_k", bucket(F.col(value))).join(near, "_k").where(F.abs(F.col(value) - F.col("target")) <= tolerance)
     return met.groupBy(*rows.columns).agg(F.min_by("target", "position").alias("target"))
 
 

@@ -122,7 +122,7 @@ def state_quality(signal: DataFrame, labels: DataFrame, value: str = "x") -> Dat
     x = signal.join(labels.select("run_id", "bin", "label"), ["run_id", "bin"])
     m = state_means(signal, labels, value).withColumnRenamed("state", "label")
     g = x.groupBy("run_id", "cluster").agg(F.avg(value).alias("grand"))
-    sums = x.join(m, ["run_id", "label", "cluster"]).join(F.broadcast(g), ["run_id", "cluster"]).groupBy("run_id").agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("res"), F.sum((F.col(value) - F.col("grand")) ** 2).alias("tot"))
+    sums = x.join(m, ["run_id", "label", "cluster"]).join(g, ["run_id", "cluster"]).groupBy("run_id").agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("res"), F.sum((F.col(value) - F.col("grand")) ** 2).alias("tot"))
     few = labels.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("run_id"))).groupBy("run_id").agg(F.count_if(F.col("n") < 0.01 * F.col("all")).alias("degenerate"))
     return sums.join(few, "run_id").select("run_id", (1 - div(F.col("res"), F.col("tot"))).alias("explained"), "degenerate")
 
@@ -168,7 +168,7 @@ def replayed(initial: DataFrame, log: DataFrame, stride: int, steps: int) -> Dat
 def population_rates(initial: DataFrame, log: DataFrame, members: DataFrame, stride: int, steps: int) -> DataFrame:
     """Mean state per population(run_id, unit, pop) at sampled steps: sums of changes per
     population and sample, then one running sum of those."""
-    m = F.broadcast(members)
+    m = members
     base = initial.join(m, ["run_id", "unit"]).groupBy("run_id", "pop").agg(F.sum("s").alias("base"), F.count(F.lit(1)).alias("size"))
     at = (F.ceil(F.col("step") / stride) * stride).cast("long")
     change = log.join(m, ["run_id", "unit"]).groupBy("run_id", "pop", at.alias("step")).agg(F.sum("delta").alias("delta"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import corr_pop, div, fisher_z
+from eventloom.operators import sequence
 
 
 def pair_correlations(x: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def sampled_pairs(units: DataFrame, most: int, chunks: int = 64) -> DataFrame:
 
 def cluster_pair_stats(r: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean and median r of each pair of groups, both ways round."""
-    g = F.broadcast(groups)
+    g = groups
     ga, gb = g.select(F.col("unit").alias("a"), F.col("group_id").alias("ga")), g.select(F.col("unit").alias("b"), F.col("group_id").alias("gb"))
     own = r.where("r is not null").join(ga, "a").join(gb, "b").select("r", F.least("ga", "gb").alias("g1"), F.greatest("ga", "gb").alias("g2"))
     s = own.groupBy("g1", "g2").agg(F.avg("r").alias("mean"), F.percentile("r", F.lit(0.5)).alias("median"))
@@ -124,17 +125,19 @@ def network_mask(signal: DataFrame, level: float = 0.5, value: str = "x") -> Dat
     """run_id, bin, net (mean over clusters) and whether it is at or over the run's percentile."""
     net = signal.groupBy("run_id", "bin").agg(F.avg(value).alias("net"))
     q = net.groupBy("run_id").agg(F.percentile("net", F.lit(level)).alias("q"))
-    return net.join(F.broadcast(q), "run_id").select("run_id", "bin", "net", (F.col("net") >= F.col("q")).cast("int").alias("high"))
+    return net.join(q, "run_id").select("run_id", "bin", "net", (F.col("net") >= F.col("q")).cast("int").alias("high"))
 
 
 def two_means(net: DataFrame, value: str = "net") -> DataFrame:
     """The exact split of values into two groups of least squared error, by prefix sums over
     the distinct values of a run; threshold: least value of the upper group."""
     kinds = net.groupBy("run_id", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("run_id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("run_id")
-    s, q, n = F.col("v") * F.col("k"), F.col("v") * F.col("v") * F.col("k"), F.col("k")
-    x = kinds.select("run_id", "v", F.sum(n).over(w).alias("n0"), F.sum(s).over(w).alias("s0"), F.sum(q).over(w).alias("q0"), F.sum(n).over(all_).alias("n"), F.sum(s).over(all_).alias("s"), F.sum(q).over(all_).alias("q")).where("n0 > 0")
+    parts = kinds.select("run_id", "v", "k", (F.col("v") * F.col("k")).alias("s1"), (F.col("v") * F.col("v") * F.col("k")).alias("q1"))
+    whole = parts.groupBy("run_id").agg(F.sum("k").alias("n"), F.sum("s1").alias("s"), F.sum("q1").alias("q"))
+    x = parts
+    for own, name in (("k", "n0"), ("s1", "s0"), ("q1", "q0")):
+        x = sequence.running_sum(x, "v", own, name).withColumn(name, F.col(name) - F.col(own))
+    x = x.join(whole, "run_id").where("n0 > 0")
     sse = F.col("q") - F.col("s0") ** 2 / F.col("n0") - (F.col("s") - F.col("s0")) ** 2 / (F.col("n") - F.col("n0"))
     return x.groupBy("run_id").agg(F.min_by("v", F.struct(F.round(sse, 9), "v")).alias("threshold"), F.min(sse).alias("sse"))
 
@@ -162,7 +165,7 @@ def top_clusters(stats: DataFrame, keep: int) -> DataFrame:
 def robust_baseline(signal: DataFrame, floor: float, value: str = "x") -> DataFrame:
     """Median and 1.4826 * MAD (at least floor) of each cluster."""
     mid = signal.groupBy("run_id", "cluster").agg(F.percentile(value, F.lit(0.5)).alias("mid"))
-    out = signal.join(F.broadcast(mid), ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("mid").alias("median"), F.percentile(F.abs(F.col(value) - F.col("mid")), F.lit(0.5)).alias("mad"))
+    out = signal.join(mid, ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("mid").alias("median"), F.percentile(F.abs(F.col(value) - F.col("mid")), F.lit(0.5)).alias("mad"))
     return out.select("run_id", "cluster", "median", F.greatest(F.lit(floor), 1.4826 * F.col("mad")).alias("noise"))
 
 
@@ -178,9 +181,8 @@ def state_keys(rates: DataFrame, most: int) -> DataFrame:
 def chained(values: DataFrame, gap: float) -> DataFrame:
     """Groups of sorted values whose neighbours are within gap; the best of each by residual,
     then nearness to zero."""
-    w = Window.partitionBy("run_id").orderBy("value")
-    new = F.coalesce((F.col("value") - F.lag("value").over(w) > gap).cast("int"), F.lit(1))
-    g = values.withColumn("new", new).withColumn("chain", F.sum("new").over(w))
+    told = sequence.lagged(values, "value", "before")
+    g = sequence.running_sum(told.withColumn("new", F.coalesce((F.col("value") - F.col("before") > gap).cast("int"), F.lit(1))), "value", "new", "chain")
     return g.groupBy("run_id", "chain").agg(F.min_by("value", F.struct("residual", F.abs("value"), "value")).alias("best"), F.count(F.lit(1)).alias("n"))
 
 
@@ -190,7 +192,7 @@ def knee(curve: DataFrame) -> DataFrame:
     sx, sy = div(F.col("x") - F.col("x0"), F.col("x1") - F.col("x0")), div(F.col("y") - F.col("y0"), F.col("y1") - F.col("y0"))
     a, b = div(F.col("a") - F.col("y0"), F.col("y1") - F.col("y0")), div(F.col("b") - F.col("y0"), F.col("y1") - F.col("y0"))
     d = F.abs(sy - (a + (b - a) * sx))
-    return curve.join(F.broadcast(s), "run_id").groupBy("run_id").agg(F.max_by("x", F.struct(F.round(d, 9), -F.col("x"))).alias("knee"))
+    return curve.join(s, "run_id").groupBy("run_id").agg(F.max_by("x", F.struct(F.round(d, 9), -F.col("x"))).alias("knee"))
 
 
 def best_candidates(rows: DataFrame, focus: str, rate: str, order: str) -> DataFrame:
@@ -201,9 +203,10 @@ def best_candidates(rows: DataFrame, focus: str, rate: str, order: str) -> DataF
 def nearest(points: DataFrame, stored: DataFrame) -> DataFrame:
     """Of stored(y, idx) the idx nearest to each x, the lower y on ties: the neighbours below
     and above are running values of one sort."""
-    both = points.select("run_id", F.col("x").alias("v"), F.lit(1).alias("q"), F.lit(None).cast("struct<y:double,idx:bigint>").alias("s")).unionByName(stored.select("run_id", F.col("y").alias("v"), F.lit(0).alias("q"), F.struct(F.col("y").cast("double").alias("y"), F.col("idx").cast("long").alias("idx")).alias("s")))
-    up, down = Window.partitionBy("run_id").orderBy("v", "q"), Window.partitionBy("run_id").orderBy(F.desc("v"), F.asc("q"))
-    x = both.withColumn("a", F.last("s", True).over(up)).withColumn("b", F.last("s", True).over(down)).where("q = 1")
+    none = F.lit(None).cast("struct<y:double,idx:bigint>")
+    own = stored.select("run_id", F.col("y").alias("v"), F.struct(F.col("y").cast("double").alias("y"), F.col("idx").cast("bigint").alias("idx")).alias("s"), F.lit(False).alias("asked"))
+    both = points.select("run_id", F.col("x").alias("v"), none.alias("s"), F.lit(True).alias("asked")).unionByName(own)
+    x = sequence.around(both, "v", "s").where("asked").withColumnsRenamed({"p": "a", "q": "b"})
     pick = F.when(F.col("b").isNull() | (F.col("a").isNotNull() & (F.col("v") - F.col("a.y") <= F.col("b.y") - F.col("v"))), F.col("a.idx")).otherwise(F.col("b.idx"))
     return x.select("run_id", F.col("v").alias("x"), pick.alias("idx"))
 

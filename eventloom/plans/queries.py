@@ -7,6 +7,7 @@ states, lineitem is an edge list. Doubles are rounded to 6 places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,9 +155,21 @@ def binned_counts(spark, d):
     return daily(spark, d)
 
 
-@query("fine_grid_counts", "WITH c AS (SELECT c_custkey AS unit FROM customer), s AS (SELECT o_custkey AS unit, (o_orderdate::DATE - DATE '1992-01-01')::DOUBLE AS t FROM orders), q AS (SELECT unit, floor((t+0.5)/1.0)::BIGINT AS bin, count(*) AS n FROM s WHERE t>=0 AND t<20 GROUP BY ALL) SELECT 'orders' AS run_id, c.unit, r.range AS bin, (r.range-0.5)::DOUBLE AS time, coalesce(n,0)::BIGINT AS n FROM c CROSS JOIN range(20) r LEFT JOIN q ON q.unit=c.unit AND q.bin=r.range")
+FINE = """
+WITH s AS (SELECT o_custkey AS unit, (o_orderdate::DATE - DATE '1992-01-01')::DOUBLE AS t FROM orders),
+lim AS (SELECT min(t) AS t0, max(t)+1 AS t1 FROM s),
+q AS (SELECT unit, floor((t-t0+0.5)/1.0)::BIGINT AS bin, count(*) AS n FROM s, lim GROUP BY ALL),
+r AS (SELECT unnest(range((t1-t0)::BIGINT)) AS bin, t0 FROM lim)
+SELECT 'orders' AS run_id, bin, (t0-0.5+bin)::DOUBLE AS time, sum(coalesce(n,0))::BIGINT AS n, count(*) AS units
+FROM (SELECT c_custkey AS unit FROM customer) c CROSS JOIN r LEFT JOIN q USING (unit, bin) GROUP BY ALL
+"""
+
+
+@query("fine_grid_counts", FINE)
 def fine_grid_counts(spark, d):
-    return binning.binned(T.order_spikes(spark, d), T.customers(spark, d), 0.0, 20.0, 1.0)
+    s = T.order_spikes(spark, d)
+    t0, t1 = binning.time_limits(s).select("t0", "t1").first()
+    return binning.binned(s, T.customers(spark, d), t0, t1, 1.0).groupBy("run_id", "bin", "time").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"))
 
 
 @query("time_limits", f"WITH {SPIKES} SELECT run_id, min(t) AS t0, max(t)+1 AS t1 FROM s GROUP BY run_id")
@@ -179,9 +192,10 @@ def unit_trains(spark, d):
     return binning.trains(T.order_spikes(spark, d), T.customers(spark, d)).select("run_id", "unit", F.size("times").alias("n"), F.get("times", F.lit(0)).alias("first"))
 
 
-@query("silent_units", "SELECT 'orders' AS run_id, c_custkey AS unit FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("silent_units", "SELECT 'orders' AS run_id, c_custkey AS unit FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate::DATE < DATE '1995-07-01')")
 def silent_units(spark, d):
-    return binning.missing_units(T.order_spikes(spark, d), T.customers(spark, d))
+    early = binning.cut(T.order_spikes(spark, d), 0.0, 1277.0)  # days from 1992 to July of 1995
+    return binning.missing_units(early, T.customers(spark, d))
 
 
 @query("cluster_signal", f"WITH {SIGNAL} SELECT run_id, cluster, bin, n, round(x,6) AS x FROM sig")
@@ -244,17 +258,31 @@ def raster_thinned(spark, d):
     return binning.thinned(T.spikes(spark, d), 500)
 
 
-@query("cluster_of_unit", f"WITH {SPIKES} SELECT run_id, unit, t, floor(unit/10)::BIGINT AS cluster FROM s WHERE unit>=0 AND unit<100")
+@query("cluster_of_unit", f"WITH {SPIKES} SELECT run_id, unit, t, floor(unit/10)::BIGINT AS cluster FROM s WHERE unit>=0 AND unit<(SELECT max(unit)*4//5 FROM s)")
 def cluster_of_unit(spark, d):
-    return binning.cluster_units(T.spikes(spark, d), 100, 10)
+    s = T.spikes(spark, d)
+    excitatory = s.agg(F.max("unit")).first()[0] * 4 // 5  # four of five units, as in the networks
+    return binning.cluster_units(s, excitatory, 10)
+
+
+NATIONS = """
+WITH n AS (SELECT n_nationkey, CASE WHEN n_regionkey%2=0 THEN 'E' ELSE 'I' END || n_nationkey AS kind, n_regionkey FROM nation),
+c AS (SELECT 'orders' AS run_id, c_custkey AS unit, c_nationkey AS group_id, kind, n_regionkey FROM customer JOIN n ON n_nationkey=c_nationkey)
+SELECT 'excitatory' AS mode, run_id, unit, group_id FROM c WHERE kind LIKE 'E%'
+UNION ALL SELECT 'inhibitory', run_id, unit, group_id FROM c WHERE kind LIKE 'I%'
+UNION ALL SELECT 'names', run_id, unit, group_id FROM c WHERE kind IN ('E0','I3')
+UNION ALL SELECT 'group_ids', run_id, unit, group_id FROM c WHERE n_regionkey IN (1, 2)
+UNION ALL SELECT 'all', run_id, unit, group_id FROM c
+"""
 
 
-@query("select_nations", "SELECT 'orders' AS run_id, c_custkey AS unit, c_nationkey AS group_id FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE upper(n_name) LIKE 'E%' OR upper(n_name) LIKE 'I%'")
+@query("select_nations", NATIONS)
 def select_nations(spark, d):
-    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("cell_type"), F.col("n_regionkey").alias("group_id"))
+    kind = F.concat(F.when(F.col("n_regionkey") % 2 == 0, "E").otherwise("I"), F.col("n_nationkey").cast("string"))
+    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), kind.alias("name"), F.lit(None).cast("string").alias("cell_type"), F.col("n_regionkey").alias("group_id"))
     c = T.customers(spark, d).withColumn("cluster", F.col("group_id"))
-    out = binning.select_clusters(c, n, "excitatory").unionByName(binning.select_clusters(c, n, "inhibitory"))
-    return out.select("run_id", "unit", "group_id")
+    modes = {m: binning.select_clusters(c, n, m, ["E0", "I3"], [1, 2]) for m in ("excitatory", "inhibitory", "names", "group_ids", "all")}
+    return reduce(DataFrame.unionByName, (x.select(F.lit(m).alias("mode"), "run_id", "unit", "group_id") for m, x in modes.items()))
 
 
 @query("population_ranges", "SELECT 'orders' AS run_id, c_nationkey AS pop, count(*) AS size, sum(count(*)) OVER (ORDER BY c_nationkey)::BIGINT AS end_id, (sum(count(*)) OVER (ORDER BY c_nationkey)-count(*))::BIGINT AS start_id FROM customer GROUP BY c_nationkey")
@@ -435,19 +463,21 @@ def change_log(spark, d):
     return e.withColumn("delta", F.when(F.row_number().over(w) % 2 == 1, 1).otherwise(-1))
 
 
-LOG = "lg AS (SELECT event_id AS step, user_id AS unit, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id)%2=1 THEN 1 ELSE -1 END AS delta FROM events), gr AS (SELECT range*500 AS step FROM range(2)), un AS (SELECT DISTINCT user_id AS unit FROM events)"
+LOG = "lg AS (SELECT event_id AS step, user_id AS unit, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id)%2=1 THEN 1 ELSE -1 END AS delta FROM events), gr AS (SELECT range*(SELECT max(event_id)//20+1 FROM events) AS step FROM range(21)), un AS (SELECT DISTINCT user_id AS unit FROM events)"
 
 
 @query("replayed_states", f"WITH {LOG} SELECT 'events' AS run_id, un.unit, gr.step, greatest(0,least(1,coalesce(sum(delta),0)))::INT AS s FROM un CROSS JOIN gr LEFT JOIN lg ON lg.unit=un.unit AND lg.step<=gr.step GROUP BY ALL")
 def replayed_states(spark, d):
     log = change_log(spark, d)
-    return states.replayed(units(spark, d).withColumn("s", F.lit(0)), log, 500, 1000)
+    stride = log.agg(F.max("step")).first()[0] // 20 + 1
+    return states.replayed(units(spark, d).withColumn("s", F.lit(0)), log, stride, 20 * stride + 1)
 
 
 @query("population_rates", f"WITH {LOG} SELECT 'events' AS run_id, un.unit%5 AS pop, gr.step, round(coalesce(sum(delta),0)/count(DISTINCT un.unit),6) AS rate FROM un CROSS JOIN gr LEFT JOIN lg ON lg.unit=un.unit AND lg.step<=gr.step GROUP BY ALL")
 def population_rates(spark, d):
-    u = units(spark, d)
-    return rounded(states.population_rates(u.withColumn("s", F.lit(0)), change_log(spark, d), u.withColumn("pop", F.col("unit") % 5), 500, 1000))
+    u, log = units(spark, d), change_log(spark, d)
+    stride = log.agg(F.max("step")).first()[0] // 20 + 1
+    return rounded(states.population_rates(u.withColumn("s", F.lit(0)), log, u.withColumn("pop", F.col("unit") % 5), stride, 20 * stride + 1))
 
 
 @query("log_events", f"WITH {LOG} SELECT 'events' AS run_id, step, unit FROM lg WHERE delta>0")

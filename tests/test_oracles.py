@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans import more_queries, queries
+from eventloom.plans import more_queries, queries, result_queries
 
-assert more_queries
+assert more_queries and result_queries
 DATA = "/root/testdata/sf0.001"
 
 
