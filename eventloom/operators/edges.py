@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import div
+from eventloom.operators.candidates import drawn
 
 
 def placed(edges: DataFrame, posts: DataFrame, pres: DataFrame) -> DataFrame:
@@ -84,14 +88,20 @@ def fingerprint(edges: DataFrame, by: str) -> DataFrame:
 
 
 def bernoulli_edges(spark, n_post: int, n_pre: int, p: float, w: float, seed: int) -> DataFrame:
-    """Independent edges of chance p, decided by a hash of the pair and the seed."""
-    pair = spark.range(n_post * n_pre).select((F.col("id") / n_pre).cast("long").alias("post"), (F.col("id") % n_pre).alias("pre"))
-    return pair.where(F.pmod(F.xxhash64("post", "pre", F.lit(seed)), F.lit(1 << 30)) < int(p * (1 << 30))).withColumn("w", F.lit(w))
+    """Independent edges of chance p: for each post the gaps between its pres are drawn
+    (geometric), so no pairs but the edges are made. There are more gaps than are needed, but for
+    a chance below 1e-30."""
+    most = math.ceil(n_pre * p + 12 * math.sqrt(n_pre * p) + 20)
+    gap = F.floor(F.log(1 - drawn(F.lit(seed), F.col("post"), F.col("d"))) / math.log(1 - p)) + 1
+    draws = spark.range(n_post).select(F.col("id").alias("post"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("d"))
+    at = F.sum(gap).over(Window.partitionBy("post").orderBy("d")) - 1
+    return draws.withColumn("pre", at.cast("long")).where(F.col("pre") < n_pre).select("post", "pre", F.lit(w).alias("w"))
 
 
 def fixed_indegree_edges(spark, n_post: int, n_pre: int, k: int, w: float, seed: int) -> DataFrame:
     """k draws with replacement for each post."""
-    return spark.range(n_post).select(F.col("id").alias("post"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d")).select("post", F.pmod(F.xxhash64("post", "d", F.lit(seed)), F.lit(n_pre)).alias("pre"), F.lit(w).alias("w"))
+    draws = spark.range(n_post).select(F.col("id").alias("post"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d"))
+    return draws.select("post", F.floor(drawn(F.lit(seed), F.col("post"), F.col("d")) * n_pre).cast("long").alias("pre"), F.lit(w).alias("w"))
 
 
 def hardware_weights(edges: DataFrame, most: int = 63) -> DataFrame:

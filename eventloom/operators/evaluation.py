@@ -112,14 +112,33 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r), c) for c, r in enumerate(row_of) if r < gain.shape[0] and c < gain.shape[1]]
 
 
-def matched_accuracy(table: DataFrame) -> dict[str, float]:
-    """Share of rows that agree under the best matching of labels, per run. The contingency
-    table has a row per pair of states."""
-    out = {}
-    for run, part in table.toPandas().groupby("run_id"):
+def matched_accuracy(table: DataFrame, by: list[str] = ["run_id"]) -> DataFrame:
+    """Share of rows that agree under the best matching of labels, per group, one task each. A
+    contingency table has a row per pair of states."""
+
+    def run(key, part):
+        import pandas as pd
+
         m = part.pivot_table(index="t", columns="p", values="n", aggfunc="sum", fill_value=0).to_numpy()
-        out[run] = sum(m[i, j] for i, j in assignment(m)) / m.sum()
-    return out
+        return pd.DataFrame([[*key, float(sum(m[i, j] for i, j in assignment(m)) / m.sum())]], columns=[*by, "accuracy"])
+
+    kinds = ", ".join(f"{n} {t}" for n, t in table.select(*by).dtypes)
+    return table.groupBy(*by).applyInPandas(run, f"{kinds}, accuracy double")
+
+
+def dwell_errors(true: DataFrame, pred: DataFrame) -> DataFrame:
+    """Mean dwell of each state in both segment tables, and the absolute difference."""
+    mean = lambda x, c: x.groupBy("run_id", "state").agg(F.avg("duration_time").alias(c))
+    both = mean(true, "true").join(mean(pred, "pred"), ["run_id", "state"], "full")
+    return both.withColumn("error", F.abs(F.col("true") - F.col("pred")))
+
+
+def transition_errors(true: DataFrame, pred: DataFrame) -> DataFrame:
+    """Frobenius norm and mean absolute difference of two transition tables(run_id, src, dst, p);
+    moves that one lacks count as 0."""
+    both = true.join(pred.withColumnRenamed("p", "q"), ["run_id", "src", "dst"], "full")
+    d = F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))
+    return both.groupBy("run_id").agg(F.sqrt(F.sum(d * d)).alias("frobenius"), F.avg(F.abs(d)).alias("mean_error"))
 
 
 def silhouette(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -100,12 +101,54 @@ def time_resolved(spikes: DataFrame, t0: float, t1: float, width: float, step: f
     return out.withColumn("time", F.lit(t0) + F.col("k") * step + (width - step) / 2)
 
 
+def time_resolved_grid(spikes: DataFrame, t0: float, t1: float, width: float, step: float, aggs: list[Column]) -> DataFrame:
+    """time_resolved() on times and window bounds cut down to whole units of time, at the middle
+    of each window."""
+    whole = spikes.withColumn("t", F.floor("t").cast("double"))
+    out = windowed(whole, math.floor(t0), math.floor(t1), math.floor(width), math.floor(step)).groupBy("run_id", "k").agg(*aggs)
+    return out.withColumn("time", F.lit(float(math.floor(t0))) + F.col("k") * math.floor(step) + math.floor(width) / 2)
+
+
+def auto_window(spikes: DataFrame, ot: float = 5.0) -> DataFrame:
+    """Per run: ot times the mean over units of their mean intervals."""
+    per = interval_pairs(spikes, UNIT).groupBy(*UNIT).agg(F.avg("a").alias("isi"))
+    return per.groupBy("run_id").agg((F.avg("isi") * ot).alias("width"))
+
+
+def warp_knots(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
+    """(run_id, x, y): real times and the cumulative mean rate up to them, from (t0, 0) on."""
+    per_bin = binned(spikes, units, t0, t1, dt).groupBy("run_id", "bin", "time").agg(F.avg("n").alias("m"))
+    total = F.sum("m").over(Window.partitionBy("run_id").orderBy("bin"))
+    start = units.select("run_id").distinct().select("run_id", F.lit(float(t0)).alias("x"), F.lit(0.0).alias("y"))
+    return per_bin.select("run_id", (F.col("time") + dt).alias("x"), total.alias("y")).unionByName(start)
+
+
+def warped_back(rows: DataFrame, knots: DataFrame, time: str) -> DataFrame:
+    """rows whose `time` is on the warped axis, with real_time beside it."""
+    back = knots.groupBy("run_id", F.col("y").alias("x")).agg(F.min("x").alias("y"))
+    return as_of_map(rows.withColumn("t", F.col(time)), back).withColumnRenamed("y", "real_time").drop("t")
+
+
+def time_warped(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float, width: float, step: float, func: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """Windows of even rate: events are moved to the axis of cumulative rate, func(events, end)
+    gives (run_id, k, time, ...) there, and times are mapped back. end: the axis's last value."""
+    knots = warp_knots(spikes, units, t0, t1, dt)
+    warped = as_of_map(spikes, knots).where("y is not null").select(*UNIT, F.col("y").alias("t"))
+    end = knots.agg(F.max("y")).first()[0] or 0.0
+    return warped_back(func(warped, end), knots, "time")
+
+
+def time_warped_cv2(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float, width: float, step: float) -> DataFrame:
+    """CV2 in windows of the warped axis, at their middles in real time."""
+    return time_warped(spikes, units, t0, t1, dt, width, step, lambda x, end: time_resolved_cv2(x, 0.0, end, width, step))
+
+
 def time_resolved_call(spikes: DataFrame, t0: float, t1: float, width: float, step: float, func: Callable) -> DataFrame:
-    """A Python callable on the (unit, t) frame of each window."""
+    """A Python callable on the (unit, t) frame of each window, in order of time."""
     import pandas as pd
 
     def run(key, frame):
-        return pd.DataFrame({"run_id": [key[0]], "k": [key[1]], "value": [float(func(frame[["unit", "t"]]))]})
+        return pd.DataFrame({"run_id": [key[0]], "k": [key[1]], "value": [float(func(frame[["unit", "t"]].sort_values(["t", "unit"])))]})
 
     return windowed(spikes, t0, t1, width, step).groupBy("run_id", "k").applyInPandas(run, "run_id string, k long, value double")
 
@@ -148,11 +191,7 @@ def time_stretch(spikes: DataFrame, markers: DataFrame) -> DataFrame:
 
 def rate_warped(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
     """Events on the axis of the cumulative mean rate of the run, where their rate is even."""
-    per_bin = binned(spikes, units, t0, t1, dt).groupBy("run_id", "bin", "time").agg(F.avg("n").alias("m"))
-    total = F.sum("m").over(Window.partitionBy("run_id").orderBy("bin"))
-    knots = per_bin.select("run_id", (F.col("time") + dt).alias("x"), total.alias("y"))
-    start = units.select("run_id").distinct().select("run_id", F.lit(float(t0)).alias("x"), F.lit(0.0).alias("y"))
-    return as_of_map(spikes, knots.unionByName(start))
+    return as_of_map(spikes, warp_knots(spikes, units, t0, t1, dt))
 
 
 def gamma_trains(units: DataFrame, rate_hz: float, order: float, t1: float, seed: int) -> DataFrame:

@@ -707,7 +707,7 @@ def edge_fingerprints(spark, d):
 def generated_edges(spark, d):
     b = edges.bernoulli_edges(spark, 200, 200, 0.2, 1.0, 1).withColumn("kind", F.lit("bernoulli"))
     k = edges.fixed_indegree_edges(spark, 200, 200, 40, -1.0, 2).withColumn("kind", F.lit("indegree"))
-    return b.unionByName(k).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("post").alias("posts"))
+    return b.unionByName(k).select("kind", "post", "pre")
 
 
 # ------------------------------------------------------------------- sequential and sweeps
@@ -772,7 +772,8 @@ def bifurcations(spark, d):
 
 @query("eigenvalues")
 def eigenvalues(spark, d):
-    return meanfield.eigenvalues(rate_params(spark).withColumn("seed", F.lit(1))).groupBy("param_id").agg(F.count(F.lit(1)).alias("n"))
+    found = meanfield.eigenvalues(rate_params(spark).withColumn("seed", F.lit(1)))
+    return rounded(found.select("param_id", "re", F.abs("im").alias("im")))
 
 
 @query("binary_network_rates")
