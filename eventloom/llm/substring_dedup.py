@@ -13,7 +13,8 @@ window occurs again. Adjoining windows merge into maximal repeats.
 
 Before anything is shuffled, a task builds the trees of its own slice of texts: windows that
 repeat inside it are marked there and sent once for all, so a passage that a third of all
-rows hold costs one record per slice. Equality rests on the 64 bits of the path hash.
+rows hold costs one record per slice. Windows are equal if 64 bits of path
+and 64 of anchor are; rows are named by 96 bits.
 
 Only words of maximal repeats travel back, as ranges per document; texts are then read again
 and joined to them.
@@ -35,11 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import SAME, Words, mix, released, slices, written
+from eventloom.llm.exact_dedup import row_key
 
 ANCHOR = 8
 #: Bytes of suffix records that a group of subtrees should have.
 GROUP_BYTES = 12 << 20
-RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
+#: Tasks that groups are dealt to at most; each works group after group.
+MOST_TASKS = 1 << 16
+#: Neighbouring suffixes of one anchor: at most a window's number of them. A row's name is doc and doc2.
+RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("doc2", "<u4"), ("start", "<i4"), ("count", "<i2")])
+SPAN = np.dtype([("doc", "<i8"), ("doc2", "<u4"), ("start", "<i4"), ("stop", "<i4")])
 
 
 def lowest(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,26 +76,30 @@ def marked(path: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Whether a suffix's window occurs again among these, and whether it is the first of them."""
     key = mix(anchor) + path
     order = np.argsort(key, kind="stable")
-    own = key[order]
+    own, at = key[order], anchor[order]
+    if ((own[1:] == own[:-1]) & (at[1:] != at[:-1])).any():  # one sum of different parts
+        order = np.lexsort((anchor, key))
+        own, at = key[order], anchor[order]
     same = np.zeros(len(key) + 1, dtype=bool)
-    same[1:-1] = own[1:] == own[:-1]
+    same[1:-1] = (own[1:] == own[:-1]) & (at[1:] == at[:-1])
     again, first = np.empty(len(key), bool), np.empty(len(key), bool)
     again[order] = same[1:] | same[:-1]
     first[order] = ~same[:-1]
     return again, first
 
 
-def ranges(doc: np.ndarray, start: np.ndarray, window: int):
-    """Maximal runs of covered words from sorted window starts: doc, start, stop."""
+def ranges(doc: np.ndarray, start: np.ndarray, window: int, doc2: np.ndarray | None = None):
+    """Maximal runs of covered words from window starts: doc, doc2, start, stop."""
+    doc2 = np.zeros(len(doc), np.int64) if doc2 is None else doc2
     if not len(doc):
-        return doc, start, start
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+        return doc, doc2, start, start
+    order = np.lexsort((start, doc2, doc))
+    doc, doc2, start = doc[order], doc2[order], start[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + window)
+    new[1:] = (doc[1:] != doc[:-1]) | (doc2[1:] != doc2[:-1]) | (start[1:] > start[:-1] + window)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], start[first], start[last] + window
+    return doc[first], doc2[first], start[first], start[last] + window
 
 
 def _group(anchor: np.ndarray, groups: int) -> np.ndarray:
@@ -103,7 +113,7 @@ def _weigh(window: int, groups: int):
         total = np.zeros(groups, np.int64)
         for batch in batches:
             for part in slices(batch):
-                found = suffixes(Words(part.column(1), SAME), window)
+                found = suffixes(Words(part.column("text"), SAME), window)
                 if found is not None and len(found[0]):
                     _, first = marked(found[1], found[3])
                     total += np.bincount(_group(found[3][first], groups), minlength=groups)
@@ -130,8 +140,8 @@ def _send(window: int, groups: int, split: np.ndarray | None = None):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                ids = part.column(0).to_numpy()
-                words = Words(part.column(1), SAME)
+                ids, ids2 = part.column("key").to_numpy(), part.column("key2").to_numpy()
+                words = Words(part.column("text"), SAME)
                 found = suffixes(words, window)
                 if found is None or not len(found[0]):
                     continue
@@ -139,9 +149,9 @@ def _send(window: int, groups: int, split: np.ndarray | None = None):
                 row = np.searchsorted(words.rows, at, "right") - 1
                 start = (at - words.rows[row]).astype(np.int64)
                 again, first = marked(path, anchor)
-                d, s, e = ranges(row[again], start[again], window)
-                sure = np.empty(len(d), RECORD)
-                sure["anchor"], sure["doc"], sure["start"], sure["count"] = 0, ids[d], s, e - s
+                d, _, s, e = ranges(row[again], start[again], window)
+                sure = np.empty(len(d), SPAN)
+                sure["doc"], sure["doc2"], sure["start"], sure["stop"] = ids[d], ids2[d], s, e
                 out = [(-1, sure.tobytes(), b"")]
                 at, path, place, anchor, row, start, again = (x[first] for x in (at, path, place, anchor, row, start, again))
                 group = _group(anchor, groups)
@@ -153,7 +163,7 @@ def _send(window: int, groups: int, split: np.ndarray | None = None):
                 head = np.flatnonzero(new)
                 count = np.diff(np.append(head, len(at)))
                 rec = np.empty(len(head), RECORD)
-                rec["anchor"], rec["doc"], rec["start"] = anchor[head], ids[row[head]], start[head]
+                rec["anchor"], rec["doc"], rec["doc2"], rec["start"] = anchor[head], ids[row[head]], ids2[row[head]], start[head]
                 rec["count"] = np.where(again[head], -count, count)  # negative: marked here already
                 group = group[head]
                 order = np.argsort(group, kind="stable")
@@ -170,30 +180,29 @@ def _send(window: int, groups: int, split: np.ndarray | None = None):
 
 
 def _subtrees(window: int):
-    """Records of whole groups to ranges (doc, start, stop) of maximal repeats."""
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    """Records of whole groups to ranges (doc, doc2, start, stop) of maximal repeats."""
+    schema = pa.schema([("doc", pa.int64()), ("doc2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def emit(doc, start, stop):
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in (doc, start, stop)], schema=schema)
+    def emit(*columns):
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], schema=schema)
 
     def build(records: list[bytes], paths: list[bytes]):
         rec = np.frombuffer(b"".join(records), RECORD)
         path = np.frombuffer(b"".join(paths), "<u8")
-        count = np.abs(rec["count"]).astype(np.int64)
+        count = np.abs(rec["count"].astype(np.int64))
         anchor = np.repeat(rec["anchor"], count)
         again, _ = marked(path, anchor)
         again &= ~np.repeat(rec["count"] < 0, count)
         start = np.repeat(rec["start"] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(len(anchor))
-        yield from emit(*ranges(np.repeat(rec["doc"], count)[again], start[again], window))
+        yield from emit(*ranges(np.repeat(rec["doc"], count)[again], start[again], window, np.repeat(rec["doc2"], count)[again]))
 
     def run(batches):
         group, records, paths = None, [], []
         for batch in batches:
             for g, r, p in zip(*(batch.column(c).to_pylist() for c in ("group", "records", "paths"))):
                 if g == -1:
-                    sure = np.frombuffer(r, RECORD)
-                    yield from emit(sure["doc"].astype(np.int64), sure["start"].astype(np.int64), sure["start"].astype(np.int64) + sure["count"])
+                    yield from emit(*(np.frombuffer(r, SPAN)[c] for c in SPAN.names))
                     continue
                 if g != group and records:
                     yield from build(records, paths)
@@ -208,16 +217,16 @@ def _subtrees(window: int):
 
 
 def covered(docs: DataFrame, window: int, size: int) -> DataFrame:
-    """(doc, spans) of words covered by repeated windows. docs: key, text; size: bytes of
-    text, which only decides the number of groups."""
+    """(doc, doc2, spans) of words covered by repeated windows. docs: key, key2, text; size:
+    bytes of text, which only decides the number of groups."""
     groups = max(8, int(size * 2 / GROUP_BYTES))
     split = pieces(docs, window, groups)
     sent = docs.mapInArrow(released(_send(window, groups, split if split.max() > 1 else None)), "group int, records binary, paths binary")
     groups = int(split.sum())
     spread = F.when(F.col("group") == -1, F.pmod(F.xxhash64("records"), F.lit(groups)).cast("int")).otherwise(F.col("group"))
-    dealt = sent.repartition(groups, spread).sortWithinPartitions("group")
-    found = dealt.mapInArrow(released(_subtrees(window)), "doc long, start long, stop long")
-    return found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    dealt = sent.repartition(min(groups, MOST_TASKS), spread).sortWithinPartitions("group")
+    found = dealt.mapInArrow(released(_subtrees(window)), "doc long, doc2 long, start long, stop long")
+    return found.groupBy("doc", "doc2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def _remove(digests: bool):
@@ -244,6 +253,17 @@ def _remove(digests: bool):
     return run
 
 
+def names(id_col: str, text_col: str) -> list:
+    """96 bits that name a row by its id and whole text, as columns key and key2."""
+    first, second = row_key(id_col, text_col)
+    return [first.alias("key"), second.bitwiseAND(F.lit(0xFFFFFFFF)).alias("key2")]
+
+
+def met(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with the spans of their names."""
+    return rows.join(spans, (F.col("key") == F.col("doc")) & (F.col("key2") == F.col("doc2")), "left")
+
+
 def text_size(docs: DataFrame, text_col: str) -> int:
     return docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
 
@@ -251,10 +271,9 @@ def text_size(docs: DataFrame, text_col: str) -> int:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, digests: bool = False) -> DataFrame:
     """id, n_words, n_removed and the kept words joined by spaces (with digests: their
     SHA-256) of every row. Rows are told apart by a hash of id and text, so ids may repeat."""
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key")
-    spans = written(covered(docs.select(key, F.col(text_col).alias("text")), window, text_size(docs, text_col)), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key)
-    full = rows.join(spans, rows.key == spans.doc, "left").select("id", "text", "spans")
+    key = names(id_col, text_col)
+    spans = written(covered(docs.select(*key, F.col(text_col).alias("text")), window, text_size(docs, text_col)), "spans")
+    full = met(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *key), spans).select("id", "text", "spans")
     return full.mapInArrow(released(_remove(digests)), "id long, n_words long, n_removed long, kept string")
 
 
@@ -262,10 +281,10 @@ def cleaned_rows(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) without repeated passages. A text that loses
     words becomes its kept words joined by spaces and n_chars their number of characters; one
     that loses nothing stays untouched, one that loses all goes."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key")
-    spans = written(covered(docs.select(key, "text"), window, text_size(docs, "text")), "spans")
+    key = names("doc_id", "text")
+    spans = written(covered(docs.select(*key, "text"), window, text_size(docs, "text")), "spans")
     schema = docs.select("doc_id", "text", "lang", "source", "n_chars").schema
-    names = schema.names
+    columns = schema.names
 
     def run(batches):
         for batch in batches:
@@ -281,12 +300,11 @@ def cleaned_rows(docs: DataFrame, window: int = 35) -> DataFrame:
                     lost.append(bool(cover))
                 text, lost = pa.array(new, pa.string()), pa.array(lost)
                 chars = pc.if_else(lost, pc.utf8_length(text).cast(part.column("n_chars").type), part.column("n_chars"))
-                out = [part.column(0), text, *(part.column(c) for c in names[2:4]), chars]
+                out = [part.column(0), text, *(part.column(c) for c in columns[2:4]), chars]
                 gone = pc.and_(lost, pc.equal(pc.fill_null(pc.binary_length(text), 0), 0))
-                yield pa.RecordBatch.from_arrays(out, names=names).filter(pc.invert(gone))
+                yield pa.RecordBatch.from_arrays(out, names=columns).filter(pc.invert(gone))
 
-    rows = docs.select(*names, key)
-    return rows.join(spans, rows.key == spans.doc, "left").select(*names, "spans").mapInArrow(released(run), schema)
+    return met(docs.select(*columns, *key), spans).select(*columns, "spans").mapInArrow(released(run), schema)
 
 
 def per_document(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -644,7 +644,7 @@ def test_windows_that_share_forty_bits_are_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "suffixes", one)
     told = []
     for texts in (("a b", "a b c"), ("a b", "a b")):
-        batches = [pa.RecordBatch.from_pydict({"key": [k], "text": [t]}) for k, t in enumerate(texts)]
+        batches = [pa.RecordBatch.from_pydict({"key": [k], "key2": [7 * k], "text": [t]}) for k, t in enumerate(texts)]
         out = substring_dedup._subtrees(2)(substring_dedup._send(2, 1)(batches))
         told.append(sorted(r["doc"] for b in out for r in b.to_pylist()))
     assert told == [[], [0, 1]]
