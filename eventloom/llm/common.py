@@ -74,6 +74,13 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forgotten(spark: SparkSession) -> None:
+    """Let the driver collect what no frame refers to any more: Spark removes the shuffle files of
+    finished joins then, which else stay beside those of the next stage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there and
     a lost executor costs no recomputation. The result's `path` names the table."""

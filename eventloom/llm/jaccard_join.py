@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BROADCAST_KEYS, Words, components, dropped, free_names, having, looked_up, mix, own_tables, released, shingle_sets, slices, written
+from eventloom.llm.common import BROADCAST_KEYS, Words, components, dropped, forgotten, free_names, having, looked_up, mix, own_tables, released, shingle_sets, slices, written
 from eventloom.llm.exact_dedup import row_key
 
 GROUPS = 128
@@ -311,6 +311,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with own_tables() as made:
         found = _joined(keyed(docs, id_col, text_col), words, pct)
         dropped(docs.sparkSession, [p for p in made if p not in (found.sets.path, found.links.path, found.members.path)])
+    forgotten(docs.sparkSession)
     return found
 
 

@@ -16,8 +16,8 @@ repeat inside it are marked there and sent once for all, so a passage that a thi
 rows hold costs one record per slice. Windows are equal if 64 bits of path
 and 64 of anchor are; rows are named by 96 bits.
 
-Only words of maximal repeats travel back, as ranges per document; texts are then read again
-and joined to them.
+Only words of maximal repeats travel back, as ranges per document; texts are then read again,
+and those that have ranges are joined to them.
 
 Defined results: null and blank texts have no words; texts shorter than a window lose none;
 repeated rows are documents of their own (all words of such copies of window length or more
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SAME, Words, mix, released, slices, written
+from eventloom.llm.common import BROADCAST_KEYS, SAME, Words, forgotten, mix, released, slices, written
 from eventloom.llm.exact_dedup import row_key
 
 ANCHOR = 8
@@ -219,6 +219,7 @@ def _subtrees(window: int):
 def covered(docs: DataFrame, window: int, size: int) -> DataFrame:
     """(doc, doc2, spans) of words covered by repeated windows. docs: key, key2, text; size:
     bytes of text, which only decides the number of groups."""
+    forgotten(docs.sparkSession)
     groups = max(8, int(size * 2 / GROUP_BYTES))
     split = pieces(docs, window, groups)
     sent = docs.mapInArrow(released(_send(window, groups, split if split.max() > 1 else None)), "group int, records binary, paths binary")
@@ -260,8 +261,15 @@ def names(id_col: str, text_col: str) -> list:
 
 
 def met(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows with the spans of their names."""
-    return rows.join(spans, (F.col("key") == F.col("doc")) & (F.col("key2") == F.col("doc2")), "left")
+    """rows with the spans of their names. Where the counted number of names allows, they are
+    broadcast, and only rows that have spans are shuffled to meet them."""
+    told = spans.select(F.col("doc").alias("key"), F.col("doc2").alias("key2"), "spans")
+    keys = told.select("key", "key2")
+    if keys.count() > BROADCAST_KEYS:
+        return rows.join(told, ["key", "key2"], "left")
+    few = F.broadcast(keys)
+    whole = rows.join(few, ["key", "key2"], "left_anti").withColumn("spans", F.lit(None).cast(told.schema["spans"].dataType))
+    return whole.unionByName(rows.join(few, ["key", "key2"], "left_semi").join(told, ["key", "key2"]))
 
 
 def text_size(docs: DataFrame, text_col: str) -> int:
