@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup
 from eventloom.llm.oracles import ORACLES
 
-
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+#: Folder of the public tokenizer files; the same on every machine of the cluster.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.per_document(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe_codec.per_document(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

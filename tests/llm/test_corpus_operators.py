@@ -429,6 +429,88 @@ def test_training_lowers_the_loss():
     assert after > 0.3 * before and rng is not None
 
 
+def test_backpropagation_equals_differences():
+    """The gradient of a window (from what it adds to the squares) against central differences."""
+    p, rng = small_model(), np.random.default_rng(4)
+    for k in p:
+        p[k] = p[k] + rng.normal(0, 0.2, p[k].shape).astype(np.float32) * (0.1 if k in ("bc", "bw") else 1)
+    tokens = rng.integers(2, 60, (7, 3))
+    tokens[3, 1] = language_model.END  # a text ends: the state starts anew
+    start = rng.normal(0, 0.5, (3, language_model.HIDDEN)).astype(np.float32)
+
+    def loss(q):
+        h, total = start.astype(np.float64), 0.0
+        for t in range(6):
+            h = h * (tokens[t] != language_model.END)[:, None]
+            h, _ = language_model.step(q["emb"] @ q["wx"] + q["b"], q["wh"], tokens[t], h)
+            total -= language_model.output(q, h, tokens[t + 1]).sum()
+        return total / 3
+
+    exact = {k: v.astype(np.float64) for k, v in p.items()}
+    squares, moved = {k: np.zeros_like(v) for k, v in p.items()}, {k: v.copy() for k, v in p.items()}
+    language_model.train_window(moved, squares, tokens[:-1], tokens[1:], start)
+    numeric = {}
+    for k, v in exact.items():
+        for at in map(tuple, np.argwhere(squares[k] >= np.partition(squares[k].ravel(), -3)[-3])[:3]):
+            both = []
+            for e in (1e-4, -1e-4):
+                q = dict(exact)
+                q[k] = v.copy()
+                q[k][at] += e
+                both.append(loss(q))
+            numeric[k, at] = (both[0] - both[1]) / 2e-4
+    clip = min(1.0, 5.0 / np.sqrt(sum(s.sum() for s in squares.values()))) if sum(s.sum() for s in squares.values()) < 24.9 else None
+    for (k, at), g in numeric.items():
+        sign = -np.sign(moved[k][at] - p[k][at])
+        assert sign == np.sign(g)
+        if clip is not None:
+            assert sign * np.sqrt(squares[k][at]) == pytest.approx(g, rel=2e-2)
+
+
+def test_scores_equal_plain_loops(spark):
+    """The whole way on a small corpus of one task: one batch trained once, every text scored
+    token by token."""
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(40)]
+    texts_ = [(k, " ".join(rng.choices(vocab, weights=range(1, 41), k=rng.randint(0, 60)))) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame(texts_, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in rows(language_model.per_document(df))}
+    training = [(k, t or "") for k, t in texts_ if zlib.crc32(str(k).encode()) % 5 != 1]
+    counts = Counter(w for _, t in training for w in [*t.split(), "END"])
+    total, kinds = sum(counts.values()), len(counts)
+    hashes = dict(zip(vocab, common.Words(pa.array([" ".join(vocab)])).hash.tolist()))
+    best = sorted((w for w in counts if w != "END"), key=lambda w: (-counts[w], hashes[w]))
+    symbol = {w: k + 2 for k, w in enumerate(best)} | {"END": language_model.END}
+    chance = {w: (counts[w] + 0.5) / (total + 0.5 * (kinds + 1)) for w in counts}
+    mass = np.full(language_model.VOCABULARY, 1e-12)
+    for w, s in symbol.items():
+        mass[s] = chance[w]
+    mass[language_model.RARE] = max(1 - mass[1:].sum(), 1e-12)
+    p = language_model.unflat(language_model.flat(language_model.initial(np.log(mass))))
+    squares = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    stream = np.array([language_model.END, *(symbol[w] for _, t in training for w in [*t.split(), "END"])])
+    lanes = max(1, min(language_model.LANES, len(stream) // (32 * language_model.WINDOW)))
+    length, longer = divmod(len(stream) - 1, lanes)
+    begin = [k * length + min(k, longer) for k in range(lanes)]
+    h = np.zeros((lanes, language_model.HIDDEN), np.float32)
+    for t in range(0, length, language_model.WINDOW):
+        own = np.array([[stream[b + t + i] for b in begin] for i in range(min(language_model.WINDOW, length - t) + 1)])
+        h = language_model.train_window(p, squares, own[:-1], own[1:], h)
+    if longer:
+        own = np.array([[stream[b + length + i] for b in begin[:longer]] for i in range(2)])
+        language_model.train_window(p, squares, own[:-1], own[1:], h[:longer])
+    table = p["emb"] @ p["wx"] + p["b"]
+    for k, t in texts_:
+        h, last, score, base = np.zeros((1, language_model.HIDDEN), np.float32), language_model.END, 0.0, 0.0
+        for w in [*(t or "").split(), "END"]:
+            h, _ = language_model.step(table, p["wh"], np.array([last]), h)
+            last = symbol.get(w, language_model.RARE)
+            own = math.log10(chance.get(w, 0.5 / (total + 0.5 * (kinds + 1))))
+            score += float(language_model.output(p, h, np.array([last]))[0]) / math.log(10) + (own - math.log10(mass[language_model.RARE]) if last == language_model.RARE else 0)
+            base += own
+        assert got[k]["score"] == pytest.approx(score, rel=1e-3) and got[k]["base_score"] == pytest.approx(base) and got[k]["train_tokens"] == total
+
+
 def test_training_covers_each_token_once(monkeypatch):
     class Held:
         def __init__(self, value):
