@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import div
-from eventloom.operators import binning, evaluation, features, segmentation, states
+from eventloom.operators import binning, evaluation, features, results, segmentation, states
 from eventloom.operators.segmentation import expand, matrix_of
+from eventloom.sources import importers
 
 # ------------------------------------------------------------------- on one run's array
 
@@ -354,3 +355,29 @@ def segment_costs(signal: DataFrame, labels: DataFrame, value: str = "x") -> Dat
     x = signal.join(bins, ["run_id", "bin"])
     per = x.groupBy("run_id", "start_bin", "cluster").agg((F.count(F.lit(1)) * F.var_pop(value)).alias("sse"))
     return per.groupBy("run_id").agg(F.sum("sse").alias("cost"), F.countDistinct("start_bin").alias("segments"))
+
+
+def distinct_solutions(rows: DataFrame) -> DataFrame:
+    """One of the candidates(run_id, penalty, segments, cost, ends) for each list of boundaries,
+    that of the least penalty."""
+    return rows.groupBy("run_id", "ends").agg(F.min(F.struct("penalty", "segments", "cost")).alias("r")).select("run_id", "ends", "r.*")
+
+
+def analyze_source(spark, source: str, run_id: str, wanted: dict[str, dict], bin_ms: float, units_per_cluster: int, folder: str | None = None) -> dict[str, DataFrame]:
+    """Labels and the finished tables of every wanted method for a recording in a folder or an
+    archive; written as tables of the run if a folder is given."""
+    read = importers.read_run(spark, source, run_id)
+    if read["kind"] == "snn":
+        events = read["frame"].withColumn("cluster", F.floor(F.col("unit") / units_per_cluster)).withColumn("value", F.lit(1.0))
+        last = events.agg(F.max("t")).first()[0] or 0.0
+        signal = binning.cluster_signal(events, events.select("run_id", "cluster").distinct(), 0.0, int(last // bin_ms) + 1, bin_ms)
+    else:
+        signal = read["frame"].withColumn("n", F.col("x"))
+    labels = analyzed(signal, wanted)
+    out = {"labels": labels}
+    for name in wanted:
+        done = results.finalized(labels.where(F.col("method") == name).select("run_id", "bin", "label"), signal, bin_ms)
+        out |= {f"{name}_{part}": done[part] for part in ("segments", "occupancy", "templates")}
+    if folder:
+        importers.save_run(out, folder, run_id)
+    return out

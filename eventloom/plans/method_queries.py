@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import edges, evaluation, intervals, kernels, meanfield, methods
+from eventloom.operators import edges, evaluation, intervals, kernels, meanfield, methods, simulation
 from eventloom.plans import config
 from eventloom.plans.queries import COUNTS, DAY, EDGES, END, ORACLES, PATTERN, SIGNAL, SPIKES, WINDOWS, part_units, patterns, query, rounded, signal, supplier_units, units
 from eventloom.plans.result_queries import DRAW
@@ -253,3 +253,29 @@ SELECT post_pop, pre_pop, round(w1/(n_post*n_pre),6) AS w FROM x JOIN np USING (
 @query("homogenized_blocks", BLOCKS)
 def homogenized_blocks(spark, d):
     return rounded(edges.homogenized(T.edges(spark, d), supplier_units(spark, d), part_units(spark, d)))
+
+
+def network_runs(spark):
+    grid = config.sweep(spark, {"kappa": [0.0, 0.5], "r_e": [1.0, 3.5]}).withColumn("run_id", F.format_string("%.1f/%.1f", "kappa", "r_e"))
+    fixed = {"q": 5.0, "n_e": 80.0, "n_i": 20.0, "v_th": 1.0, "g": 1.2, "p_ee": 0.2, "p_ie": 0.5, "p_ei": 0.5, "p_ii": 0.5, "r_j": 0.75, "m_x": 0.2, "tau_e": 10.0, "tau_i": 5.0, "start": 0.2}
+    return simulation.prepared(grid.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("seed", F.lit(7)).withColumn("steps", F.lit(4000)))
+
+
+@query("clustered_network_rates")
+def clustered_network_rates(spark, d):
+    runs = network_runs(spark)
+    return rounded(simulation.recorded_rates(simulation.change_log(runs), simulation.members(runs), 400, 4001))
+
+
+@query("clustered_network_fields")
+def clustered_network_fields(spark, d):
+    runs = network_runs(spark)
+    sampled = simulation.recorded(simulation.change_log(runs), simulation.members(runs), 1000, 4001)
+    return rounded(simulation.recorded_fields(sampled, simulation.edges(runs)))
+
+
+@query("distinct_solutions", "WITH c AS (SELECT s_nationkey AS run_id, [s_suppkey%4, 9] AS ends, s_suppkey/10.0 AS penalty, s_suppkey%3 AS segments, round(s_acctbal,2)::DOUBLE AS cost FROM supplier) SELECT run_id, ends[1] AS first_end, min(penalty)::DOUBLE AS penalty, arg_min(segments,penalty) AS segments, arg_min(cost,penalty) AS cost FROM c GROUP BY ALL")
+def distinct_solutions(spark, d):
+    k = F.col("s_suppkey")
+    c = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("run_id"), F.array((k % 4).cast("long"), F.lit(9).cast("long")).alias("ends"), (k / 10.0).alias("penalty"), (k % 3).alias("segments"), F.round("s_acctbal", 2).alias("cost"))
+    return methods.distinct_solutions(c).select("run_id", F.col("ends")[0].alias("first_end"), "penalty", "segments", "cost")

@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import candidates, evaluation, intervals, meanfield, methods, results, segmentation, sequence
+from eventloom.operators import candidates, evaluation, intervals, meanfield, methods, results, segmentation, sequence, simulation
+from eventloom.plans.method_queries import network_runs
 from eventloom.sources import importers
 
 
@@ -268,3 +269,47 @@ def test_ids_without_a_convention_fail(spark):
     parents = spark.createDataFrame([(1, 0, 10)], "parent int, offset long, size int")
     with pytest.raises(Exception, match="no convention"):
         importers.parent_indices(events, parents).collect()
+
+
+# ------------------------------------------------------------------- networks
+
+
+def test_networks_follow_their_rule(spark):
+    """Every logged and every unlogged update against inputs summed anew, and what is derived
+    from the log against the replayed states."""
+    runs = network_runs(spark).withColumn("steps", F.lit(300))
+    log = simulation.change_log(runs).toPandas()
+    edges = simulation.edges(runs).toPandas()
+    rates = simulation.recorded_rates(simulation.change_log(runs), simulation.members(runs), 100, 300).toPandas()
+    fields = simulation.recorded_fields(simulation.recorded(simulation.change_log(runs), simulation.members(runs), 100, 300), simulation.edges(runs)).toPandas()
+    assert not (edges["post"] == edges["pre"]).any() and set(log["delta"]) <= {-1, 1}
+    for p in runs.toPandas().itertuples():
+        own, w = log[log["run_id"] == p.run_id], np.zeros((100, 100))
+        e = edges[edges["run_id"] == p.run_id]
+        w[e["post"], e["pre"]] = e["w"]
+        assert (w[:, :80] >= 0).all() and (w[:, 80:] <= 0).all()
+        s = np.zeros(100, int)
+        s[own[own["step"] < 0]["unit"]] = 1
+        drive = np.where(np.arange(100) < 80, p.drive_e, p.drive_i) * p.m_x
+        changes = {r.step: r for r in own[own["step"] >= 0].itertuples()}
+        for step in range(300):
+            if step in changes:
+                c = changes[step]
+                assert (sum(w[c.unit, j] for j in range(100) if s[j]) + drive[c.unit] > p.v_th) == (c.delta == 1) and s[c.unit] == (c.delta < 0)
+                s[c.unit] += c.delta
+            if step % 100 == 0:
+                at = rates[(rates["run_id"] == p.run_id) & (rates["step"] == step)].set_index("pop")["rate"]
+                for k in range(5):
+                    assert at[f"E{k + 1}"] == pytest.approx(s[16 * k : 16 * k + 16].mean()) and at[f"I{k + 1}"] == pytest.approx(s[80 + 4 * k : 84 + 4 * k].mean())
+                h = fields[(fields["run_id"] == p.run_id) & (fields["step"] == step)].sort_values("unit")["h"].to_numpy()
+                assert np.allclose(h, w @ s)
+
+
+def test_a_source_is_analyzed_and_stored(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    on = rng.random((4000, 1)) * 8000
+    unit = np.where((on[:, 0] // 1000).astype(int) % 2 == 0, rng.integers(0, 10, 4000), rng.integers(10, 20, 4000))
+    np.savez(tmp_path / "trace.npz", spike_times=on[:, 0], spike_ids=unit)
+    out = methods.analyze_source(spark, str(tmp_path / "trace.npz"), "r", {"kmeans": {"k": 2}}, 100.0, 10, f"file://{tmp_path}/store")
+    segs = importers.load_run(spark, f"file://{tmp_path}/store", "kmeans_segments")
+    assert out["labels"].count() == 80 and segs.count() == 8 and {r["duration_time"] for r in segs.collect()} == {1000.0}
