@@ -143,8 +143,8 @@ def test_jaccard_join_of_a_loose_family(spark, monkeypatch):
 
 def test_a_text_without_an_id_links_others(spark):
     words_ = [f"w{k}" for k in range(60)]
-    first, middle = words_[:], words_[3:]
-    texts_ = [" ".join(first), " ".join(middle), " ".join(words_[9:] + ["x1"])]
+    first, middle = words_[:], words_[8:]
+    texts_ = [" ".join(first), " ".join(middle), " ".join(words_[14:] + ["x1"])]
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts_]
     near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
     assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
