@@ -184,3 +184,78 @@ def binary_network(runs: DataFrame, clusters: int = 4, size: int = 10, steps: in
             yield pd.DataFrame(out, columns=["run_id", "step", "unit", "delta"])
 
     return runs.mapInPandas(run, "run_id string, step long, unit long, delta int")
+
+
+# ------------------------------------------------------------------- two kinds of clusters
+
+
+def two_kinds(p) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and variance arrays (2 q x 2 q; E clusters, then I) and bias of a row with q, n_e,
+    n_i, v_th, m_x, drive_e, drive_i and the blocks of network.cluster_parameters."""
+    q = int(p.q)
+    exc = np.arange(2 * q) < q
+    cluster, size = np.arange(2 * q) % q, np.where(exc, p.n_e, p.n_i) / q
+    inside = cluster[:, None] == cluster
+    mean, var = np.zeros((2 * q, 2 * q)), np.zeros((2 * q, 2 * q))
+    for b in p.blocks:
+        part = (exc == (b["block"][0] == "E"))[:, None] & (exc == (b["block"][1] == "E"))
+        for where, pr, j in ((part & inside, b["p_in"], b["j_in"]), (part & ~inside, b["p_out"], b["j_out"])):
+            k = np.broadcast_to(size, mean.shape)[where] * pr
+            mean[where], var[where] = k * j, k * j * j
+    return mean, var, np.where(exc, p.drive_e, p.drive_i) * p.m_x - p.v_th
+
+
+def residual(r: np.ndarray, mean: np.ndarray, var: np.ndarray, bias) -> np.ndarray:
+    """gain - rate; the input's variance is that of independent binary sources, r (1 - r) each."""
+    inside = np.clip(r, 0, 1)
+    return gain(mean @ r + bias, np.sqrt(var @ (inside * (1 - inside)) + 1e-4)) - r
+
+
+def jacobian(r: np.ndarray, mean: np.ndarray, var: np.ndarray, bias, step: float = 1e-6) -> np.ndarray:
+    """Derivatives of residual() by central differences."""
+    e = np.eye(len(r)) * step
+    return np.stack([(residual(r + d, mean, var, bias) - residual(r - d, mean, var, bias)) / (2 * step) for d in e], axis=1)
+
+
+def settled(start: np.ndarray, mean: np.ndarray, var: np.ndarray, bias, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Rates that solve the equations, by Newton steps halved until the residual falls; where none
+    falls, or the Jacobian can't be solved, by damped iteration."""
+    r = start.astype(float).copy()
+    for _ in range(rounds):
+        f = residual(r, mean, var, bias)
+        size = np.abs(f).max()
+        if size < 1e-12:
+            break
+        try:
+            move = np.linalg.solve(jacobian(r, mean, var, bias), -f)
+        except np.linalg.LinAlgError:
+            move = 0.5 * f
+        part = 1.0
+        while part > 1e-4 and np.abs(residual(np.clip(r + part * move, 0, 1), mean, var, bias)).max() >= size:
+            part /= 2
+        r = np.clip(r + part * move, 0, 1) if part > 1e-4 else r + 0.5 * f
+    return r, float(np.abs(residual(r, mean, var, bias)).max())
+
+
+def solved_points(params: DataFrame, starts: list[float], same: float = 1e-6) -> DataFrame:
+    """(run_id, value, rates, residual, growth, stability) of the distinct fixed points that are
+    reached with the first E cluster at each of starts and the others low, for params of two_kinds()
+    with run_id. growth: the greatest real part of the Jacobian's eigenvalues, stable below 0."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for p in frame.itertuples():
+                mean, var, bias = two_kinds(p)
+                found: list[np.ndarray] = []
+                for x in starts:
+                    start = np.full(len(mean), 0.05)
+                    start[0] = x
+                    r, left = settled(start, mean, var, bias)
+                    if left < 1e-8 and not any(np.abs(r - f).max() < same for f in found):
+                        found.append(r)
+                        growth = float(np.linalg.eigvals(jacobian(r, mean, var, bias)).real.max())
+                        out.append((p.run_id, float(r[0]), r.tolist(), left, growth, "stable" if growth < 0 else "unstable"))
+            yield pd.DataFrame(out, columns=["run_id", "value", "rates", "residual", "growth", "stability"])
+
+    return params.mapInPandas(run, "run_id string, value double, rates array<double>, residual double, growth double, stability string")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import div
-from eventloom.operators import binning, evaluation, features, results, segmentation, states
+from eventloom.operators import binning, candidates, evaluation, features, results, segmentation, simulation, states
 from eventloom.operators.segmentation import expand, matrix_of
 from eventloom.sources import importers
 
@@ -381,3 +381,33 @@ def analyze_source(spark, source: str, run_id: str, wanted: dict[str, dict], bin
     if folder:
         importers.save_run(out, folder, run_id)
     return out
+
+
+def episodes_of(signal: DataFrame, names: DataFrame, width: int, most: int, dt: float = 1.0, z: float = 0.5, similarity: float = 0.6, floor: float = 0.05) -> dict[str, DataFrame]:
+    """Stretches of `width` bins, their templates and canonical states: keys, labels, inventory
+    and emissions of every run. names: (cluster, name)."""
+    means = signal.withColumn("start_bin", F.col("bin") - F.col("bin") % width).groupBy("run_id", "start_bin", "cluster").agg(F.avg("x").alias("mean"))
+    last = signal.groupBy("run_id").agg((F.max("bin") + 1).alias("bins"))
+    rates = results.segment_templates(means).join(names, "cluster").select("run_id", F.col("start_bin").alias("episode"), "cluster", "name", F.col("mean").alias("rate"), "active")
+    keys = results.canonical_keys(rates, most, z, similarity, floor)
+    episodes = keys.join(last, "run_id").select("run_id", "episode", F.col("episode").alias("start_bin"), F.least(F.col("episode") + width, F.col("bins")).alias("stop_bin"))
+    labels = results.canonical_labels(episodes, keys)
+    return {"keys": keys, "labels": labels, "inventory": results.inventory(labels, results.canonical_states(keys), dt), "emissions": results.emissions(labels, signal)}
+
+
+def shard(runs: DataFrame, stride: int, steps: int, width: int, most: int) -> dict[str, DataFrame]:
+    """Simulated runs (see simulation) and the episodes of their excitatory clusters' rates."""
+    rates = simulation.recorded_rates(simulation.change_log(runs), simulation.members(runs), stride, steps).where("pop LIKE 'E%'")
+    signal = rates.select("run_id", F.col("pop").alias("cluster"), (F.col("step") / stride).cast("long").alias("bin"), F.col("rate").alias("x"))
+    signal = signal.persist()  # the runs are simulated once; a lost block is simulated again
+    names = simulation.members(runs).select(F.col("pop").alias("cluster"), F.col("pop").alias("name")).distinct()
+    return {"signal": signal} | episodes_of(signal, names, width, most)
+
+
+def planted_sets(spark, segments: int, clusters: int, noise: float, seed: int, share: float = 0.4) -> DataFrame:
+    """(segment, cluster, length, member, x): drawn active sets, lengths and noisy means."""
+    cell = spark.range(segments * clusters).select(F.floor(F.col("id") / clusters).alias("segment"), (F.col("id") % clusters).alias("cluster"))
+    u = lambda *what: candidates.drawn(F.lit(seed), *what)
+    member = (u(F.col("segment"), F.col("cluster")) < share).cast("int")
+    x = member + noise * (2 * u(F.lit("x"), F.col("segment"), F.col("cluster")) - 1)
+    return cell.select("segment", "cluster", (F.floor(u(F.lit("n"), F.col("segment")) * 8) + 3).alias("length"), member.alias("member"), x.alias("x"))

@@ -279,3 +279,21 @@ def distinct_solutions(spark, d):
     k = F.col("s_suppkey")
     c = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("run_id"), F.array((k % 4).cast("long"), F.lit(9).cast("long")).alias("ends"), (k / 10.0).alias("penalty"), (k % 3).alias("segments"), F.round("s_acctbal", 2).alias("cost"))
     return methods.distinct_solutions(c).select("run_id", F.col("ends")[0].alias("first_end"), "penalty", "segments", "cost")
+
+
+@query("solved_fixed_points")
+def solved_fixed_points(spark, d):
+    return rounded(meanfield.solved_points(network_runs(spark), [0.0, 0.25, 0.5, 0.75, 1.0]).drop("rates", "residual"))
+
+
+@query("shard_inventory")
+def shard_inventory(spark, d):
+    return rounded(methods.shard(network_runs(spark), 100, 4001, 4, 2)["inventory"])
+
+
+_MEMBER, _NOISE, _LENGTH = (DRAW.format(parts=f"'5:{kind}'||{cell}") for kind, cell in (("", "s.range||':'||c.range"), ("x:", "s.range||':'||c.range"), ("n:", "s.range")))
+
+
+@query("planted_sets", f"SELECT s.range AS segment, c.range AS cluster, (floor({_LENGTH}*8)+3)::BIGINT AS length, ({_MEMBER}<0.4)::INT AS member, round(({_MEMBER}<0.4)::INT+0.3*(2*{_NOISE}-1),6) AS x FROM range(50) s, range(6) c")
+def planted_sets(spark, d):
+    return rounded(methods.planted_sets(spark, 50, 6, 0.3, 5))

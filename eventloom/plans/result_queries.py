@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.operators import candidates, features, network, results
+from eventloom.operators import candidates, features, methods, network, results
 from eventloom.plans import config
 from eventloom.plans.queries import ACTIVE, COUNTS, PATTERN, SIGNAL, active, daily, patterns, query, rounded, signal
 from eventloom.sources import tables as T
@@ -93,9 +93,16 @@ sg AS (SELECT state, state_key, isl, min(start_bin)*0.5 AS t0, count(*)*3.0 AS d
 SELECT 'events' AS run_id, state, state_key, count(*) AS visits, round(sum(dw),6)::DOUBLE AS occupied, round(avg(dw),6)::DOUBLE AS mean, round(coalesce(stddev_samp(dw),0),6)::DOUBLE AS std, round(quantile_cont(dw,0.5),6)::DOUBLE AS median, round(min(t0),6)::DOUBLE AS first, round(sum(dw)/sum(sum(dw)) OVER (),6)::DOUBLE AS share FROM sg GROUP BY state, state_key""",
 )
 def canonical_inventory(spark, d):
-    k = canonical(spark, d)
-    episodes = k.select("run_id", "episode", F.col("episode").alias("start_bin"), (F.col("episode") + 6).alias("stop_bin"))
-    return rounded(results.inventory(results.canonical_labels(episodes, k), results.canonical_states(k), 0.5).drop("members"))
+    x = signal(spark, d)
+    out = methods.episodes_of(x, x.select("cluster").distinct().withColumn("name", F.col("cluster")), 6, 2, 0.5)
+    return rounded(out["inventory"].drop("members"))
+
+
+@query("canonical_emissions", CANONICAL + "SELECT sig.run_id, state, sig.cluster, round(avg(x),6) AS mean FROM sig JOIN ky ON ky.start_bin=sig.bin-sig.bin%6 JOIN cs USING (state_key, members) GROUP BY ALL")
+def canonical_emissions(spark, d):
+    x = signal(spark, d)
+    out = methods.episodes_of(x, x.select("cluster").distinct().withColumn("name", F.col("cluster")), 6, 2, 0.5)
+    return rounded(out["emissions"])
 
 
 LABELS = "CASE WHEN n_nationkey%6=0 THEN 'low' WHEN n_nationkey%5=0 THEN 'state ' || (n_nationkey*7)%11 ELSE 'E' || n_nationkey || '+E' || n_regionkey END"

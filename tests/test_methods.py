@@ -313,3 +313,34 @@ def test_a_source_is_analyzed_and_stored(spark, tmp_path):
     out = methods.analyze_source(spark, str(tmp_path / "trace.npz"), "r", {"kmeans": {"k": 2}}, 100.0, 10, f"file://{tmp_path}/store")
     segs = importers.load_run(spark, f"file://{tmp_path}/store", "kmeans_segments")
     assert out["labels"].count() == 80 and segs.count() == 8 and {r["duration_time"] for r in segs.collect()} == {1000.0}
+
+
+def test_fixed_points_of_two_kinds_are_solved_and_told_stable(spark):
+    """Each point solves its equations; a small push away from it fades if it is called stable and
+    grows if not, by the plain flow of rates."""
+    runs = network_runs(spark)
+    found = meanfield.solved_points(runs, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).collect()
+    params = {p.run_id: p for p in runs.toPandas().itertuples()}
+    assert {r["run_id"] for r in found} and {r["stability"] for r in found} <= {"stable", "unstable"}
+    for r in found:
+        mean, var, bias = meanfield.two_kinds(params[r["run_id"]])
+        at = np.array(r["rates"])
+        assert np.abs(meanfield.residual(at, mean, var, bias)).max() < 1e-8
+        own = mean @ at + bias
+        sd = np.sqrt(var @ (at * (1 - at)) + 1e-4)
+        assert at == pytest.approx([0.5 * math.erfc(-h / s / math.sqrt(2)) for h, s in zip(own, sd)], abs=1e-7)
+        values, vectors = np.linalg.eig(meanfield.jacobian(at, mean, var, bias))
+        push = vectors[:, values.real.argmax()].real
+        state = at + 1e-4 * push / np.linalg.norm(push)
+        for _ in range(400):
+            state = state + 0.01 * meanfield.residual(state, mean, var, bias)
+        if abs(r["growth"]) > 0.2 and abs(values[values.real.argmax()].imag) < 1e-9:
+            assert (np.linalg.norm(state - at) < 1e-4) == (r["stability"] == "stable")
+
+
+def test_shards_cover_their_runs(spark):
+    out = methods.shard(network_runs(spark).withColumn("steps", F.lit(1200)), 50, 1200, 4, 2)
+    signal, inventory = out["signal"].toPandas(), out["inventory"].toPandas()
+    assert set(signal["cluster"]) == {f"E{k}" for k in range(1, 6)} and signal.groupby("run_id")["bin"].nunique().eq(24).all()
+    assert np.allclose(inventory.groupby("run_id")["share"].sum(), 1) and np.allclose(inventory.groupby("run_id")["occupied"].sum(), 24)
+    assert (inventory["members"] <= 2).all() and inventory.loc[inventory["state_key"] == "LOW", "state"].eq(0).all()

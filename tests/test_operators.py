@@ -258,6 +258,36 @@ def test_streaming_counts(spark, tmp_path):
     assert spark.table("tumble").agg(F.sum("n")).first()[0] == 1000
 
 
+def test_streams_with_state_equal_whole_tables(spark, tmp_path):
+    data = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    days = data.select(F.date_trunc("day", "ts").alias("d")).distinct().orderBy("d").collect()
+    middle = days[len(days) // 2]["d"]
+    for k, part in enumerate((data.where(F.col("ts") < middle), data.where(F.col("ts") >= middle))):  # two batches, so states carry over
+        part.coalesce(1).write.parquet(str(tmp_path / "parts" / str(k)))
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        next((tmp_path / "parts" / str(k)).glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+    forever = 10**11
+    stream = lambda: streaming.with_event_time(spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), late="60 days")
+    for name, out in (("onset", streaming.onsets(stream(), 100.0, 20.0, forever)), ("state", streaming.hysteresis(stream(), 100.0, 20.0, forever)), ("isi", streaming.interval_statistics(stream(), forever))):
+        q = out.writeStream.format("memory").queryName(f"s_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    rows = sorted((r["user_id"], r["ts"], r["value"]) for r in data.withColumn("ts", F.col("ts").cast("timestamp")).collect())
+    onset, state, isi, on, times = [], [], [], {}, {}
+    for unit, ts, v in rows:
+        before = on.get(unit, False)
+        on[unit] = v >= 100.0 or (before and not v < 20.0)
+        state.append((unit, ts, int(on[unit])))
+        onset += [(unit, ts)] if on[unit] and not before else []
+        times.setdefault(unit, []).append(ts.timestamp())
+        step = [b - a for a, b in zip(times[unit], times[unit][1:])]
+        if len(step) >= 2 and sum(step):
+            mean = sum(step) / len(step)
+            isi.append((unit, ts, len(step), pytest.approx(mean), pytest.approx(sum((s - mean) ** 2 for s in step) / len(step) / mean**2, abs=1e-6)))
+    got = lambda name: sorted(tuple(r) for r in spark.table(f"s_{name}").collect())
+    assert got("state") == state and got("onset") == onset and got("isi") == isi
+
+
 def test_sampled_pairs_are_all_pairs_or_most(spark):
     sizes = {0: 1, 1: 2, 2: 7, 3: 40, 4: 1}
     group = [g for g, n in sizes.items() for _ in range(n)] + [None, None]
