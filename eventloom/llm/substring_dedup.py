@@ -41,10 +41,13 @@ from eventloom.llm.exact_dedup import row_key
 ANCHOR = 8
 #: Bytes of suffix records that a group of subtrees should have.
 GROUP_BYTES = 12 << 20
+#: Groups at most (200 TB of text fill them); a weighing task holds four bytes for each.
+MOST_GROUPS = 1 << 24
 #: Tasks that groups are dealt to at most; each works group after group.
 MOST_TASKS = 1 << 16
 #: Neighbouring suffixes of one anchor: at most a window's number of them. A row's name is doc and doc2.
 RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("doc2", "<u4"), ("start", "<i4"), ("count", "<i2")])
+NONE = np.zeros(0, np.int64)
 SPAN = np.dtype([("doc", "<i8"), ("doc2", "<u4"), ("start", "<i4"), ("stop", "<i4")])
 
 
@@ -106,36 +109,45 @@ def _group(anchor: np.ndarray, groups: int) -> np.ndarray:
     return (mix(anchor) >> np.uint64(33)).astype(np.int64) % groups
 
 
-def _weigh(window: int, groups: int):
-    """Texts to (group, n): the suffixes that each group would be sent."""
+def _weigh(window: int, groups: int, share: float):
+    """Texts to (group, n): the suffixes that a group would be sent, from each task only for
+    groups that take more than this share of the task's suffixes."""
 
     def run(batches):
-        total = np.zeros(groups, np.int64)
+        total = np.zeros(groups, np.int32)
         for batch in batches:
             for part in slices(batch):
                 found = suffixes(Words(part.column("text"), SAME), window)
                 if found is not None and len(found[0]):
                     _, first = marked(found[1], found[3])
-                    total += np.bincount(_group(found[3][first], groups), minlength=groups)
-        at = np.flatnonzero(total)
+                    at, n = np.unique(_group(found[3][first], groups), return_counts=True)
+                    total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total > share * total.sum(dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["group", "n"])
 
     return run
 
 
-def pieces(docs: DataFrame, window: int, groups: int) -> np.ndarray:
-    """Into how many pieces each group is split; a suffix of a split group is its own record."""
-    n = np.zeros(groups, np.int64)
-    weighed = docs.mapInArrow(released(_weigh(window, groups)), "group int, n long")
-    for r in weighed.groupBy("group").agg(F.sum("n").alias("n")).collect():
-        n[r["group"]] = r["n"]
-    return np.where(n * 8 > 4 * GROUP_BYTES, -(-n * (8 + RECORD.itemsize) // GROUP_BYTES), 1)
-
-
-def _send(window: int, groups: int, split: np.ndarray | None = None):
-    """Texts to (group, records, paths); group -1 holds ranges that are sure already. split:
-    the pieces of each group, which are groups of their own."""
+def pieces(docs: DataFrame, window: int, groups: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy groups, ascending, and into how many pieces each is split; a suffix of a split
+    group is its own record. size bytes hold at most size / 2 words, so what tasks leave out of
+    a group's weight is less than the weight that makes it heavy, and only heavy groups, at
+    most one per GROUP_BYTES of text, come to the driver."""
+    heavy = GROUP_BYTES // 2  # suffixes, whose paths take 4 * GROUP_BYTES
+    share = 2 * heavy / max(size, 1)
+    if share >= 1:
+        return NONE, NONE
+    weighed = docs.mapInArrow(released(_weigh(window, groups, share)), "group int, n long")
+    found = weighed.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") > heavy).orderBy("group").collect()
+    n = np.array([r["n"] for r in found], np.int64)
+    return np.array([r["group"] for r in found], np.int64), -(-n * (8 + RECORD.itemsize) // GROUP_BYTES)
+
+
+def _send(window: int, groups: int, heavy: np.ndarray = NONE, split: np.ndarray = NONE):
+    """Texts to (group, records, paths); group -1 holds ranges that are sure already. The
+    pieces that heavy groups are split into are groups of their own, numbered from groups on."""
     schema = pa.schema([("group", pa.int32()), ("records", pa.binary()), ("paths", pa.binary())])
+    before = np.cumsum(split) - split
 
     def run(batches):
         for batch in batches:
@@ -155,9 +167,10 @@ def _send(window: int, groups: int, split: np.ndarray | None = None):
                 out = [(-1, sure.tobytes(), b"")]
                 at, path, place, anchor, row, start, again = (x[first] for x in (at, path, place, anchor, row, start, again))
                 group = _group(anchor, groups)
-                if split is not None:
-                    piece = (mix(path) >> np.uint64(33)).astype(np.int64) % split[group]
-                    group = (np.cumsum(split) - split)[group] + piece
+                if len(heavy):
+                    k = np.minimum(np.searchsorted(heavy, group), len(heavy) - 1)
+                    piece = (mix(path) >> np.uint64(33)).astype(np.int64) % split[k]
+                    group = np.where(heavy[k] == group, groups + before[k] + piece, group)
                 new = np.ones(len(at), bool)
                 new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (group[1:] != group[:-1])
                 head = np.flatnonzero(new)
@@ -220,10 +233,10 @@ def covered(docs: DataFrame, window: int, size: int) -> DataFrame:
     """(doc, doc2, spans) of words covered by repeated windows. docs: key, key2, text; size:
     bytes of text, which only decides the number of groups."""
     forgotten(docs.sparkSession)
-    groups = max(8, int(size * 2 / GROUP_BYTES))
-    split = pieces(docs, window, groups)
-    sent = docs.mapInArrow(released(_send(window, groups, split if split.max() > 1 else None)), "group int, records binary, paths binary")
-    groups = int(split.sum())
+    groups = min(max(8, int(size * 2 / GROUP_BYTES)), MOST_GROUPS)
+    heavy, split = pieces(docs, window, groups, size)
+    sent = docs.mapInArrow(released(_send(window, groups, heavy, split)), "group int, records binary, paths binary")
+    groups += int(split.sum())
     spread = F.when(F.col("group") == -1, F.pmod(F.xxhash64("records"), F.lit(groups)).cast("int")).otherwise(F.col("group"))
     dealt = sent.repartition(min(groups, MOST_TASKS), spread).sortWithinPartitions("group")
     found = dealt.mapInArrow(released(_subtrees(window)), "doc long, doc2 long, start long, stop long")

@@ -734,11 +734,32 @@ def test_windows_that_share_forty_bits_are_apart(monkeypatch):
 
 def test_heavy_groups_are_split(docs, monkeypatch):
     want = sorted(map(str, rows(substring_dedup.per_document(docs))))
+    sent, send = [], substring_dedup._send
+    monkeypatch.setattr(substring_dedup, "_send", lambda *given: sent.append(given) or send(*given))
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 200)
-    split = substring_dedup.pieces(docs.select("id", "text"), 35, 8)
-    assert split.max() > 1
-    monkeypatch.setattr(substring_dedup, "pieces", lambda d, w, groups: np.full(groups, 3))
     assert sorted(map(str, rows(substring_dedup.per_document(docs)))) == want
+    (_, groups, heavy, split), *_ = sent
+    assert len(heavy) and (np.diff(heavy) > 0).all() and 0 <= heavy.min() and heavy.max() < groups and split.min() > 1
+    for some in (np.arange(8), np.array([1, 4, 7])):  # whichever groups are split, nothing changes
+        monkeypatch.setattr(substring_dedup, "MOST_GROUPS", 8)
+        monkeypatch.setattr(substring_dedup, "pieces", lambda d, w, groups, size, some=some: (some, np.full(len(some), 3)))
+        assert sorted(map(str, rows(substring_dedup.per_document(docs)))) == want
+
+
+def test_heavy_groups_are_those_by_weight(docs, monkeypatch):
+    split = [words(r["text"] or "", False) for r in docs.select("text").collect()]
+    size = sum(len((r["text"] or "").encode()) for r in docs.select("text").collect())
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 200)
+    weight = Counter()
+    for batch in docs.select("text").coalesce(1).toArrow().to_batches():
+        for part in substring_dedup.slices(batch):
+            found = substring_dedup.suffixes(substring_dedup.Words(part.column("text"), substring_dedup.SAME), 35)
+            if found is not None:
+                weight.update(substring_dedup._group(found[3][substring_dedup.marked(found[1], found[3])[1]], 8).tolist())
+    heavy, parts = substring_dedup.pieces(docs.select("text").coalesce(1), 35, 8, size)
+    assert sum(max(0, len(w) - 34) for w in split) >= sum(weight.values()) > 100
+    assert {g for g, n in weight.items() if n > 200} <= set(heavy.tolist()) <= {g for g, n in weight.items() if n > 100}
+    assert len(substring_dedup.pieces(docs, 35, 8, 200)[0]) == 0  # too little text for a heavy group
 
 
 # ------------------------------------------------------------------- 10
