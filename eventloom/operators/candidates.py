@@ -53,7 +53,7 @@ def residual_score(residual: Column) -> Column:
 
 def rank_key() -> Column:
     """Stable ones first, then the least residual, then the greatest magnitude, then value."""
-    return F.struct((F.col("stability") != "stable").cast("int").alias("a"), residual_score(F.col("residual")).alias("b"), (-F.abs(F.col("value"))).alias("c"), (-F.col("value")).alias("d"))
+    return F.struct((F.coalesce(F.col("stability"), F.lit("unknown")) != "stable").cast("int").alias("a"), residual_score(F.col("residual")).alias("b"), (-F.abs(F.col("value"))).alias("c"), (-F.col("value")).alias("d"))
 
 
 def diverse(c: DataFrame, most: int, by: list[str] = GROUP) -> DataFrame:
@@ -70,6 +70,23 @@ def diverse(c: DataFrame, most: int, by: list[str] = GROUP) -> DataFrame:
     return reduce(DataFrame.unionByName, picks).withColumnRenamed("taken", "value")
 
 
+def sweep_report(c: DataFrame, threshold: float = 1e-3, most: int = 3) -> DataFrame:
+    """All candidates with included and, where they aren't, filter_reason: 'trivial_zero';
+    'duplicate_threshold' for all but the best of a chain of values whose neighbours are within
+    threshold; 'max_fixpoints' for those beyond the `most` spread-out ones of their group."""
+    kind = trivial(F.col("value"), F.col("rates"))
+    order = Window.partitionBy(*GROUP, "_trivial").orderBy("value", "_rank")
+    rows = c.withColumn("_trivial", kind).withColumn("_rank", rank_key())
+    rows = rows.withColumn("_new", F.coalesce((F.col("value") - F.lag("value").over(order) > threshold).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_chain", F.sum("_new").over(order))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*GROUP, "_trivial", "_chain").orderBy("_rank")))
+    rows = rows.withColumn("_best", ~F.col("_trivial") & (F.col("_place") == 1))
+    taken = diverse(rows.where("_best").select(*GROUP, "value", "stability", "residual"), most).select(*GROUP, "value", F.lit(True).alias("_best"), F.lit(True).alias("_taken"))
+    told = rows.join(taken, [*GROUP, "value", "_best"], "left")
+    reason = F.when(F.col("_trivial"), "trivial_zero").when(~F.col("_best"), "duplicate_threshold").when(F.col("_taken").isNull(), "max_fixpoints")
+    return told.withColumn("filter_reason", reason).withColumn("included", F.col("filter_reason").isNull()).select(*c.columns, "included", "filter_reason")
+
+
 def seeded_choice(c: DataFrame, seeds: DataFrame, order: list[str]) -> DataFrame:
     """For each row of seeds(seed, draw), with replacement, one of the candidates in order. The
     candidates' number is one row, which is sent to every seed."""

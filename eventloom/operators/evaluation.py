@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,13 +143,20 @@ def transition_errors(true: DataFrame, pred: DataFrame) -> DataFrame:
     return both.groupBy("run_id").agg(F.sqrt(F.sum(d * d)).alias("frobenius"), F.avg(F.abs(d)).alias("mean_error"))
 
 
+#: Bytes of vectors in a block of rows, and numbers in one piece of distances.
+BLOCK_BYTES = 32 << 20
+PIECE = 1 << 22
+
+
 def silhouette(rows: DataFrame) -> DataFrame:
-    """Mean Euclidean silhouette of rows(id, label, v). One side goes in blocks of rows to
-    every block of the other, and only sums per (row, label) come out."""
+    """Mean Euclidean silhouette of rows(id, label, v). Exact, so each row is measured against
+    all: blocks of BLOCK_BYTES meet every other block, which sends a row once per block and not
+    per row, and only sums per (row, label) come out."""
     import pandas as pd
 
-    n = rows.count()
-    blocks = max(1, n // 4000 + 1)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    tasks = math.isqrt(rows.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-size["numbers"] * 8 // BLOCK_BYTES), min(tasks, size["n"] // 1000))
     dealt = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = dealt.select(F.col("k").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"), "label", "v", "id")
@@ -156,13 +165,17 @@ def silhouette(rows: DataFrame) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "label": [], "to": [], "d": [], "n": []})
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = 0
-        out = []
-        for to in np.unique(b["label"]):
-            own = (b["label"] == to).to_numpy()
-            out.append(pd.DataFrame({"id": a["id"], "label": a["label"], "to": to, "d": d[:, own].sum(1), "n": own.sum()}))
-        return pd.concat(out)
+        ids, others, yy = a["id"].to_numpy(), b["id"].to_numpy(), (y * y).sum(1)
+        kinds, member = np.unique(b["label"].to_numpy(), return_inverse=True)
+        member = np.eye(len(kinds))[member]
+        total, step = np.empty((len(x), len(kinds))), max(1, PIECE // len(y))
+        for i in range(0, len(x), step):
+            own = x[i : i + step]
+            d = np.sqrt(np.maximum((own * own).sum(1)[:, None] + yy - 2 * own @ y.T, 0))
+            d[ids[i : i + step, None] == others] = 0
+            total[i : i + step] = d @ member
+        n = member.sum(0).astype(int)
+        return pd.concat([pd.DataFrame({"id": a["id"], "label": a["label"], "to": to, "d": total[:, j], "n": n[j]}) for j, to in enumerate(kinds)])
 
     part = left.groupBy("k", "other").cogroup(right.groupBy("k", "other")).applyInPandas(lambda k, a, b: sums(k, a, b), "id long, label int, to int, d double, n long")
     per = part.groupBy("id", "label", "to").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))

@@ -31,10 +31,114 @@ class SquaredCost:
         return self.q[b] - self.q[a] - (d * d).sum(-1) / np.maximum(b - a, 1)
 
 
-def pelt(y: np.ndarray, penalty: float, least: int = 2, jump: int = 1) -> list[int]:
-    """Ends of the segments of least squared error plus penalty each. Starts that can't be
-    best any more are dropped as the end moves on."""
-    n, cost = len(y), SquaredCost(y)
+class AbsoluteCost:
+    """Absolute distances of a stretch from its medians."""
+
+    def __init__(self, y: np.ndarray):
+        self.y = y
+
+    def __call__(self, a, b):
+        a, b = np.broadcast_arrays(a, b)
+        part = [self.y[i:j] for i, j in zip(a.ravel(), b.ravel())]
+        return np.array([np.abs(p - np.median(p, axis=0)).sum() for p in part]).reshape(a.shape)
+
+
+class NormalCost:
+    """Length times log determinant of a stretch's sample covariance, 1e-6 added to its diagonal."""
+
+    def __init__(self, y: np.ndarray):
+        y = y - y.mean(0)
+        d = y.shape[1]
+        self.s = np.vstack([np.zeros((1, d)), np.cumsum(y, 0)])
+        self.q = np.concatenate([np.zeros((1, d, d)), np.cumsum(y[:, :, None] * y[:, None, :], 0)])
+
+    def __call__(self, a, b):
+        n = np.asarray(b - a, dtype=float)[..., None, None]
+        s = self.s[b] - self.s[a]
+        cov = (self.q[b] - self.q[a] - s[..., :, None] * s[..., None, :] / n) / np.maximum(n - 1, 1)
+        return n[..., 0, 0] * np.linalg.slogdet(cov + 1e-6 * np.eye(s.shape[-1]))[1]
+
+
+def pair_median(y: np.ndarray, rows: int = 512) -> float:
+    """Median squared distance of all pairs of rows. Ranks are found 16 bits at a time over
+    blocks of rows, so no array of all pairs is held."""
+    n = len(y)
+    pairs = n * (n - 1) // 2
+    if not pairs:
+        return 0.0
+
+    def blocks():
+        for a in range(0, n, rows):
+            own = y[a : a + rows]
+            d = np.zeros((len(own), n - a))
+            for c in range(y.shape[1]):
+                d += (own[:, c, None] - y[a:, c]) ** 2
+            yield d[np.triu_indices(len(own), 1, n - a)].view(np.int64)
+
+    def ranked(rank: int) -> float:
+        high = 0
+        for shift in (48, 32, 16, 0):
+            count = np.zeros(1 << 16, np.int64)
+            for bits in blocks():
+                own = bits >> shift
+                count += np.bincount((own[(own >> 16) == high] if shift < 48 else own) & 0xFFFF, minlength=1 << 16)
+            digit = int(np.searchsorted(np.cumsum(count), rank, "right"))
+            rank -= int(count[:digit].sum())
+            high = high << 16 | digit
+        return float(np.array([high], np.int64).view(float)[0])
+
+    low = ranked((pairs - 1) // 2)
+    return low if pairs % 2 else (low + ranked(pairs // 2)) / 2
+
+
+class KernelCost:
+    """Scatter of a stretch in the space of a Gaussian kernel, whose width is the median
+    squared distance; scaled distances of different bins are kept in [0.01, 100]. The sums of
+    all stretches up to one end are carried on to the next, so an array of bins is held, not of pairs."""
+
+    def __init__(self, y: np.ndarray):
+        self.y, self.gamma = y, 1 / (pair_median(y) or 1.0)
+        self.total, self.at = np.zeros(len(y)), 0
+
+    def kernel(self, part: np.ndarray, to: np.ndarray) -> np.ndarray:
+        d = sum((part[:, c, None] - to[:, c]) ** 2 for c in range(part.shape[1])) * self.gamma
+        return np.exp(-np.clip(d, 1e-2, 1e2))
+
+    def whole(self, a: int, b: int) -> float:
+        """Sum of the kernel over all pairs of a stretch; each bin with itself counts 1."""
+        total = float(b - a) * (1 - math.exp(-1e-2))
+        for i in range(a, b, 512):
+            total += float(self.kernel(self.y[i : min(i + 512, b)], self.y[a:b]).sum())
+        return total
+
+    def __call__(self, a, b):
+        a, b = np.broadcast_arrays(a, b)
+        end = int(b.flat[0]) if b.size else 0
+        if b.size > 1 and end >= self.at and (b == end).all():
+            for t in range(self.at, end):
+                self.total[t] = 1.0
+                if t:
+                    self.total[:t] += 1 + 2 * np.cumsum(self.kernel(self.y[t : t + 1], self.y[:t])[0][::-1])[::-1]
+            self.at = end
+            total = self.total[a]
+        else:
+            total = np.array([self.whole(i, j) for i, j in zip(a.ravel(), b.ravel())]).reshape(a.shape)
+        return (b - a) - total / np.maximum(b - a, 1)
+
+
+COSTS = {"l2": SquaredCost, "l1": AbsoluteCost, "normal": NormalCost, "rbf": KernelCost}
+
+
+def total_cost(y: np.ndarray, ends: list[int], cost: str = "l2") -> float:
+    """Cost of all segments together."""
+    own = COSTS[cost](y)
+    return float(sum(own(np.array(a), np.array(b)) for a, b in zip([0, *ends[:-1]], ends)))
+
+
+def pelt(y: np.ndarray, penalty: float, least: int = 2, jump: int = 1, cost: str = "l2") -> list[int]:
+    """Ends of the segments of least cost plus penalty each. Starts that can't be best any more
+    are dropped as the end moves on."""
+    n, cost = len(y), COSTS[cost](y)
     best, back = {0: -penalty}, {0: 0}
     alive = np.array([0])
     ends = [e for e in range(jump, n, jump) if e >= least] + [n]
@@ -313,29 +417,43 @@ def expand(ends: list[int]) -> np.ndarray:
     return np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
 
 
-def changepoints(signal: DataFrame, penalty: float, least: int = 2, radius: int = 0, value: str = "x") -> DataFrame:
+def changepoints(signal: DataFrame, penalty: float, least: int = 2, radius: int = 0, value: str = "x", cost: str = "l2") -> DataFrame:
     """Segment number of every bin."""
 
     def label(y):
-        ends = pelt(y, penalty, least)
+        ends = pelt(y, penalty, least, cost=cost)
         return expand(refine(y, ends, radius, least) if radius else ends)
 
     return per_run(signal, label, value)
 
 
-def penalty_grid(signal: DataFrame, penalties: list[float], value: str = "x") -> DataFrame:
+def penalty_grid(signal: DataFrame, penalties: list[float], value: str = "x", cost: str = "l2") -> DataFrame:
     """One task per run and penalty: number of segments and cost."""
 
     def run(frame):
         y, _ = matrix_of(frame, value)
-        ends, p = pelt(y, float(frame["penalty"].iloc[0])), float(frame["penalty"].iloc[0])
-        c = SquaredCost(y)
-        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "penalty": [p], "segments": [len(ends)], "cost": [float(sum(c(np.array(a), np.array(b)) for a, b in zip([0, *ends[:-1]], ends)))], "ends": [ends]})
+        p = float(frame["penalty"].iloc[0])
+        ends = pelt(y, p, cost=cost)
+        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "penalty": [p], "segments": [len(ends)], "cost": [total_cost(y, ends, cost)], "ends": [ends]})
 
     grid = signal.withColumn("penalty", F.explode(F.array(*map(F.lit, penalties))))
     return grid.select("run_id", "cluster", "bin", value, "penalty").groupBy("run_id", "penalty").applyInPandas(run, "run_id string, penalty double, segments long, cost double, ends array<long>")
 
 
+def segmentation_costs(signal: DataFrame, ends: list[int], costs: list[str], value: str = "x") -> DataFrame:
+    """Cost of the segments that stop at ends, for each run and kind of cost; ends beyond a
+    run's last bin are cut to it."""
+
+    def run(frame):
+        y, _ = matrix_of(frame, value)
+        own = sorted({min(e, len(y)) for e in ends})
+        kind = frame["kind"].iloc[0]
+        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "kind": [kind], "cost": [total_cost(y, own, kind)]})
+
+    each = signal.withColumn("kind", F.explode(F.array(*map(F.lit, costs))))
+    return each.select("run_id", "cluster", "bin", value, "kind").groupBy("run_id", "kind").applyInPandas(run, "run_id string, kind string, cost double")
+
+
 def short_removed(labels: DataFrame, least: int, strategy: str = "previous") -> DataFrame:
     def run(frame):
         frame = frame.sort_values("bin")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def merged(base: dict, more: dict) -> dict:
@@ -66,3 +69,20 @@ def remaining(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks without a result; float keys are compared after rounding to 9 places."""
     key = lambda df: df.withColumns({f"_{k}": F.round(F.col(k).cast("double"), 9) if dict(df.dtypes)[k] in ("double", "float") else F.col(k) for k in keys})
     return key(tasks).join(key(done).select(*(f"_{k}" for k in keys)), [f"_{k}" for k in keys], "left_anti").select(*tasks.columns)
+
+
+def swept(tasks: DataFrame, solve: Callable[[DataFrame], DataFrame], path: str, keys: list[str], value: str = "y", overwrite: bool = False) -> DataFrame:
+    """The curves stored at path, after those of tasks that it lacks (with overwrite: of all
+    tasks) are solved and stored. A curve with a point whose value is NULL or NaN isn't whole
+    and is left out, so its task is tried again the next time."""
+    spark, todo = tasks.sparkSession, tasks
+    if not overwrite:
+        try:
+            todo = remaining(tasks, spark.read.parquet(path).select(*keys).distinct(), keys)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    broken = F.max((F.col(value).isNull() | F.isnan(value)).cast("int")).over(Window.partitionBy(*keys))  # of one curve
+    whole = solve(todo).withColumn("_broken", broken).where("_broken = 0").drop("_broken")
+    whole.write.mode("overwrite" if overwrite else "append").parquet(path)
+    return spark.read.parquet(path)

@@ -723,6 +723,29 @@ def penalty_sweep(spark, d):
     return rounded(segmentation.penalty_grid(binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x")), [0.5, 1.0, 2.0, 4.0]).drop("ends"))
 
 
+COSTS = f"""
+WITH {SIGNAL}, y AS (SELECT cluster, bin, bin//12 AS seg, x*0.001 AS x FROM sig),
+m AS (SELECT cluster, seg, avg(x) AS mean, quantile_cont(x,0.5) AS mid FROM y GROUP BY ALL),
+e AS (SELECT sum((x-mean)*(x-mean)) AS l2, sum(abs(x-mid)) AS l1 FROM y JOIN m USING (cluster, seg)),
+d AS (SELECT a.bin AS i, b.bin AS j, a.seg AS si, b.seg AS sj, sum((a.x-b.x)*(a.x-b.x)) AS d FROM y a JOIN y b USING (cluster) GROUP BY ALL),
+g AS (SELECT quantile_cont(d,0.5) AS w FROM d WHERE i<j),
+k AS (SELECT si, sum(CASE WHEN i=j THEN 1.0 ELSE exp(-least(greatest(d/w,0.01),100.0)) END) AS s, count(DISTINCT i) AS n FROM d, g WHERE si=sj GROUP BY si)
+SELECT 'events' AS run_id, 'l2' AS kind, round(l2,6) AS cost FROM e UNION ALL SELECT 'events', 'l1', round(l1,6) FROM e UNION ALL SELECT 'events', 'rbf', round(sum(n-s/n),6) FROM k
+"""
+
+
+@query("segmentation_costs", COSTS)
+def segmentation_costs(spark, d):
+    x = signal(spark, d).withColumn("x", F.col("x") * 0.001)
+    return rounded(segmentation.segmentation_costs(x, list(range(12, 121, 12)), ["l2", "l1", "rbf"]))
+
+
+@query("kernel_changepoints")
+def kernel_changepoints(spark, d):
+    x = binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x"))
+    return rounded(segmentation.penalty_grid(x, [0.5, 1.0, 2.0], cost="rbf"))
+
+
 @query("short_segments_removed")
 def short_segments_removed(spark, d):
     return segmentation.short_removed(patterns(spark, d), 3)

@@ -295,6 +295,30 @@ def fixpoint_candidates(spark, d):
     return candidates.chosen(fixed_points(spark, d), 6.0, [1, 3], "unstable", 3).select("s_suppkey", "idx", "stability")
 
 
+ORDERED = "ra, rb, -abs(value), -value"
+REPORT = FIX + f""", z AS (SELECT s_suppkey, rep, focus_count, CASE WHEN s_suppkey%11=0 THEN 0.0 ELSE value END AS value, stability, residual, CASE WHEN s_suppkey%11=0 THEN [0.0,0.0,0.0] ELSE rates END AS rates FROM f),
+r AS (SELECT z.*, abs(value)<=1e-6 AND abs(rates[1])<=1e-6 AND abs(rates[2])<=1e-6 AND abs(rates[3])<=1e-6 AS triv, CASE WHEN stability='stable' THEN 0 ELSE 1 END AS ra, coalesce(residual,'inf'::DOUBLE) AS rb FROM z),
+n AS (SELECT *, CASE WHEN value-lag(value) OVER (PARTITION BY rep, focus_count, triv ORDER BY value, {ORDERED})<=0.02 THEN 0 ELSE 1 END AS new FROM r),
+c AS (SELECT *, sum(new) OVER (PARTITION BY rep, focus_count, triv ORDER BY value, {ORDERED}) AS chain FROM n),
+p AS (SELECT *, NOT triv AND row_number() OVER (PARTITION BY rep, focus_count, triv, chain ORDER BY {ORDERED})=1 AS best FROM c),
+b AS (SELECT * FROM p WHERE best),
+k1 AS (SELECT rep, focus_count, value AS v1 FROM b QUALIFY row_number() OVER (PARTITION BY rep, focus_count ORDER BY {ORDERED})=1),
+k2 AS (SELECT rep, focus_count, v1, value AS v2 FROM b JOIN k1 USING (rep, focus_count) WHERE value<>v1 QUALIFY row_number() OVER (PARTITION BY rep, focus_count ORDER BY abs(value-v1) DESC, {ORDERED})=1),
+k3 AS (SELECT rep, focus_count, value AS v3 FROM b JOIN k2 USING (rep, focus_count) WHERE value<>v1 AND value<>v2 QUALIFY row_number() OVER (PARTITION BY rep, focus_count ORDER BY least(abs(value-v1),abs(value-v2)) DESC, {ORDERED})=1),
+t AS (SELECT rep, focus_count, v1 AS value FROM k1 UNION SELECT rep, focus_count, v2 FROM k2 UNION SELECT rep, focus_count, v3 FROM k3),
+w AS (SELECT p.*, CASE WHEN triv THEN 'trivial_zero' WHEN NOT best THEN 'duplicate_threshold' WHEN t.value IS NULL THEN 'max_fixpoints' END AS filter_reason FROM p LEFT JOIN t ON best AND p.rep=t.rep AND p.focus_count=t.focus_count AND p.value=t.value)
+SELECT s_suppkey, rep::DOUBLE AS rep, focus_count, filter_reason IS NULL AS included, filter_reason FROM w
+"""
+
+
+@query("sweep_report", REPORT)
+def sweep_report(spark, d):
+    zero = F.col("s_suppkey") % 11 == 0
+    c = fixed_points(spark, d).withColumn("value", F.when(zero, 0.0).otherwise(F.col("value")))
+    c = c.withColumn("rates", F.when(zero, F.array(*[F.lit(0.0)] * 3)).otherwise(F.col("rates")))
+    return candidates.sweep_report(c, 0.02).select("s_suppkey", "rep", "focus_count", "included", "filter_reason")
+
+
 @query("peak_rates", FIX + "SELECT s_suppkey, round(greatest(rates[1],rates[2]),6)::DOUBLE AS peak FROM f")
 def peak_rates(spark, d):
     return rounded(fixed_points(spark, d).select("s_suppkey", candidates.peak_rate(F.col("rates"), 2).alias("peak")))
