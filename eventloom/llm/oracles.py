@@ -71,4 +71,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_m
 """
 
 
-ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op4_license_scan": licences(TEMPLATES), "op5_embedding_dedup": EMBEDDINGS, "op9_substring_dedup": REPEATS, "op10_exact_dedup": EXACT}
+AUDIT = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {words("coalesce(text, '')", WHITE)} AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+  len(w) < 200,
+  100 * len(list_distinct(w)) < 50 * len(w),
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+  regexp_matches(text, '[#$%&*|]'),
+  coalesce(min(t.doc_id) OVER (PARTITION BY text) < t.doc_id, false)] AS fails FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT unnest([1, 2, 3, 4, 5]) AS c),
+o AS (SELECT [a.c, b.c, d.c, e.c, g.c] AS o FROM c a JOIN c b ON b.c <> a.c JOIN c d ON d.c NOT IN (a.c, b.c) JOIN c e ON e.c NOT IN (a.c, b.c, d.c) JOIN c g ON g.c NOT IN (a.c, b.c, d.c, e.c)),
+x AS (SELECT part, good, toxic, fails, o, coalesce(list_position(list_transform(o, lambda k: fails[k]), true), 6) AS first FROM f CROSS JOIN o),
+s AS (SELECT *, o[step] AS k FROM x CROSS JOIN (SELECT c AS step FROM c)),
+n AS (SELECT part, list_aggregate(list_transform(o, lambda k: substring('ABCDE', k, 1)), 'string_agg', '') AS filter_order, step, k,
+  count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (fails[k] AND first < step) AS redundant,
+  count(*) FILTER (fails[k] AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM s GROUP BY part, o, step, k)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM n
+"""
+
+ORACLES = {"op11_filter_audit": AUDIT, "op1_ngram_jaccard_join": JACCARD, "op4_license_scan": licences(TEMPLATES), "op5_embedding_dedup": EMBEDDINGS, "op9_substring_dedup": REPEATS, "op10_exact_dedup": EXACT}

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup
+from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup, token_counts
 from eventloom.llm.oracles import ORACLES
 
 #: Folder of the public tokenizer files; the same on every machine of the cluster.
@@ -58,6 +58,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.per_document(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.per_document(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
@@ -69,6 +77,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 
 __all__ = ["ORACLES", "QUERIES", "TOKENIZERS", "table"]
