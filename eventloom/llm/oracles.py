@@ -91,4 +91,22 @@ n AS (SELECT part, list_aggregate(list_transform(o, lambda k: substring('ABCDE',
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM n
 """
 
-ORACLES = {"op11_filter_audit": AUDIT, "op1_ngram_jaccard_join": JACCARD, "op4_license_scan": licences(TEMPLATES), "op5_embedding_dedup": EMBEDDINGS, "op9_substring_dedup": REPEATS, "op10_exact_dedup": EXACT}
+TRIE = """
+WITH m AS (SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY pos) AS own FROM m GROUP BY conv_id),
+bits AS (SELECT conv_id, list(ascii(substring(conv_id::VARCHAR, k::INTEGER, 1)) ORDER BY k) AS codes FROM (SELECT conv_id, unnest(range(1, length(conv_id::VARCHAR) + 1)) AS k FROM own) GROUP BY conv_id),
+crc AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM (SELECT conv_id, list_transform(codes, lambda c: c::BIGINT) AS codes FROM bits)),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(d.own, [])[:crc % 9], a.own[crc % 9 + 1:]) AS turns FROM own a JOIN crc USING (conv_id) LEFT JOIN own d ON d.conv_id = a.conv_id - a.conv_id % 5),
+prefix AS (SELECT conv_id, d, turns[:d] AS path, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended,
+  (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(path[d].text)) END) AS own_saved FROM prefix GROUP BY path, d),
+up AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+told AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN up USING (path)),
+spread AS (SELECT path[:k] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own_saved) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM told) GROUP BY 1)
+SELECT t.conv_id, t.d AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(t.ended) AS ends_sha256
+FROM told t JOIN spread ON spread.path = t.path LEFT JOIN node p ON p.path = t.path[:t.d - 1] AND t.d > 0
+"""
+
+ORACLES = {"op11_filter_audit": AUDIT, "op12_prefix_trie": TRIE, "op1_ngram_jaccard_join": JACCARD, "op4_license_scan": licences(TEMPLATES), "op5_embedding_dedup": EMBEDDINGS, "op9_substring_dedup": REPEATS, "op10_exact_dedup": EXACT}

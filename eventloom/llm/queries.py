@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, quality, quotation, substring_dedup, token_counts
+from eventloom.llm import bpe_codec, embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_model, license_scan, packing, prefix_trie, quality, quotation, substring_dedup, token_counts
 from eventloom.llm.oracles import ORACLES
 
 #: Folder of the public tokenizer files; the same on every machine of the cluster.
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.per_node(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.per_document(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_counts": op13_token_counts,
 }
 

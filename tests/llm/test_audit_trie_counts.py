@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from eventloom.llm import filter_audit, token_counts
+from eventloom.llm import filter_audit, prefix_trie, token_counts
 
 EXTRA = "doc_id long, text string, lang string, id long, part int, first int, n int, label int"
 LABELS = "doc_id long, quality int, toxic int, part string"
@@ -82,6 +82,80 @@ def test_filter_audit_of_a_hot_text_and_of_nothing(spark):
     assert sum(got["en", "ABCDE", s]["shapley"] for s in range(1, 6)) == 120 * 3000
 
 
+# ------------------------------------------------------------------- 12
+
+TALK = "conv_id long, turn long, role string, text string, key string, path int, n int, piece int"
+
+
+def trie_brute(talk):
+    """Every rebuilt conversation and node by itself."""
+    own = defaultdict(list)
+    for c, turn, role, text in talk:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [t[3:] for t in sorted(v)] for c, v in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        donor = c - (c % 5 if c >= 0 else -(-c % 5))
+        whole = tuple(own.get(donor, [])[:h] + turns[h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].append(c)
+        ends[whole].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+    told = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return Counter((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], told(ends.get(p, []))) for p, m in members.items())
+
+
+def trie(spark, talk, **options):
+    frame = spark.createDataFrame([(*t, "k", 7, 7, 7) for t in talk], TALK).repartition(3)
+    got = rows(prefix_trie.prefix_trie(frame, **options))
+    return Counter((r["conv_id"], r["depth"], r["parent_conv_id"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved"], r["ended"]) for r in got)
+
+
+def talks(n, turns, seed):
+    rng = random.Random(seed)
+    out = []
+    for c in range(n):
+        out += [(c, t if rng.random() < 0.95 else None, rng.choice(["user", "assistant", None]), rng.choice(["hi", "hé", "", None, "long " * 50])) for t in range(rng.randint(0, turns))]
+    return out
+
+
+def test_the_trie_equals_all_prefixes_of_all_conversations(spark):
+    talk = talks(120, 14, 1) + [(None, 1, "user", "x"), (-3, 1, "user", "x"), (-3, 2, "user", "x"), (-1, None, None, None), (500, 3, "user", "one"), (503, 1, "user", "two")]
+    want = trie_brute(talk)
+    assert trie(spark, talk) == want
+    assert trie(spark, talk, piece=2, run_bytes=1000, range_bytes=2000) == want  # pieces that hang from others, many runs and ranges
+
+
+def test_the_trie_of_hot_and_very_long_conversations(spark):
+    same = [(c, t, "user", f"turn {t}") for c in range(0, 4000, 5) for t in range(6)]  # equal ones, over all ranges
+    long = [(c, t, "user", f"line {t if c < 10_000 or t < 300 else -t}") for c in (5005, 10_005) for t in range(700)]
+    talk = same + long + talks(40, 5, 2) + [(20_000, 1, "user", "again")] * 2000  # one conversation with a third of the rows
+    want = trie_brute(talk)
+    assert trie(spark, talk, piece=64, run_bytes=20_000, range_bytes=10_000) == want
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], TALK)).count() == 0
+    assert trie(spark, [(None, 1, "user", "x")]) == Counter()
+    assert trie(spark, [(7, 1, "user", "x")]) == trie_brute([(7, 1, "user", "x")])
+
+
+def test_loser_trees_tell_order_and_shared_turns():
+    rng = random.Random(4)
+    for width in (1, 2, 3, 5, 8, 13):
+        keys = [(b"".join(bytes([rng.randrange(3)]) * prefix_trie.NAME for _ in range(rng.randint(1, 6))), i) for i in range(200)]
+        runs = [sorted(keys[k::width]) for k in range(width)]
+        given = [[(0 if j == 0 else prefix_trie.shared(r[j - 1][0], key), key, i) for j, (key, i) in enumerate(r)] for r in runs]
+        got = list(prefix_trie.merged(given))
+        assert [row[1:] for _, row in got] == sorted(keys)
+        assert [lcp for lcp, _ in got] == [0] + [prefix_trie.shared(a[0], b[0]) for a, b in zip(sorted(keys), sorted(keys)[1:])]
+
+
 # ------------------------------------------------------------------- 13
 
 
