@@ -324,7 +324,7 @@ def peak_rates(spark, d):
     return rounded(fixed_points(spark, d).select("s_suppkey", candidates.peak_rate(F.col("rates"), 2).alias("peak")))
 
 
-RANK = "ORDER BY far DESC, coalesce(stability<>'stable',NULL)::INT ASC NULLS FIRST, coalesce(residual,'inf'::DOUBLE), -abs(value), -value"
+RANK = "ORDER BY far DESC, (coalesce(stability,'unknown')<>'stable')::INT, coalesce(residual,'inf'::DOUBLE), -abs(value), -value"
 _PICK = "p{k} AS (SELECT rep, focus_count, value AS v{k} FROM (SELECT *, row_number() OVER (PARTITION BY rep, focus_count {rank}) AS r FROM (SELECT f.*, {far} AS far FROM f {joins}) WHERE far>0) WHERE r=1)"
 DIVERSE = (
     FIX + ", " + _PICK.format(k=0, rank=RANK, far="'inf'::DOUBLE", joins="")

@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans import method_queries, more_queries, queries, result_queries
+from eventloom.plans import long_queries, method_queries, more_queries, queries, result_queries
 
-assert more_queries and result_queries and method_queries
+assert long_queries and more_queries and result_queries and method_queries
 DATA = "/root/testdata/sf0.001"
 
 
