@@ -132,7 +132,7 @@ def series(spark):
     """bins x (gap, value) of all events in order, from the table itself."""
     e = spark.read.parquet(f"{DATA}/events.parquet").toPandas().sort_values("ts")
     gap = e["ts"].diff().dt.total_seconds().fillna(0).to_numpy() / 3600
-    return np.stack([gap / gap.std(), e["value"].to_numpy() / e["value"].std()], 1)
+    return np.stack([gap / gap.std(), e["value"].to_numpy() / e["value"].std(ddof=0)], 1)
 
 
 def test_long_queries_over_the_whole_table(spark, series):
