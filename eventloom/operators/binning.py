@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.operators import sequence
+from eventloom.functions.quantiles import quantiles
 
 
 def grid(t0: float, t1: float, dt: float) -> tuple[float, int]:
@@ -81,9 +82,9 @@ def transformed(x: Column, how: str, unit: Column | None = None) -> Column:
     return x
 
 
-def asinh_activity(signal: DataFrame, value: str = "x") -> DataFrame:
+def asinh_activity(signal: DataFrame, value: str = "x", most: int | None = None) -> DataFrame:
     """asinh(x / r0) with r0 the run's median of positive values (1 without any)."""
-    r0 = signal.groupBy("run_id").agg(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)), F.lit(1.0)).alias("r0"))
+    r0 = quantiles(signal, ["run_id"], F.when(F.col(value) > 0, F.col(value)), {"r0": 0.5}, most).select("run_id", F.coalesce("r0", F.lit(1.0)).alias("r0"))
     return signal.join(r0, "run_id").withColumn("y", F.asinh(F.col(value) / F.col("r0")))
 
 
@@ -93,30 +94,33 @@ def zscored(signal: DataFrame, value: str = "x") -> DataFrame:
     return signal.join(s, ["run_id", "cluster"]).withColumn("z", (F.col(value) - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).drop("m", "s")
 
 
-def run_scaled(signal: DataFrame, value: str = "x", eps: float = 1e-9) -> DataFrame:
-    """(x - median) / (q95 - q05) over all clusters of a run; a flat run is only centred."""
-    q = signal.groupBy("run_id").agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    width = F.col("q")[2] - F.col("q")[0]
-    return signal.join(q, "run_id").withColumn("y", (F.col(value) - F.col("q")[1]) / F.when(width < eps, 1.0).otherwise(width)).drop("q")
+def run_scaled(signal: DataFrame, value: str = "x", eps: float = 1e-9, most: int | None = None) -> DataFrame:
+    """(x - median) / (q95 - q05) over all clusters of a run; a flat run is only centred. most:
+    as in quantiles(), values of a run."""
+    q = quantiles(signal, ["run_id"], value, {"q05": 0.05, "q50": 0.5, "q95": 0.95}, most)
+    width = F.col("q95") - F.col("q05")
+    return signal.join(q, "run_id").withColumn("y", (F.col(value) - F.col("q50")) / F.when(width < eps, 1.0).otherwise(width)).drop("q05", "q50", "q95")
 
 
-def thresholds(signal: DataFrame, mode: str, value: str = "x", level: float = 0.5, factor: float = 1.0) -> DataFrame:
-    """run_id, cluster, threshold by 'fixed', 'percentile' (level in [0, 1]) or 'std'."""
-    how = {"fixed": F.max(F.lit(level)), "percentile": F.percentile(value, F.lit(level)), "std": F.avg(value) + factor * F.stddev_pop(value)}[mode]
+def thresholds(signal: DataFrame, mode: str, value: str = "x", level: float = 0.5, factor: float = 1.0, most: int | None = None) -> DataFrame:
+    """run_id, cluster, threshold by 'fixed', 'percentile' (level in [0, 1]) or 'std'. most: as
+    in quantiles(), values of a cluster."""
+    if mode == "percentile":
+        return quantiles(signal, ["run_id", "cluster"], value, {"threshold": level}, most)
+    how = {"fixed": F.max(F.lit(level)), "std": F.avg(value) + factor * F.stddev_pop(value)}[mode]
     return signal.groupBy("run_id", "cluster").agg(how.alias("threshold"))
 
 
-def binarized(signal: DataFrame, mode: str = "percentile", value: str = "x", level: float = 0.5, factor: float = 1.0) -> DataFrame:
+def binarized(signal: DataFrame, mode: str = "percentile", value: str = "x", level: float = 0.5, factor: float = 1.0, most: int | None = None) -> DataFrame:
     """signal with active = value at or above the cluster's threshold."""
-    limit = thresholds(signal, mode, value, level, factor)
+    limit = thresholds(signal, mode, value, level, factor, most)
     return signal.join(limit, ["run_id", "cluster"]).withColumn("active", (F.col(value) >= F.col("threshold")).cast("int"))
 
 
 def hysteresis(signal: DataFrame, low: float, high: float, value: str = "x") -> DataFrame:
     """On from a value of high, off from one under low, else as before; off at the start."""
-    order = Window.partitionBy("run_id", "cluster").orderBy("bin")
     event = F.when(F.col(value) >= high, 1).when(F.col(value) < low, 0)
-    return signal.withColumn("active", F.coalesce(F.last(event, ignorenulls=True).over(order), F.lit(0)))
+    return sequence.last_known(signal, "bin", event, "active", ["run_id", "cluster"]).withColumn("active", F.coalesce("active", F.lit(0)))
 
 
 def select_clusters(signal: DataFrame, clusters: DataFrame, mode: str = "all", names: list[str] | None = None, groups: list[int] | None = None) -> DataFrame:

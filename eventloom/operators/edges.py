@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,9 +72,42 @@ def homogenized(edges: DataFrame, posts: DataFrame, pres: DataFrame) -> DataFram
     return block_statistics(edges, posts, pres).select("post_pop", "pre_pop", F.col("entry_mean").alias("w"))
 
 
-def fields(edges: DataFrame, active: DataFrame) -> DataFrame:
-    """Sum of weights from active(t, unit) to each post and time."""
-    return edges.join(active.select("t", F.col("unit").alias("pre")), "pre").groupBy("t", "post").agg(F.sum("w").alias("h"))
+def fields(edges: DataFrame, active: DataFrame, units: int = 4096, times: int = 1024) -> DataFrame:
+    """Sum of weights from active(t, unit) to each post and time that has any. A product of two
+    sparse matrices in blocks: edges by (post, pre) blocks and activity by (pre, time) blocks. A block
+    of edges is sent once per time block and one of activity once per post block, a hub's edges
+    stand in all of its blocks, and a block pair returns one sum per post and time."""
+    block = lambda c, n: F.floor(F.col(c) / n)
+    own = edges.select("post", "pre", F.col("w").cast("double").alias("w")).withColumn("i", block("post", units)).withColumn("j", block("pre", units))
+    on = active.select(F.col("t").cast("long").alias("t"), F.col("unit").alias("pre")).withColumn("j", block("pre", units)).withColumn("k", block("t", times))
+    reach = on.select("j", "k").distinct()
+    meets = own.select("i", "j").distinct().join(reach, "j")
+    sent = own.join(reach, "j").select("post", "pre", "w", F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("k").alias("bk"))
+    lit = on.join(meets, ["j", "k"]).select("pre", "t", F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("k").alias("ak"))
+
+    def add(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if not len(e) or not len(a):
+            return pd.DataFrame(columns=["post", "t", "h"])
+        i, j, k = (int(e[c].iloc[0]) for c in ("bi", "bj", "bk"))
+        w, hit, times_on = np.zeros((units, times)), np.zeros((units, times), bool), np.zeros((units, times))
+        count = a.groupby(["pre", "t"]).size()
+        pre, t = (count.index.get_level_values(n).to_numpy() for n in ("pre", "t"))
+        times_on[pre - j * units, t - k * times] = count.to_numpy()
+        on = times_on > 0
+        post, source, weight = (e[c].to_numpy() for c in ("post", "pre", "w"))
+        order = np.argsort(post, kind="stable")
+        post, source, weight = post[order], source[order] - j * units, weight[order]
+        first = np.flatnonzero(np.append(True, np.diff(post) > 0))
+        for a0, b0 in zip(first, np.append(first[1:], len(post))):  # one post's edges at a time
+            rows = source[a0:b0]
+            w[post[a0] - i * units] = weight[a0:b0] @ times_on[rows]
+            hit[post[a0] - i * units] = on[rows].any(0)
+        p, q = np.nonzero(hit)
+        return pd.DataFrame({"post": p + i * units, "t": q + k * times, "h": w[p, q]})
+
+    parts = sent.groupBy("bi", "bj", "bk").cogroup(lit.groupBy("ai", "aj", "ak")).applyInPandas(add, "post long, t long, h double")
+    kind = active.schema["t"].dataType
+    return parts.groupBy("t", "post").agg(F.sum("h").alias("h")).select(F.col("t").cast(kind).alias("t"), "post", "h")
 
 
 def compressed(values: DataFrame, value: str) -> DataFrame:

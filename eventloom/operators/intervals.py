@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +68,9 @@ def synchrony(counts: DataFrame, ignore_silent: bool = False) -> DataFrame:
 
 def sliding_counts(counts: DataFrame, width: int) -> DataFrame:
     """Counts of `width` bins from each bin on, whole windows only."""
-    w = Window.partitionBy(*UNIT).orderBy("bin").rowsBetween(0, width - 1)
-    return counts.withColumn("total", F.sum("n").over(w)).withColumn("k", F.count(F.lit(1)).over(w)).where(F.col("k") == width).select(*UNIT, "bin", "total")
+    cut = sequence.with_halo(counts, "bin", width - 1, 0, max(sequence.WIDTH, 4 * width))
+    w = Window.partitionBy(*UNIT, "stretch").orderBy("bin").rowsBetween(0, width - 1)
+    return cut.withColumn("total", F.sum("n").over(w)).withColumn("k", F.count(F.lit(1)).over(w)).where((F.col("k") == width) & F.col("own")).select(*UNIT, "bin", "total")
 
 
 def kernel_fano(counts: DataFrame, width: int) -> DataFrame:
@@ -101,6 +103,29 @@ def time_resolved(spikes: DataFrame, t0: float, t1: float, width: float, step: f
     return out.withColumn("time", F.lit(t0) + F.col("k") * step + (width - step) / 2)
 
 
+def time_resolved_counts(spikes: DataFrame, t0: float, t1: float, width: float, step: float) -> DataFrame:
+    """run_id, k, time, n and n_units (distinct) of the windows of time_resolved() that hold events,
+    from panes: an event is counted once, in its pane of the common measure of width and step.
+    A pane's events enter the windows that begin up to a width before it, and a unit those
+    among them that hold no earlier pane of its own, so both are running sums over panes of what
+    enters and leaves; rows don't grow with width / step."""
+    a, b = Fraction(width), Fraction(step)
+    measure = Fraction(math.gcd(a.numerator * b.denominator, b.numerator * a.denominator), a.denominator * b.denominator)
+    pane, across, every = float(measure), int(a / measure), int(b / measure)
+    windows = int((t1 - t0 - width) // step) + 1 if t1 - t0 >= width else 0
+    own = spikes.where((F.col("t") >= t0) & (F.col("t") < t1)).groupBy(*UNIT, F.floor((F.col("t") - t0) / pane).alias("pane")).agg(F.count(F.lit(1)).alias("n"))
+    own = sequence.neighbour(own, "pane", "pane", "before", UNIT)
+    change = lambda at, n, units: F.struct(at.alias("at"), n.alias("n"), units.alias("n_units"))
+    enters, leaves, none = F.col("pane") - across + 1, F.col("pane") + 1, F.lit(0).cast("long")
+    first = F.greatest(enters, F.coalesce(F.col("before") + 1, enters))
+    moves = own.select("run_id", F.explode(F.array(change(enters, F.col("n"), none), change(first, none, none + 1), change(leaves, -F.col("n"), none - 1))).alias("m")).select("run_id", "m.*")
+    grid = spikes.select("run_id").distinct().select("run_id", F.explode(F.sequence(none, F.lit((windows - 1) * every).cast("long"), F.lit(every).cast("long"))).alias("at"), none.alias("n"), none.alias("n_units")) if windows else moves.where("false")
+    steps = moves.unionByName(grid).groupBy("run_id", "at").agg(F.sum("n").alias("dn"), F.sum("n_units").alias("du"))
+    full = sequence.total_so_far(sequence.total_so_far(steps, "at", F.col("dn"), "n"), "at", F.col("du"), "n_units")
+    out = full.where((F.col("at") >= 0) & (F.col("at") <= (windows - 1) * every) & (F.col("at") % every == 0) & (F.col("n") > 0)).withColumn("k", F.expr(f"at div {every}"))
+    return out.select("run_id", "k", "n", "n_units", (F.lit(t0) + F.col("k") * step + (width - step) / 2).alias("time"))
+
+
 def time_resolved_grid(spikes: DataFrame, t0: float, t1: float, width: float, step: float, aggs: list[Column]) -> DataFrame:
     """time_resolved() on times and window bounds cut down to whole units of time, at the middle
     of each window."""

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.functions.numeric import median
+from eventloom.functions.quantiles import quantiles
+from eventloom.operators import sequence
 
 
 def gaussian(sigma: float, dt: float, widths: float = 3) -> list[float]:
@@ -28,20 +31,31 @@ def triangular(sigma: float, dt: float) -> list[float]:
     return [x / (sum(w) * dt) for x in w]
 
 
-def convolved(series: DataFrame, value: str, kernel: list[float], by: list[str], edge: str = "zero") -> DataFrame:
-    """Centred convolution along `bin`. Each row is sent to the bins that its kernel reaches
-    and sums are combined before the shuffle; edge 'zero' pads, 'nearest' repeats end values."""
-    half = len(kernel) // 2
-    taps = F.array(*(F.struct(F.lit(k - half).alias("off"), F.lit(w).alias("w")) for k, w in enumerate(kernel)))
-    if edge == "zero":
-        spread = series.select(*by, "bin", value, F.explode(taps).alias("tap")).withColumn("to", F.col("bin") + F.col("tap.off"))
-        limits = series.groupBy(*by).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-        spread = spread.join(limits, by).where("to between low and high")
-        return spread.groupBy(*by, F.col("to").alias("bin")).agg(F.sum(F.col(value) * F.col("tap.w")).alias("smooth"))
-    limits = series.groupBy(*by).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-    want = series.select(*by, F.col("bin").alias("to"), F.explode(taps).alias("tap")).join(limits, by)
-    want = want.withColumn("bin", F.greatest("low", F.least("high", F.col("to") - F.col("tap.off"))))
-    return want.join(series.select(*by, "bin", value), [*by, "bin"]).groupBy(*by, F.col("to").alias("bin")).agg(F.sum(F.col(value) * F.col("tap.w")).alias("smooth"))
+def convolved(series: DataFrame, value: str, kernel: list[float], by: list[str], edge: str = "zero", width: int = 4096) -> DataFrame:
+    """Centred convolution along `bin`, a missing bin counting as 0; edge 'zero' pads, 'nearest'
+    repeats end values. Stretches of bins get the bins that the kernel reaches beyond them (halos),
+    and each is one vectorised convolution: what is shuffled grows with bins, not with taps."""
+    half, w = len(kernel) // 2, np.array(kernel)
+    width = max(width, 4 * half)
+    limits = series.groupBy(*by).agg(F.min("bin").alias("_low"), F.max("bin").alias("_high"), F.min_by(value, "bin").alias("_first"), F.max_by(value, "bin").alias("_last"))
+    cut = sequence.with_halo(series.select(*by, "bin", F.col(value).cast("double").alias("_x")), "bin", half, half, width).drop("own")
+    schema = cut.select(*by, "bin", F.col("_x").alias("smooth")).schema
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first = int(frame["stretch"].iloc[0]) * width
+        low, high = int(frame["_low"].iloc[0]), int(frame["_high"].iloc[0])
+        at = np.arange(first - half, first + width + half)
+        x = np.zeros(len(at))
+        x[frame["bin"].to_numpy() - at[0]] = frame["_x"].fillna(0.0).to_numpy()
+        if edge == "nearest":
+            x[at < low], x[at > high] = frame["_first"].iloc[0], frame["_last"].iloc[0]
+        smooth = np.convolve(x, w, "valid")
+        own = frame[(frame["bin"] >= first) & (frame["bin"] < first + width)] if edge == "nearest" else None
+        bins = own["bin"].to_numpy() if own is not None else np.arange(max(first, low), min(first + width, high + 1))
+        out = {c: pd.Series([frame[c].iloc[0]] * len(bins), dtype=object) for c in by}
+        return pd.DataFrame(out | {"bin": bins, "smooth": smooth[bins - first]})
+
+    return cut.join(limits, by).groupBy(*by, "stretch").applyInPandas(run, schema)
 
 
 def kernel_rate(counts: DataFrame, kernel: list[float]) -> DataFrame:
@@ -49,13 +63,13 @@ def kernel_rate(counts: DataFrame, kernel: list[float]) -> DataFrame:
     times in ms."""
     half = len(kernel) // 2
     pooled = counts.groupBy("run_id", "bin").agg(F.avg("n").alias("n"))
-    limits = F.broadcast(pooled.groupBy("run_id").agg(F.min("bin").alias("low"), F.max("bin").alias("high")))
+    limits = pooled.groupBy("run_id").agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
     out = convolved(pooled, "n", kernel, ["run_id"]).join(limits, "run_id")
     return out.where((F.col("bin") >= F.col("low") + half) & (F.col("bin") <= F.col("high") - half)).select("run_id", "bin", (F.col("smooth") * 1000).alias("rate"))
 
 
 def rate_integral(rate: DataFrame, dt: float) -> DataFrame:
-    return rate.withColumn("integral", F.sum(F.col("rate") / 1000).over(Window.partitionBy("run_id").orderBy("bin")) * dt)
+    return sequence.total_so_far(rate, "bin", F.col("rate") / 1000, "integral").withColumn("integral", F.col("integral") * dt)
 
 
 def smooth_weights(sigma_bins: float) -> list[float]:
@@ -76,12 +90,13 @@ def moving_average(signal: DataFrame, width: int, value: str = "x") -> DataFrame
     return convolved(signal, value, [1.0 / width] * width, ["run_id", "cluster"], "zero")
 
 
-def reliability(signal: DataFrame, value: str = "x", eps: float = 1e-9) -> DataFrame:
-    """Weight of each cluster: its range over the noise of its steps, squared shares."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy("run_id", "cluster").orderBy("bin"))
-    d = signal.withColumn("d", step)
-    mid = d.groupBy("run_id", "cluster").agg((F.percentile(value, F.lit(0.95)) - F.percentile(value, F.lit(0.05))).alias("range"), median("d").alias("mid"))
-    mad = d.join(mid, ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("range").alias("range"), median(F.abs(F.col("d") - F.col("mid"))).alias("mad"))
+def reliability(signal: DataFrame, value: str = "x", eps: float = 1e-9, most: int | None = None) -> DataFrame:
+    """Weight of each cluster: its range over the noise of its steps, squared shares. most: as
+    in quantiles(), values of a cluster."""
+    by = ["run_id", "cluster"]
+    d = sequence.neighbour(signal, "bin", value, "before", by).withColumn("d", F.col(value) - F.col("before"))
+    mid = quantiles(d, by, value, {"low": 0.05, "high": 0.95}, most).join(quantiles(d, by, "d", {"mid": 0.5}, most), by)
+    mad = mid.join(quantiles(d.join(mid, by), by, F.abs(F.col("d") - F.col("mid")), {"mad": 0.5}, most), by).withColumn("range", F.col("high") - F.col("low"))
     noise = 1.4826 * F.coalesce("mad", F.lit(0.0)) / math.sqrt(2)
     s = F.greatest(F.col("range") - 2 * noise, F.lit(0.0))
     return mad.select("run_id", "cluster", "range", noise.alias("noise"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * s / (s * s + noise * noise + eps))).alias("weight"))
@@ -89,11 +104,12 @@ def reliability(signal: DataFrame, value: str = "x", eps: float = 1e-9) -> DataF
 
 def lag_features(signal: DataFrame, reach: int, value: str = "x") -> DataFrame:
     """value at bins -reach .. reach of each row as an array, ends repeated."""
-    w = Window.partitionBy("run_id", "cluster").orderBy("bin")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(value).over(whole), F.last(value).over(whole)
-    at = [F.coalesce(F.lag(value, k).over(w) if k >= 0 else F.lead(value, -k).over(w), first if k > 0 else last) for k in range(reach, -reach - 1, -1)]
-    return signal.withColumn("window", F.array(*at))
+    by = ["run_id", "cluster"]
+    ends = signal.groupBy(*by).agg(F.min_by(value, "bin").alias("_first"), F.max_by(value, "bin").alias("_last"))
+    cut = sequence.with_halo(signal, "bin", reach, reach, max(sequence.WIDTH, 4 * reach)).join(ends, by)
+    w = Window.partitionBy(*by, "stretch").orderBy("bin")
+    at = [F.coalesce(F.lag(value, k).over(w) if k >= 0 else F.lead(value, -k).over(w), F.col("_first") if k > 0 else F.col("_last")) for k in range(reach, -reach - 1, -1)]
+    return cut.withColumn("window", F.array(*at)).where("own").drop("own", "stretch", "_first", "_last")
 
 
 def cutoff_hz(sigma_seconds: Column) -> Column:

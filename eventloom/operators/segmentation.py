@@ -454,14 +454,6 @@ def segmentation_costs(signal: DataFrame, ends: list[int], costs: list[str], val
     return each.select("run_id", "cluster", "bin", value, "kind").groupBy("run_id", "kind").applyInPandas(run, "run_id string, kind string, cost double")
 
 
-def short_removed(labels: DataFrame, least: int, strategy: str = "previous") -> DataFrame:
-    def run(frame):
-        frame = frame.sort_values("bin")
-        return frame.assign(label=remove_short(frame["label"].to_numpy(), least, strategy))[["run_id", "bin", "label"]]
-
-    return labels.select("run_id", "bin", "label").groupBy("run_id").applyInPandas(run, "run_id string, bin long, label long")
-
-
 def active_set_states(signal: DataFrame, width: int, k_max: int, switch: float = 1.0, hamming: float = 0.5, value: str = "x") -> DataFrame:
     """Fixed segments of `width` bins, their active sets and names."""
 

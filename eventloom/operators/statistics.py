@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import corr_pop, div, fisher_z
+from eventloom.functions.quantiles import quantiles
 from eventloom.operators import sequence
 
 
@@ -18,6 +21,52 @@ def pair_correlations(x: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, ["run_id", "t", "b"]).groupBy("run_id", "scope", "a", "b").agg(corr_pop("va", "vb").alias("r"), F.covar_pop("va", "vb").alias("cov"))
 
 
+def all_pair_correlations(x: DataFrame, units: int = 256, times: int = 4096) -> DataFrame:
+    """Pearson r and covariance over time of every pair a < b of units of x(run_id, t, unit,
+    value), over the times that both have. Units and times are cut into blocks; a pair of unit
+    blocks meets once per time block, as arrays, and its products are added up per task, so a
+    value is sent once per unit block and not once per unit. r is NULL where a side is constant."""
+    low = x.groupBy("run_id", "unit").agg(F.min("value").alias("_low"))  # a constant unit is exactly zero then
+    rows = x.join(low, ["run_id", "unit"]).select("run_id", F.expr(f"unit div {units}").alias("ub"), F.expr(f"t div {times}").alias("tb"), "unit", "t", (F.col("value") - F.col("_low")).cast("double").alias("v"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.dropna(subset=["v"])
+        dense = np.full((units, times), np.nan)
+        dense[frame["unit"].to_numpy() % units, frame["t"].to_numpy() % times] = frame["v"]
+        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "ub": [frame["ub"].iloc[0]], "tb": [frame["tb"].iloc[0]], "block": [dense.tobytes()]}) if len(frame) else pd.DataFrame(columns=["run_id", "ub", "tb", "block"])
+
+    packed = rows.where("v is not null").groupBy("run_id", "ub", "tb").applyInPandas(pack, "run_id string, ub long, tb long, block binary")
+    sides = packed.select("run_id", "tb", F.col("ub").alias("i"), F.col("block").alias("x")).join(packed.select("run_id", "tb", F.col("ub").alias("j"), F.col("block").alias("y")), ["run_id", "tb"]).where("i <= j")
+
+    def multiply(frames):
+        total: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for run, i, j, x, y in zip(frame["run_id"], frame["i"], frame["j"], frame["x"], frame["y"]):
+                p, q = np.frombuffer(x).reshape(units, times), np.frombuffer(y).reshape(units, times)
+                m, n = ~np.isnan(p), ~np.isnan(q)
+                p, q = np.where(m, p, 0.0), np.where(n, q, 0.0)
+                m, n = m.astype(float), n.astype(float)
+                own = np.stack([m @ n.T, p @ n.T, m @ q.T, p @ q.T, (p * p) @ n.T, m @ (q * q).T])
+                total[run, i, j] = total[run, i, j] + own if (run, i, j) in total else own
+            if len(total) >= 16:
+                yield pd.DataFrame([(*k, v.tobytes()) for k, v in total.items()], columns=["run_id", "i", "j", "sums"])
+                total = {}
+        yield pd.DataFrame([(*k, v.tobytes()) for k, v in total.items()], columns=["run_id", "i", "j", "sums"])
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        n, a, b, ab, aa, bb = sum(np.frombuffer(s).reshape(6, units, units) for s in frame["sums"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov, va, vb = ab / n - a * b / n**2, aa / n - (a / n) ** 2, bb / n - (b / n) ** 2
+            r = np.where((va > 1e-14 * aa / n) & (vb > 1e-14 * bb / n), cov / np.sqrt(va * vb), np.nan)
+        first, second = frame["i"].iloc[0] * units + np.arange(units), frame["j"].iloc[0] * units + np.arange(units)
+        k, l = np.nonzero((n > 0) & (first[:, None] < second))
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "a": first[k], "b": second[l], "r": r[k, l], "cov": cov[k, l]})
+
+    sums = sides.mapInPandas(multiply, "run_id string, i long, j long, sums binary")
+    found = sums.groupBy("run_id", "i", "j").applyInPandas(finish, "run_id string, a long, b long, r double, cov double")
+    return found.select("run_id", "a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"), "cov")
+
+
 def sampled_pairs(units: DataFrame, most: int, chunks: int = 64) -> DataFrame:
     """Pairs a < b within and across groups(unit, group_id): all of a scope, or `most` of them
     where it has more. Units get places, group after group; a scope's pairs are numbered by
@@ -121,10 +170,30 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, samples: int) -> DataF
     return n.join(q, by).select(*by, "mean", "low", "high", "n")
 
 
-def network_mask(signal: DataFrame, level: float = 0.5, value: str = "x") -> DataFrame:
+#: The distribution function of Poisson's law of mean 1 at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 1.0)
+
+
+def hashed_bootstrap(rows: DataFrame, by: list[str], value: str, row_id: str, samples: int) -> DataFrame:
+    """Mean and 95 % percentile interval of Poisson bootstrap means. A row's weight in a sample
+    is drawn by a hash of its number and the sample's, so no draw is joined: each task adds up
+    weights and weighted values per group and sample, and samples x groups rows are shuffled."""
+    s, i = F.col("s"), F.col(row_id) % 1000003
+    chance = (i * (s * 7919 + 104729) + s * s) % 1000003 / F.lit(1000003.0)
+    weight = F.lit(len(POISSON) - 1)
+    for k in range(len(POISSON) - 2, -1, -1):
+        weight = F.when(F.col("u") < POISSON[k], k).otherwise(weight)
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), row_id)
+    drawn = own.withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long")))).withColumn("u", chance).withColumn("w", weight)
+    means = drawn.groupBy(*by, "s").agg(div(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+    q = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return own.groupBy(*by).agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n")).join(q, by).select(*by, "mean", "low", "high", "n")
+
+
+def network_mask(signal: DataFrame, level: float = 0.5, value: str = "x", most: int | None = None) -> DataFrame:
     """run_id, bin, net (mean over clusters) and whether it is at or over the run's percentile."""
     net = signal.groupBy("run_id", "bin").agg(F.avg(value).alias("net"))
-    q = net.groupBy("run_id").agg(F.percentile("net", F.lit(level)).alias("q"))
+    q = quantiles(net, ["run_id"], "net", {"q": level}, most)
     return net.join(q, "run_id").select("run_id", "bin", "net", (F.col("net") >= F.col("q")).cast("int").alias("high"))
 
 
@@ -162,11 +231,11 @@ def top_clusters(stats: DataFrame, keep: int) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def robust_baseline(signal: DataFrame, floor: float, value: str = "x") -> DataFrame:
+def robust_baseline(signal: DataFrame, floor: float, value: str = "x", most: int | None = None) -> DataFrame:
     """Median and 1.4826 * MAD (at least floor) of each cluster."""
-    mid = signal.groupBy("run_id", "cluster").agg(F.percentile(value, F.lit(0.5)).alias("mid"))
-    out = signal.join(mid, ["run_id", "cluster"]).groupBy("run_id", "cluster").agg(F.first("mid").alias("median"), F.percentile(F.abs(F.col(value) - F.col("mid")), F.lit(0.5)).alias("mad"))
-    return out.select("run_id", "cluster", "median", F.greatest(F.lit(floor), 1.4826 * F.col("mad")).alias("noise"))
+    mid = quantiles(signal, ["run_id", "cluster"], value, {"median": 0.5}, most)
+    off = quantiles(signal.join(mid, ["run_id", "cluster"]), ["run_id", "cluster"], F.abs(F.col(value) - F.col("median")), {"mad": 0.5}, most)
+    return mid.join(off, ["run_id", "cluster"]).select("run_id", "cluster", "median", F.greatest(F.lit(floor), 1.4826 * F.col("mad")).alias("noise"))
 
 
 def state_keys(rates: DataFrame, most: int) -> DataFrame:

@@ -94,7 +94,7 @@ def sampled_pairs(spark, d):
 
 @query("changepoint_elbow")
 def changepoint_elbow(spark, d):
-    s = binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x"))
+    s = binning.run_scaled(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", F.col("y").alias("x"))
     return selection.elbow(segmentation.penalty_grid(s, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]))
 
 

@@ -61,7 +61,7 @@ def daily(spark, d) -> DataFrame:
 
 
 def active(spark, d) -> DataFrame:
-    return binning.binarized(signal(spark, d), "percentile", "x", 0.5)
+    return binning.binarized(signal(spark, d), "percentile", "x", 0.5, most=T.BINS)
 
 
 def sequence(spark, d) -> DataFrame:
@@ -115,6 +115,12 @@ def kernel_fano(spark, d):
 WINDOWS = "SELECT s.*, k.range AS k FROM s JOIN range({n}) k ON s.t {lo} k.range*{step} AND s.t {hi} k.range*{step}+{width}"
 
 
+@query("pane_counts", f"WITH {SPIKES}, w AS ({WINDOWS.format(n=697, lo='>=', hi='<', step='3600000.0', width='86400000.0')}) SELECT run_id, k, count(*) AS n, count(DISTINCT unit) AS n_units, (k*3600000.0+(86400000.0-3600000.0)/2)::DOUBLE AS time FROM w GROUP BY run_id, k")
+def pane_counts(spark, d):
+    """Windows of a day that begin every hour, from counts of hours."""
+    return intervals.time_resolved_counts(T.spikes(spark, d), 0.0, END, DAY, T.HOUR)
+
+
 @query("time_resolved_rate", f"WITH {SPIKES}, w AS ({WINDOWS.format(n=26, lo='>=', hi='<', step='86400000.0', width='432000000.0')}) SELECT run_id, k, count(*) AS n, count(DISTINCT unit) AS n_units, (k*86400000.0+(432000000.0-86400000.0)/2)::DOUBLE AS time FROM w GROUP BY run_id, k")
 def time_resolved_rate(spark, d):
     return intervals.time_resolved(T.spikes(spark, d), 0.0, END, 5 * DAY, DAY, [F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("n_units")])
@@ -215,7 +221,7 @@ def sqrt_counts(spark, d):
 
 @query("asinh_activity", f"WITH {SIGNAL}, r AS (SELECT coalesce(quantile_cont(x,0.5) FILTER (x>0),1.0) AS r0 FROM sig) SELECT run_id, cluster, bin, round(asinh(x/r0),6) AS y FROM sig CROSS JOIN r")
 def asinh_activity(spark, d):
-    return rounded(binning.asinh_activity(signal(spark, d)).select("run_id", "cluster", "bin", "y"))
+    return rounded(binning.asinh_activity(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", "y"))
 
 
 @query("zscore", f"WITH {SIGNAL} SELECT run_id, cluster, bin, round((x-avg(x) OVER w)/CASE WHEN stddev_pop(x) OVER w=0 THEN 1 ELSE stddev_pop(x) OVER w END,6) AS z FROM sig WINDOW w AS (PARTITION BY cluster)")
@@ -225,7 +231,7 @@ def zscore(spark, d):
 
 @query("robust_run_scale", f"WITH {SIGNAL}, q AS (SELECT quantile_cont(x,0.05) a, quantile_cont(x,0.5) b, quantile_cont(x,0.95) c FROM sig) SELECT run_id, cluster, bin, round((x-b)/CASE WHEN c-a<1e-9 THEN 1 ELSE c-a END,6) AS y FROM sig CROSS JOIN q")
 def robust_run_scale(spark, d):
-    return rounded(binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", "y"))
+    return rounded(binning.run_scaled(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", "y"))
 
 
 @query("binarize_percentile", f"WITH {ACTIVE} SELECT run_id, cluster, bin, active FROM act")
@@ -326,7 +332,7 @@ def moving_average(spark, d):
 
 @query("cluster_reliability", f"WITH {SIGNAL}, dd AS (SELECT *, x-lag(x) OVER (PARTITION BY cluster ORDER BY bin) AS d FROM sig), m AS (SELECT run_id, cluster, quantile_cont(x,0.95)-quantile_cont(x,0.05) AS r, quantile_cont(d,0.5) AS mid FROM dd GROUP BY ALL), n AS (SELECT run_id, cluster, any_value(r) AS r, 1.4826*quantile_cont(abs(d-mid),0.5)/sqrt(2) AS z FROM dd JOIN m USING (run_id, cluster) GROUP BY ALL), g AS (SELECT *, greatest(r-2*z,0) AS s FROM n) SELECT run_id, cluster, round(r,6) AS range, round(z,6) AS noise, round(greatest(0,least(1,s*s/(s*s+z*z+1e-9))),6) AS weight FROM g")
 def cluster_reliability(spark, d):
-    return rounded(kernels.reliability(signal(spark, d)))
+    return rounded(kernels.reliability(signal(spark, d), most=T.BINS))
 
 
 @query("lag_features", f"WITH {SIGNAL}, f AS (SELECT run_id, cluster, bin, x, coalesce(lag(x,2) OVER w, first_value(x) OVER w) AS a, coalesce(lag(x,1) OVER w, first_value(x) OVER w) AS b, lead(x,1) OVER w AS c0, lead(x,2) OVER w AS e0, last_value(x) OVER (PARTITION BY cluster ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM sig WINDOW w AS (PARTITION BY cluster ORDER BY bin)) SELECT run_id, cluster, bin, round(a,6) AS l2, round(b,6) AS l1, round(x,6) AS l0, round(coalesce(c0,z),6) AS f1, round(coalesce(e0,z),6) AS f2 FROM f")
@@ -501,7 +507,7 @@ SWITCH = MASK + ", sw AS (SELECT run_id, cluster, avg(x) FILTER (high=0) AS low,
 
 @query("network_mask", f"WITH {MASK} SELECT run_id, bin, round(net,6) AS net, high FROM mk")
 def network_mask(spark, d):
-    return rounded(statistics.network_mask(signal(spark, d)))
+    return rounded(statistics.network_mask(signal(spark, d), most=T.BINS))
 
 
 @query("two_means", f"WITH {SIGNAL}, net AS (SELECT bin, sum(n)::DOUBLE AS v FROM sig GROUP BY bin), k AS (SELECT DISTINCT v AS c FROM net), z AS (SELECT c, (SELECT sum((v-(SELECT avg(v) FROM net WHERE v<c))*(v-(SELECT avg(v) FROM net WHERE v<c))) FROM net WHERE v<c)+(SELECT sum((v-(SELECT avg(v) FROM net WHERE v>=c))*(v-(SELECT avg(v) FROM net WHERE v>=c))) FROM net WHERE v>=c) AS sse FROM k) SELECT 'events' AS run_id, arg_min(c, sse) AS threshold, round(min(sse),6) AS sse FROM z WHERE sse IS NOT NULL")
@@ -513,18 +519,18 @@ def two_means(spark, d):
 @query("population_switching", f"WITH {SWITCH} SELECT run_id, cluster, round(low,6) AS low, round(hi,6) AS high, round(hi-low,6) AS delta, round((hi-low)/sqrt((v0+v1)/2),6) AS effect, round(r,6) AS r, round((hi-low)/(abs(hi)+abs(low)),6) AS modulation FROM sw")
 def population_switching(spark, d):
     s = signal(spark, d)
-    return rounded(statistics.switching(s, statistics.network_mask(s)))
+    return rounded(statistics.switching(s, statistics.network_mask(s, most=T.BINS)))
 
 
 @query("top_clusters", f"WITH {SWITCH} SELECT run_id, cluster, row_number() OVER (ORDER BY (hi>low) DESC, (hi-low)/sqrt((v0+v1)/2) DESC, cluster)::INT AS rank FROM sw QUALIFY rank<=3")
 def top_clusters(spark, d):
     s = signal(spark, d)
-    return statistics.top_clusters(statistics.switching(s, statistics.network_mask(s)), 3).select("run_id", "cluster", "rank")
+    return statistics.top_clusters(statistics.switching(s, statistics.network_mask(s, most=T.BINS)), 3).select("run_id", "cluster", "rank")
 
 
 @query("robust_baseline", f"WITH {SIGNAL}, m AS (SELECT cluster, quantile_cont(x,0.5) AS mid FROM sig GROUP BY ALL) SELECT run_id, cluster, round(any_value(mid),6) AS median, round(greatest(0.1,1.4826*quantile_cont(abs(x-mid),0.5)),6) AS noise FROM sig JOIN m USING (cluster) GROUP BY run_id, cluster")
 def robust_baseline(spark, d):
-    return rounded(statistics.robust_baseline(signal(spark, d), 0.1))
+    return rounded(statistics.robust_baseline(signal(spark, d), 0.1, most=T.BINS))
 
 
 def matrix(spark, d):
@@ -546,6 +552,12 @@ def pair_correlations(spark, d):
     return rounded(statistics.pair_correlations(matrix(spark, d), unit_pairs(spark)))
 
 
+@query("all_pair_correlations", "WITH x AS (SELECT vec_id AS t, unnest(range(64)) AS unit, unnest(embedding)::DOUBLE AS value FROM embeddings) SELECT 'emb' AS run_id, a.unit AS a, b.unit AS b, round(corr(a.value, b.value), 6) AS r, round(covar_pop(a.value, b.value), 6) AS cov FROM x a JOIN x b ON a.t=b.t AND a.unit<b.unit GROUP BY a.unit, b.unit")
+def all_pair_correlations(spark, d):
+    """Every pair of the 64 units, by products of blocks."""
+    return rounded(statistics.all_pair_correlations(matrix(spark, d), 16, 128))
+
+
 @query("cluster_pair_stats", f"WITH {PAIRS}, g AS (SELECT least(a//8,b//8) AS g1, greatest(a//8,b//8) AS g2, avg(r) AS mean, quantile_cont(r,0.5) AS median FROM c GROUP BY ALL) SELECT g1, g2, round(mean,6) AS mean, round(median,6) AS median FROM g UNION ALL SELECT g2, g1, round(mean,6), round(median,6) FROM g WHERE g1<>g2")
 def cluster_pair_stats(spark, d):
     g = spark.range(64).select(F.col("id").alias("unit"), F.floor(F.col("id") / 8).alias("group_id"))
@@ -583,6 +595,20 @@ def bootstrap(spark, d):
     return rounded(statistics.bootstrap(x, ["region"], "c_acctbal", 50))
 
 
+HASHED = """WITH w(k, c) AS (VALUES (0, 0.36787944117144233), (1, 0.7357588823428847), (2, 0.9196986029286058), (3, 0.9810118431238462), (4, 0.9963401531726563), (5, 0.9994058151824183), (6, 0.999916758850712), (7, 0.9999897508033253), (8, 0.999998874797402), (9, 1.0)),
+x AS (SELECT n_regionkey AS region, c_custkey AS id, c_acctbal AS v FROM customer JOIN nation ON n_nationkey=c_nationkey),
+d AS (SELECT region, v, s, ((id%1000003)*(s*7919+104729)+s*s)%1000003/1000003.0::DOUBLE AS u FROM x, range(1, 101) r(s)),
+m AS (SELECT region, s, sum(v*k)/sum(k) AS m FROM (SELECT d.*, (SELECT min(k) FROM w WHERE u<c) AS k FROM d) GROUP BY region, s)
+SELECT m.region, round(min(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, min(n) AS n FROM m JOIN (SELECT region, avg(v) AS mean, count(*) AS n FROM x GROUP BY region) USING (region) GROUP BY m.region"""
+
+
+@query("hashed_bootstrap", HASHED)
+def hashed_bootstrap(spark, d):
+    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    x = T.table(spark, d, "customer").join(F.broadcast(n), "c_nationkey")
+    return rounded(statistics.hashed_bootstrap(x, ["region"], "c_acctbal", "c_custkey", 100))
+
+
 @query("chain_clusters", "WITH x AS (SELECT p_retailprice AS value, min(p_partkey) AS residual FROM part GROUP BY p_retailprice), y AS (SELECT *, CASE WHEN value-lag(value) OVER (ORDER BY value)>1.0 OR lag(value) OVER (ORDER BY value) IS NULL THEN 1 ELSE 0 END AS new FROM x), z AS (SELECT *, sum(new) OVER (ORDER BY value)::BIGINT AS chain FROM y) SELECT 'part' AS run_id, chain, arg_min(value, residual) AS best, count(*) AS n FROM z GROUP BY chain")
 def chain_clusters(spark, d):
     x = T.table(spark, d, "part").groupBy(F.col("p_retailprice").alias("value")).agg(F.min("p_partkey").alias("residual")).withColumn("run_id", F.lit("part"))
@@ -715,12 +741,12 @@ def generated_edges(spark, d):
 
 @query("changepoints")
 def changepoints(spark, d):
-    return segmentation.changepoints(binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x")), 1.0, 3, 2)
+    return segmentation.changepoints(binning.run_scaled(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", F.col("y").alias("x")), 1.0, 3, 2)
 
 
 @query("penalty_sweep")
 def penalty_sweep(spark, d):
-    return rounded(segmentation.penalty_grid(binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x")), [0.5, 1.0, 2.0, 4.0]).drop("ends"))
+    return rounded(segmentation.penalty_grid(binning.run_scaled(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", F.col("y").alias("x")), [0.5, 1.0, 2.0, 4.0]).drop("ends"))
 
 
 COSTS = f"""
@@ -742,13 +768,21 @@ def segmentation_costs(spark, d):
 
 @query("kernel_changepoints")
 def kernel_changepoints(spark, d):
-    x = binning.run_scaled(signal(spark, d)).select("run_id", "cluster", "bin", F.col("y").alias("x"))
+    x = binning.run_scaled(signal(spark, d), most=5 * T.BINS).select("run_id", "cluster", "bin", F.col("y").alias("x"))
     return rounded(segmentation.penalty_grid(x, [0.5, 1.0, 2.0], cost="rbf"))
 
 
-@query("short_segments_removed")
+SHORT = f"""WITH {PATTERN}, lg AS (SELECT bin, label, lag(label) OVER (ORDER BY bin) AS p FROM pl),
+isl AS (SELECT bin, label, sum(CASE WHEN p IS NULL OR p<>label THEN 1 ELSE 0 END) OVER (ORDER BY bin) AS i FROM lg),
+seg AS (SELECT i, label, min(bin) AS a, max(bin)+1 AS b FROM isl GROUP BY i, label),
+kept AS (SELECT *, b-min(a) OVER ()>=3 AND (b-a>=3 OR b=(SELECT min(b) FROM seg WHERE b-(SELECT min(a) FROM seg)>=3)) AS kept FROM seg),
+run AS (SELECT *, last_value(CASE WHEN kept THEN label END IGNORE NULLS) OVER (ORDER BY a) AS l FROM kept)
+SELECT 'events' AS run_id, isl.bin, coalesce(l, (SELECT label FROM kept WHERE kept ORDER BY a LIMIT 1), (SELECT label FROM seg ORDER BY a DESC LIMIT 1))::BIGINT AS label FROM isl JOIN run USING (i)"""
+
+
+@query("short_segments_removed", SHORT)
 def short_segments_removed(spark, d):
-    return segmentation.short_removed(patterns(spark, d), 3)
+    return states.short_removed(patterns(spark, d).select("run_id", "bin", F.col("label").cast("long").alias("label")), 3)
 
 
 @query("active_set_states")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import candidates, evaluation, intervals, meanfield, methods, results, segmentation, sequence, simulation
+from eventloom.operators import candidates, evaluation, intervals, meanfield, methods, results, segmentation, sequence, simulation, states
 from eventloom.plans.method_queries import network_runs
 from eventloom.sources import importers
 
@@ -201,7 +201,7 @@ def test_penalties_equal_an_exhaustive_search(spark):
 def test_short_runs_are_removed(spark):
     labels = [0, 0, 1, 2, 2, 2, 0, 1, 1, 1]
     df = spark.createDataFrame([("r", k, v) for k, v in enumerate(labels)], "run_id string, bin long, label long")
-    got = lambda s: [r["label"] for r in sorted(segmentation.short_removed(df, 2, s).collect(), key=lambda r: r["bin"])]
+    got = lambda s: [r["label"] for r in sorted(states.short_removed(df, 2, s).collect(), key=lambda r: r["bin"])]
     assert got("previous") == [0, 0, 0, 2, 2, 2, 2, 1, 1, 1] and got("next") == [0, 0, 2, 2, 2, 2, 1, 1, 1, 1]
 
 
