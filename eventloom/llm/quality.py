@@ -231,8 +231,11 @@ def training(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score THRESHOLD or more. They are scored
-    where they are read; no text is shuffled."""
+    where they are read; no text is shuffled. Without usable labels nothing can be told apart, and
+    every row stays."""
     model = fit(training(measured(docs, id_col, text_col), labels))
+    if model.weights is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

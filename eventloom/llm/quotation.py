@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import earlier_max, splits, written
+from eventloom.llm.common import earlier_max, slices, splits, written
 
 LEVEL = re.compile(r"^\s*((?:>\s?)+)")
 WHITE = re.compile(r"\s+")
@@ -35,19 +35,20 @@ WHITE = re.compile(r"\s+")
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, passage) of each run of lines of one quote level."""
-    own, passages = [], []
+    own: list[str] = []
+    passages: list[tuple[int, list[str]]] = []
+    last = 0
     for line in (text or "").split("\n"):
         mark = LEVEL.match(line)
         level = mark.group(1).count(">") if mark else 0
-        body = line[mark.end() :] if mark else line
         if level == 0:
-            own.append(body)
-            passages.append((0, ""))
-        elif passages and passages[-1][0] == level:
-            passages[-1] = level, passages[-1][1] + "\n" + body
+            own.append(line)
+        elif level == last:
+            passages[-1][1].append(line[mark.end() :])
         else:
-            passages.append((level, body))
-    return "\n".join(own).strip(), [(n, p) for n, p in passages if n]
+            passages.append((level, [line[mark.end() :]]))
+        last = level
+    return "\n".join(own).strip(), [(n, "\n".join(lines)) for n, lines in passages]
 
 
 def normalised(text: str) -> str:
@@ -61,17 +62,18 @@ def units(text: str) -> set[str]:
 
 def _parse(batches):
     schema = pa.schema([("own", pa.string()), ("has", pa.list_(pa.string())), ("level", pa.list_(pa.int32())), ("quote", pa.list_(pa.string()))])
-    for batch in batches:
-        own, has, level, quote = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            body, passages = parse(text)
-            found = sorted({(n, u) for n, p in passages for u in units(p)})
-            own.append(body)
-            has.append(sorted(units(body)))
-            level.append([n for n, _ in found])
-            quote.append([u for _, u in found])
-        cols = [pa.array(c, f.type) for c, f in zip((own, has, level, quote), schema)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "conv_id", "turn", "role")] + cols, names=["row", "conv_id", "turn", "role", *schema.names])
+    for whole in batches:
+        for batch in slices(whole):
+            own, has, level, quote = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                body, passages = parse(text)
+                found = sorted({(n, u) for n, p in passages for u in units(p)})
+                own.append(body)
+                has.append(sorted(units(body)))
+                level.append([n for n, _ in found])
+                quote.append([u for _, u in found])
+            cols = [pa.array(c, f.type) for c, f in zip((own, has, level, quote), schema)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "conv_id", "turn", "role")] + cols, names=["row", "conv_id", "turn", "role", *schema.names])
 
 
 def link(messages: DataFrame) -> DataFrame:

@@ -551,6 +551,47 @@ def test_quotes_become_replies(spark):
     assert rows(quotation.format_chat(df.limit(0))) == []
 
 
+def parsed_brute(text):
+    """Levels and bodies by walking over characters, without the operator's pattern."""
+    lines = []
+    for line in (text or "").split("\n"):
+        at, level, stop = 0, 0, 0
+        while at < len(line) and line[at].isspace():
+            at += 1
+        while at < len(line) and line[at] == ">":
+            level, at = level + 1, at + 1
+            if at < len(line) and line[at].isspace():
+                at += 1
+            stop = at
+        lines.append((level, line[stop:] if level else line))
+    runs = []
+    for level, body in lines:
+        if runs and level and runs[-1][0] == level:
+            runs[-1][1].append(body)
+        else:
+            runs.append((level, [body]))
+    return "\n".join(b for n, b in lines if not n).strip(), [(n, "\n".join(b)) for n, b in runs if n]
+
+
+def test_parsing_of_levels():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice([">", ">", " ", "\n", "\n", "a", "b", "\t", "> ", "\n>", "\u00a0"]) for _ in range(rng.randint(0, 40)))
+        assert quotation.parse(text) == parsed_brute(text), text
+    assert quotation.parse(None) == ("", [])
+
+
+def test_many_quoted_lines_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"> line {k}" for k in range(200_000))
+    began = time.time()
+    own, passages = quotation.parse("yes\n" + text)
+    assert time.time() - began < 5 and own == "yes" and len(passages) == 1 and passages[0][1].count("\n") == 199_999
+    df = spark.createDataFrame([(1, 1, "user", "line 150000"), (1, 2, "user", "other"), (1, 3, "user", "yes\n" + text)], "conv_id long, turn long, role string, text string")
+    assert {(r["turn"], r["parent_turn"], r["quoted"]) for r in rows(quotation.format_chat(df))} == {(1, None, False), (2, 1, False), (3, 1, True)}
+
+
 def chat_brute(data):
     """(conv, turn, parent, quoted, place, chat) of every message by plain loops."""
     said = {}
