@@ -1,6 +1,13 @@
 """Cleaning and packing a corpus: quality filter, exact dedup, near dedup, substring dedup,
 packing. Each stage takes what the one before kept and returns documents again, the last
-returns packed pieces. Needs eventloom.llm."""
+returns packed pieces. Needs eventloom.llm.
+
+Defined results, of every stage: an empty table gives no rows; columns beyond those of documents
+are left out, whatever their names; rows without an id are rows like others, and of rows to choose
+from they come last; rows of one id stand or fall each by its own text. Null and blank texts
+are empty ones: the classifier scores them, exact dedup keeps one of them, near dedup and
+substring dedup leave them, and packing gives them their end mark. Without usable labels the
+classifier keeps every row. Texts of any length are worked on whole."""
 
 from __future__ import annotations
 
