@@ -3,10 +3,13 @@ values and the hours since the event before are its two clusters."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventloom.operators import long_hmm, long_kmeans, long_segments, sequence
 from eventloom.plans.queries import ORACLES, QUERIES, query, rounded
+from eventloom.sources import archives, stored
 from eventloom.sources import tables as T
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -61,3 +64,13 @@ def nearest_centres(spark, d):
     means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     centres = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]).alias("centres")).withColumn("run_id", F.lit("embeddings"))
     return long_kmeans.nearest(v.select("run_id", "bin", "y"), centres)
+
+
+@query("archived_events", "SELECT event_type AS run_id, user_id AS unit, count(*) AS n, round(min((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-01 00:00:00'))/1000.0::DOUBLE), 3) AS first_t, round(max((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-01 00:00:00'))/1000.0::DOUBLE), 3) AS last_t FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type, user_id")
+def archived_events(spark, d):
+    """Events written by tasks as archives of runs (event types), and two of the runs read back by the cluster."""
+    path = f"{stored.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    rows = T.marked(spark, d).select(F.col("cluster").alias("run_id"), "unit", "t")
+    archives.write_recordings(rows, path, 20_000)
+    back = archives.read_recordings(spark, path, 5_000).where(F.col("run_id").isin("click", "view"))
+    return back.groupBy("run_id", "unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("t"), 3).alias("first_t"), F.round(F.max("t"), 3).alias("last_t"))
