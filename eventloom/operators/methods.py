@@ -18,6 +18,7 @@ from eventloom.functions.numeric import div
 from eventloom.operators import binning, candidates, evaluation, features, results, segmentation, simulation, states
 from eventloom.operators.segmentation import expand, matrix_of
 from eventloom.sources import importers
+from eventloom.sources.stored import stored
 
 # ------------------------------------------------------------------- on one run's array
 
@@ -389,7 +390,7 @@ def episodes_of(signal: DataFrame, names: DataFrame, width: int, most: int, dt:
     means = signal.withColumn("start_bin", F.col("bin") - F.col("bin") % width).groupBy("run_id", "start_bin", "cluster").agg(F.avg("x").alias("mean"))
     last = signal.groupBy("run_id").agg((F.max("bin") + 1).alias("bins"))
     rates = results.segment_templates(means).join(names, "cluster").select("run_id", F.col("start_bin").alias("episode"), "cluster", "name", F.col("mean").alias("rate"), "active")
-    keys = results.canonical_keys(rates, most, z, similarity, floor)
+    keys = stored(results.canonical_keys(stored(rates, "rates"), most, z, similarity, floor), "keys")
     episodes = keys.join(last, "run_id").select("run_id", "episode", F.col("episode").alias("start_bin"), F.least(F.col("episode") + width, F.col("bins")).alias("stop_bin"))
     labels = results.canonical_labels(episodes, keys)
     return {"keys": keys, "labels": labels, "inventory": results.inventory(labels, results.canonical_states(keys), dt), "emissions": results.emissions(labels, signal)}
@@ -399,7 +400,7 @@ def shard(runs: DataFrame, stride: int, steps: int, width: int, most: int) -> di
     """Simulated runs (see simulation) and the episodes of their excitatory clusters' rates."""
     rates = simulation.recorded_rates(simulation.change_log(runs), simulation.members(runs), stride, steps).where("pop LIKE 'E%'")
     signal = rates.select("run_id", F.col("pop").alias("cluster"), (F.col("step") / stride).cast("long").alias("bin"), F.col("rate").alias("x"))
-    signal = signal.persist()  # the runs are simulated once; a lost block is simulated again
+    signal = stored(signal, "signal")  # the runs are simulated once
     names = simulation.members(runs).select(F.col("pop").alias("cluster"), F.col("pop").alias("name")).distinct()
     return {"signal": signal} | episodes_of(signal, names, width, most)
 

@@ -108,14 +108,14 @@ def segment_costs(spark, d):
     return methods.segment_costs(x, labels).withColumn("cost", F.round("cost", 4))
 
 
-@query("task_results", "SELECT range AS task, CASE WHEN range%3<>1 THEN range*2.5 END::DOUBLE AS value, CASE WHEN range%3=1 THEN 'ValueError: task '||range END AS error, ['low','high'][1+range%2] AS condition FROM range(12)")
+@query("task_results", "SELECT s_suppkey AS task, CASE WHEN s_suppkey%3<>1 THEN s_suppkey*2.5 END::DOUBLE AS value, CASE WHEN s_suppkey%3=1 THEN 'ValueError: task '||s_suppkey END AS error, ['low','high'][1+s_suppkey%2] AS condition FROM supplier")
 def task_results(spark, d):
     def work(row):
         if row["task"] % 3 == 1:
             raise ValueError(f"task {row['task']}")
         return {"value": row["task"] * 2.5}
 
-    tasks = methods.dealt(spark.range(12).withColumnRenamed("id", "task"), ["low", "high"], "task")
+    tasks = methods.dealt(T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("task")), ["low", "high"], "task")
     return methods.fanned_out(tasks, ["task", "condition"], work, "value double")
 
 
@@ -150,9 +150,10 @@ def time_warped_cv2(spark, d):
     return out.select("run_id", "k", F.round("cv2", 5).alias("cv2"), F.round("real_time", 0).alias("real_time"))
 
 
-@query("cutoff_frequencies", "SELECT range AS k, CASE WHEN range=0 THEN 'inf'::DOUBLE ELSE round(sqrt(ln(2))/(2*pi()*range*0.01),6) END AS hz FROM range(20)")
+@query("cutoff_frequencies", "SELECT p_partkey AS k, CASE WHEN p_size%7=0 THEN 'inf'::DOUBLE ELSE round(sqrt(ln(2))/(2*pi()*(p_size%7)*0.01),6) END AS hz FROM part")
 def cutoff_frequencies(spark, d):
-    return rounded(spark.range(20).select(F.col("id").alias("k"), kernels.cutoff_hz(F.col("id") * 0.01).alias("hz")))
+    """Widths from the sizes of parts, in hundredths of a second."""
+    return rounded(T.table(spark, d, "part").select(F.col("p_partkey").alias("k"), kernels.cutoff_hz(F.col("p_size") % 7 * 0.01).alias("hz")))
 
 
 # ------------------------------------------------------------------- importers
@@ -218,7 +219,7 @@ def trace_parts(spark, d):
 _U = DRAW.format(parts="'1:'||post||':'||d")
 _V = DRAW.format(parts="'2:'||post||':'||d")
 GENERATED = f"""
-WITH g AS (SELECT a.range AS post, b.range+1 AS d FROM range(200) a, range(136) b),
+WITH g AS (SELECT a.range AS post, b.range+1 AS d FROM range((SELECT count(*) FROM supplier)) a, range(136) b),
 b AS (SELECT post, (sum(floor(ln(1-{_U})/ln(0.8))+1) OVER (PARTITION BY post ORDER BY d)-1)::BIGINT AS pre FROM g)
 SELECT 'bernoulli' AS kind, post, pre FROM b WHERE pre<200 UNION ALL SELECT 'indegree', post, floor({_V}*200)::BIGINT FROM g WHERE d<=40
 """
@@ -232,13 +233,15 @@ SELECT pop, n, sha256(s1||'|'||s2||'|'||n) AS digest FROM s
 
 @query("csr_rows", "SELECT s_suppkey-(SELECT min(s_suppkey) FROM supplier) AS post, s_nationkey AS pre, s_acctbal::DOUBLE AS w FROM supplier")
 def csr_rows(spark, d):
-    s = T.table(spark, d, "supplier").orderBy("s_suppkey").toPandas()  # one row of a CSR matrix for each supplier
-    return T.csr_edges(spark, s["s_acctbal"], s["s_nationkey"], range(len(s) + 1))
+    """One row of a CSR matrix for each supplier, with one entry."""
+    s = T.table(spark, d, "supplier")
+    s = s.join(F.broadcast(s.agg(F.min("s_suppkey").alias("low"))), how="cross").withColumn("post", F.col("s_suppkey") - F.col("low"))  # one row
+    return T.csr_cells(s.select("post", F.col("post").alias("a"), (F.col("post") + 1).alias("b")), s.select(F.col("post").alias("k"), F.col("s_nationkey").alias("pre"), F.col("s_acctbal").cast("double").alias("w")))
 
 
 @query("fixed_point_branches")
 def fixed_point_branches(spark, d):
-    grid = config.sweep(spark, {"kappa": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], "j": [2.0]}).withColumn("param_id", F.format_string("%.1f", "kappa")).withColumn("q", F.lit(5)).withColumn("bias", F.lit(-1.0))
+    grid = T.table(spark, d, "nation").groupBy((F.col("n_regionkey") + 1.0).alias("kappa")).agg(F.lit(2.0).alias("j")).withColumn("param_id", F.format_string("%.1f", "kappa")).withColumn("q", F.lit(5)).withColumn("bias", F.lit(-1.0))
     points = meanfield.crossings(meanfield.response_curves(grid, 41))
     return rounded(meanfield.branches(points.select(F.lit("all").alias("param_id"), F.col("param_id").cast("double").alias("x"), "value"), 0.3))
 
@@ -255,21 +258,23 @@ def homogenized_blocks(spark, d):
     return rounded(edges.homogenized(T.edges(spark, d), supplier_units(spark, d), part_units(spark, d)))
 
 
-def network_runs(spark):
-    grid = config.sweep(spark, {"kappa": [0.0, 0.5], "r_e": [1.0, 3.5]}).withColumn("run_id", F.format_string("%.1f/%.1f", "kappa", "r_e"))
+def network_runs(spark, d="/root/testdata/sf0.001"):
+    """A run per region, with its strength of clustering and its seed from the region's key."""
+    k = F.col("r_regionkey")
+    grid = T.table(spark, d, "region").select((k % 2 * 0.5).alias("kappa"), (F.floor(k / 2) * 2.5 + 1.0).alias("r_e")).withColumn("run_id", F.format_string("%.1f/%.1f", "kappa", "r_e"))
     fixed = {"q": 5.0, "n_e": 80.0, "n_i": 20.0, "v_th": 1.0, "g": 1.2, "p_ee": 0.2, "p_ie": 0.5, "p_ei": 0.5, "p_ii": 0.5, "r_j": 0.75, "m_x": 0.2, "tau_e": 10.0, "tau_i": 5.0, "start": 0.2}
     return simulation.prepared(grid.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("seed", F.lit(7)).withColumn("steps", F.lit(4000)))
 
 
 @query("clustered_network_rates")
 def clustered_network_rates(spark, d):
-    runs = network_runs(spark)
+    runs = network_runs(spark, d)
     return rounded(simulation.recorded_rates(simulation.change_log(runs), simulation.members(runs), 400, 4001))
 
 
 @query("clustered_network_fields")
 def clustered_network_fields(spark, d):
-    runs = network_runs(spark)
+    runs = network_runs(spark, d)
     sampled = simulation.recorded(simulation.change_log(runs), simulation.members(runs), 1000, 4001)
     return rounded(simulation.recorded_fields(sampled, simulation.edges(runs)))
 
@@ -283,17 +288,18 @@ def distinct_solutions(spark, d):
 
 @query("solved_fixed_points")
 def solved_fixed_points(spark, d):
-    return rounded(meanfield.solved_points(network_runs(spark), [0.0, 0.25, 0.5, 0.75, 1.0]).drop("rates", "residual"))
+    return rounded(meanfield.solved_points(network_runs(spark, d), [0.0, 0.25, 0.5, 0.75, 1.0]).drop("rates", "residual"))
 
 
 @query("shard_inventory")
 def shard_inventory(spark, d):
-    return rounded(methods.shard(network_runs(spark), 100, 4001, 4, 2)["inventory"])
+    return rounded(methods.shard(network_runs(spark, d), 100, 4001, 4, 2)["inventory"])
 
 
 _MEMBER, _NOISE, _LENGTH = (DRAW.format(parts=f"'5:{kind}'||{cell}") for kind, cell in (("", "s.range||':'||c.range"), ("x:", "s.range||':'||c.range"), ("n:", "s.range")))
 
 
-@query("planted_sets", f"SELECT s.range AS segment, c.range AS cluster, (floor({_LENGTH}*8)+3)::BIGINT AS length, ({_MEMBER}<0.4)::INT AS member, round(({_MEMBER}<0.4)::INT+0.3*(2*{_NOISE}-1),6) AS x FROM range(50) s, range(6) c")
+@query("planted_sets", f"SELECT s.range AS segment, c.range AS cluster, (floor({_LENGTH}*8)+3)::BIGINT AS length, ({_MEMBER}<0.4)::INT AS member, round(({_MEMBER}<0.4)::INT+0.3*(2*{_NOISE}-1),6) AS x FROM range((SELECT count(*) FROM supplier)) s, range(6) c")
 def planted_sets(spark, d):
-    return rounded(methods.planted_sets(spark, 50, 6, 0.3, 5))
+    """As many segments as there are suppliers."""
+    return rounded(methods.planted_sets(spark, T.table(spark, d, "supplier").count(), 6, 0.3, 5))

@@ -73,9 +73,12 @@ def group_spread(spark, d):
     return rounded(selection.spread(T.table(spark, d, "customer").withColumnRenamed("c_mktsegment", "segment"), ["segment"], "c_acctbal"))
 
 
-@query("segmentation_labels", "SELECT 'r' AS run_id, range AS bin, ((range>=4)::INT+(range>=9)::INT+(range>=15)::INT)::BIGINT AS label FROM range(20)")
+@query("segmentation_labels", "WITH b AS (SELECT DISTINCT s_nationkey AS n, s_suppkey%23 AS cut FROM supplier WHERE s_suppkey%23 BETWEEN 1 AND 19), r AS (SELECT DISTINCT s_nationkey AS n FROM supplier) SELECT 'n' || r.n AS run_id, k.range AS bin, count(b.cut)::BIGINT AS label FROM r CROSS JOIN range(20) k LEFT JOIN b ON b.n=r.n AND b.cut<=k.range GROUP BY r.n, k.range")
 def segmentation_labels(spark, d):
-    return binning.segmentation_labels(spark.createDataFrame([("r", "9;4, 15,40")], "run_id string, breaks string"), 20)
+    """Boundaries of each nation from its suppliers' keys, as text."""
+    s = T.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list((F.col("s_suppkey") % 23).cast("string")), "; ").alias("breaks"))
+    return binning.segmentation_labels(s.select(F.format_string("n%d", "s_nationkey").alias("run_id"), "breaks"), 20)
+
 
 
 @query("extrapolated_curve", "WITH k AS (SELECT n_nationkey*10.0::DOUBLE AS x, sum(c_acctbal) AS y FROM nation JOIN customer ON c_nationkey=n_nationkey GROUP BY ALL), g AS (SELECT (range*7.0-21)::DOUBLE AS t FROM range(44)), p AS (SELECT t, greatest(0,least(23,floor(t/10)))*10.0 AS a FROM g) SELECT 'n' AS run_id, t, round(k.y+(t-k.x)*(q.y-k.y)/10,4) AS y FROM p JOIN k ON k.x=a JOIN k q ON q.x=a+10")

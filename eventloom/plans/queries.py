@@ -731,8 +731,9 @@ def edge_fingerprints(spark, d):
 
 @query("generated_edges")
 def generated_edges(spark, d):
-    b = edges.bernoulli_edges(spark, 200, 200, 0.2, 1.0, 1).withColumn("kind", F.lit("bernoulli"))
-    k = edges.fixed_indegree_edges(spark, 200, 200, 40, -1.0, 2).withColumn("kind", F.lit("indegree"))
+    n = T.table(spark, d, "supplier").count()
+    b = edges.bernoulli_edges(spark, n, 200, 0.2, 1.0, 1).withColumn("kind", F.lit("bernoulli"))
+    k = edges.fixed_indegree_edges(spark, n, 200, 40, -1.0, 2).withColumn("kind", F.lit("indegree"))
     return b.unionByName(k).select("kind", "post", "pre")
 
 
@@ -804,43 +805,48 @@ def kmeans_states(spark, d):
 
 @query("gamma_trains")
 def gamma_trains(spark, d):
-    u = spark.range(20).select(F.lit("g").alias("run_id"), F.col("id").alias("unit"))
+    """A train for every user of the events table."""
+    u = units(spark, d)
     return rounded(intervals.variability(intervals.gamma_trains(u, 20.0, 2.0, 20_000.0, 5)))
 
 
-def rate_params(spark):
-    return config.sweep(spark, {"kappa": [1.0, 2.0, 4.0, 6.0], "j": [2.0]}).withColumn("param_id", F.format_string("k%.1f", "kappa")).withColumn("q", F.lit(5)).withColumn("bias", F.lit(-1.0))
+def rate_params(spark, d):
+    """A strength of clustering for each region."""
+    kappa = T.table(spark, d, "region").select((F.col("r_regionkey") * 1.25 + 1.0).alias("kappa"), F.lit(2.0).alias("j"))
+    return kappa.withColumn("param_id", F.format_string("k%.2f", "kappa")).withColumn("q", F.lit(5)).withColumn("bias", F.lit(-1.0))
 
 
 @query("response_curves")
 def response_curves(spark, d):
-    return rounded(meanfield.response_curves(rate_params(spark), 41).drop("solve"))
+    return rounded(meanfield.response_curves(rate_params(spark, d), 41).drop("solve"))
 
 
 @query("fixed_points")
 def fixed_points(spark, d):
-    return rounded(meanfield.crossings(meanfield.response_curves(rate_params(spark), 101)))
+    return rounded(meanfield.crossings(meanfield.response_curves(rate_params(spark, d), 101)))
 
 
 @query("bifurcations")
 def bifurcations(spark, d):
-    return rounded(meanfield.bifurcation_search(config.sweep(spark, {"j": [1.5, 2.0, 2.5]}).withColumn("param_id", F.format_string("j%.1f", "j")).withColumn("q", F.lit(4)).withColumn("bias", -F.col("j") / 2)))
+    return rounded(meanfield.bifurcation_search(T.table(spark, d, "region").where("r_regionkey < 3").select((F.col("r_regionkey") * 0.5 + 1.5).alias("j")).withColumn("param_id", F.format_string("j%.1f", "j")).withColumn("q", F.lit(4)).withColumn("bias", -F.col("j") / 2)))
 
 
 @query("eigenvalues")
 def eigenvalues(spark, d):
-    found = meanfield.eigenvalues(rate_params(spark).withColumn("seed", F.lit(1)))
+    found = meanfield.eigenvalues(rate_params(spark, d).withColumn("seed", F.lit(1)))
     return rounded(found.select("param_id", "re", F.abs("im").alias("im")))
 
 
 @query("binary_network_rates")
 def binary_network_rates(spark, d):
-    runs = spark.range(3).select(F.format_string("r%d", "id").alias("run_id"), F.col("id").alias("seed"), F.lit(3.0).alias("kappa"))
+    runs = T.table(spark, d, "region").select(F.format_string("r%d", "r_regionkey").alias("run_id"), F.col("r_regionkey").cast("long").alias("seed"), F.lit(3.0).alias("kappa"))
     log = meanfield.binary_network(runs)
     return log.groupBy("run_id", F.floor(F.col("unit") / 10).alias("cluster")).agg(F.count(F.lit(1)).alias("changes"), F.sum("delta").alias("net"))
 
 
-@query("remaining_tasks", "SELECT s.range AS seed, k AS kappa FROM range(5) s CROSS JOIN (SELECT unnest([1.0,1.1,1.2]::DOUBLE[]) AS k) WHERE NOT (s.range%2=0 AND k=1.1)")
+@query("remaining_tasks", "SELECT s_suppkey AS seed, k AS kappa FROM supplier CROSS JOIN (SELECT unnest([1.0,1.1,1.2]::DOUBLE[]) AS k) WHERE NOT (s_acctbal<0 AND k=1.1)")
 def remaining_tasks(spark, d):
-    grid = config.sweep(spark, {"kappa": config.values("1:1.2:0.1")}).crossJoin(spark.range(5).withColumnRenamed("id", "seed"))
-    return config.remaining(grid, grid.where("abs(kappa - 1.1) < 1e-9 and seed % 2 = 0"), ["seed", "kappa"]).select("seed", "kappa")
+    """A task per supplier and strength; those of suppliers in debt are done at the middle one."""
+    seeds = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed"), (F.col("s_acctbal") < 0).alias("debt"))
+    grid = seeds.withColumn("kappa", F.explode(F.array(*map(F.lit, config.values("1:1.2:0.1")))))
+    return config.remaining(grid, grid.where("abs(kappa - 1.1) < 1e-9 and debt"), ["seed", "kappa"]).select("seed", "kappa")

@@ -383,13 +383,15 @@ def start_rates(spark, d):
 
 # ------------------------------------------------------------------- network parameters
 
-PARAMS = "pa AS (SELECT k.kappa, r.r_e, 20.0 AS q, 4000.0 AS n_e, 1000.0 AS n_i, 1.0 AS v_th, 1.2 AS g, 0.2 AS p_ee, 0.5 AS p_ie, 0.5 AS p_ei, 0.5 AS p_ii, 0.75 AS r_j FROM (SELECT unnest([0.0,0.5,1.0]::DOUBLE[]) AS kappa) k, (SELECT unnest([1.0,4.0,7.5]::DOUBLE[]) AS r_e) r)"
+PARAMS = "pa AS (SELECT k.kappa, r.r_e, 20.0 AS q, 4000.0 AS n_e, 1000.0 AS n_i, 1.0 AS v_th, 1.2 AS g, 0.2 AS p_ee, 0.5 AS p_ie, 0.5 AS p_ei, 0.5 AS p_ii, 0.75 AS r_j FROM (SELECT unnest([0.0,0.5,1.0]::DOUBLE[]) AS kappa) k, (SELECT DISTINCT 1+p_size/8.0 AS r_e FROM part) r)"
 
 
-def network_params(spark):
-    grid = config.sweep(spark, {"kappa": [0.0, 0.5, 1.0], "r_e": [1.0, 4.0, 7.5]})
+def network_params(spark, d):
+    """Three exponents for every size of parts, which is the strength of clustering."""
+    sizes = T.table(spark, d, "part").select((F.col("p_size") / 8.0 + 1).alias("r_e")).distinct()
+    grid = sizes.withColumn("kappa", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
     fixed = {"q": 20.0, "n_e": 4000.0, "n_i": 1000.0, "v_th": 1.0, "g": 1.2, "p_ee": 0.2, "p_ie": 0.5, "p_ei": 0.5, "p_ii": 0.5, "r_j": 0.75}
-    return grid.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("param_id", F.format_string("%.1f/%.1f", "kappa", "r_e"))
+    return grid.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("param_id", F.format_string("%.1f/%.3f", "kappa", "r_e"))
 
 
 @query(
@@ -397,15 +399,15 @@ def network_params(spark):
     f"""WITH {PARAMS}, b AS (SELECT *, 1+r_j*(r_e-1) AS r_i, n_e/(n_e+n_i) AS se, n_i/(n_e+n_i) AS si FROM pa),
 j AS (SELECT *, v_th/sqrt(p_ee*se) AS jee, v_th/sqrt(p_ie*se) AS jie FROM b),
 x AS (SELECT kappa, r_e, q, n_e+n_i AS n, unnest([{{'b':'EE','p':p_ee,'j':jee,'r':r_e}},{{'b':'IE','p':p_ie,'j':jie,'r':r_i}},{{'b':'EI','p':p_ei,'j':-g*jee*p_ee*se/(p_ei*si),'r':r_i}},{{'b':'II','p':p_ii,'j':-jie*p_ie*se/(p_ii*si),'r':r_i}}]) AS v FROM j)
-SELECT printf('%.1f/%.1f',kappa,r_e) AS param_id, v.b AS block, round(v.p*pow(v.r,1-kappa),6) AS p_in, round(v.p*pow((q-v.r)/(q-1),1-kappa),6) AS p_out, round(v.j/sqrt(n)*pow(v.r,kappa),6) AS j_in, round(v.j/sqrt(n)*pow((q-v.r)/(q-1),kappa),6) AS j_out FROM x""",
+SELECT printf('%.1f/%.3f',kappa,r_e) AS param_id, v.b AS block, round(v.p*pow(v.r,1-kappa),6) AS p_in, round(v.p*pow((q-v.r)/(q-1),1-kappa),6) AS p_out, round(v.j/sqrt(n)*pow(v.r,kappa),6) AS j_in, round(v.j/sqrt(n)*pow((q-v.r)/(q-1),kappa),6) AS j_out FROM x""",
 )
 def cluster_parameters(spark, d):
-    return rounded(network.cluster_parameters(network_params(spark)))
+    return rounded(network.cluster_parameters(network_params(spark, d)))
 
 
-@query("external_drive", f"WITH {PARAMS} SELECT printf('%.1f/%.1f',kappa,r_e) AS param_id, round(sqrt(p_ee*n_e),6) AS drive_e, round(0.8*sqrt(p_ee*n_e),6) AS drive_i FROM pa")
+@query("external_drive", f"WITH {PARAMS} SELECT printf('%.1f/%.3f',kappa,r_e) AS param_id, round(sqrt(p_ee*n_e),6) AS drive_e, round(0.8*sqrt(p_ee*n_e),6) AS drive_i FROM pa")
 def external_drive(spark, d):
-    return rounded(network.external_drive(network_params(spark)))
+    return rounded(network.external_drive(network_params(spark, d)))
 
 
 @query("target_connectivity", "SELECT s_suppkey, round(least(1,greatest(0,a*t/((a+b)/2))),6) AS a, round(least(1,greatest(0,b*t/((a+b)/2))),6) AS b FROM (SELECT s_suppkey, (s_suppkey%10+1)/20.0 AS a, (s_nationkey+1)/30.0 AS b, 0.6 AS t FROM supplier)")
@@ -421,9 +423,10 @@ def time_scale(spark, d):
     return rounded(x.select("n_nationkey", network.updates_per_second(F.col("te"), F.col("ti"), F.lit(4000.0), F.lit(1000.0)).alias("scale")))
 
 
-@query("contrast_curves", "SELECT 'r' || r.range AS param_id, round(k.range/20.0,6) AS kappa, round(pow(r.range+2.0,1-k.range/20.0)*19/(20-pow(r.range+2.0,1-k.range/20.0)),6) AS density, round(pow(r.range+2.0,k.range/20.0)*19/(20-pow(r.range+2.0,k.range/20.0)),6) AS weight FROM range(3) r, range(21) k")
+@query("contrast_curves", "WITH r AS (SELECT DISTINCT p_size, 1+p_size/10.0 AS r FROM part) SELECT 'r' || p_size AS param_id, round(k.range/20.0,6) AS kappa, round(pow(r,1-k.range/20.0)*19/(20-pow(r,1-k.range/20.0)),6) AS density, round(pow(r,k.range/20.0)*19/(20-pow(r,k.range/20.0)),6) AS weight FROM r, range(21) k")
 def contrast_curves(spark, d):
-    p = spark.range(3).select(F.format_string("r%d", "id").alias("param_id"), F.lit(20.0).alias("q"), (F.col("id") + 2.0).alias("ratio"))
+    """Curves for every size of parts."""
+    p = T.table(spark, d, "part").select("p_size").distinct().select(F.format_string("r%d", "p_size").alias("param_id"), F.lit(20.0).alias("q"), (F.col("p_size") / 10.0 + 1).alias("ratio"))
     return rounded(network.contrast(p, 21))
 
 
@@ -433,11 +436,11 @@ _EE, _EI, _IE, _II = (_PEAK.format(m=m, s=s) for m, s in (("te", "3.0"), ("te",
 
 @query(
     "balanced_weights",
-    f"""WITH x AS (SELECT 't' || range AS param_id, 15.0+range AS te FROM range(4)), w AS (SELECT param_id, te, 15.0*sqrt(5000.0)/sqrt(4000*0.2)/{_EE} AS ee, 1.1*15.0*sqrt(5000.0)/sqrt(4000*0.2)/{_IE} AS ie FROM x)
+    f"""WITH x AS (SELECT 't' || n_nationkey AS param_id, 15.0+n_nationkey AS te FROM nation), w AS (SELECT param_id, te, 15.0*sqrt(5000.0)/sqrt(4000*0.2)/{_EE} AS ee, 1.1*15.0*sqrt(5000.0)/sqrt(4000*0.2)/{_IE} AS ie FROM x)
 SELECT param_id, round(ee,6) AS j_ee, round(-1.2*ee*4.0*{_EE}/{_EI},6) AS j_ei, round(ie,6) AS j_ie, round(-1.3*ie*4.0*{_IE}/{_II},6) AS j_ii, round(15.0*1.0/te,6) AS rheobase FROM w""",
 )
 def balanced_weights(spark, d):
-    p = spark.range(4).select(F.format_string("t%d", "id").alias("param_id"), (F.col("id") + 15.0).alias("tau_e"))
+    p = T.table(spark, d, "nation").select(F.format_string("t%d", "n_nationkey").alias("param_id"), (F.col("n_nationkey") + 15.0).alias("tau_e"))
     fixed = {"n_e": 4000.0, "n_i": 1000.0, "e_l": 0.0, "v_e": 15.0, "v_i": 15.0, "tau_i": 10.0, "syn_e": 3.0, "syn_i": 2.0, "g_ei": 1.2, "g_ie": 1.1, "g_ii": 1.3, "p": 0.2}
     p = p.withColumns({k: F.lit(v) for k, v in fixed.items()})
     heo = p.select("param_id", network.rheobase(F.col("tau_e"), F.col("e_l"), F.col("v_e"), F.lit(1.0)).alias("rheobase"))
@@ -470,9 +473,9 @@ def expected_synapses(spark, d):
     return network.expected_synapses(b, 20000.0).withColumn("expected", F.round("expected", 3))
 
 
-@query("focus_groups", "WITH p AS (SELECT 'q' || q.range AS param_id, q.range AS f, unnest(range(5)) AS k FROM range(1,4) q) SELECT param_id, CASE WHEN k<f THEN 'focus' ELSE 'rest' END AS grp, 'E' || (k+1) AS pop FROM p UNION ALL SELECT param_id, 'I', 'I' || (k+1) FROM p")
+@query("focus_groups", "WITH p AS (SELECT 'q' || s_suppkey AS param_id, s_suppkey%6 AS f, unnest(range(5)) AS k FROM supplier) SELECT param_id, CASE WHEN k<f THEN 'focus' ELSE 'rest' END AS grp, 'E' || (k+1) AS pop FROM p UNION ALL SELECT param_id, 'I', 'I' || (k+1) FROM p")
 def focus_groups(spark, d):
-    p = spark.range(1, 4).select(F.format_string("q%d", "id").alias("param_id"), F.lit(5).alias("q"), F.col("id").alias("focus"))
+    p = T.table(spark, d, "supplier").select(F.format_string("q%d", "s_suppkey").alias("param_id"), F.lit(5).alias("q"), (F.col("s_suppkey") % 6).alias("focus"))
     return network.focus_groups(p)
 
 
@@ -500,6 +503,7 @@ def update_sequence(spark, d):
     return network.update_sequence(p, spark.range(500).withColumnRenamed("id", "step"), 3)
 
 
-@query("seed_list", f"SELECT range AS network, floor({DRAW.format(parts=chr(39) + '11:' + chr(39) + '||range')}*2147483648)::BIGINT AS seed FROM range(20)")
+@query("seed_list", f"SELECT range AS network, floor({DRAW.format(parts=chr(39) + '11:' + chr(39) + '||range')}*2147483648)::BIGINT AS seed FROM range((SELECT count(*) FROM supplier))")
 def seed_list(spark, d):
-    return network.seed_list(spark, 11, 20)
+    """A seed for each supplier."""
+    return network.seed_list(spark, 11, T.table(spark, d, "supplier").count())

@@ -80,6 +80,12 @@ def csr_edges(spark: SparkSession, data, indices, indptr) -> DataFrame:
     return rows.select("post", F.explode(F.sequence("a", F.col("b") - 1)).alias("k")).join(cells, "k").select("post", "pre", "w")
 
 
+def csr_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Edges of a CSR matrix held in tables: rows(post, a, b) with their bounds in cells(k, pre, w).
+    Each row's cells are told by their numbers and met by equality."""
+    return rows.where("b > a").select("post", F.explode(F.sequence("a", F.col("b") - 1)).alias("k")).join(cells, "k").select("post", "pre", "w")
+
+
 def save_result(frames: dict[str, DataFrame], folder: str, method: str) -> None:
     """One Parquet table per part of a result, partitioned by method."""
     for name, frame in frames.items():
