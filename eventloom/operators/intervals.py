@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from eventloom.operators import sequence
 from eventloom.operators.binning import binned
 
 UNIT = ["run_id", "unit"]
+#: Knots that are sent to every task, at most.
+KNOTS = 100_000
 
 
 def interval_pairs(spikes: DataFrame, by: list[str] = UNIT) -> DataFrame:
@@ -196,9 +200,41 @@ def variability_pooled(pairs: DataFrame, by: list[str], min_pairs: int) -> DataF
     return out.select(*by, F.when(F.col("n_pairs") >= min_pairs, F.col("two")).alias("cv_two"))
 
 
+def _between(knots: list, keys: int) -> Callable:
+    """A function of the keys and t that interpolates between a bounded number of knots."""
+    table: dict = {}
+    for row in sorted(knots, key=lambda r: (r[keys], r[keys + 1])):
+        table.setdefault(tuple(row[:keys]), ([], []))
+        for values, v in zip(table[tuple(row[:keys])], row[keys:]):
+            values.append(v)
+    arrays = {k: (np.array(x), np.array(y, dtype=float)) for k, (x, y) in table.items()}
+
+    def run(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for *own, t in columns:
+            out = pd.Series(np.full(len(t), np.nan))
+            for key, rows in pd.DataFrame(dict(enumerate(own))).groupby(list(range(keys)), dropna=False).indices.items():
+                found = arrays.get(key if isinstance(key, tuple) else (key,))
+                if found is not None:
+                    x, y = found
+                    at = t.to_numpy(dtype=float)[rows]
+                    p, q = np.searchsorted(x, at, "right") - 1, np.searchsorted(x, at, "left")
+                    ok = (p >= 0) & (q < len(x)) & ~np.isnan(at)
+                    p, q = p[ok], q[ok]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        out.iloc[rows[ok]] = np.where(x[p] == x[q], y[p], y[p] + (at[ok] - x[p]) * ((y[q] - y[p]) / (x[q] - x[p])))
+            yield out.where(out.notna(), None).astype("float64")
+
+    told = F.pandas_udf(run, "double")
+    return lambda *columns: F.nanvl(told(*columns), F.lit(None).cast("double"))
+
+
 def as_of_map(events: DataFrame, knots: DataFrame, by: list[str] = ["run_id"]) -> DataFrame:
-    """events(t) with y interpolated between knots(x, y); NULL outside. Events and knots are
-    merged in one order; the knots around an event are running values over pieces of the run."""
+    """events(t) with y interpolated between knots(x, y); NULL outside. Up to KNOTS knots, which
+    are counted, are looked up by binary search where events are read. More are merged with the
+    events in one order, and those around an event are running values over pieces of the run."""
+    few = knots.select(*by, F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null").limit(KNOTS + 1).collect()
+    if len(few) <= KNOTS:
+        return events.withColumn("y", _between(few, len(by))(*by, F.col("t").cast("double")))
     none = F.lit(None).cast("struct<x:double,v:double>")
     own = knots.select(*by, F.col("x").alias("t"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("v")).alias("knot"))
     both = events.withColumn("knot", none).withColumn("_event", F.lit(True)).unionByName(own, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from eventloom.functions.numeric import div, fisher_z
 from eventloom.operators import states, statistics
+from eventloom.sources.stored import stored
 
 EPISODE = ["run_id", "episode"]
 
@@ -26,7 +27,7 @@ def finalized(labels: DataFrame, signal: DataFrame, dt: float = 1.0, threshold:
     each cluster's mean of states) and occupancy."""
     base = compact(labels)
     rank = states.by_activity(states.state_means(signal, base, value)).select("run_id", F.col("state").alias("label"), "rank")
-    renamed = base.join(rank, ["run_id", "label"]).select("run_id", "bin", F.col("rank").cast("long").alias("label"))
+    renamed = stored(base.join(rank, ["run_id", "label"]).select("run_id", "bin", F.col("rank").cast("long").alias("label")), "labels")  # every table reads it
     means, segs = states.state_means(signal, renamed, value), states.segments(renamed, dt=dt)
     limit = F.avg("mean").over(Window.partitionBy("run_id", "cluster")) if threshold is None else F.lit(threshold)
     return {

@@ -151,3 +151,18 @@ def test_fields_by_blocks(spark):
     got = edges.fields(spark.createDataFrame(e, "post long, pre long, w double"), spark.createDataFrame(a, "t long, unit long"), 7, 6)
     assert {(r["t"], r["post"]): r["h"] for r in got.collect()} == pytest.approx(want)
     assert edges.fields(spark.createDataFrame(e, "post long, pre long, w double"), spark.createDataFrame([], "t long, unit long")).count() == 0
+
+
+def test_knots_sent_or_merged(spark, monkeypatch):
+    rng = random.Random(9)
+    knots = [(r, float(x), float(rng.randrange(9))) for r in "ab" for x in sorted(rng.sample(range(40), 12))]
+    events = [(rng.choice("abc"), k, rng.choice([float(rng.randrange(40)), rng.uniform(-3, 43)])) for k in range(300)]
+    e = spark.createDataFrame(events, "run_id string, n long, t double")
+    k = spark.createDataFrame(knots, "run_id string, x double, y double")
+    sent = {r["n"]: r["y"] for r in intervals.as_of_map(e, k).collect()}
+    for run, n, t in events:
+        x, y = ([v for r, *v in knots if r == run] and np.array([v for r, *v in knots if r == run]).T) if run != "c" else ([], [])
+        want = None if not len(x) or t < x[0] or t > x[-1] else float(np.interp(t, x, y))
+        assert sent[n] == (want if want is None else pytest.approx(want))
+    monkeypatch.setattr(intervals, "KNOTS", 1)
+    assert {r["n"]: r["y"] for r in intervals.as_of_map(e, k).collect()} == pytest.approx(sent)
