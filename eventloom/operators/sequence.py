@@ -1,8 +1,9 @@
 """Running values over whole runs that no single task has to hold.
 
-A run's rows are cut into `pieces` equal stretches of its own time range. Windows work inside a
-stretch; what earlier stretches end with is summed up in one row per stretch, accumulated over
-those few rows, and joined back. A run of any length is so spread over its stretches."""
+A run's rows are cut into stretches: of equally many numbers where their order is an integer, of its
+range of values otherwise, heavy ones again. Windows work inside a stretch; what earlier stretches
+end with is summed up in one row per stretch, accumulated over those few rows, and joined back.
+A run of any length is so spread over its stretches."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.sources.stored import stored
+
 PIECES = 256
 #: Values of an integer order (bins, steps, numbers) in one stretch.
 WIDTH = 4096
@@ -90,13 +93,23 @@ def with_halo(rows: DataFrame, order: str, back: int, ahead: int, width: int) ->
 # ------------------------------------------------------------------- orders of any kind
 
 
-def in_pieces(rows: DataFrame, order: str, by: list[str] = ["run_id"], pieces: int = PIECES) -> DataFrame:
-    """rows with `piece`: the stretch of the run's range of `order` that they are in."""
-    ends = rows.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = (F.col("_high") - F.col("_low")).cast("double") / pieces
-    at = F.floor(F.try_divide(F.col(order) - F.col("_low"), width))
-    piece = F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.lit(pieces - 1)).cast("int")
-    return rows.join(ends, by).withColumn("piece", piece).drop("_low", "_high")
+def in_pieces(rows: DataFrame, order: str, by: list[str] = ["run_id"], pieces: int = PIECES, refine: int = 1) -> DataFrame:
+    """rows, written once, with `piece`, which rises with order. A run's range is cut into equal stretches; one
+    with more than four times its share of the run's rows is cut again, over the range of its own
+    rows: values far from all others leave the rest spread over many pieces. refine: how often,
+    one more for each scale of such values. Rows of one order value are in one piece."""
+    out, key = stored(rows, "rows").withColumn("piece", F.lit(0).cast("long")), [*by, "piece"]
+    for level in range(refine + 1):
+        ends = out.groupBy(*key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_c"))
+        if level:  # a row per piece
+            share = F.sum("_c").over(Window.partitionBy(*by)) / F.lit(float(pieces))
+            ends = ends.withColumn("_heavy", F.col("_c") > 4 * share)
+        width = (F.col("_high") - F.col("_low")).cast("double") / pieces
+        at = F.floor(F.try_divide(F.col(order) - F.col("_low"), width))
+        own = F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.lit(pieces - 1))
+        own = F.when(F.col("_heavy"), own).otherwise(F.lit(0)) if level else own
+        out = out.join(ends, key).withColumn("piece", F.col("piece") * pieces + own).drop("_low", "_high", "_c", "_heavy")
+    return out
 
 
 def _before(sums: DataFrame, value: Column, name: str, by: list[str]) -> DataFrame:

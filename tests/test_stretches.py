@@ -166,3 +166,16 @@ def test_knots_sent_or_merged(spark, monkeypatch):
         assert sent[n] == (want if want is None else pytest.approx(want))
     monkeypatch.setattr(intervals, "KNOTS", 1)
     assert {r["n"]: r["y"] for r in intervals.as_of_map(e, k).collect()} == pytest.approx(sent)
+
+
+def test_values_far_from_the_others_leave_them_spread(spark):
+    rng = random.Random(10)
+    rows = [("r", rng.uniform(0, 1)) for _ in range(2000)] + [("r", 1e9), ("r", -1e15)] + [("same", 3.0)] * 50 + [("two", v) for v in (1.0, 2.0)]
+    df = spark.createDataFrame(rows, "run_id string, t double")
+    cut = sequence.in_pieces(df, "t", pieces=32, refine=2)  # two scales
+    sizes = {r["run_id"]: r["most"] for r in cut.groupBy("run_id", "piece").count().groupBy("run_id").agg(F.max("count").alias("most")).collect()}
+    assert sizes["r"] < 4 * 2002 / 32 + 200 and sizes["same"] == 50 and sizes["two"] == 1
+    own = sorted((r["t"], r["piece"]) for r in cut.where("run_id = 'r'").collect())
+    assert all(p <= q for (_, p), (_, q) in zip(own, own[1:]))
+    got = sequence.numbered(df, ["t"], pieces=32).where("run_id = 'r'").collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["t"])] == list(range(2002))
