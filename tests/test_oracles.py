@@ -1,4 +1,4 @@
-"""Every registered query of the engine against its SQL on the smallest tables."""
+"""Every registered query of the engine against its SQL, on whole tables."""
 
 import glob
 import math
@@ -10,7 +10,7 @@ import pytest
 from eventloom.plans import long_queries, method_queries, more_queries, queries, result_queries
 
 assert long_queries and more_queries and result_queries and method_queries
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"  # the size of the correctness gate
 
 
 @pytest.fixture(scope="module")
