@@ -37,12 +37,12 @@ def block_statistics(edges: DataFrame, posts: DataFrame, pres: DataFrame) -> Dat
     entry = placed(edges.groupBy("post", "pre").agg(F.sum("w").alias("w")), posts, pres).where("w <> 0")
     keys = ["post_pop", "pre_pop"]
     q = weight_quantum(entry, keys)
-    x = entry.join(F.broadcast(q), keys).withColumn("many", F.round(F.col("w") / F.col("quantum")))
+    x = entry.join(q, keys).withColumn("many", F.round(F.col("w") / F.col("quantum")))
     row = x.groupBy(*keys, "post").agg(F.sum("many").alias("deg"), F.count(F.lit(1)).alias("occ"))
     deg = row.groupBy(*keys).agg(*(F.sum(e).alias(n) for e, n in ((F.col("deg"), "d1"), (F.col("deg") ** 2, "d2"), (F.col("occ"), "o1"), (F.col("occ") ** 2, "o2"))))
     ent = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.sum("many").alias("synapses"), F.sum("w").alias("w1"), F.sum(F.col("w") ** 2).alias("w2"), F.first("quantum").alias("quantum"))
     size = lambda u, p, n: u.groupBy(F.col("pop").alias(p)).agg(F.count(F.lit(1)).alias(n))
-    out = ent.join(deg, keys).join(F.broadcast(size(posts, "post_pop", "n_post")), "post_pop").join(F.broadcast(size(pres, "pre_pop", "n_pre")), "pre_pop")
+    out = ent.join(deg, keys).join(size(posts, "post_pop", "n_post"), "post_pop").join(size(pres, "pre_pop", "n_pre"), "pre_pop")
     area = F.col("n_post") * F.col("n_pre")
     mean = lambda s, n: div(F.col(s), n)
     var = lambda s, q, n: F.greatest(F.lit(0.0), div(F.col(q), n) - div(F.col(s), n) ** 2)

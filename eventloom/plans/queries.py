@@ -453,7 +453,7 @@ def adjacent_distances(spark, d):
 def cluster_classes(spark, d):
     m = fixed(spark, d)
     t = m.groupBy("run_id", "cluster").agg(F.percentile("mean", F.lit(0.5)).alias("q"))
-    a = m.join(F.broadcast(t), ["run_id", "cluster"]).withColumn("active", (F.col("mean") >= F.col("q")).cast("int"))
+    a = m.join(t, ["run_id", "cluster"]).withColumn("active", (F.col("mean") >= F.col("q")).cast("int"))
     return rounded(states.cluster_classes(a, a))
 
 
