@@ -21,10 +21,11 @@ def drawn(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def chosen(c: DataFrame, rep: float, allowed: list[int] | None = None, stability: str = "stable", populations: int | None = None) -> DataFrame:
-    """Candidates of one sweep value with their place idx by value in the whole group. stability:
-    'stable', 'unstable' (all others) or 'any'. Rates of another length than populations fail."""
-    w = Window.partitionBy(*GROUP).orderBy("value")
+def chosen(c: DataFrame, rep: float, allowed: list[int] | None = None, stability: str = "stable", populations: int | None = None, ties: list[str] = []) -> DataFrame:
+    """Candidates of one sweep value with their place idx by value in the whole group, equal values
+    by the columns ties. stability: 'stable', 'unstable' (all others) or 'any'. Rates of another
+    length than populations fail."""
+    w = Window.partitionBy(*GROUP).orderBy("value", *ties)
     kind = F.coalesce(F.lower("stability"), F.lit("unknown"))
     c = c.where(F.abs(F.col("rep") - rep) <= SAME).withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("stability", kind).where("rates is not null")
     if populations is not None:

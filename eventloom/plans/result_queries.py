@@ -292,7 +292,7 @@ def fixed_points(spark, d):
 
 @query("fixpoint_candidates", FIX + ", n AS (SELECT *, row_number() OVER (PARTITION BY rep, focus_count ORDER BY value)-1 AS idx FROM f WHERE abs(rep-6.0)<=1e-9) SELECT s_suppkey, idx, coalesce(stability,'unknown') AS stability FROM n WHERE focus_count IN (1,3) AND coalesce(stability,'unknown')<>'stable'")
 def fixpoint_candidates(spark, d):
-    return candidates.chosen(fixed_points(spark, d), 6.0, [1, 3], "unstable", 3).select("s_suppkey", "idx", "stability")
+    return candidates.chosen(fixed_points(spark, d), 6.0, [1, 3], "unstable", 3, ["s_suppkey"]).select("s_suppkey", "idx", "stability")
 
 
 ORDERED = "ra, rb, -abs(value), -value"
