@@ -98,12 +98,13 @@ def seeded_choice(c: DataFrame, seeds: DataFrame, order: list[str]) -> DataFrame
     return picked.join(numbered, "i").drop("i", "n")
 
 
-def first_match(c: DataFrame, rep: float) -> DataFrame:
-    """Per focus count, the points of its least sweep value within SAME of rep, by value."""
+def first_match(c: DataFrame, rep: float, ties: list[str] = []) -> DataFrame:
+    """Per focus count, the points of its least sweep value within SAME of rep, by value and then
+    by the columns ties."""
     near = c.where(F.abs(F.col("rep") - rep) <= SAME)
     first = near.groupBy("focus_count").agg(F.min("rep").alias("rep"))
     own = near.join(first, ["focus_count", "rep"])
-    return own.withColumn("idx", (F.row_number().over(Window.partitionBy("focus_count").orderBy("value")) - 1).cast("long"))
+    return own.withColumn("idx", (F.row_number().over(Window.partitionBy("focus_count").orderBy("value", *ties)) - 1).cast("long"))
 
 
 def focus_markers(c: DataFrame, excitatory: int) -> DataFrame:
