@@ -270,8 +270,9 @@ def best_candidates(rows: DataFrame, focus: str, rate: str, order: str) -> DataF
 
 
 def nearest(points: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of stored(y, idx) the idx nearest to each x, the lower y on ties: the neighbours below
-    and above are running values of one sort."""
+    """Of stored(y, idx) the idx nearest to each x, the lower y on ties and the least idx of equal
+    y: the neighbours below and above are running values of one sort."""
+    stored = stored.groupBy("run_id", "y").agg(F.min("idx").alias("idx"))
     none = F.lit(None).cast("struct<y:double,idx:bigint>")
     own = stored.select("run_id", F.col("y").alias("v"), F.struct(F.col("y").cast("double").alias("y"), F.col("idx").cast("bigint").alias("idx")).alias("s"), F.lit(False).alias("asked"))
     both = points.select("run_id", F.col("x").alias("v"), none.alias("s"), F.lit(True).alias("asked")).unionByName(own)
