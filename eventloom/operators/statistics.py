@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -157,17 +157,29 @@ def complete(rows: DataFrame, by: list[str], expected: int) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
 
 
+def common_divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of a, under 2**31, and b: 48 of Euclid's steps, more than such an a needs."""
+    step = lambda p, _: F.struct(F.when(p["b"] == 0, p["a"]).otherwise(p["b"]).alias("a"), F.when(p["b"] == 0, p["b"]).otherwise(p["a"] % p["b"]).alias("b"))
+    start = F.struct(b.cast("long").alias("a"), a.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda p: p["a"])
+
+
 def bootstrap(rows: DataFrame, by: list[str], value: str, samples: int) -> DataFrame:
     """Mean and 95 % percentile interval. Draw j of sample s is the row of rank
-    (s * 7919 + j * 104729 + s * j) mod n in order of value, so that every engine draws the same."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(w) - 1).cast("long").alias("i"))
-    n = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    draws = n.select(*by, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("s")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    draws = draws.withColumn("i", F.pmod(F.col("s") * 7919 + F.col("j") * 104729 + F.col("s") * F.col("j"), "n"))
-    means = draws.join(ranked, [*by, "i"]).groupBy(*by, "s").agg(F.avg("v").alias("m"))
+    (s * 7919 + j * 104729 + s * j) mod n in order of value (unknown ones last), so that every
+    engine draws the same. With g the common divisor of n and 104729 + s, these n draws are the
+    ranks that leave s * 7919 modulo g, g times each; so a sample's mean is that of a residue class, no
+    draw is made, and tasks add up their own rows of each class."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    ranked = sequence.numbered(known, ["v"], by).select(*by, "v", "i")
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    drawn = n.select(*by, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("s"))
+    drawn = drawn.withColumn("g", common_divisor(F.col("s") + 104729, F.col("n"))).select(*by, "s", "g", (F.col("s") * 7919 % F.col("g")).alias("c"))
+    classes = drawn.groupBy(*by).agg(F.collect_set(F.struct("g", "c")).alias("classes"))
+    each = ranked.join(classes, by).select(*by, "v", "i", F.explode("classes").alias("_class")).where("i % _class.g = _class.c")
+    means = each.groupBy(*by, F.col("_class.g").alias("g"), F.col("_class.c").alias("c")).agg(F.avg("v").alias("m")).join(drawn, [*by, "g", "c"])
     q = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return n.join(q, by).select(*by, "mean", "low", "high", "n")
+    return n.join(q, by, "left").select(*by, "mean", "low", "high", "n")
 
 
 #: The distribution function of Poisson's law of mean 1 at 0, 1, 2, ...
