@@ -24,17 +24,32 @@ def spine(units: DataFrame, bins: int) -> DataFrame:
     return units.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
 
 
-def binned(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
-    """run_id, unit, bin, time, n: counts of every unit in every bin, zeros included."""
+def _in_bins(spikes: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
+    """Events in [t0, t1) with their bin."""
     e0, bins = grid(t0, t1, dt)
     at = F.floor((F.col("t") - e0) / dt)
     at = F.when(F.col("t") == e0 + bins * dt, bins - 1).otherwise(at)  # the last bin is closed
-    kept = spikes.where((F.col("t") >= t0) & (F.col("t") < t1)).withColumn("bin", at.cast("long")).where(F.col("bin").between(0, bins - 1))
-    counts = kept.groupBy("run_id", "unit", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return spikes.where((F.col("t") >= t0) & (F.col("t") < t1)).withColumn("bin", at.cast("long")).where(F.col("bin").between(0, bins - 1))
+
+
+def binned(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
+    """run_id, unit, bin, time, n: counts of every unit in every bin, zeros included."""
+    e0, bins = grid(t0, t1, dt)
+    counts = _in_bins(spikes, t0, t1, dt).groupBy("run_id", "unit", "bin").agg(F.count(F.lit(1)).alias("n"))
     full = spine(units.select("run_id", "unit"), bins).join(counts, ["run_id", "unit", "bin"], "left")
     return full.select("run_id", "unit", "bin", (F.lit(e0) + F.col("bin") * dt).alias("time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def binned_totals(spikes: DataFrame, units: DataFrame, t0: float, t1: float, dt: float) -> DataFrame:
+    """run_id, bin, time, n, units: the sums of binned() over the units of each run. Only events
+    and units meet, by equality; a run's bins are made once and not for every unit."""
+    e0, bins = grid(t0, t1, dt)
+    own = units.select("run_id", "unit")
+    counts = _in_bins(spikes, t0, t1, dt).select("run_id", "unit", "bin").join(own, ["run_id", "unit"]).groupBy("run_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    full = spine(own.groupBy("run_id").agg(F.count(F.lit(1)).alias("units")), bins).join(counts, ["run_id", "bin"], "left")
+    return full.select("run_id", "bin", (F.lit(e0) + F.col("bin") * dt).alias("time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "units")
+
+
 def cluster_signal(events: DataFrame, clusters: DataFrame, t0: float, bins: int, dt: float) -> DataFrame:
     """run_id, cluster, bin, n, x: counts and summed values by left-edged bins from t0."""
     at = F.floor((F.col("t") - t0) / dt)

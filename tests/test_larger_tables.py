@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from eventloom.operators import statistics
+from eventloom.operators import binning, statistics
 
 
 def plan(df):
@@ -38,3 +38,33 @@ def test_bootstrap_makes_no_draws_and_equals_them(spark):
                 means.append(float(np.nanmean(drawn)))
         assert got[k]["n"] == n and got[k]["mean"] == pytest.approx(np.mean(own))
         assert (got[k]["low"], got[k]["high"]) == (pytest.approx(quantile(means, 0.025)), pytest.approx(quantile(means, 0.975)))
+
+
+def test_totals_of_bins_are_the_sums_over_units(spark):
+    """Events of unknown units and outside of the limits don't count, repeated units do twice."""
+    spikes = spark.createDataFrame([("r", u, t) for u, t in [(1, 0.0), (1, 0.4), (1, 2.5), (2, 2.5), (2, 7.0), (9, 1.0), (3, -1.0), (4, 2.5)]] + [("q", 1, 1.0)], "run_id string, unit long, t double")
+    units = spark.createDataFrame([("r", u) for u in (1, 2, 3, 4, 4, 5)] + [("q", 1), ("silent", 1)], "run_id string, unit long")
+    for t1, dt in ((4.0, 1.0), (8.0, 0.5), (9.0, 3.0)):
+        want = {}
+        for r in binning.binned(spikes, units, 0.0, t1, dt).collect():
+            key = (r["run_id"], r["bin"], r["time"])
+            want[key] = (want.get(key, (0, 0))[0] + r["n"], want.get(key, (0, 0))[1] + 1)
+        got = {(r["run_id"], r["bin"], r["time"]): (r["n"], r["units"]) for r in binning.binned_totals(spikes, units, 0.0, t1, dt).collect()}
+        assert got == want
+
+
+def test_fine_grid_makes_no_row_per_unit_and_bin(spark):
+    from eventloom.plans import queries
+
+    df = queries.QUERIES["fine_grid_counts"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    tree, most = [df._jdf.queryExecution().executedPlan()], 0
+    while tree:
+        node = tree.pop()
+        node = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else node
+        if node.nodeName() == "Generate":
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        tree += [children.apply(i) for i in range(children.size())] + ([node.plan()] if node.nodeName().endswith("QueryStage") else [])
+    days = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").selectExpr("datediff(max(o_orderdate), min(o_orderdate)) + 1 AS n").first()["n"]
+    assert most == days
