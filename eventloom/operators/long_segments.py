@@ -135,11 +135,16 @@ def _places(frame: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def long_changepoints(signal: DataFrame, penalty: float, least: int = 2, value: str = "x", cost: str = "l2", stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
     """run_id, start_bin, stop_bin of the segments of least cost plus penalty each. Of equally
     good segmentations any one comes out. A run shorter than 2 * least bins is one segment."""
-    return segmented(stored(vectors(signal, value), "vectors"), penalty, least, cost, stretch, fan)
+    return segmented(stored(vectors(signal, value), "vectors"), penalty, least, cost, stretch, fan).drop("off")
+
+
+def off(y: np.ndarray, cost: str) -> float:
+    """The cost of one segment: squared distances from the means, or absolute ones from the medians."""
+    return float(((y - y.mean(0)) ** 2).sum() if cost == "l2" else np.abs(y - np.median(y, axis=0)).sum())
 
 
 def segmented(rows: DataFrame, penalty: float, least: int, cost: str, stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
-    """long_changepoints() of the written rows of vectors()."""
+    """long_changepoints() of the written rows of vectors(), with each segment's cost `off`."""
     if cost not in ADDITIVE:
         raise ValueError(f"stretches can't be proved apart with the cost {cost}")
     cut = rows.withColumn("stretch", F.expr(f"at div {stretch}"))
@@ -170,13 +175,13 @@ def segmented(rows: DataFrame, penalty: float, least: int, cost: str, stretch: i
         out = []
         while at > start:
             before = int(back[0, at]) if back[0, at] >= 0 else start
-            out.append((frame["run_id"].iloc[0], int(frame["base"].iloc[0]) + before, int(frame["base"].iloc[0]) + at))
+            out.append((frame["run_id"].iloc[0], int(frame["base"].iloc[0]) + before, int(frame["base"].iloc[0]) + at, off(y[before:at], cost)))
             at = before
-        return pd.DataFrame(out, columns=["run_id", "start", "stop"])
+        return pd.DataFrame(out, columns=["run_id", "start", "stop", "off"])
 
-    ends = own.join(chosen, ["run_id", "block"]).groupBy("run_id", "block").applyInPandas(cut_up, "run_id string, start long, stop long")
+    ends = own.join(chosen, ["run_id", "block"]).groupBy("run_id", "block").applyInPandas(cut_up, "run_id string, start long, stop long, off double")
     first = rows.groupBy("run_id").agg((F.min("bin") - F.min("at")).alias("first"))
-    return ends.join(first, "run_id").select("run_id", (F.col("start") + F.col("first")).alias("start_bin"), (F.col("stop") + F.col("first")).alias("stop_bin"))
+    return ends.join(first, "run_id").select("run_id", (F.col("start") + F.col("first")).alias("start_bin"), (F.col("stop") + F.col("first")).alias("stop_bin"), "off")
 
 
 MATRIX = "run_id string, block long, entries int, costs binary"
@@ -207,17 +212,9 @@ def labelled(segs: DataFrame) -> DataFrame:
 
 
 def long_penalty_grid(signal: DataFrame, penalties: list[float], least: int = 2, value: str = "x", cost: str = "l2", stretch: int = STRETCH) -> DataFrame:
-    """run_id, penalty, segments, cost: the cost of a segment is added up where its bins are."""
+    """run_id, penalty, segments, cost: the cost of a segment is told by the task that finds it."""
     rows, out = stored(vectors(signal, value), "vectors"), None
     for p in penalties:
-        segs = segmented(rows, p, least, cost, stretch)
-        out = segs.withColumn("penalty", F.lit(float(p))) if out is None else out.unionByName(segs.withColumn("penalty", F.lit(float(p))))
-    out = stored(out, "segments")
-    bins = out.select("run_id", "penalty", "start_bin", F.explode(F.sequence("start_bin", F.col("stop_bin") - 1)).alias("bin"))
-    x = rows.select("run_id", "bin", F.posexplode("y").alias("cluster", "x")).join(bins, ["run_id", "bin"])
-    if cost == "l2":
-        own = x.groupBy("run_id", "penalty", "start_bin", "cluster").agg((F.var_pop("x") * F.count("x")).alias("off"))
-    else:
-        middle = x.groupBy("run_id", "penalty", "start_bin", "cluster").agg(F.percentile("x", F.lit(0.5)).alias("middle"))
-        own = x.join(middle, ["run_id", "penalty", "start_bin", "cluster"]).groupBy("run_id", "penalty", "start_bin", "cluster").agg(F.sum(F.abs(F.col("x") - F.col("middle"))).alias("off"))
-    return own.groupBy("run_id", "penalty").agg(F.count_distinct("start_bin").alias("segments"), F.sum("off").alias("cost"))
+        segs = segmented(rows, p, least, cost, stretch).withColumn("penalty", F.lit(float(p)))
+        out = segs if out is None else out.unionByName(segs)
+    return out.groupBy("run_id", "penalty").agg(F.count(F.lit(1)).alias("segments"), F.sum("off").alias("cost"))

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from eventloom.operators import binning, statistics
+from eventloom.operators import binning, long_segments, statistics
 
 
 def plan(df):
@@ -40,6 +40,20 @@ def test_bootstrap_makes_no_draws_and_equals_them(spark):
         assert (got[k]["low"], got[k]["high"]) == (pytest.approx(quantile(means, 0.025)), pytest.approx(quantile(means, 0.975)))
 
 
+@pytest.mark.parametrize("cost", ["l2", "l1"])
+def test_penalty_grid_makes_no_row_per_bin(spark, cost):
+    rng = np.random.default_rng(5)
+    y = np.repeat(rng.normal(size=(8, 2)) * 4, 25, axis=0) + rng.normal(size=(200, 2)) + 1e6
+    signal = spark.createDataFrame([("a", c, b + 3, float(y[b, c])) for b in range(200) for c in range(2)], "run_id string, cluster int, bin long, x double")
+    out = long_segments.long_penalty_grid(signal, [40.0], cost=cost, stretch=100)
+    assert "sequence(" not in plan(out)  # bins of the segments, whose number Spark doesn't see, were sent to every task
+    for r in out.collect():
+        segs = [(s["start_bin"] - 3, s["stop_bin"] - 3) for s in long_segments.long_changepoints(signal, r["penalty"], cost=cost, stretch=100).collect()]
+        middle = np.mean if cost == "l2" else np.median
+        off = sum((np.abs(y[a:b] - middle(y[a:b], axis=0)) ** (2 if cost == "l2" else 1)).sum() for a, b in segs)
+        assert r["segments"] == len(segs) and r["cost"] == pytest.approx(off, abs=1e-6)
+
+
 def test_totals_of_bins_are_the_sums_over_units(spark):
     """Events of unknown units and outside of the limits don't count, repeated units do twice."""
     spikes = spark.createDataFrame([("r", u, t) for u, t in [(1, 0.0), (1, 0.4), (1, 2.5), (2, 2.5), (2, 7.0), (9, 1.0), (3, -1.0), (4, 2.5)]] + [("q", 1, 1.0)], "run_id string, unit long, t double")
