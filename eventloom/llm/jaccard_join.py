@@ -4,7 +4,8 @@ Every text becomes the set of hashes of its runs of five words. Hashing the set
 GROUPS groups gives a point of counts, and the overlap of two sets is at most the sum of
 the coordinate minima of their points. Texts that share one of their SKETCH smallest hashes
 meet in a run; a run is joined by an R-tree over its points, whose boxes discard pairs of
-subtrees by that bound and by size, and pairs that survive are verified on the whole sets.
+subtrees by that bound and by size. The pairs that it leaves must pass the same bound over
+FINE groups, and those that survive are verified on the whole sets.
 
 Routing: of two sets with similarity J, the smallest hashes of the union are common ones
 with probability J each, independently for practical purposes. A linked pair (J >= 0.75)
@@ -15,7 +16,9 @@ Work on large groups of near copies is kept near linear by components: in ROUNDS
 set is verified against up to SIDES pivots of its runs, chosen anew each round; then only
 sets of runs that still hold different components meet in the R-trees, and pairs within one
 component are skipped there. A pair is proposed by one run only, that of its first common
-hash, and only if it shares SHARED hashes.
+hash, and only if it shares SHARED hashes. The R-trees are joined twice: first each set is
+verified against the NEAREST sets that share most hashes with it, which joins what the pivots
+left of a family to it; then every pair is verified that components still hold apart.
 
 Equal sets are one class, named by two 64-bit hashes of its elements; texts are fetched by a
 class's row, which is named by two hashes of id and text. Rows get their class's component by
@@ -34,17 +37,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import BROADCAST_KEYS, Words, components, dropped, forgotten, free_names, having, looked_up, mix, own_tables, released, shingle_sets, slices, written
 from eventloom.llm.exact_dedup import row_key
 
 GROUPS = 128
+#: A multiple of GROUPS: points are kept over so many groups and folded for the trees.
+FINE = 512
 SKETCH = 32
 SHARED = 3
 ROUNDS = 2
 SIDES = 4
+NEAREST = 4
 LEAF = 16
 FAN = 8
 #: Runs up to this many sets are compared pair by pair; longer ones by trees.
@@ -72,7 +78,7 @@ def _measure(words: int):
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(Words(part.column("text")), words)
-                points = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype(np.uint8).tobytes() for s in sets]
+                points = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % FINE, minlength=FINE), MOST).astype(np.uint8).tobytes() for s in sets]
                 h1, h2 = set_names(sets)
                 some = np.array([len(s) == 0 for s in sets], dtype=bool)
                 yield pa.RecordBatch.from_arrays(
@@ -169,15 +175,24 @@ def tree_join(a: CountTree, b: CountTree, comp_a: np.ndarray, comp_b: np.ndarray
         pending.append((level - 1, ka[inside], kb[inside]))
 
 
-def proposed(key: np.ndarray, a: np.ndarray, b: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Whether pairs (a, b) of rows share SHARED sketch hashes, the first of them being key."""
-    keep = np.zeros(len(a), dtype=bool)
+def proposed(key: np.ndarray, a: np.ndarray, b: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, fine: np.ndarray, pct: int) -> np.ndarray:
+    """How many sketch hashes pairs (a, b) of rows share; 0 unless they are SHARED or more, the
+    first of them is key and the bound over FINE groups lets the pair link."""
+    count = np.zeros(len(a), dtype=np.int64)
     for k in range(0, len(a), 4096):
-        x, y = sketch[a[k : k + 4096]], sketch[b[k : k + 4096]]
+        i, j = a[k : k + 4096], b[k : k + 4096]
+        may = np.flatnonzero(may_link(fine[i], sizes[i], sizes[i], fine[j], sizes[j], sizes[j], pct))
+        x, y = sketch[i[may]], sketch[j[may]]
         shared = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != NONE)
         first = x[np.arange(len(x)), shared.argmax(axis=1)]
-        keep[k : k + 4096] = (shared.sum(axis=1) >= SHARED) & (first == key[a[k : k + 4096]])
-    return keep
+        own = shared.sum(axis=1)
+        count[k + may] = np.where((own >= SHARED) & (first == key[i[may]]), own, 0)
+    return count
+
+
+def folded(fine: np.ndarray) -> np.ndarray:
+    """Points over GROUPS groups from points over FINE groups."""
+    return np.minimum(fine.reshape(len(fine), -1, GROUPS).sum(axis=1, dtype=np.int64), MOST).astype(np.uint8)
 
 
 def run_pairs(rows: slice, comp, sizes, points, side, pct: int):
@@ -206,13 +221,15 @@ def short_pairs(rows: np.ndarray, run: np.ndarray, comp, sizes, points, pct: int
         yield a[keep], b[keep]
 
 
-def _join_runs(pct: int):
-    """Over rows sorted by (key, block): candidate pairs (a, b), a < b."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _join_runs(pct: int, nearest: bool):
+    """Over rows sorted by (key, block): candidate pairs (a, b), a < b; or, if nearest, for each
+    row a (in each piece of its run's work) only the b that shares most hashes with it."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
 
     def handle(t: pa.Table):
         key, block, side, sid, comp, n = (t.column(c).to_numpy() for c in ("key", "block", "side", "sid", "comp", "n"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
+        fine = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+        points = folded(fine)
         listed = t.column("sketch").combine_chunks()
         length = pc.list_value_length(listed).to_numpy()
         sketch = np.full((len(t), SKETCH), NONE, dtype=np.int64)
@@ -229,10 +246,18 @@ def _join_runs(pct: int):
                 yield from run_pairs(slice(new[r], new[r] + length[r]), comp, n, points, side, pct)
 
         for a, b in found():
-            keep = proposed(key, a, b, sketch)
-            a, b = sid[a[keep]], sid[b[keep]]
+            shared = proposed(key, a, b, sketch, n, fine, pct)
+            keep = np.flatnonzero(shared)
+            a, b, shared = a[keep], b[keep], shared[keep]
+            if nearest:
+                a, b, shared = np.append(a, b), np.append(b, a), np.append(shared, shared)
+                order = np.lexsort((-shared, a))
+                best = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+                a, b, shared = sid[a[best]], sid[b[best]], shared[best]
+            else:
+                a, b = np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared)], schema=schema)
 
     def go(batches):
         held = None
@@ -286,19 +311,49 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFram
 # --------------------------------------------------------------------------- operator
 
 
-def pivots(place: DataFrame, turn: int) -> DataFrame:
-    """Pairs (pivot, set) of different components to verify first: in each run the pivot is
-    the least by a hash that changes with the round and the run's side, so sets of one family
-    agree on few pivots and meet up to SIDES of them."""
+def pivots(place: DataFrame, turn: int, pct: int) -> DataFrame:
+    """Pairs (pivot, set) of different components, whose sizes let them link, to verify first:
+    in each run the pivot is the least by a hash that changes with the round and the run's side,
+    so sets of one family agree on few pivots and meet up to SIDES of them."""
     side = F.pmod("key", F.lit(SIDES))
-    least = F.min(F.struct(F.xxhash64("sid", side, F.lit(turn)), F.col("sid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("least")
-    chosen = place.groupBy("key").agg(least).select("key", "least.pivot", "least.pivot_comp")
-    met = place.join(chosen, "key").where("comp <> pivot_comp").select("pivot", "sid", side.alias("side"))
+    least = F.min(F.struct(F.xxhash64("sid", side, F.lit(turn)), F.col("sid").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"))).alias("least")
+    chosen = place.groupBy("key").agg(least).select("key", "least.pivot", "least.pivot_comp", "least.pivot_n")
+    fit = 100 * F.least("n", "pivot_n") >= pct * F.greatest("n", "pivot_n")
+    met = place.join(chosen, "key").where("comp <> pivot_comp").where(fit).select("pivot", "sid", side.alias("side"))
     strong = met.groupBy("sid", "side", "pivot").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
     best = strong.groupBy("sid", "side").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
     return best.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
 
 
+def placed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of runs that hold several components of the links, with their components."""
+    label = components(links)
+    place = met.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("comp"))
+    mixed = place.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).where("low < high").select("key", "length")
+    return written(place.join(mixed, "key"), "placed")
+
+
+def run_join(place: DataFrame, classes: DataFrame, pct: int, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b, shared) that the R-trees of all runs leave; see _join_runs."""
+    parts = F.ceil(F.col("length") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("sid"), parts).cast("int")
+    dealt = (
+        place.withColumn("parts", parts).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", "sid", "comp", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("block"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+        .join(classes.select("sid", "n", "point", "sketch"), "sid")
+        .repartition("key", "block").sortWithinPartitions("key", "block")
+    )
+    return dealt.mapInArrow(released(_join_runs(pct, nearest)), "a long, b long, shared long")
+
+
+def nearest_pairs(found: DataFrame) -> DataFrame:
+    """Of pairs (a, b, shared) the NEAREST of each a, as pairs a < b."""
+    by_share = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    best = found.withColumn("nth", F.row_number().over(by_share)).where(F.col("nth") <= NEAREST)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key, key2, text: rows named by 128 bits of id and text."""
     first, second = row_key(id_col, text_col)
@@ -322,7 +377,7 @@ def _joined(docs: DataFrame, words: int, pct: int) -> JaccardJoin:
         F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch"),
     )
     classes = written(own.select(F.monotonically_increasing_id().alias("sid"), "*"), "classes")
-    keys = classes.select("sid", F.explode("sketch").alias("key"))
+    keys = classes.select("sid", "n", F.explode("sketch").alias("key"))
     runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     met = keys.join(runs, "key")
     enough = met.groupBy("sid").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SHARED).select("sid")
@@ -332,25 +387,14 @@ def _joined(docs: DataFrame, words: int, pct: int) -> JaccardJoin:
     texts = docs.join(F.broadcast(holders) if holders.count() <= BROADCAST_KEYS else holders, ["key", "key2"])
     texts = written(texts.select("sid", "text").dropDuplicates(["sid"]), "texts")
 
-    links, place = None, met.select("key", "sid", "length", F.col("sid").alias("comp"))
+    links, place = None, met.select("key", "sid", "n", F.col("sid").alias("comp"))
     for turn in range(ROUNDS):
-        found = written(verify(pivots(place, turn), texts, words, pct), "links")
+        found = written(verify(pivots(place, turn, pct), texts, words, pct), "links")
         links = found if links is None else links.union(found)
-        label = components(links)
-        place = met.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"))
-        mixed = place.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).where("low < high").select("key", "length")
-        place = written(place.join(mixed, "key"), "placed")
-
-    parts = F.ceil(F.col("length") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), parts).cast("int")
-    dealt = (
-        place.withColumn("parts", parts).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "sid", "comp", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("block"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(classes.select("sid", "n", "point", "sketch"), "sid")
-        .repartition("key", "block").sortWithinPartitions("key", "block")
-    )
-    pairs = dealt.mapInArrow(released(_join_runs(pct)), "a long, b long").distinct()
+        place = placed(met, links)
+    near = written(verify(nearest_pairs(run_join(place, classes, pct, nearest=True)), texts, words, pct), "links")
+    links = links.union(near)
+    pairs = run_join(placed(met, links), classes, pct).select("a", "b").distinct()
     links = written(links.union(verify(pairs, texts, words, pct)), "links")
 
     label = components(links)

@@ -141,6 +141,50 @@ def test_jaccard_join_of_a_loose_family(spark, monkeypatch):
     assert jaccard_rows(df) == jaccard_brute(pairs)
 
 
+def test_a_wide_family_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Near copies around the bound: a component, others that link with few of it or with none."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(140)]
+    pairs = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(140)] = f"z{rng.randrange(100_000)}"
+        pairs.append((i, " ".join(w)))
+    seen, verify = [], jaccard_join.verify
+
+    def counted(found, *rest):
+        found = common.written(found, "found")
+        seen.append(found.count())
+        return verify(found, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    assert jaccard_rows(spark.createDataFrame(pairs, "doc_id long, text string")) == jaccard_brute(pairs)
+    assert sum(seen) < 12 * len(pairs), seen
+
+
+def test_the_bound_over_fine_groups_loses_no_pair():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    for size in (40, 300, 20_000, 50_000):  # the largest fill their groups to MOST over GROUPS
+        sets = [np.sort(rng.choice(pool[: size * 6 // 5], size, replace=False)) for _ in range(24)]
+        fine = np.array([np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % jaccard_join.FINE, minlength=jaccard_join.FINE), jaccard_join.MOST) for s in sets]).astype(np.uint8)
+        rough = np.array([np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % jaccard_join.GROUPS, minlength=jaccard_join.GROUPS), jaccard_join.MOST) for s in sets]).astype(np.uint8)
+        assert (jaccard_join.folded(fine) == rough).all()
+        sketch = np.array([s[: jaccard_join.SKETCH].view(np.int64) for s in sets])
+        sizes = np.full(len(sets), size)
+        i, j = np.triu_indices(len(sets), 1)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+        shared = np.array([len(np.intersect1d(sketch[a], sketch[b])) for a, b in zip(i, j)])
+        for pct in (60, 66, 75):
+            links = 100 * both >= pct * (2 * size - both)
+            got = np.zeros(len(i), dtype=np.int64)
+            for key in np.unique(sketch):
+                got += jaccard_join.proposed(np.full(len(sets), key), i, j, sketch, sizes, fine, pct)
+            assert (got[links & (shared >= jaccard_join.SHARED)] == shared[links & (shared >= jaccard_join.SHARED)]).all()
+            assert (got[shared < jaccard_join.SHARED] == 0).all()
+
+
 def test_a_text_without_an_id_links_others(spark):
     words_ = [f"w{k}" for k in range(60)]
     first, middle = words_[:], words_[8:]
