@@ -2,7 +2,8 @@
 
 What a stretch does to the chances of the states is one k x k matrix: the product of its bins'
 moves and emissions, scaled. An expectation step multiplies those within each stretch (a task
-has as many stretches as it gets, of any run), scans the few matrices of a run forwards and
+has as many stretches as it gets, of any run, and steps through those of one length side by
+side), scans the few matrices of a run forwards and
 backwards, and gives each stretch the chances that reach it from both sides; the stretch then
 works out its own posteriors and returns sums only, added up per task. The best path is the
 same scan with (max, +): the states at the ends of stretches first, then each stretch's inside.
@@ -18,22 +19,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.long_segments import through, vectors
+from eventloom.operators.long_segments import through
 from eventloom.sources.stored import removed, stored
 
 STRETCH = 2048
+#: Bytes of a task's arrays for the stretches that it steps through side by side.
+SIDE_BY_SIDE = 32 << 20
+#: Bytes of the chances at the borders of all stretches up to which they are broadcast.
+BORDERS = 32 << 20
 
 
 def packed(signal: DataFrame, value: str = "x", stretch: int = STRETCH) -> DataFrame:
-    """run_id, stretch, first (its first bin), n, q, y: the bins of a stretch as one array."""
-    rows = vectors(signal, value).withColumn("stretch", F.expr(f"at div {stretch}"))
-
-    def pack(frame):
-        frame = frame.sort_values("at")
-        y = np.stack(frame["y"].to_numpy()).astype(float)
-        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "stretch": [frame["stretch"].iloc[0]], "first": [frame["bin"].iloc[0]], "n": [len(y)], "q": [y.shape[1]], "y": [y.tobytes()]})
+    """run_id, stretch, first (its first bin), n, q, y: the bins of a stretch as one array. Every
+    bin of a stretch must have as many clusters as the others."""
+    first = signal.groupBy("run_id").agg(F.min("bin").alias("_first"))
+    cut = signal.join(first, "run_id").withColumn("stretch", F.expr(f"(bin - _first) div {stretch}"))
+    cells = F.sort_array(F.collect_list(F.struct("bin", "cluster", F.col(value).cast("double").alias("v"))))
+    rows = cut.groupBy("run_id", "stretch").agg(cells.alias("cells")).select("run_id", "stretch", F.col("cells.bin").alias("bins"), F.col("cells.v").alias("v"))
+
+    def pack(frames):
+        for frame in frames:
+            out = []
+            for run, nth, bins, v in zip(frame["run_id"], frame["stretch"], frame["bins"], frame["v"]):
+                n = 1 + np.count_nonzero(np.diff(bins))
+                if len(v) % n or np.diff(bins.reshape(n, -1)).any():
+                    raise ValueError(f"bins of stretch {nth} of run {run} differ in their number of clusters")
+                out.append((run, nth, bins[0], n, len(v) // n, np.asarray(v, float).tobytes()))
+            yield pd.DataFrame(out, columns=["run_id", "stretch", "first", "n", "q", "y"])
 
-    return rows.groupBy("run_id", "stretch").applyInPandas(pack, "run_id string, stretch long, first long, n long, q int, y binary")
+    parts = int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "run_id", "stretch")  # a given number, or values that compress well end in one file and every round in one task
+    return dealt.mapInPandas(pack, "run_id string, stretch long, first long, n long, q int, y binary")
 
 
 class Model:
@@ -55,56 +71,60 @@ class Model:
 
 
 def log_chances(kind: str, y: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """starts x bins x states."""
+    """stretches x starts x bins x states."""
+    y, m, v = y[:, None], m[:, :, None], v[:, :, None]
     if kind == "gaussian":
-        return -0.5 * (((y[None, :, None] - m[:, None]) ** 2 / v[:, None]) + np.log(2 * np.pi * v)[:, None]).sum(3)
+        return -0.5 * ((y[..., None, :] - m) ** 2 / v + np.log(2 * np.pi * v)).sum(4)
+    by_state = m[:, :, 0].swapaxes(2, 3)
     if kind == "poisson":
         kinds, which = np.unique(y, return_inverse=True)
-        const = np.array([math.lgamma(u + 1) for u in kinds])[which].reshape(y.shape).sum(1)
-        return y @ np.log(m).transpose(0, 2, 1) - m.sum(2)[:, None] - const[None, :, None]
-    return y @ np.log(m).transpose(0, 2, 1) + (1 - y) @ np.log(1 - m).transpose(0, 2, 1)
+        const = np.array([math.lgamma(u + 1) for u in kinds])[which].reshape(y.shape).sum(3)
+        return y @ np.log(by_state) - m.sum(4) - const[..., None]
+    return y @ np.log(by_state) + (1 - y) @ np.log(1 - by_state)
 
 
 def scaled_chances(kind: str, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """Chances of the bins over the largest, bins first, and the logarithms of the largest."""
-    log_b = log_chances(kind, y, p["m"], p["v"]).transpose(1, 0, 2)
-    top = log_b.max(2)
+    log_b = np.ascontiguousarray(log_chances(kind, y, p["m"], p["v"]).transpose(2, 0, 1, 3))
+    top = log_b.max(3)
     return np.exp(log_b - top[..., None]), top
 
 
-def stretch_matrix(b: np.ndarray, move: np.ndarray, head: bool) -> np.ndarray:
-    """starts x k x k: chances of the states at a stretch's end from those before it; a run's
-    first bin has no move before it."""
-    total = np.broadcast_to(np.eye(move.shape[1]), move.shape).copy()
+def stretch_matrices(b: np.ndarray, move: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """stretches x starts x k x k: chances of the states at a stretch's end from those before it;
+    a run's first bin has no move before it."""
+    total = np.where(head[:, None, None, None], np.eye(move.shape[2]), move)
     for t in range(len(b)):
-        total = (total if head and t == 0 else total @ move) * b[t][:, None, :]
-        total /= total.sum((1, 2), keepdims=True)
+        total = (total @ move if t else total) * b[t][..., None, :]
+        total /= total.sum((2, 3), keepdims=True)
     return total
 
 
-def stretch_sums(y: np.ndarray, b: np.ndarray, top: np.ndarray, p: dict, before: np.ndarray, after: np.ndarray, head: bool) -> np.ndarray:
-    """starts x numbers: log likelihood, first posterior, moves, and posteriors times 1, y, y * y."""
-    n, (starts, k) = len(y), before.shape
-    a, scale, back, move = np.empty((n, starts, k)), np.empty((n, starts)), np.empty((n, starts, k)), p["move"]
+def stretch_sums(y: np.ndarray, b: np.ndarray, top: np.ndarray, p: dict, before: np.ndarray, after: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """stretches x starts x numbers: log likelihood, first posterior, moves, and posteriors times 1, y, y * y."""
+    n, move, tail = len(b), p["move"], head[:, None, None]
+    a, scale, back = np.empty_like(b), np.empty(b.shape[:3]), np.empty_like(b)
     for t in range(n):
         last = before if t == 0 else a[t - 1]
-        a[t] = (last if head and t == 0 else (last[:, None] @ move)[:, 0]) * b[t]
-        scale[t] = a[t].sum(1)
-        a[t] /= scale[t][:, None]
-    back[n - 1] = after / (a[n - 1] * after).sum(1, keepdims=True)
-    xi = np.zeros((starts, k, k))
+        reach = (last[..., None, :] @ move)[..., 0, :]
+        a[t] = (reach if t else np.where(tail, before, reach)) * b[t]
+        scale[t] = a[t].sum(2)
+        a[t] /= scale[t][..., None]
+    back[n - 1] = after / (a[n - 1] * after).sum(2, keepdims=True)
+    xi = np.zeros_like(move)
     for t in range(n - 1, -1, -1):
-        later = b[t] * back[t] / scale[t][:, None]
-        if t or not head:
-            xi += (before if t == 0 else a[t - 1])[:, :, None] * move * later[:, None, :]
+        later = b[t] * back[t] / scale[t][..., None]
+        came = a[t - 1] if t else np.where(tail, 0.0, before)
+        xi += came[..., None] * move * later[..., None, :]
         if t:
             back[t - 1] = (move @ later[..., None])[..., 0]
     g = a * back
-    g /= g.sum(2, keepdims=True)
+    g /= g.sum(3, keepdims=True)
     ll = (np.log(scale) + top).sum(0)
-    own = g.transpose(1, 2, 0)
-    first = g[0] if head else np.zeros((starts, k))
-    return np.concatenate([ll[:, None], first, xi.reshape(starts, -1), own.sum(2), (own @ y).reshape(starts, -1), (own @ (y * y)).reshape(starts, -1)], 1)
+    own, y = g.transpose(1, 2, 3, 0), y[:, None]
+    first = np.where(tail, g[0], 0.0)
+    flat = (*ll.shape, -1)
+    return np.concatenate([ll[..., None], first, xi.reshape(flat), own.sum(3), (own @ y).reshape(flat), (own @ (y * y)).reshape(flat)], 2)
 
 
 def updated(kind: str, p: dict, sums: np.ndarray, k: int, q: int) -> dict:
@@ -130,6 +150,19 @@ def updated(kind: str, p: dict, sums: np.ndarray, k: int, q: int) -> dict:
 # ------------------------------------------------------------------- over stretches
 
 
+def side_by_side(frame: pd.DataFrame, starts: int, k: int):
+    """Rows of packed() with a model, as many of one length at a time as SIDE_BY_SIDE holds: the
+    rows, y (stretches x bins x values), the models' numbers by stretch, and whether it is a run's first."""
+    for (n, q), rows in frame.groupby(["n", "q"], sort=False):
+        most = max(1, SIDE_BY_SIDE // (8 * n * starts * k * (3 * q + 6)))
+        for at in range(0, len(rows), most):
+            some = rows.iloc[at : at + most]
+            which, blobs = pd.factorize(some["model"])
+            models = [Model(starts, k, q).read(x) for x in blobs]
+            p = {name: np.stack([x[name] for x in models])[which] for name in models[0]}
+            yield some, np.stack([np.frombuffer(x) for x in some["y"]]).reshape(-1, n, q), p, some["stretch"].to_numpy() == 0
+
+
 def _begun(pack: DataFrame, kind: str, k: int, starts: int, stretch: int) -> DataFrame:
     """run_id, q, model: the starts that methods.hmm draws."""
 
@@ -175,19 +208,19 @@ def _begun(pack: DataFrame, kind: str, k: int, starts: int, stretch: int) -> Dat
     return chosen.groupBy("run_id").applyInPandas(begin, "run_id string, model binary, resting boolean")
 
 
-def _round(pack: DataFrame, models: DataFrame, kind: str, k: int, starts: int) -> DataFrame:
-    """models after one expectation and maximisation over all stretches."""
+def at_borders(rows: DataFrame, told: DataFrame, stretches: int, size: int) -> DataFrame:
+    """rows of stretches with what is told of their borders, `size` bytes for each of counted stretches."""
+    return rows.join(F.broadcast(told) if stretches * (size + 100) <= BORDERS else told, ["run_id", "stretch"])
+
 
-    def arrays(frame):
-        for i in range(len(frame)):
-            n, q = int(frame["n"].iloc[i]), int(frame["q"].iloc[i])
-            y, p = np.frombuffer(frame["y"].iloc[i]).reshape(n, q), Model(starts, k, q).read(frame["model"].iloc[i])
-            yield i, y, p, *scaled_chances(kind, y, p), frame["stretch"].iloc[i] == 0
+def _round(pack: DataFrame, models: DataFrame, kind: str, k: int, starts: int, stretches: int) -> DataFrame:
+    """models after one expectation and maximisation over all stretches, which are counted."""
 
     def multiply(frames):
         for frame in frames:
-            found = [(frame["run_id"].iloc[i], frame["stretch"].iloc[i], stretch_matrix(b, p["move"], head).tobytes(), p["start"].tobytes()) for i, y, p, b, _, head in arrays(frame)]
-            yield pd.DataFrame(found, columns=["run_id", "stretch", "matrix", "start"])
+            for some, y, p, head in side_by_side(frame, starts, k):
+                found = stretch_matrices(scaled_chances(kind, y, p)[0], p["move"], head)
+                yield pd.DataFrame({"run_id": some["run_id"], "stretch": some["stretch"], "matrix": [x.tobytes() for x in found], "start": [x.tobytes() for x in p["start"]]})
 
     def scan(frame):
         frame = frame.sort_values("stretch")
@@ -204,13 +237,13 @@ def _round(pack: DataFrame, models: DataFrame, kind: str, k: int, starts: int) -
     def add(frames):
         sums: dict[str, list] = {}
         for frame in frames:
-            for i, y, p, b, top, head in arrays(frame):
-                sides = (np.frombuffer(frame[c].iloc[i]).reshape(starts, k) for c in ("before", "after"))
-                own, run = stretch_sums(y, b, top, p, *sides, head), frame["run_id"].iloc[i]
-                if run in sums:
-                    sums[run][1] += own
-                else:
-                    sums[run] = [y.shape[1], own]
+            for some, y, p, head in side_by_side(frame, starts, k):
+                sides = (np.stack([np.frombuffer(x) for x in some[c]]).reshape(-1, starts, k) for c in ("before", "after"))
+                for run, own in zip(some["run_id"], stretch_sums(y, *scaled_chances(kind, y, p), p, *sides, head)):
+                    if run in sums:
+                        sums[run][1] += own
+                    else:
+                        sums[run] = [y.shape[2], own]
             if len(sums) > 1000:  # many short runs
                 yield pd.DataFrame([(r, q, s.tobytes()) for r, (q, s) in sums.items()], columns=["run_id", "q", "sums"])
                 sums = {}
@@ -225,18 +258,18 @@ def _round(pack: DataFrame, models: DataFrame, kind: str, k: int, starts: int) -
 
     rows = pack.join(models.where("not resting"), "run_id")
     scanned = rows.mapInPandas(multiply, "run_id string, stretch long, matrix binary, start binary").groupBy("run_id").applyInPandas(scan, "run_id string, stretch long, before binary, after binary")
-    sums = rows.join(scanned, ["run_id", "stretch"]).mapInPandas(add, "run_id string, q int, sums binary")
+    sums = at_borders(rows, scanned, stretches, 16 * starts * k).mapInPandas(add, "run_id string, q int, sums binary")
     moved = sums.groupBy("run_id").cogroup(models.where("not resting").groupBy("run_id")).applyInPandas(maximise, "run_id string, model binary, resting boolean")
     return models.where("resting").unionByName(moved)
 
 
 def fitted(pack: DataFrame, k: int, emission: str = "gaussian", starts: int = 3, rounds: int = 50, stretch: int = STRETCH) -> DataFrame:
     """run_id, model, resting of every run of packed()."""
-    models = stored(_begun(pack, emission, k, starts, stretch), "models")
+    models, stretches = stored(_begun(pack, emission, k, starts, stretch), "models"), pack.count()
     for _ in range(rounds):
         if not models.where("not resting").limit(1).count():
             break
-        new = stored(_round(pack, models, emission, k, starts), "models")
+        new = stored(_round(pack, models, emission, k, starts, stretches), "models")
         removed(models)
         models = new
     return models
@@ -246,22 +279,20 @@ def best_paths(pack: DataFrame, models: DataFrame, k: int, emission: str, starts
     """run_id, bin, label of the likeliest path under each run's best start."""
 
     def parts(frame):
-        for i in range(len(frame)):
-            n, q = int(frame["n"].iloc[i]), int(frame["q"].iloc[i])
-            y, p = np.frombuffer(frame["y"].iloc[i]).reshape(n, q), Model(starts, k, q).read(frame["model"].iloc[i])
-            s = int(np.argmax(p["ll"]))
-            log_b = log_chances(emission, y, p["used_m"][[s]], p["used_v"][[s]])[0]
-            yield i, np.log(p["used_start"][s] + 1e-300), np.log(p["used_move"][s] + 1e-300), log_b, frame["stretch"].iloc[i] == 0
+        for some, y, p, head in side_by_side(frame, starts, k):
+            at = np.arange(len(some)), p["ll"].argmax(1)
+            start, move, m, v = (p[f"used_{name}"][at] for name in ("start", "move", "m", "v"))
+            log_b = np.ascontiguousarray(log_chances(emission, y, m[:, None], v[:, None])[:, 0].swapaxes(0, 1))
+            yield some, np.log(start + 1e-300), np.log(move + 1e-300), log_b, head
 
     def multiply(frames):
         for frame in frames:
-            out = []
-            for i, start, move, log_b, head in parts(frame):
-                total = (start[None] if head else move) + log_b[0]
+            for some, start, move, log_b, head in parts(frame):
+                total = np.where(head[:, None, None], start[:, None], move) + log_b[0][:, None]
                 for row in log_b[1:]:
-                    total = (total[:, :, None] + move[None]).max(1) + row
-                out.append((frame["run_id"].iloc[i], frame["stretch"].iloc[i], total.tobytes()))
-            yield pd.DataFrame(out, columns=["run_id", "stretch", "matrix"])
+                    total = (total[..., None] + move[:, None]).max(2) + row[:, None]
+                ends = [(x[:1] if h else x).tobytes() for x, h in zip(total, head)]
+                yield pd.DataFrame({"run_id": some["run_id"], "stretch": some["stretch"], "matrix": ends})
 
     def scan(frame):
         frame = frame.sort_values("stretch")
@@ -274,20 +305,22 @@ def best_paths(pack: DataFrame, models: DataFrame, k: int, emission: str, starts
 
     def inside(frames):
         for frame in frames:
-            for i, start, move, log_b, head in parts(frame):
-                score, trace = (start if head else move[frame["i"].iloc[i]]) + log_b[0], []
-                for row in log_b[1:]:
-                    step = score[:, None] + move
-                    trace.append(step.argmax(0))
-                    score = step.max(0) + row
-                path = [int(frame["j"].iloc[i])]
-                for back in reversed(trace):
-                    path.append(int(back[path[-1]]))
-                yield pd.DataFrame({"run_id": frame["run_id"].iloc[i], "bin": frame["first"].iloc[i] + np.arange(len(path)), "label": np.array(path[::-1], "int64")})
+            for some, start, move, log_b, head in parts(frame):
+                n, at = len(log_b), np.arange(len(some))
+                score, trace = np.where(head[:, None], start, move[at, some["i"]]) + log_b[0], np.empty((n - 1, len(some), k), "int32")
+                for t in range(1, n):
+                    step = score[..., None] + move
+                    trace[t - 1] = step.argmax(1)
+                    score = step.max(1) + log_b[t]
+                path = np.empty((n, len(some)), "int64")
+                path[-1] = some["j"]
+                for t in range(n - 1, 0, -1):
+                    path[t - 1] = trace[t - 1][at, path[t]]
+                yield pd.DataFrame({"run_id": some["run_id"].repeat(n), "bin": (some["first"].to_numpy()[:, None] + np.arange(n)).ravel(), "label": path.T.ravel()})
 
     rows = pack.join(models, "run_id")
     ends = rows.mapInPandas(multiply, "run_id string, stretch long, matrix binary").groupBy("run_id").applyInPandas(scan, "run_id string, stretch long, i int, j int")
-    return rows.join(ends, ["run_id", "stretch"]).mapInPandas(inside, "run_id string, bin long, label long")
+    return at_borders(rows, ends, pack.count(), 8).mapInPandas(inside, "run_id string, bin long, label long")
 
 
 def long_hmm(signal: DataFrame, k: int, emission: str = "gaussian", starts: int = 3, rounds: int = 50, value: str = "x", stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:

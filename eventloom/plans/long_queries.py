@@ -19,6 +19,7 @@ def event_series(spark, d):
     """run_id, cluster, bin, x: each event's value over its spread, and the gap before it in hours."""
     marked = T.marked(spark, d).select("run_id", "t", "value")
     rows = sequence.numbered(sequence.lagged(marked, "t", "before"), ["t"]).select("run_id", F.col("i").cast("long").alias("bin"), "value", F.coalesce((F.col("t") - F.col("before")) / T.HOUR, F.lit(0.0)).alias("gap"))
+    rows = stored.stored(rows, "series")  # read for the spread, for the first bin and for the bins themselves
     spread = rows.groupBy("run_id").agg(F.stddev_pop("value").alias("v"), F.stddev_pop("gap").alias("g"))
     both = F.explode(F.array(F.struct(F.lit("gap").alias("cluster"), (F.col("gap") / F.col("g")).alias("x")), F.struct(F.lit("value").alias("cluster"), (F.col("value") / F.col("v")).alias("x"))))
     return rows.join(spread, "run_id").select("run_id", "bin", both.alias("c")).select("run_id", "c.cluster", "bin", "c.x")

@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from eventloom.operators import binning, long_segments, statistics
+from eventloom.operators import binning, long_hmm, long_segments, statistics
 
 
 def plan(df):
@@ -82,3 +84,45 @@ def test_fine_grid_makes_no_row_per_unit_and_bin(spark):
         tree += [children.apply(i) for i in range(children.size())] + ([node.plan()] if node.nodeName().endswith("QueryStage") else [])
     days = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").selectExpr("datediff(max(o_orderdate), min(o_orderdate)) + 1 AS n").first()["n"]
     assert most == days
+
+
+def test_hmm_steps_through_stretches_side_by_side(spark):
+    """300 stretches of one length and a shorter one, of two runs: two series of steps, with each stretch's own sums and ends."""
+    rng, starts, k, q = np.random.default_rng(8), 2, 3, 2
+    shape, blobs = long_hmm.Model(starts, k, q), {}
+    for run in "ab":
+        chances = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.1)
+        p = {"done": np.zeros(starts), "ll": np.zeros(starts), "start": chances(starts, k), "move": chances(starts, k, k), "m": rng.normal(size=(starts, k, q)), "v": rng.random((starts, k, q)) + 0.5}
+        blobs[run] = shape.write(p | {f"used_{n}": p[n] for n in ("start", "move", "m", "v")})
+    rows = [("ab"[i % 2], i // 2, 9 if i < 300 else 4) for i in range(301)]
+    frame = pd.DataFrame([(r, s, n, q, rng.normal(size=(n, q)).tobytes(), blobs[r]) for r, s, n in rows], columns=["run_id", "stretch", "n", "q", "y", "model"])
+    parts = list(long_hmm.side_by_side(frame, starts, k))
+    assert len(parts) == 2 and sum(len(some) for some, *_ in parts) == 301
+    for some, y, p, head in parts:
+        b, top = long_hmm.scaled_chances("gaussian", y, p)
+        ones, before = np.ones((len(y), starts, k)), p["start"]
+        sums, ends = long_hmm.stretch_sums(y, b, top, p, before, ones, head), long_hmm.stretch_matrices(b, p["move"], head)
+        for i in {0, len(y) // 2, len(y) - 1}:
+            own = shape.read(some["model"].iloc[i])
+            for s in range(starts):
+                a, total, ll = own["start"][s], np.eye(k), 0.0
+                for t in range(y.shape[1]):
+                    if t or not head[i]:
+                        a, total = a @ own["move"][s], total @ own["move"][s]
+                    chance = np.exp(-0.5 * ((y[i, t] - own["m"][s]) ** 2 / own["v"][s] + np.log(2 * np.pi * own["v"][s])).sum(1))
+                    a, total = a * chance, total * chance
+                    ll, a = ll + np.log(a.sum()), a / a.sum()
+                assert sums[i, s, 0] == pytest.approx(ll) and ends[i, s] == pytest.approx(total / total.sum())
+                assert sums[i, s, 1 + k + k * k :][:k].sum() == pytest.approx(y.shape[1])
+
+
+def test_stretches_of_alike_values_are_dealt_over_tasks(spark):
+    """They take few bytes, for which all of them came to one task, and so did every round."""
+    signal = spark.range(4000).selectExpr("'a' AS run_id", "id AS bin", "explode(array('x', 'y')) AS cluster").withColumn("x", F.lit(1.0))
+    pack = long_hmm.packed(signal, "x", 50)
+    held = pack.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert sum(r["count"] for r in held) == 80 and len(held) == 4
+    first = pack.orderBy("stretch").first()
+    assert (first["first"], first["n"], first["q"]) == (0, 50, 2) and np.frombuffer(first["y"]).tolist() == [1.0] * 100
+    with pytest.raises(Exception, match="differ in their number of clusters"):
+        long_hmm.packed(signal.where("bin <> 7 OR cluster = 'x'"), "x", 50).collect()
