@@ -32,7 +32,7 @@ BORDERS = 32 << 20
 def packed(signal: DataFrame, value: str = "x", stretch: int = STRETCH) -> DataFrame:
     """run_id, stretch, first (its first bin), n, q, y: the bins of a stretch as one array. Every
     bin of a stretch must have as many clusters as the others."""
-    first = signal.groupBy("run_id").agg(F.min("bin").alias("_first"))
+    first = stored(signal.groupBy("run_id").agg(F.min("bin").alias("_first")), "firsts")  # of known size, as in sequence.in_pieces
     cut = signal.join(first, "run_id").withColumn("stretch", F.expr(f"(bin - _first) div {stretch}"))
     cells = F.sort_array(F.collect_list(F.struct("bin", "cluster", F.col(value).cast("double").alias("v"))))
     rows = cut.groupBy("run_id", "stretch").agg(cells.alias("cells")).select("run_id", "stretch", F.col("cells.bin").alias("bins"), F.col("cells.v").alias("v"))

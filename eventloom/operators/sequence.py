@@ -104,6 +104,7 @@ def in_pieces(rows: DataFrame, order: str, by: list[str] = ["run_id"], pieces: i
         if level:  # a row per piece
             share = F.sum("_c").over(Window.partitionBy(*by)) / F.lit(float(pieces))
             ends = ends.withColumn("_heavy", F.col("_c") > 4 * share)
+        ends = stored(ends, "ranges")  # of known size, so that no join sends the rows to every task in their place
         width = (F.col("_high") - F.col("_low")).cast("double") / pieces
         at = F.floor(F.try_divide(F.col(order) - F.col("_low"), width))
         own = F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.lit(pieces - 1))

@@ -22,7 +22,7 @@ def event_series(spark, d):
     rows = stored.stored(rows, "series")  # read for the spread, for the first bin and for the bins themselves
     spread = rows.groupBy("run_id").agg(F.stddev_pop("value").alias("v"), F.stddev_pop("gap").alias("g"))
     both = F.explode(F.array(F.struct(F.lit("gap").alias("cluster"), (F.col("gap") / F.col("g")).alias("x")), F.struct(F.lit("value").alias("cluster"), (F.col("value") / F.col("v")).alias("x"))))
-    return rows.join(spread, "run_id").select("run_id", "bin", both.alias("c")).select("run_id", "c.cluster", "bin", "c.x")
+    return rows.join(F.broadcast(spread), "run_id").select("run_id", "bin", both.alias("c")).select("run_id", "c.cluster", "bin", "c.x")
 
 
 @query("long_changepoints")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import binning, long_hmm, long_segments, statistics
+from eventloom.operators import binning, long_hmm, long_segments, sequence, statistics
 
 
 def plan(df):
@@ -126,3 +126,12 @@ def test_stretches_of_alike_values_are_dealt_over_tasks(spark):
     assert (first["first"], first["n"], first["q"]) == (0, 50, 2) and np.frombuffer(first["y"]).tolist() == [1.0] * 100
     with pytest.raises(Exception, match="differ in their number of clusters"):
         long_hmm.packed(signal.where("bin <> 7 OR cluster = 'x'"), "x", 50).collect()
+
+
+def test_rows_that_compress_well_are_not_broadcast(spark):
+    """Their file is smaller than what Spark expects of one row per run, so all rows were sent to every task."""
+    rows = spark.range(60000).selectExpr("'a' AS run_id", "double(id div 60) AS t", "double(id % 7) AS value")
+    out = sequence.numbered(sequence.lagged(rows, "t", "before"), ["t"])
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.selectExpr("min(i)", "max(i)", "count(distinct i)", "min(n)").first() == (0, 59999, 60000, 60000)
+    assert out.where("before IS NULL AND t > 0 OR before NOT IN (t, t - 1)").count() == 0
